@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .simhash import near_duplicates
+from .token_files import token_digest
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op6_range_ans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", end_id=2)
+
+
 QUERIES = {
+    "op6_range_ans_token_files": op6_range_ans_token_files,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
