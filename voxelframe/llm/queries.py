@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .simhash import near_duplicates
+from .token_counts import count_tokens
 from .token_files import token_digest
 
 
@@ -17,7 +18,12 @@ def op6_range_ans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", end_id=2)
 
 
+def op8_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", limit=2048)
+
+
 QUERIES = {
+    "op8_rank_synchronous_token_counts": op8_rank_synchronous_token_counts,
     "op6_range_ans_token_files": op6_range_ans_token_files,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
