@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .line_quality import quality_report
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_digest
@@ -14,6 +15,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op4_cross_document_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = quality_report(table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
 def op6_range_ans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", end_id=2)
 
@@ -23,6 +29,7 @@ def op8_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataF
 
 
 QUERIES = {
+    "op4_cross_document_line_frequency": op4_cross_document_line_frequency,
     "op8_rank_synchronous_token_counts": op8_rank_synchronous_token_counts,
     "op6_range_ans_token_files": op6_range_ans_token_files,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
