@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .edit_matching import find_leaks
 from .line_quality import quality_report
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -28,7 +29,12 @@ def op8_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataF
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", limit=2048)
 
 
+def op10_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
+
+
 QUERIES = {
+    "op10_pigeonhole_edit_matching": op10_pigeonhole_edit_matching,
     "op4_cross_document_line_frequency": op4_cross_document_line_frequency,
     "op8_rank_synchronous_token_counts": op8_rank_synchronous_token_counts,
     "op6_range_ans_token_files": op6_range_ans_token_files,
