@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .edit_matching import find_leaks
 from .line_quality import quality_report
+from .pii import find_pii
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_digest
@@ -16,6 +17,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op2_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_cross_document_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -34,6 +39,7 @@ def op10_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op2_offset_preserving_pii": op2_offset_preserving_pii,
     "op10_pigeonhole_edit_matching": op10_pigeonhole_edit_matching,
     "op4_cross_document_line_frequency": op4_cross_document_line_frequency,
     "op8_rank_synchronous_token_counts": op8_rank_synchronous_token_counts,
