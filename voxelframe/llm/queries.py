@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .edit_matching import find_leaks
 from .line_quality import quality_report
+from .mixing import EPOCHS, SEED, WEIGHTS, mix, mix_sql, standard_levels
 from .pii import find_pii
+from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_digest
@@ -16,6 +19,13 @@ from .token_files import token_digest
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
+#: The share of all tokens that the production mix wants.
+MIX_SHARE = 0.8
+
+
+def op1_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), standard_levels(), WEIGHTS, share=MIX_SHARE, epochs=EPOCHS, seed=SEED)
+
 
 def op2_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
@@ -26,6 +36,11 @@ def op4_cross_document_line_frequency(spark: SparkSession, sf_dir: str) -> DataF
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"), weights=[1.0] * 40, grown_weights=[1.0] * 41)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op6_range_ans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", end_id=2)
 
@@ -39,6 +54,8 @@ def op10_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op1_hierarchical_mix": op1_hierarchical_mix,
+    "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op2_offset_preserving_pii": op2_offset_preserving_pii,
     "op10_pigeonhole_edit_matching": op10_pigeonhole_edit_matching,
     "op4_cross_document_line_frequency": op4_cross_document_line_frequency,
@@ -47,4 +64,6 @@ QUERIES = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_hierarchical_mix": mix_sql(MIX_SHARE),
+}
