@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .edit_matching import find_leaks
 from .line_quality import quality_report
+from .lm_scoring import score
 from .mixing import EPOCHS, SEED, WEIGHTS, mix, mix_sql, standard_levels
 from .pii import find_pii
 from .sharding import shard_documents
@@ -49,11 +50,17 @@ def op8_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataF
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", limit=2048)
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score(table(spark, sf_dir, "documents"), good)
+
+
 def op10_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
 
 
 QUERIES = {
+    "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op1_hierarchical_mix": op1_hierarchical_mix,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op2_offset_preserving_pii": op2_offset_preserving_pii,
