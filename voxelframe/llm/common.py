@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the operators understand it: blank and the controls 0x09 to 0x0D.
@@ -42,3 +42,8 @@ def checked_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows of one id apart where ids are repeated."""
+    return F.xxhash64(text.cast("string"))

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize
+from .common import checked_broadcast, materialize, text_key
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent lines up to this many go to every task; beyond it they are joined by a shuffle.
@@ -86,11 +86,6 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     return source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
-def text_key(text: Column) -> Column:
-    """Tells rows of one id apart where ids are repeated."""
-    return F.xxhash64(text.cast("string"))
-
-
 def quality_report(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -11,6 +11,7 @@ from .line_quality import quality_report
 from .lm_scoring import score
 from .mixing import EPOCHS, SEED, WEIGHTS, mix, mix_sql, standard_levels
 from .pii import find_pii
+from .secret_forest import find_secrets, labelled_findings
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -32,6 +33,10 @@ def op2_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op3_random_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"), labelled_findings(spark), path_col="source")
+
+
 def op4_cross_document_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -60,6 +65,7 @@ def op10_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op3_random_forest_secret_scan": op3_random_forest_secret_scan,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op1_hierarchical_mix": op1_hierarchical_mix,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_key
 from .components import connected_components
 
 BYTES = 8
@@ -42,15 +42,15 @@ def fingerprints_of(texts: list[bytes | None], shingle: int, seed: int = 42) ->
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long; null and wordless texts get 0."""
+    """(doc_id, text_key, fp): fp is the fingerprint as a signed long; null and wordless texts get 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = fingerprints_of(batch.column(1).cast(pa.binary()).to_pylist(), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("text_key"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def postings(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -147,6 +147,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint, whose smallest id is taken over the ids that aren't null. Repeated rows stay repeated, other columns
     are ignored, an empty table gives an empty result.
     """
+    classes = _classes(docs, id_col, text_col, shingle, max_bits, seed)
+    return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose id is the smallest of their component (see ``near_duplicates``).
+
+    Rows equal in id and text stay or go together; rows without an id stay only where nothing in reach has one.
+    """
+    classes = _classes(docs, id_col, text_col, shingle, max_bits, seed)
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    return docs.join(first, docs[id_col].eqNullSafe(F.col("_id")) & (text_key(docs[text_col]) == F.col("_key")), "left_semi")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int) -> DataFrame:
+    """(doc_id, text_key, fp, component_id), a row for each of ``docs``."""
     if not 0 <= max_bits < BYTES:
         raise ValueError("max_bits must be 0 to 7: at least one byte position must be bound to match")
     marks = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
@@ -156,4 +172,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = materialize(linked.join(least, "root").select("fp", "least"), "moved")
     classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return marks.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marks.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id")
