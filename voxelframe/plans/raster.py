@@ -7,13 +7,17 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import SizeError
-from .regions import Box, Grid, Mask, Position, Positions, Region, axes, index_of, linear_index
+from .regions import Box, Grid, Position, Positions, Region, axes, linear_index
 
-V = F.col("v")
+
+
+def pixel() -> Column:
+    """The value column."""
+    return F.col("v")
 
 
 @dataclass(frozen=True)
@@ -105,12 +109,12 @@ class Raster:
 
     def apply(self, f: Callable[..., Column], *others: Raster) -> Raster:
         """``f(v, v of the others…)`` at every position; others must have the same domain."""
-        df, cols = self.df, [V]
+        df, cols = self.df, [pixel()]
         for k, other in enumerate(others):
             if (other.shape, other.front) != (self.shape, self.front):
                 raise SizeError((other.shape, other.front), (self.shape, self.front))
             if other.df is self.df:
-                cols.append(V)
+                cols.append(pixel())
                 continue
             df = df.join(other.df.select(*self.axes, F.col("v").alias(f"_v{k}")), self.axes)
             cols.append(F.col(f"_v{k}"))
@@ -239,8 +243,7 @@ def same(a: Raster, b: Raster) -> bool:
     if (a.shape, a.front) != (b.shape, b.front):
         return False
     both = a.df.join(b.df.withColumnRenamed("v", "_w"), a.axes, "full")
-    alike = F.coalesce((V == F.col("_w")) & ~F.coalesce(F.isnan(V.cast("double")), F.lit(False)), F.lit(False))
+    alike = F.coalesce((pixel() == F.col("_w")) & ~F.coalesce(F.isnan(pixel().cast("double")), F.lit(False)), F.lit(False))
     return not both.where(~alike).limit(1).count()
 
 
-__all__ = ["Box", "Grid", "Mask", "Positions", "Raster", "Window", "index_of", "same", "scan_order"]
