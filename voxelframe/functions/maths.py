@@ -150,9 +150,14 @@ def _exponent(x: pd.Series) -> pd.Series:
     return pd.Series(np.where(v == 0, -np.inf, np.where(np.isfinite(v), out, np.abs(v))))
 
 
+def _kept_nan(result: Column, x: Column) -> Column:
+    """NaN comes back from pandas as null; only nulls that went in are nulls."""
+    return F.coalesce(result, F.when(x.isNotNull(), _nan()))
+
+
 def logb(x: Column) -> Column:
     """The binary exponent: -inf for 0, inf for infinities, NaN for NaN."""
-    return _exponent(_d(x))
+    return _kept_nan(_exponent(_d(x)), x)
 
 
 def ilogb(x: Column) -> Column:
@@ -182,7 +187,7 @@ def _special(f: Callable[[float], float]) -> Callable[[Column], Column]:
     def run(x: pd.Series) -> pd.Series:
         return pd.Series([f(v) for v in x.to_numpy(np.float64).tolist()], dtype="float64")
 
-    return lambda x: run(_d(x))
+    return lambda x: _kept_nan(run(_d(x)), x)
 
 
 def _tgamma(v: float) -> float:

@@ -87,7 +87,8 @@ class PoissonNoise:
             out = [np.random.Generator(np.random.Philox(key=[seed, i & (1 << 64) - 1])).poisson(m) if m >= 0 else math.nan for m, i in zip(mean.tolist(), idx.tolist(), strict=True)]
             return pd.Series(out, dtype="float64")
 
-        return run(v.cast("double"), index.cast("long"))
+        # NaN comes back from pandas as null.
+        return F.coalesce(run(v.cast("double"), index.cast("long")), F.when(v.isNotNull(), F.lit(math.nan)))
 
 
 @dataclass(frozen=True)

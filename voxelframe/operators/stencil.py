@@ -212,9 +212,16 @@ class Custom(Filter):
         return self.function(np.stack(self.taps(values, step)))
 
 
+def _template(values: Sequence[float], window: Box | Mask) -> np.ndarray:
+    if len(values) != window.size:
+        raise SizeError(len(values), window.size)
+    return np.asarray(values, float)
+
+
 def pearson(template: Sequence[float], window: Box | Mask) -> Custom:
     """Correlation coefficient of the window's values with a template."""
-    t = np.asarray(template, float) - np.mean(template)
+    t = _template(template, window)
+    t = t - t.mean()
 
     def run(n: np.ndarray) -> np.ndarray:
         d = n - n.mean(axis=0)
@@ -226,7 +233,7 @@ def pearson(template: Sequence[float], window: Box | Mask) -> Custom:
 
 def quotient(template: Sequence[float], window: Box | Mask) -> Custom:
     """min(n / t) * sqrt(count / sum((n / t) ** 2)): 1 where the values are a multiple of the template."""
-    t = np.asarray(template, float)
+    t = _template(template, window)
 
     def run(n: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
