@@ -134,8 +134,8 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     ``chars_col``, if given, is set to the new length of texts that lost lines.
     """
     report = quality_report(docs, id_col, text_col, host_col, **limits).where("kept")
-    wanted = report.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed").alias("_removed")).dropDuplicates(["_id", "_key"])
-    matched = docs.join(wanted, docs[id_col].eqNullSafe(F.col("_id")) & (text_key(docs[text_col]) == F.col("_key"))).drop("_id", "_key")
+    wanted = report.select(F.col("doc_id").alias("__vf_id"), F.col("text_key").alias("__vf_key"), F.col("removed").alias("__vf_removed")).dropDuplicates(["__vf_id", "__vf_key"])
+    matched = docs.join(wanted, docs[id_col].eqNullSafe(F.col("__vf_id")) & (text_key(docs[text_col]) == F.col("__vf_key"))).drop("__vf_id", "__vf_key")
     text_at, host_at = docs.columns.index(text_col), docs.columns.index(host_col)
     chars_at = docs.columns.index(chars_col) if chars_col else None
 
@@ -157,4 +157,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             yield pa.RecordBatch.from_arrays(cols, docs_names)
 
     docs_names = docs.columns
-    return matched.select(*[F.col(f"`{c}`") for c in docs_names], "_removed").mapInArrow(run, docs.schema)
+    return matched.select(*[F.col(f"`{c}`") for c in docs_names], "__vf_removed").mapInArrow(run, docs.schema)

@@ -132,15 +132,16 @@ def mix(
     named = {c: F.coalesce(e.cast("string"), F.lit(NONE)) for c, e in levels.items()}
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("n_tokens"), *(e.alias(c) for c, e in named.items())), "rows")
     leaves = materialize(plan(rows, list(levels), weights, budget, share, epochs, seed), "plan")
-    told = checked_broadcast(leaves.select(F.struct(*levels).alias("_leaf"), F.struct("full_epochs", "rest", "cut", "cut_before").alias("_plan")), MOST_LEAVES)
-    source = docs.withColumn("_at", F.struct(*(e.alias(c) for c, e in named.items()))) if keep_columns else rows.withColumn("_at", F.struct(*levels))
+    told = checked_broadcast(leaves.select(F.struct(*levels).alias("__vf_leaf"), F.struct("full_epochs", "rest", "cut", "cut_before").alias("__vf_plan")), MOST_LEAVES)
+    source = docs.withColumn("__vf_at", F.struct(*(e.alias(c) for c, e in named.items()))) if keep_columns else rows.withColumn("__vf_at", F.struct(*levels))
     key = F.col(id_col) if keep_columns else F.col("doc_id")
-    met = source.join(told, F.col("_at") == F.col("_leaf")).withColumn("_place", place(seed, F.col("_plan.full_epochs") + 1, key))
-    met = met.withColumn("copies", F.col("_plan.full_epochs") + F.when(F.col("_place") <= F.col("_plan.cut"), 1).otherwise(0)).where("copies > 0")
+    met = source.join(told, F.col("__vf_at") == F.col("__vf_leaf")).withColumn("__vf_place", place(seed, F.col("__vf_plan.full_epochs") + 1, key))
+    met = met.withColumn("__vf_copies", F.col("__vf_plan.full_epochs") + F.when(F.col("__vf_place") <= F.col("__vf_plan.cut"), 1).otherwise(0)).where("__vf_copies > 0")
     if keep_columns:
-        return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
-    taken = F.when(F.col("_place") < F.col("_plan.cut"), F.col("n_tokens")).when(F.col("_place") == F.col("_plan.cut"), F.least("n_tokens", F.col("_plan.rest") - F.col("_plan.cut_before"))).otherwise(0)
-    return met.select("doc_id", *levels, "n_tokens", F.col("_plan.full_epochs").alias("full_epochs"), taken.cast("long").alias("prefix_tokens"), "copies")
+        return met.withColumn("__vf_copy", F.explode(F.sequence(F.lit(1), F.col("__vf_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plan_of = lambda c: F.col(f"__vf_plan.{c}")
+    taken = F.when(F.col("__vf_place") < plan_of("cut"), F.col("n_tokens")).when(F.col("__vf_place") == plan_of("cut"), F.least("n_tokens", plan_of("rest") - plan_of("cut_before"))).otherwise(0)
+    return met.select("doc_id", *levels, "n_tokens", plan_of("full_epochs").alias("full_epochs"), taken.cast("long").alias("prefix_tokens"), F.col("__vf_copies").alias("copies"))
 
 
 #: The production tree: domains by number of source.

@@ -14,9 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A candidate: 16 or more of these characters in a row, a digit among them.
-CHARS = "A-Za-z0-9+/_=.-"
-RUN = rf"[{CHARS}]{{16,}}+"
+#: A candidate: 16 or more of these characters in a row, a digit among them, and the padding behind.
+RUN = r"[A-Za-z0-9+/_.-]{16,}+={0,2}+"
 #: Characters of context taken on either side, within the line.
 AROUND = 48
 #: Labelled findings that the forest is fitted on at most.

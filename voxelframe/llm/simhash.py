@@ -157,8 +157,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows equal in id and text stay or go together; rows without an id stay only where nothing in reach has one.
     """
     classes = _classes(docs, id_col, text_col, shingle, max_bits, seed)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(first, docs[id_col].eqNullSafe(F.col("_id")) & (text_key(docs[text_col]) == F.col("_key")), "left_semi")
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vf_id"), F.col("text_key").alias("__vf_key"))
+    return docs.join(first, docs[id_col].eqNullSafe(F.col("__vf_id")) & (text_key(docs[text_col]) == F.col("__vf_key")), "left_semi")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int) -> DataFrame:
