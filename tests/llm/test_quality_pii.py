@@ -45,7 +45,7 @@ def test_lines_across_documents(spark):
     for k in range(40):
         text = f"{prose(k, 30)}\n{banner if k % 2 else banner.lower().replace('10', '77')}\n{prose(k + 1000, 40)}"
         rows.append((k, text + ("\n" + rare if k < 5 else ""), "en", "hot"))
-    shell = "\n".join(f"shared part {j} of the site with quite a lot of words in it" for j in range(8))
+    shell = "\n".join(prose(2000 + j, 13) for j in range(8))
     rows += [(100 + k, f"{prose(k + 500, 6)}\n{shell}", "en", "hot") for k in range(30)]
     rows += [(200 + k, f"{prose(7, 70)}\n{prose(8, 30)}", "en", "copies") for k in range(300)]
     rows += [(600 + k, f"{banner}\n{prose(k + 900, 60)}", "en", "cold") for k in range(9)]

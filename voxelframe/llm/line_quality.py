@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,48 +42,57 @@ def _normal(line: bytes) -> bytes:
     return b" ".join(line.lower().translate(DIGITS).split())
 
 
+_mark_hash = functools.partial(xxhash.xxh64_intdigest, seed=1)
+
+
 def _signed(value: bytes, seed: int = 0) -> int:
     h = xxhash.xxh64_intdigest(value, seed)
     return h - (1 << 64) if h >> 63 else h
 
 
 def profile(text: str, host: str | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line keys, line words, identity) of one text.
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and of each line with a word: key, words, mark) of one text.
 
-    The identity is the least of the hashes of the text's distinct lines: copies have the same one, near copies nearly
-    always, while documents that share some lines only seldom do.
+    A line's mark is the least hash of its runs of three words: lines that differ in a word mostly share it.
     """
     raw, at = text.encode(), (host or "").encode()
     words = raw.split()
     blanks = sum(text.count(c) for c in " \t\n\x0b\x0c\r")
     lines = [(line, n) for line in raw.split(b"\n") if (n := len(line.split()))]
     normal = {line: _normal(line) for line, _ in lines}
-    who = min((_signed(x, 1) for x in normal.values()), default=0)
-    keys = [_signed(at + b"\0" + normal[line]) for line, _ in lines]
+    keys = {line: _signed(at + b"\0" + x) for line, x in normal.items()}
+    marks = {line: _mark(line.lower()) for line in normal}
     return (
         len(words),
         len(text) - blanks,
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(normal),
         repeated_words(words),
-        keys,
+        [keys[line] for line, _ in lines],
         [n for _, n in lines],
-        who,
+        [marks[line] for line, _ in lines],
     )
 
 
+def _mark(line: bytes) -> int:
+    words = line.split()
+    grams = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [line]
+    least = min(map(_mark_hash, grams))
+    return least - (1 << 64) if least >> 63 else least
+
+
 def _profiles(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 rows = [profile(t or "", h) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int64()], strict=True)]
+                cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], names)
 
-    names = ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "sizes", "who"]
+    names = ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "sizes", "marks"]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), text_key(F.col(text_col)).alias("text_key"))
-    kinds = [source.schema["doc_id"].dataType.simpleString(), "string"] + ["long"] * 6 + ["array<long>"] * 2 + ["long"]
+    kinds = [source.schema["doc_id"].dataType.simpleString(), "string"] + ["long"] * 6 + ["array<long>"] * 3
     return source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
@@ -102,24 +112,32 @@ def quality_report(
     of three words. Cross-document rule: a normalised line found in more than max(``least_docs``, ``share`` * documents
     of the host) distinct documents of a host is removed from all of that host's documents (``removed`` holds the keys
     of such lines, ``removed_words`` their words, repeats included); a document left with fewer than ``least_left``
-    words, or less than ``least_share`` of its words, is depleted and rejected. Copies and near copies of a document
-    count as one document, so a text isn't taken for boilerplate because it was copied.
+    words, or less than ``least_share`` of its words, is depleted and rejected.
+
+    Copies and near copies of a document count as one document, so a text isn't taken for boilerplate because it was
+    copied. Equal texts are one document from the start. Among the lines that are still above ``least_docs``, documents
+    are told apart by the least mark of their other lines: pages around a common frame have contents of their own,
+    near copies have only edited lines there, whose marks agree.
 
     A null text has no words and fails; a null host is a host of its own, shared with the empty name. Null and repeated
     ids are passed through, each row judged by itself; other columns are ignored; an empty table gives no rows.
     """
     rows = materialize(_profiles(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()), "profiles")
     hosts = rows.groupBy(F.coalesce("host", F.lit("")).alias("at")).agg(F.greatest(F.lit(float(least_docs)), F.count(F.lit(1)) * share).alias("most"))
-    lines = rows.select(F.coalesce("host", F.lit("")).alias("at"), "who", F.explode(F.array_distinct("keys")).alias("key"))
-    spread = lines.groupBy("at", "key", "who").agg(F.lit(1).alias("one")).groupBy("at", "key").agg(F.count(F.lit(1)).alias("n_docs"))
-    # A host is a row here; least_docs alone already drops nearly all lines before the join.
+    each = F.explode(F.arrays_zip("keys", "sizes", "marks")).alias("line")
+    lines = rows.select("row", F.coalesce("host", F.lit("")).alias("at"), "text_key", each).select("row", "at", "text_key", F.col("line.keys").alias("key"), F.col("line.sizes").alias("size"), F.col("line.marks").alias("mark"))
+    texts = lines.groupBy("at", "key", "text_key").agg(F.lit(1).alias("one")).groupBy("at", "key").agg(F.count(F.lit(1)).alias("n"))
+    wide = materialize(texts.where(F.col("n") > least_docs).select("key", F.lit(True).alias("wide")), "wide")
+    marked = lines.join(checked_broadcast(wide, MOST_BROADCAST), "key", "left")
+    own = marked.groupBy("row").agg(F.min(F.when(F.col("wide").isNull(), F.col("mark"))).alias("own"), F.max("wide").alias("any")).where("any").select("row", "own")
+    shared = marked.where("wide").join(own, "row").select("at", "key", F.coalesce("own", "text_key").alias("who"))
+    spread = shared.groupBy("at", "key", "who").agg(F.lit(1).alias("one")).groupBy("at", "key").agg(F.count(F.lit(1)).alias("n_docs"))
     frequent = materialize(spread.where(F.col("n_docs") > least_docs).join(hosts, "at").where(F.col("n_docs") > F.col("most")).select("key"), "frequent")
-    placed = rows.select("row", F.explode(F.arrays_zip("keys", "sizes")).alias("line")).select("row", F.col("line.keys").alias("key"), F.col("line.sizes").alias("size"))
-    lost = placed.join(checked_broadcast(frequent, MOST_BROADCAST), "key").groupBy("row").agg(F.sum("size").alias("lost"), F.collect_set("key").alias("removed"))
+    lost = lines.join(checked_broadcast(frequent, MOST_BROADCAST), "key").groupBy("row").agg(F.sum("size").alias("lost"), F.collect_set("key").alias("removed"))
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        rows.drop("keys", "sizes", "who")
+        rows.drop("keys", "sizes", "marks")
         .join(lost, "row", "left")
         .withColumn("removed_words", F.coalesce("lost", F.lit(0)))
         .withColumn("base_failed", failed)

@@ -5,8 +5,8 @@ A file set is two tables in one folder. ``model`` holds the shared frequency tab
 ``doc_ids`` and ``lengths`` of its documents, and ``payload``. Parts, blocks and documents ascend by document id. A
 payload is, little-endian:
 
-    magic "VXA1", u32 lanes, u32 symbols, u32 steps between checkpoints, u32 checkpoints, u32 CRC-32 of all that follows,
-    u32 CRC-32 of the frequency table, then for each checkpoint u32 first word and u64 state of each lane, then u32 words.
+    magic "VXA1", u32 lanes, u32 symbols, u32 steps between checkpoints, u32 checkpoints, u32 CRC-32 of the frequency
+    table, u32 CRC-32 of the payload without this field, then for each checkpoint u32 first word and u64 state of each lane, then u32 words.
 
 Symbol ``i`` belongs to lane ``i % lanes`` at step ``i // lanes``; checkpoint ``c`` stands at step ``c * steps``, so
 blocks, and the stretches between checkpoints within a block, decode independently of one another.
@@ -42,7 +42,7 @@ EVERY = 256
 #: Pieces with and without a blank before them whose ids a Python worker keeps, twice as many at most.
 LED, BARE = 500_000, 100_000
 
-HEAD = np.dtype([("magic", "S4"), ("lanes", "<u4"), ("symbols", "<u4"), ("every", "<u4"), ("points", "<u4"), ("crc", "<u4"), ("model", "<u4")])
+HEAD = np.dtype([("magic", "S4"), ("lanes", "<u4"), ("symbols", "<u4"), ("every", "<u4"), ("points", "<u4"), ("model", "<u4"), ("crc", "<u4")])
 
 
 class Recent(dict):
@@ -200,8 +200,8 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, lanes: int = LANES, every: i
     ahead = np.concatenate([[0], np.cumsum(sizes[::-1])]).astype("<u4")
     body = b"".join(ahead[c * every].tobytes() + s.astype("<u8").tobytes() for c, s in enumerate(reversed(points)))
     body += b"".join(w.astype("<u4").tobytes() for w in reversed(words))
-    head = np.array([(MAGIC, lanes, len(ids), every, len(points), zlib.crc32(body), _model_crc(freq))], HEAD)
-    return head.tobytes() + body
+    head = np.array([(MAGIC, lanes, len(ids), every, len(points), _model_crc(freq), 0)], HEAD).tobytes()[:-4]
+    return head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
 
 
 class Decoder:
@@ -214,9 +214,11 @@ class Decoder:
 
     def decode(self, payload: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
         """Ids of checkpoints ``first`` to ``last`` (exclusive; all by default); raises ValueError on damage."""
+        if len(payload) < HEAD.itemsize:
+            raise ValueError("damaged block")
         head = np.frombuffer(payload, HEAD, 1)[0]
         body = memoryview(payload)[HEAD.itemsize :]
-        if head["magic"] != MAGIC or head["crc"] != zlib.crc32(body) or head["model"] != self.crc:
+        if head["magic"] != MAGIC or head["crc"] != zlib.crc32(body, zlib.crc32(payload[: HEAD.itemsize - 4])) or head["model"] != self.crc:
             raise ValueError("damaged block, or a block of another frequency table")
         lanes, n, every, points = (int(head[k]) for k in ("lanes", "symbols", "every", "points"))
         marks = np.frombuffer(body, np.dtype([("word", "<u4"), ("state", "<u8", (lanes,))]), points)
