@@ -30,6 +30,11 @@ def test_box_algebra():
     assert a.extend((7,), (8,)) == Box((0, 0, 7), (4, 5, 8))
     assert a.clamp((-3, 99)) == (0, 5) and a.wrap((-1, 0)) == (4, 0)
     assert Box.from_center(1, (5, 5)) == Box((4, 4), (6, 6)) and len(a) == 30
+    assert (Box.whole(2) & a) == a and Box.whole(1).wrap((3,)) == (3,)
+    flags = [p[0] == p[1] for p in a]
+    assert set(Mask.from_flags(a, flags)) == {(k, k) for k in range(5)}
+    with pytest.raises(SizeError):
+        Mask.from_flags(a, flags[1:])
     with pytest.raises(OutOfBoundsError):
         a.wrap((5, 0))
     with pytest.raises(SizeError):

@@ -93,3 +93,14 @@ def test_timer_and_options():
     got = o.parse(["a.fits", "--radius", "--loud"])
     assert (got["input"], got["radius"], got["loud"]) == ("a.fits", 7, True)
     assert "radius" in o.help()
+
+
+def test_programs(spark, tmp_path):
+    from voxelframe.programs import mask_cosmics, turn_square
+
+    path = str(tmp_path / "s.fits")
+    turn_square.main([path, "--side", "24"], spark)
+    first, second = read_fits(spark, path).to_numpy(), read_fits(spark, path, 1).to_numpy()
+    assert first.sum() == 13 * 13 and abs(second.sum() - 13 * 13 * 2.25) < 13
+    mask_cosmics.main([path, "--output", str(tmp_path / "m.fits"), "--rounds", "1"], spark)
+    assert set(np.unique(read_fits(spark, str(tmp_path / "m.fits")).to_numpy())) <= {0, 1}

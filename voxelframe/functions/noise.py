@@ -7,12 +7,12 @@ have too.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -129,3 +129,8 @@ def apply_noise(raster: Raster, noise: UniformNoise | GaussianNoise | PoissonNoi
 def draw_noise(raster: Raster, noise: UniformNoise | GaussianNoise | PoissonNoise | ImpulseNoise) -> Raster:
     index = raster.index()
     return raster.generate(lambda *_: noise.draw(index))
+
+
+def random_raster(spark: SparkSession, shape: Sequence[int], least: float = 0.0, most: float = 1.0, seed: int = 0, whole: bool = False) -> Raster:
+    """Uniform values."""
+    return Raster.filled(spark, shape, UniformNoise(least, most, whole, seed).draw(F.col("idx")))

@@ -133,6 +133,15 @@ class Raster:
         """``f`` within a region, the rest unchanged: what writing through a view does."""
         return self.apply(lambda v: F.when(region.predicate(), f(v)).otherwise(v))
 
+    def write(self, values: Raster, region: Grid) -> Raster:
+        """This raster with a box's or grid's pixels taken from ``values``, a raster of the region's shape (from 0)."""
+        if values.shape != region.shape:
+            raise SizeError(values.shape, region.shape)
+        moved = [(F.col(a) * s + f).alias(a) for a, s, f in zip(self.axes, region.step, region.front, strict=True)]
+        new = values.df.select(*moved, F.col("v").alias("_w"), F.lit(True).alias("_hit"))
+        joined = self.df.join(new, self.axes, "left")
+        return replace(self, df=joined.select(*self.axes, F.when(F.col("_hit"), F.col("_w")).otherwise(pixel()).alias("v")))
+
     def reverse(self) -> Raster:
         """Values in reverse linear order; the same as mirroring every axis."""
         flipped = [(F.lit(2 * f + n - 1) - F.col(a)).alias(a) for a, n, f in zip(self.axes, self.shape, self.front, strict=True)]

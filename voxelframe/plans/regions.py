@@ -139,6 +139,11 @@ class Box(Grid):
     def from_center(cls, radius: Sequence[int] | int, center: Sequence[int]) -> Box:
         return cls(_add(center, radius, -1), _add(center, radius))
 
+    @classmethod
+    def whole(cls, dimension: int) -> Box:
+        """From 0 without end: meets any domain in all of it."""
+        return cls((0,) * dimension, (2**63 - 1,) * dimension)
+
     def box(self) -> Box:
         return self
 
@@ -222,6 +227,13 @@ class Mask:
         lanes = list(zip(*kept, strict=True))
         return cls(Box(tuple(map(min, lanes)), tuple(map(max, lanes))), None, kept)
 
+    @classmethod
+    def from_flags(cls, box: Box, flags: Sequence[bool]) -> Mask:
+        """One flag for each position of the box, axis 0 fastest."""
+        if len(flags) != box.size:
+            raise SizeError(len(flags), box.size)
+        return cls(box, None, frozenset(p for p, f in zip(box, flags, strict=True) if f))
+
     @classmethod
     def ball(cls, radius: float, center: Sequence[int], power: float = 2) -> Mask:
         """Positions whose distances d to the centre fulfil sum |d|^power <= radius^power; power 0 counts non-zero d (at most one)."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import maths, noise
 from .operators import statistics as stats
-from .operators.cosmics import laplacian, min_contrast
+from .operators.cosmics import detect, laplacian, min_contrast, segment
 from .operators.resampling import CUBIC, LINEAR, NEAREST, Affinity, downsample, rotate, upsample, warp
 from .operators.spectra import fourier_convolve, inverse_real_dft, real_dft
 from .operators.stencil import (
@@ -37,6 +37,9 @@ from .operators.stencil import (
 )
 from .plans.raster import Raster
 from .plans.regions import Box, Grid, Mask, Positions, line
+from .plans.scratch import scratch_path
+from .plans.steps import Step, StepPipeline
+from .sources.fits import read_fits, write_fits
 from .streaming.chunks import chunk_totals, map_chunks, to_chunks, to_pixels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +244,43 @@ def cosmic_min_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(min_contrast(raster.apply(lambda v: v.cast("double")), mask), F.round(F.when(F.col("v") > 1e300, 1e6).otherwise(F.col("v")), 9))
 
 
+@query(f"""WITH {R2}, o(d0, d1) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)),
+ c AS (SELECT a.x0, a.x1, min((n.v - a.v)::DOUBLE / n.v) AS c FROM px a CROSS JOIN o JOIN px n ON n.x0 = a.x0 + d0 AND n.x1 = a.x1 + d1 WHERE n.v % 4 = 0 GROUP BY ALL)
+ SELECT x0, x1, CASE WHEN v % 4 = 0 OR (c < -0.1 AND x0 BETWEEN 1 AND 48 AND x1 BETWEEN 1 AND 9) THEN 1 ELSE 0 END AS v FROM px LEFT JOIN c USING (x0, x1)""")
+def cosmic_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raster = r2(spark, sf_dir)
+    mask = raster.apply(lambda v: (v % 4 == 0).cast("int"))
+    return rows(segment(raster.apply(lambda v: v.cast("double")), mask, -0.1))
+
+
+@query(None)
+def cosmic_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(detect(r2(spark, sf_dir), [1.0, 2.0, 1.0, 2.0, 4.0, 2.0, 1.0, 2.0, 1.0], (3, 3), 0.2, 0.95))
+
+
+@query(f"WITH {R2} SELECT x0, x1, v::INTEGER AS v FROM px")
+def fits_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "image") + ".fits"
+    write_fits(r2(spark, sf_dir), path, "x", "int32")
+    return rows(read_fits(spark, path))
+
+
+@query(f"WITH {R2}, t AS (SELECT sum(v) AS s FROM px) SELECT x1, round(sum(v) / any_value(s), 9) AS share FROM px, t GROUP BY x1")
+def step_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = Step("pixels", lambda: r2(spark, sf_dir).df)
+    whole = Step("whole", lambda df: df.agg(F.sum("v").alias("s")), [pixels])
+    lines = Step("lines", lambda df: df.groupBy("x1").agg(F.sum("v").alias("line")), [pixels])
+    shares = Step("shares", lambda a, b: a.crossJoin(b).select("x1", F.round(F.col("line") / F.col("s"), 9).alias("share")), [lines, whole])  # one row
+    return StepPipeline().get(shares)
+
+
+@query(f"WITH {R2} SELECT x0, x1, CASE WHEN x0 BETWEEN 10 AND 30 AND (x0 - 10) % 4 = 0 AND x1 BETWEEN 2 AND 8 AND x1 % 2 = 0 THEN (x0 - 10) // 4 + x1 ELSE v END AS v FROM px")
+def view_write_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = Grid((10, 2), (30, 8), (4, 2))
+    new = Raster.filled(spark, region.shape, 0).generate(lambda a, b: a + b * 2 + 2)
+    return rows(r2(spark, sf_dir).write(new, region))
+
+
 @query(f"WITH {R2} SELECT q.a + 3 AS x0, r.b + 2 AS x1, p.v FROM range(-3, 53) q(a), range(-2, 13) r(b), px p WHERE p.x0 = (q.a + 50) % 50 AND p.x1 = (r.b + 11) % 11")
 def pad_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(pad(r2(spark, sf_dir), Box((-3, -2), (52, 12)), Periodic()))
