@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group."""
-    return keep_first(docs, shingle=5, max_bits=3)
+    """The document with the smallest id of every group: 3 bits or fewer, or 0.8 of the shingles of five words."""
+    return keep_first(docs, shingle=5, max_bits=3, similarity=0.8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

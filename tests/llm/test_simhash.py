@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from voxelframe.llm.components import connected_components
-from voxelframe.llm.simhash import _forest, keep_first, near_duplicates
+from voxelframe.llm.simhash import _forest, keep_first, near_duplicates, signature
 
 from .conftest import edge_rows
 
@@ -87,3 +87,47 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 105: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def edited(text, k, rng):
+    w = text.split()
+    for i in rng.sample(range(len(w)), k):
+        w[i] = "edit" + str(rng.randrange(10**6))
+    return " ".join(w)
+
+
+def test_similar_texts_are_one_and_others_stay(spark):
+    rng = random.Random(8)
+    words = ["w" + str(k) for k in range(4000)]
+    rows, near = [], set()
+    for g in range(60):
+        base = " ".join(rng.choice(words) for _ in range(rng.choice((60, 200, 600))))
+        rows.append((100 * g, base))
+        n = len(base.split())
+        for j in (1, 2):
+            # A changed word takes five shingles of either side: a similarity of 0.86 or more.
+            rows.append((100 * g + j, edited(base, max(1, n // 70), rng)))
+            near.add(100 * g + j)
+        rows.append((100 * g + 50, edited(base, n // 10, rng)))  # 0.4 or less
+    hub = " ".join(rng.choice(words) for _ in range(300))
+    rows += [(10_000 + k, edited(hub, 3, rng)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in keep_first(docs, shingle=5, max_bits=3, similarity=0.8).collect()}
+    assert kept >= {d for d, _ in rows if d < 10_000} - near
+    assert len(kept & near) <= 2 and {d for d in kept if d >= 10_000} == {10_000}
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 300, 5000):
+        for share in (0.5, 0.8, 0.95):
+            common, a, b = (rng.integers(0, 1 << 63, m, np.uint64) * np.uint64(2) for m in (max(1, int(n * share)), (n - int(n * share)) // 2, (n - int(n * share)) // 2))
+            x, y = (np.frombuffer(signature(np.concatenate([common, o])), np.uint8) for o in (a, b))
+            real = len(common) / (len(common) + len(a) + len(b))
+            filled = np.count_nonzero(x | y)
+            assert abs(np.count_nonzero((x == y) & (x != 0)) / filled - real) < 0.13

@@ -1,4 +1,8 @@
-"""SimHash near duplicates through a byte-position inverted index with count filtering."""
+"""SimHash near duplicates through a byte-position inverted index with count filtering.
+
+Fingerprints within a few bits only reach nearly identical texts. Where a similarity of shingle sets is asked for as
+well, texts also get a signature of 256 byte positions, and the same kind of index finds pairs that share enough of it.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_key
@@ -18,10 +22,13 @@ from .components import connected_components
 BYTES = 8
 #: Rows of a posting list compared at once; the rest of the list is taken block by block.
 BLOCK = 1024
+#: Byte positions of a signature, and its lists: keys of each, least hashes that make up a key.
+POSITIONS, LISTS, LEAST = 256, 12, 4
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, LISTS * LEAST), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
-def fingerprints_of(texts: list[bytes | None], shingle: int, seed: int = 42) -> np.ndarray:
-    """64-bit SimHash of every text: a bit is set if over half of the shingles' XXH64 have it."""
+def shingle_hashes(texts: list[bytes | None], shingle: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """XXH64 of the shingles of each text with a word, and the number of shingles of every text."""
     digest = functools.partial(xxhash.xxh64_intdigest, seed=seed)
     hashes, sizes = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
@@ -31,9 +38,13 @@ def fingerprints_of(texts: list[bytes | None], shingle: int, seed: int = 42) ->
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
         sizes[k] = max(1, len(words) - shingle + 1)
         hashes.append(np.fromiter(map(digest, grams), np.uint64, sizes[k]))
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(sizes)
-    for h, k in zip(hashes, full, strict=True):
+    return hashes, sizes
+
+
+def fingerprints_of(hashes: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of every text: a bit is set if over half of the shingles' XXH64 have it."""
+    out = np.zeros(len(sizes), np.uint64)
+    for h, k in zip(hashes, np.flatnonzero(sizes), strict=True):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 15):
             ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -41,16 +52,55 @@ def fingerprints_of(texts: list[bytes | None], shingle: int, seed: int = 42) ->
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, text_key, fp): fp is the fingerprint as a signed long; null and wordless texts get 0."""
+def signature(h: np.ndarray) -> bytes:
+    """256 byte positions: a hash's first byte is its position, the least hash of a position gives its byte, 0 means none.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = fingerprints_of(batch.column(1).cast(pa.binary()).to_pylist(), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "fp"])
+    Of the positions that either of two texts fills, the share of equal bytes estimates the similarity (Jaccard) of
+    their shingle sets, to about 0.025 for long texts and closer for short ones.
+    """
+    h = np.sort(h)
+    place = (h >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    out = np.zeros(POSITIONS, np.uint8)
+    out[place[first]] = (h[first] & np.uint64(0xFFFFFF)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def list_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of the lists that a text is in; texts of similarity s share one with probability 1 - (1 - s ** 4) ** 12."""
+    factor, shift = _FACTORS[:, :, None]
+    least = np.full(LISTS * LEAST, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1 << 12):
+        least = np.minimum(least, (h[None, at : at + (1 << 12)] * factor + shift).min(axis=1))
+    key = np.arange(1, LISTS + 1, dtype=np.uint64)
+    for part in least.reshape(LISTS, LEAST).T:
+        key = (key ^ part ^ (part >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return key.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, signed: bool = False) -> DataFrame:
+    """(doc_id, text_key, fp): fp is the fingerprint as a signed long; null and wordless texts get 0.
+
+    With ``signed`` also sig and keys (see ``signature`` and ``list_keys``), null for null and wordless texts.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                hashes, sizes = shingle_hashes(batch.column(1).cast(pa.binary()).to_pylist(), shingle, seed)
+                cols = [batch.column(0), batch.column(2), pa.array(fingerprints_of(hashes, sizes).view(np.int64))]
+                if signed:
+                    rows = iter(hashes)
+                    each = [next(rows) if n else None for n in sizes]
+                    cols.append(pa.array([None if h is None else signature(h) for h in each], pa.binary()))
+                    cols.append(pa.array([None if h is None else list_keys(h) for h in each], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["doc_id", "text_key", "fp", *(("sig", "keys") if signed else ())]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("text_key"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
+    more = ", sig binary, keys array<long>" if signed else ""
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long{more}")
 
 
 def postings(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -138,6 +188,75 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
+def _similar(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether each row of ``others`` shares enough byte positions with ``one`` (or with the row beside it)."""
+    shared = np.count_nonzero((one == others) & (others != 0), axis=-1)
+    return shared >= similarity * np.count_nonzero((one | others) != 0, axis=-1)
+
+
+def _linked(fps: np.ndarray, sigs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges that join the members of one list like all links among them do.
+
+    A member is compared only with members it isn't joined to yet, so a group around one text takes a few passes.
+    """
+    group, out = np.arange(len(fps)), []
+    for k in range(len(fps) - 1):
+        rest = np.flatnonzero(group != group[k])
+        rest = rest[rest > k]
+        if not len(rest):
+            if not (group != group[k]).any():
+                break
+            continue
+        for j in rest[_similar(sigs[k], sigs[rest], similarity)].tolist():
+            if group[j] != group[k]:
+                group[group == group[j]] = group[k]
+                out.append((int(fps[k]), int(fps[j])))
+    return out
+
+
+def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of texts whose signatures agree in ``similarity`` of their byte positions or more.
+
+    ``marks`` is what ``fingerprints`` gives with ``signed``. Equal texts are one row; lists of one text are left before
+    signatures are sent; no list emits more edges than members.
+    """
+    texts = marks.where("sig IS NOT NULL").groupBy("fp", F.xxhash64("sig").alias("of")).agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    texts = materialize(texts, "signatures")
+    posts = texts.select("fp", "of", F.explode("keys").alias("key"))
+    several = posts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    lists = several.join(texts.select("fp", "of", "sig"), ["fp", "of"]).select("key", "fp", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, sigs = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, POSITIONS), np.uint8)
+
+        def edges(stop: int) -> pa.RecordBatch:
+            key, fp, sig = keys[:stop], fps[:stop], sigs[:stop]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, stop))
+            two = start[size == 2]
+            two = two[_similar(sig[two], sig[two + 1], similarity)]
+            found = [*zip(fp[two].tolist(), fp[two + 1].tolist(), strict=True)]
+            for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                found += _linked(fp[a : a + n], sig[a : a + n], similarity)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                keys, fps = np.append(keys, batch.column(0).to_numpy()), np.append(fps, batch.column(1).to_numpy())
+                sigs = np.concatenate([sigs, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, POSITIONS)])
+                changed = np.flatnonzero(keys != keys[-1])
+                if len(changed):
+                    cut = changed[-1] + 1
+                    yield edges(cut)
+                    keys, fps, sigs = keys[cut:], fps[cut:], sigs[cut:]
+        if len(keys):
+            yield edges(len(keys))
+
+    return lists.repartition("key").sortWithinPartitions("key", "fp", "sig").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
@@ -151,23 +270,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3, seed: int = 42) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3, seed: int = 42, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, with all columns, whose id is the smallest of their component (see ``near_duplicates``).
 
+    With ``similarity``, texts whose shingle sets are that similar are linked too, however many bits their fingerprints
+    differ in (see ``similar_links``).
     Rows equal in id and text stay or go together; rows without an id stay only where nothing in reach has one.
     """
-    classes = _classes(docs, id_col, text_col, shingle, max_bits, seed)
+    classes = _classes(docs, id_col, text_col, shingle, max_bits, seed, similarity)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vf_id"), F.col("text_key").alias("__vf_key"))
     return docs.join(first, docs[id_col].eqNullSafe(F.col("__vf_id")) & (text_key(docs[text_col]) == F.col("__vf_key")), "left_semi")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int, similarity: float | None = None) -> DataFrame:
     """(doc_id, text_key, fp, component_id), a row for each of ``docs``."""
     if not 0 <= max_bits < BYTES:
         raise ValueError("max_bits must be 0 to 7: at least one byte position must be bound to match")
-    marks = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    marks = materialize(fingerprints(docs, id_col, text_col, shingle, seed, similarity is not None), "fingerprints")
     distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = connected_components(links(distinct.select("fp"), max_bits))
+    edges = links(distinct.select("fp"), max_bits)
+    if similarity is not None:
+        edges = edges.union(similar_links(marks, similarity))
+    found = connected_components(edges)
     linked = found.join(distinct, found.node == distinct.fp).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = materialize(linked.join(least, "root").select("fp", "least"), "moved")
