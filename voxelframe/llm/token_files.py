@@ -40,7 +40,7 @@ BLOCK = 1 << 20
 #: Steps between checkpoints.
 EVERY = 256
 #: Pieces with and without a blank before them whose ids a Python worker keeps, twice as many at most.
-LED, BARE = 500_000, 100_000
+LED, BARE = 250_000, 50_000
 
 HEAD = np.dtype([("magic", "S4"), ("lanes", "<u4"), ("symbols", "<u4"), ("every", "<u4"), ("points", "<u4"), ("model", "<u4"), ("crc", "<u4")])
 
