@@ -33,6 +33,14 @@ def test_pieces_give_the_librarys_ids():
         assert np.frombuffer(coder.encode(t), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_long_pieces_of_many_lines():
+    coder, whole = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    words = [f"{a}{b}" for a in ("river", "stone.", "x,", "Tab\tle", "7") for b in ("", "s", "ing", "\n")]
+    for t in ["\n".join(f"word{k}" for k in range(5000)), " lead " + "\n".join(words * 250) + " tail", "\n".join(["QUJD" * 19] * 5000)]:
+        assert np.frombuffer(coder.encode(t), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert max(map(len, [*coder.led, *coder.bare, *coder.led.older, *coder.bare.older])) <= token_files.LONGEST
+
+
 def test_counts_are_the_librarys():
     counter, whole = _counter("word_bpe_49k.json"), library("word_bpe_49k.json")
     sample = texts(6000, 2)

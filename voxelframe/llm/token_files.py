@@ -41,12 +41,14 @@ BLOCK = 1 << 20
 EVERY = 256
 #: Pieces with and without a blank before them whose ids a Python worker keeps, twice as many at most.
 LED, BARE = 250_000, 50_000
+#: Characters of a piece that is kept, at most.
+LONGEST = 256
 
 HEAD = np.dtype([("magic", "S4"), ("lanes", "<u4"), ("symbols", "<u4"), ("every", "<u4"), ("points", "<u4"), ("model", "<u4"), ("crc", "<u4")])
 
 
 class Recent(dict):
-    """A dictionary of the entries used last: when full, it keeps one generation behind it and takes from there what is asked for again."""
+    """A dictionary of the entries used last: when full, it keeps one generation behind it and takes from there what is asked for again. Long keys aren't kept."""
 
     def __init__(self, most: int, make: Callable[[str], bytes]) -> None:
         super().__init__()
@@ -56,6 +58,8 @@ class Recent(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -75,6 +79,7 @@ class PieceEncoder:
 
     odd = re.compile(r" \s|\s ")
     cut = re.compile(r"(?<=\S) (?=\S)")
+    line_end = re.compile(r"(?<=\S)\n(?=\S)")
     #: Letters, then marks; no apostrophe (contractions) and no "<" (special strings).
     plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]+)")
 
@@ -100,9 +105,9 @@ class PieceEncoder:
         if piece.isalpha():
             return self._pack([t.id for t in self.merges.tokenize("".join([self.letters[b] for b in (lead + piece).encode()]))])
         known = self.led if lead else self.bare
-        head, end, rest = piece.partition("\n")
-        if head and rest and not head[-1].isspace() and not rest[0].isspace():
-            return known[head] + self.bare[end] + self.bare[rest]
+        lines = self.line_end.split(piece) if "\n" in piece else [piece]
+        if len(lines) > 1:
+            return known[lines[0]] + b"".join([self.bare["\n"] + self.bare[x] for x in lines[1:]])
         if m := self.plain.fullmatch(piece):
             return known[m[1]] + self.bare[m[2]]
         return self._pack(self.library.encode(lead + piece, add_special_tokens=False).ids)
