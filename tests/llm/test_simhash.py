@@ -122,6 +122,24 @@ def test_similar_texts_are_one_and_others_stay(spark):
     assert len(kept & near) <= 2 and {d for d in kept if d >= 10_000} == {10_000}
 
 
+def test_the_shingles_themselves_decide_close_to_the_limit(spark):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for g in range(120):
+        base = [f"g{g}w{k}" for k in range(rng.choice((300, 504, 904)))]
+        n = len(base) - 4
+        # A new end of k words: n - k of n + k shingles are shared.
+        limit = n // 9
+        k = limit + (g % 2) * 2  # 0.8 or a little more, or a little less
+        other = base[: len(base) - k] + [f"g{g}new{i}" for i in range(k)]
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(other))]
+        alike = len(shingles(rows[-1][1]) & shingles(rows[-2][1])) / len(shingles(rows[-1][1]) | shingles(rows[-2][1]))
+        assert 0.79 < alike < 0.81 and (alike >= 0.8) == (g % 2 == 0)
+        want |= {10 * g} if alike >= 0.8 else {10 * g, 10 * g + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in keep_first(docs, shingle=5, max_bits=0, similarity=0.8).collect()} == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     for n in (1, 30, 300, 5000):

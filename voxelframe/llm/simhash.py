@@ -1,14 +1,15 @@
 """SimHash near duplicates through a byte-position inverted index with count filtering.
 
 Fingerprints within a few bits only reach nearly identical texts. Where a similarity of shingle sets is asked for as
-well, texts also get a signature of 256 byte positions, and the same kind of index finds pairs that share enough of it.
+well, texts also get a signature of 256 byte positions. Lists of least hashes and signatures propose pairs; whether they
+are linked is decided by the shingle sets themselves.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ BYTES = 8
 #: Rows of a posting list compared at once; the rest of the list is taken block by block.
 BLOCK = 1024
 #: Byte positions of a signature, and its lists: keys of each, least hashes that make up a key.
-POSITIONS, LISTS, LEAST = 256, 12, 4
+POSITIONS, LISTS, LEAST = 256, 16, 3
+#: A pair is a candidate at this much below the wanted similarity, nearly five standard errors of a signature.
+MARGIN = 0.12
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, LISTS * LEAST), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
@@ -67,7 +70,7 @@ def signature(h: np.ndarray) -> bytes:
 
 
 def list_keys(h: np.ndarray) -> np.ndarray:
-    """Keys of the lists that a text is in; texts of similarity s share one with probability 1 - (1 - s ** 4) ** 12."""
+    """Keys of the lists that a text is in; texts of similarity s share one with probability 1 - (1 - s ** 3) ** 16."""
     factor, shift = _FACTORS[:, :, None]
     least = np.full(LISTS * LEAST, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), 1 << 12):
@@ -81,7 +84,8 @@ def list_keys(h: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, signed: bool = False) -> DataFrame:
     """(doc_id, text_key, fp): fp is the fingerprint as a signed long; null and wordless texts get 0.
 
-    With ``signed`` also sig and keys (see ``signature`` and ``list_keys``), null for null and wordless texts.
+    With ``signed`` also of (a hash of the shingle set), sig and keys (see ``signature`` and ``list_keys``), null for
+    null and wordless texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,14 +96,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols = [batch.column(0), batch.column(2), pa.array(fingerprints_of(hashes, sizes).view(np.int64))]
                 if signed:
                     rows = iter(hashes)
-                    each = [next(rows) if n else None for n in sizes]
+                    each = [np.unique(next(rows)) if n else None for n in sizes]
+                    cols.append(pa.array([None if h is None else xxhash.xxh64_intdigest(h.tobytes()) >> 1 for h in each], pa.int64()))
                     cols.append(pa.array([None if h is None else signature(h) for h in each], pa.binary()))
                     cols.append(pa.array([None if h is None else list_keys(h) for h in each], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["doc_id", "text_key", "fp", *(("sig", "keys") if signed else ())]
+    names = ["doc_id", "text_key", "fp", *(("of", "sig", "keys") if signed else ())]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("text_key"))
-    more = ", sig binary, keys array<long>" if signed else ""
+    more = ", of long, sig binary, keys array<long>" if signed else ""
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long{more}")
 
 
@@ -194,67 +199,139 @@ def _similar(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarr
     return shared >= similarity * np.count_nonzero((one | others) != 0, axis=-1)
 
 
-def _linked(fps: np.ndarray, sigs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Edges that join the members of one list like all links among them do.
+def _agree(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted arrays, have this Jaccard similarity."""
+    if min(len(one), len(other)) < similarity * max(len(one), len(other)) * 0.999:
+        return False
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return common / (len(one) + len(other) - common) >= similarity
 
-    A member is compared only with members it isn't joined to yet, so a group around one text takes a few passes.
+
+def _linked(group: np.ndarray, sigs: np.ndarray, least: float, test: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Edges that join the members of one list like all links among them do; members of one ``group`` are joined already.
+
+    Pairs whose signatures agree in ``least`` pass ``test``, if given. A member is compared only with members it isn't
+    joined to yet, so a group around one text takes a few passes.
     """
-    group, out = np.arange(len(fps)), []
-    for k in range(len(fps) - 1):
+    group, out = np.unique(group, return_inverse=True)[1], []
+    for k in range(len(group) - 1):
         rest = np.flatnonzero(group != group[k])
         rest = rest[rest > k]
         if not len(rest):
             if not (group != group[k]).any():
                 break
             continue
-        for j in rest[_similar(sigs[k], sigs[rest], similarity)].tolist():
-            if group[j] != group[k]:
+        for j in rest[_similar(sigs[k], sigs[rest], least)].tolist():
+            if group[j] != group[k] and (test is None or test(k, j)):
                 group[group == group[j]] = group[k]
-                out.append((int(fps[k]), int(fps[j])))
+                out.append((k, j))
     return out
 
 
-def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between fingerprints of texts whose signatures agree in ``similarity`` of their byte positions or more.
+def _unjoined(group: np.ndarray, sigs: np.ndarray, least: float) -> np.ndarray:
+    """Members of one list whose signature agrees in ``least`` with one of another ``group``."""
+    found = np.zeros(len(group), bool)
+    if (group != group[0]).any():
+        for k in range(len(group) - 1):
+            rest = np.flatnonzero(group[k + 1 :] != group[k]) + k + 1
+            near = rest[_similar(sigs[k], sigs[rest], least)]
+            found[near] = True
+            found[k] |= len(near) > 0
+    return np.flatnonzero(found)
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, list[tuple[int, int]]]]:
+    """Rows sorted by key (column ``key``, ``sig`` among the others) in tables of whole lists, their signatures, and the bounds of each list."""
+
+    def told(rows: pa.Table) -> tuple[pa.Table, np.ndarray, list[tuple[int, int]]]:
+        key = rows["key"].to_numpy()
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return rows, np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, POSITIONS), [*zip(start.tolist(), np.append(start[1:], len(key)).tolist(), strict=True)]
+
+    rest = None
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            part = pa.Table.from_batches([whole.slice(at, 4096)])
+            rest = pa.concat_tables([rest, part]) if rest is not None else part
+            key = rest["key"].to_numpy()
+            changed = np.flatnonzero(key != key[-1])
+            if len(changed):
+                cut = int(changed[-1]) + 1
+                yield told(rest.slice(0, cut))
+                rest = rest.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield told(rest)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """(fp, of, hashes): the sorted shingle hashes of the texts that ``wanted`` (fp, of, text_key) names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                hashes, _ = shingle_hashes(batch.column(2).cast(pa.binary()).to_pylist(), shingle, seed)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.unique(h).tobytes() for h in hashes], pa.binary())], ["fp", "of", "hashes"])
+
+    texts = docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text")).join(wanted, "text_key")
+    return texts.groupBy("fp", "of").agg(F.first("text").alias("text")).mapInArrow(run, "fp long, of long, hashes binary")
+
+
+def similar_links(docs: DataFrame, marks: DataFrame, bits: DataFrame, similarity: float, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """Edges (a, b) between fingerprints that join texts as all pairs with ``similarity`` of their shingle sets do.
 
-    ``marks`` is what ``fingerprints`` gives with ``signed``. Equal texts are one row; lists of one text are left before
-    signatures are sent; no list emits more edges than members.
+    ``marks`` is what ``fingerprints`` gives for ``docs`` with ``signed``, ``bits`` the links by bits. Texts of one
+    shingle set are one row. Pairs come from the lists, filtered by signatures; first the edges that signatures suggest
+    are verified by the shingle sets, then, in the same way, what is close and not joined by these. No list emits more
+    edges than members.
     """
-    texts = marks.where("sig IS NOT NULL").groupBy("fp", F.xxhash64("sig").alias("of")).agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    texts = marks.where("sig IS NOT NULL").groupBy("fp", "of").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     texts = materialize(texts, "signatures")
     posts = texts.select("fp", "of", F.explode("keys").alias("key"))
     several = posts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    lists = several.join(texts.select("fp", "of", "sig"), ["fp", "of"]).select("key", "fp", "sig")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, sigs = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, POSITIONS), np.uint8)
-
-        def edges(stop: int) -> pa.RecordBatch:
-            key, fp, sig = keys[:stop], fps[:stop], sigs[:stop]
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(start, stop))
-            two = start[size == 2]
-            two = two[_similar(sig[two], sig[two + 1], similarity)]
-            found = [*zip(fp[two].tolist(), fp[two + 1].tolist(), strict=True)]
-            for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                found += _linked(fp[a : a + n], sig[a : a + n], similarity)
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                keys, fps = np.append(keys, batch.column(0).to_numpy()), np.append(fps, batch.column(1).to_numpy())
-                sigs = np.concatenate([sigs, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, POSITIONS)])
-                changed = np.flatnonzero(keys != keys[-1])
-                if len(changed):
-                    cut = changed[-1] + 1
-                    yield edges(cut)
-                    keys, fps, sigs = keys[cut:], fps[cut:], sigs[cut:]
-        if len(keys):
-            yield edges(len(keys))
-
-    return lists.repartition("key").sortWithinPartitions("key", "fp", "sig").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    lists = materialize(several.join(texts.select("fp", "of", "sig"), ["fp", "of"]).select("key", "fp", "of", "sig"), "lists")
+    wanted = texts.select("fp", "of", "text_key").join(lists.select("fp", "of").distinct(), ["fp", "of"])
+    sets = materialize(shingle_sets(docs, wanted, text_col, shingle, seed), "sets")
+    least = similarity - MARGIN
+
+    def suggested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sigs, bounds in _whole_lists(batches):
+            fp = rows["fp"].to_numpy()
+            found = [(a + i, a + j) for a, b in bounds for i, j in _linked(fp[a:b], sigs[a:b], similarity)]
+            i, j = np.array(found, np.int64).reshape(-1, 2).T
+            cols = [rows[c].combine_chunks().take(pa.array(k)) for k in (i, j) for c in ("fp", "of")]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "a_of", "b", "b_of"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            good = pa.array([_agree(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sigs, bounds in _whole_lists(batches):
+            root = rows["root"].to_numpy()
+            some = np.concatenate([_unjoined(root[a:b], sigs[a:b], least) + a for a, b in bounds])
+            yield from rows.take(pa.array(some)).combine_chunks().to_batches()
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sigs, bounds in _whole_lists(batches):
+            root, fp = rows["root"].to_numpy(), rows["fp"].to_numpy()
+            each = [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
+            found = [(a + i, a + j) for a, b in bounds for i, j in _linked(root[a:b], sigs[a:b], least, lambda i, j, a=a: _agree(each[a + i], each[a + j], similarity))]
+            i, j = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(fp[i], pa.int64()), pa.array(fp[j], pa.int64())], ["a", "b"])
+
+    dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "fp", "of")
+    pairs = dealt(lists).mapInArrow(suggested, "a long, a_of long, b long, b_of long").distinct()
+    side = lambda k: sets.select(F.col("fp").alias(k), F.col("of").alias(f"{k}_of"), F.col("hashes").alias(f"{k}_hashes"))
+    both = pairs.join(side("b"), ["b", "b_of"]).join(side("a"), ["a", "a_of"]).select("a", "b", "a_hashes", "b_hashes")
+    first = materialize(bits.union(both.mapInArrow(verified, "a long, b long")).distinct(), "verified")
+    joined = connected_components(first).select(F.col("node").alias("fp"), "root")
+    rooted = lists.join(joined, "fp", "left").select("key", "fp", "of", F.coalesce("root", "fp").alias("root"), "sig")
+    open_ = materialize(dealt(rooted).mapInArrow(left, rooted.schema), "unjoined")
+    more = dealt(open_.join(sets, ["fp", "of"]).select("key", "fp", "of", "root", "sig", "hashes")).mapInArrow(rest, "a long, b long")
+    return first.union(more).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
@@ -290,7 +367,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     edges = links(distinct.select("fp"), max_bits)
     if similarity is not None:
-        edges = edges.union(similar_links(marks, similarity))
+        edges = similar_links(docs, marks, edges, similarity, text_col, shingle, seed)
     found = connected_components(edges)
     linked = found.join(distinct, found.node == distinct.fp).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
