@@ -105,6 +105,17 @@ def test_disguises_map_back(kind, text):
         assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize("text", ["john@example dot com", "john dot smith at example dot com", "a dot b dot c (at) mail dot example dot com", "john dot smith @ example.com"])
+def test_bare_dots_alone_in_a_text(text):
+    assert ("email", 9, 9 + len(text)) in find_spans("write to " + text)[1]
+
+
+def test_words_before_plain_addresses_stay():
+    assert find_spans("contact point info@example.com")[1] == [("email", 14, 30)]
+    for long in ("a dot " * 20000 + "at b dot c", "a dot b at c dot d " * 5000):
+        find_spans(long)
+
+
 def test_clean_text_stays_clean():
     for text in ("look at example.com and the dot of", "one two three four five six seven eight nine ten", "un un un un un un un un un un un un", "at a point", "meet at noon (dot) com", "price 3.50 at 12 dot", "Кафе и Москва"):
         assert find_spans(text) == ([], [])

@@ -136,6 +136,9 @@ _PLAIN_DOT = re.compile(rf"(?i)(?<=[a-z0-9]) +(?:{DOT_WORDS}) +(?=[a-z0-9])")
 _HOST = r"[a-z0-9-]+(?:\.[a-z0-9-]+)*"
 _PLAIN_AT = re.compile(rf"(?i)(?<=[a-z0-9])( +(?:{AT_WORDS}) +)(?={_HOST} +(?:{DOT_WORDS}) +{_HOST})")
 _AFTER_AT = re.compile(rf"(?i)@{_HOST}(?:(?: +(?:{DOT_WORDS}) +|\.){_HOST})+")
+_WORD_AFTER_AT = re.compile(rf"(?i)@{_HOST} +(?:{DOT_WORDS}) +[a-z0-9]")
+#: A local part with dots in words, backwards from its at sign.
+_BEFORE_AT = re.compile(rf"(?i)[a-z0-9._%+-]+(?: +(?:{'|'.join(w[::-1] for w in DOT_WORDS.split('|'))}) +[a-z0-9._%+-]+)+")
 _IP_WORDS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?: +(?:{DOT_WORDS}) +[0-9]{{1,3}}){{3}}(?![0-9])")
 _SPACED = re.compile(rf"(?i)(?<=[a-z0-9]) +@ +(?={_HOST}(?:\.| +(?:{DOT_WORDS}) +){_HOST})")
 _NUMERAL = "|".join(sorted(DIGIT_OF, key=lambda w: (-len(w), w)))
@@ -171,6 +174,13 @@ def _digits(mapped: Mapped) -> list[tuple[str, int, int]]:
     return found
 
 
+def _locals(mapped: Mapped) -> list[tuple[int, int]]:
+    """Stretches of local parts with dots in words, in front of at signs that were made; plain ones may follow a word like "point"."""
+    made = [m.start() for m in re.finditer("@", mapped.text) if mapped.made[m.start()]]
+    back, n = mapped.text[::-1] if made else "", len(mapped.text)
+    return [(n - m.end(), n - m.start()) for at in made if (m := _BEFORE_AT.match(back, n - at))]
+
+
 def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the source that only show once disguises are undone.
 
@@ -185,7 +195,7 @@ def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     spaced = " @ " in text
     entity = ("&" in text or "%40" in text) and _ENTITY.search(text)
     numbers = _FEW.search(low)
-    dots = dots and (_PLAIN_AT.search(text) or _IP_WORDS.search(text))
+    dots = dots and (_PLAIN_AT.search(text) or _IP_WORDS.search(text) or _WORD_AFTER_AT.search(text))
     if not (letters or dots or bracket or spaced or entity or numbers):
         return []
     mapped = Mapped(text)
@@ -199,7 +209,7 @@ def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     mapped.rewrite(_DOT, lambda m: ".")
     mapped.rewrite(_PLAIN_AT, lambda m: "@")
     mapped.rewrite(_SPACED, lambda m: "@")
-    stretches = [m.span() for p in (_AFTER_AT, _IP_WORDS) for m in p.finditer(mapped.text)]
+    stretches = [m.span() for p in (_AFTER_AT, _IP_WORDS) for m in p.finditer(mapped.text)] + _locals(mapped)
     if stretches:
         inside = {m.span() for a, b in stretches for m in _PLAIN_DOT.finditer(mapped.text, a, b)}
         mapped.rewrite(_PLAIN_DOT, lambda m: "." if m.span() in inside else m[0])
