@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from voxelframe.llm import token_files  # noqa: E402
+from voxelframe.llm import pieces, token_files  # noqa: E402
 from voxelframe.llm.token_counts import _counter, count_tokens  # noqa: E402
 from voxelframe.llm.token_files import Decoder, _encoder, encode_block, frequency_table, read_token_files, token_digest, write_token_files  # noqa: E402
 
@@ -38,7 +38,8 @@ def test_long_pieces_of_many_lines():
     words = [f"{a}{b}" for a in ("river", "stone.", "x,", "Tab\tle", "7") for b in ("", "s", "ing", "\n")]
     for t in ["\n".join(f"word{k}" for k in range(5000)), " lead " + "\n".join(words * 250) + " tail", "\n".join(["QUJD" * 19] * 5000)]:
         assert np.frombuffer(coder.encode(t), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids
-    assert max(map(len, [*coder.led, *coder.bare, *coder.led.older, *coder.bare.older])) <= token_files.LONGEST
+    kept = coder.table.size.held[: coder.table.kept]
+    assert coder.table.kept == coder.table.hash.n and 0 < kept.max() <= pieces.LONGEST
 
 
 def test_counts_are_the_librarys():
@@ -48,13 +49,21 @@ def test_counts_are_the_librarys():
 
 
 def test_a_small_memory_forgets_nothing_it_needs(monkeypatch):
-    monkeypatch.setattr(token_files, "LED", 3)
-    monkeypatch.setattr(token_files, "BARE", 2)
+    monkeypatch.setattr(pieces, "REMEMBERED", 0)
+    monkeypatch.setattr(pieces, "WINDOW", 16)
     coder, whole = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
     for t in [*texts(300, 3), "some words. and, some\nmore words; again and again"]:
         assert np.frombuffer(coder.encode(t), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(pieces.PieceEncoder, "_hashes", lambda self, raw, start, size: np.zeros(len(start), np.uint64))
+    coder, whole = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    many = [*texts(200, 4), "", "alpha beta, gamma\ndelta"]
+    for t, ids in zip(many, coder.encode_all(many), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 64, 1000])
 def test_blocks_round_trip(n):
     r = np.random.default_rng(n)

@@ -15,11 +15,9 @@ blocks, and the stretches between checkpoints within a block, decode independent
 from __future__ import annotations
 
 import functools
-import json
-import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_dir
-from .token_counts import byte_letters
+from .pieces import PieceEncoder
 
 MAGIC = b"VXA1"
 SCALE = 20
@@ -39,88 +37,9 @@ LANES = 2048
 BLOCK = 1 << 20
 #: Steps between checkpoints.
 EVERY = 256
-#: Pieces with and without a blank before them whose ids a Python worker keeps, twice as many at most.
-LED, BARE = 250_000, 50_000
-#: Characters of a piece that is kept, at most.
-LONGEST = 256
-
 HEAD = np.dtype([("magic", "S4"), ("lanes", "<u4"), ("symbols", "<u4"), ("every", "<u4"), ("points", "<u4"), ("model", "<u4"), ("crc", "<u4")])
 
 
-class Recent(dict):
-    """A dictionary of the entries used last: when full, it keeps one generation behind it and takes from there what is asked for again. Long keys aren't kept."""
-
-    def __init__(self, most: int, make: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.most, self.make, self.older = most, make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) > LONGEST:
-            return value
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-class PieceEncoder:
-    """Ids of texts as the library gives them, remembering the ids of pieces between blanks.
-
-    The pre-tokenizer's pattern never lets a token cross a single blank between two characters that aren't white space,
-    and puts that blank in front of the next token. So a text may be cut there and the pieces encoded one by one. Within
-    a piece, single line ends and runs of marks behind letters are pre-tokens of their own by the same pattern. Words
-    are single pre-tokens, for which the library's merges are asked directly; any other piece goes through the
-    library's whole pipeline.
-    """
-
-    odd = re.compile(r" \s|\s ")
-    cut = re.compile(r"(?<=\S) (?=\S)")
-    line_end = re.compile(r"(?<=\S)\n(?=\S)")
-    #: Letters, then marks; no apostrophe (contractions) and no "<" (special strings).
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]+)")
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.merges = self.library.model
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.letters = byte_letters()
-        told = json.loads(self.library.to_str())
-        steps = [told["pre_tokenizer"], told["normalizer"]]
-        #: Only vocabularies with the plain byte-level pattern are cut.
-        self.cuts = steps == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None]
-        self.led = Recent(LED, functools.partial(self._make, " "))  # pieces with a blank before them
-        self.bare = Recent(BARE, functools.partial(self._make, ""))
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
-
-    def _make(self, lead: str, piece: str) -> bytes:
-        if piece.isalpha():
-            return self._pack([t.id for t in self.merges.tokenize("".join([self.letters[b] for b in (lead + piece).encode()]))])
-        known = self.led if lead else self.bare
-        lines = self.line_end.split(piece) if "\n" in piece else [piece]
-        if len(lines) > 1:
-            return known[lines[0]] + b"".join([self.bare["\n"] + self.bare[x] for x in lines[1:]])
-        if m := self.plain.fullmatch(piece):
-            return known[m[1]] + self.bare[m[2]]
-        return self._pack(self.library.encode(lead + piece, add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian ids of a text."""
-        if not self.cuts:
-            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
-        pieces = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        known = self.led
-        return self.bare[pieces[0]] + b"".join([known[p] for p in pieces[1:]])
-
-
 @functools.lru_cache(2)
 def _encoder(name: str) -> PieceEncoder:
     import public_tokenizers
@@ -135,7 +54,10 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
         coder, packer = _encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         end = b"" if end_id is None else np.array([end_id], coder.kind).tobytes()
         for batch in batches:
-            ids = [packer.compress(coder.encode(t.as_py() or "") + end) for t in batch.column(1)]
+            ids = []
+            for at in range(0, batch.num_rows, 512):
+                texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
+                ids += [packer.compress(x + end) for x in coder.encode_all(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
