@@ -1,5 +1,6 @@
 """Near duplicates against all pairs, texts at the edges."""
 
+import itertools
 import random
 
 import numpy as np
@@ -7,7 +8,8 @@ import pytest
 import xxhash
 
 from voxelframe.llm.components import connected_components
-from voxelframe.llm.simhash import _forest, keep_first, near_duplicates, signature
+from voxelframe.llm import simhash
+from voxelframe.llm.simhash import _forest, alike, keep_first, links, near_duplicates, position_sets, signature
 
 from .conftest import edge_rows
 
@@ -82,6 +84,72 @@ def test_long_lists_lose_no_link():
         assert len({find(int(f)) for f in near}) == 1
 
 
+@pytest.mark.parametrize("bits", range(8))
+def test_some_set_of_positions_stays_whole(bits):
+    for touched in itertools.combinations(range(8), bits):
+        assert any(not set(c) & set(touched) for c in position_sets(bits))
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_split_lists_lose_no_link(spark, monkeypatch, bits):
+    # Prints that share most bytes, so all lists are far over the limit and are split by further positions.
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(bits)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (1 << 64) - 1 for _ in range(600)})
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    got = {r["node"] % (1 << 64): r["root"] for r in connected_components(links(spark.createDataFrame(signed, "fp long"), bits)).collect()}
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in itertools.combinations(fps, 2):
+        if (a ^ b).bit_count() <= bits:
+            root[find(a)] = find(b)
+    want = {}
+    for f in fps:
+        want.setdefault(find(f), set()).add(f)
+    found = {}
+    for f, r in got.items():
+        found.setdefault(r, set()).add(f)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_similarity_of_many_sets_at_once():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 400)).astype(np.uint64) << np.uint64(40)) for _ in range(30)]
+    for some in (sets, sets[:2]):
+        want = [[len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.5 for y in some] for x in some]
+        assert alike(some, some, 0.5).tolist() == want
+
+
+def test_long_lists_of_copies_far_from_one_another(spark, monkeypatch):
+    # Copies of one text with more and more edits: pairs of copies are seldom alike enough, and chunks hold 16 rows.
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(12)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(260))
+    rows = [(k, edited(base, rng.randint(1, 9), rng)) for k in range(150)] + [(500, base)]
+    sets = {d: shingles(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    want = {d for d in sets if find(d) == d}
+    assert 10 < len(want) < 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in keep_first(docs, shingle=5, max_bits=0, similarity=0.8).collect()} == want
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 105), (105, 100), (101, 105), (7, 7), (200, 200)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

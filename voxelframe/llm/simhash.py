@@ -1,32 +1,35 @@
 """SimHash near duplicates through a byte-position inverted index with count filtering.
 
 Fingerprints within a few bits only reach nearly identical texts. Where a similarity of shingle sets is asked for as
-well, texts also get a signature of 256 byte positions. Lists of least hashes and signatures propose pairs; whether they
-are linked is decided by the shingle sets themselves.
+well, texts also get a signature of 256 byte positions, whose shared bytes are counted in the same way. Lists of least
+hashes and signatures propose pairs; whether they are linked is decided by the shingle sets themselves.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import checked_broadcast, materialize, text_key
 from .components import connected_components
 
 BYTES = 8
-#: Rows of a posting list compared at once; the rest of the list is taken block by block.
+#: Rows of a posting list compared at once. Longer lists are split: by further byte positions, or into chunks of so many.
 BLOCK = 1024
 #: Byte positions of a signature, and its lists: keys of each, least hashes that make up a key.
 POSITIONS, LISTS, LEAST = 256, 16, 3
 #: A pair is a candidate at this much below the wanted similarity, nearly five standard errors of a signature.
 MARGIN = 0.12
+#: Keys up to this many go to every task; beyond it they are joined by a shuffle.
+MOST_KEYS = 500_000
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, LISTS * LEAST), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
@@ -108,159 +111,202 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long{more}")
 
 
-def postings(fps: DataFrame, max_bits: int) -> DataFrame:
-    """The inverted index: (list, fp) for every set of ``8 - max_bits`` byte positions.
+def position_sets(max_bits: int) -> list[tuple[int, ...]]:
+    """Sets of byte positions; fingerprints within ``max_bits`` bits share all bytes of one of them at least.
 
-    ``max_bits`` differing bits touch as many bytes at most, so linked fingerprints share the bytes of at least
-    ``8 - max_bits`` positions. A list is keyed by that many positions at once: whoever meets in a list has reached the
-    guaranteed number of matches, and pairs below it never come up.
+    That many bits touch as many bytes at most, so ``same = 8 - max_bits`` positions stay whole. Up to two bits, the
+    positions are taken in four pairs, of which ``4 - max_bits`` stay whole. Beyond, the positions are dealt to so many
+    parts that with fewer than ``size`` whole positions in each there would be fewer than ``same``.
     """
-    keys = []
-    for n, places in enumerate(itertools.combinations(range(BYTES), BYTES - max_bits)):
-        mask = sum(0xFF << 8 * p for p in places)
-        keys.append(F.struct(F.lit(n).cast("byte").alias("places"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")).alias("bytes")))
+    same = BYTES - max_bits
+    if max_bits <= 2:
+        return [sum(c, ()) for c in itertools.combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 4 - max_bits)]
+    size = 3 if max_bits == 3 else 2 if max_bits <= 5 else 1
+    if size == 1:
+        return [(p,) for p in range(BYTES - same + 1)]
+    parts = (same - 1) // (size - 1)
+    return [c for k in range(parts) for c in itertools.combinations(range(BYTES * k // parts, BYTES * (k + 1) // parts), size)]
+
+
+def _mask(places: tuple[int, ...]) -> int:
+    mask = sum(0xFF << 8 * p for p in places)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def postings(fps: DataFrame, max_bits: int) -> DataFrame:
+    """The inverted index: (places, bytes, fp), a row for every fingerprint and set of byte positions."""
+    keys = [F.struct(F.lit(n).cast("byte").alias("places"), F.col("fp").bitwiseAND(F.lit(_mask(c)).cast("long")).alias("bytes")) for n, c in enumerate(position_sets(max_bits))]
     return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.places", "k.bytes", "fp")
 
 
-def _forest(fps: np.ndarray, max_bits: int) -> np.ndarray:
-    """Spanning edges (to the smallest member) of one list's fingerprints that link at ``max_bits`` or fewer bits."""
-    root = np.arange(len(fps))
+def _split(lists: DataFrame, max_bits: int) -> DataFrame:
+    """(places, more, bytes, fp): lists split by further positions, as many as make up the guaranteed matches.
 
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
+    Linked members share all of these, so no link is lost, and a part holds ``256 ** max_bits`` members at most.
+    """
+    sets = position_sets(max_bits)
+    further = [[_mask((*c, *d)) for d in itertools.combinations([p for p in range(BYTES) if p not in c], BYTES - max_bits - len(c))] for c in sets]
+    masks = F.element_at(F.array(*(F.array(*(F.lit(m).cast("long") for m in row)) for row in further)), F.col("places").cast("int") + 1)
+    each = lists.select("places", "fp", F.posexplode(masks).alias("more", "mask"))
+    return each.select("places", (F.col("more") + 1).cast("byte").alias("more"), F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"), "fp")
+
+
+def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Make ``label`` (the smallest member known to be joined to each) agree with links between ``i`` and ``j``."""
+    while True:
+        a, b = label[i], label[j]
+        off = a != b
+        if not off.any():
+            return
+        i, j, a, b = i[off], j[off], a[off], b[off]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (deeper := label[label])[0] != label[0] or (deeper != label).any():
+            label[:] = deeper
+
+
+def _linked_pairs(fps: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members of one list that link, block by block: shared positional bytes are tallied for each pair, pairs with the guaranteed number of matches are kept, and their bits decide."""
+    raw = fps.view(np.uint8).reshape(-1, BYTES)
+    for a in range(0, len(fps), BLOCK):
+        for b in range(a, len(fps), BLOCK):
+            one, other = raw[a : a + BLOCK], raw[b : b + BLOCK]
+            tally = np.zeros((len(one), len(other)), np.uint8)
+            for p in range(BYTES):
+                tally += one[:, p, None] == other[None, :, p]
+            i, j = np.nonzero(tally >= BYTES - max_bits)
+            i, j = i + a, j + b
+            good = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= max_bits)
+            yield i[good], j[good]
 
-    def join(i: np.ndarray, j: np.ndarray) -> None:
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            if (p := find(x)) != (q := find(y)):
-                root[max(p, q)] = min(p, q)
 
+def _forest(fps: np.ndarray, max_bits: int) -> np.ndarray:
+    """Spanning edges (to the smallest member) of one list's distinct fingerprints that link at ``max_bits`` or fewer bits."""
+    label = np.arange(len(fps))
     if max_bits == 2 and len(fps) > BLOCK:
         # Two values are within two bits exactly if some value is within one bit of both.
-        free = np.bitwise_or.reduce(fps ^ fps[0])
-        near = np.concatenate([fps] + [fps ^ np.uint64(1 << b) for b in range(64) if int(free) >> b & 1])
+        free = int(np.bitwise_or.reduce(fps ^ fps[0]))
+        near = np.concatenate([fps] + [fps ^ np.uint64(1 << b) for b in range(64) if free >> b & 1])
         who = np.tile(np.arange(len(fps)), len(near) // len(fps))
         order = np.lexsort((who, near))
         near, who = near[order], who[order]
         same = np.flatnonzero(near[1:] == near[:-1])
-        join(who[same], who[same + 1])
+        _hook(label, who[same], who[same + 1])
     else:
-        for a in range(0, len(fps), BLOCK):
-            for b in range(a, len(fps), BLOCK):
-                i, j = np.nonzero(np.bitwise_count(fps[a : a + BLOCK, None] ^ fps[None, b : b + BLOCK]) <= max_bits)
-                ahead = i + a < j + b
-                join(i[ahead] + a, j[ahead] + b)
-    top = np.array([find(k) for k in range(len(fps))])
-    moved = np.flatnonzero(top != np.arange(len(fps)))
-    return np.stack([fps[top[moved]], fps[moved]])
+        for i, j in _linked_pairs(fps, max_bits):
+            _hook(label, i, j)
+    moved = np.flatnonzero(label != np.arange(len(fps)))
+    return np.stack([fps[label[moved]], fps[moved]])
 
 
 def links(fps: DataFrame, max_bits: int) -> DataFrame:
     """Spanning edges (a, b) of the graph that links distinct fingerprints at ``max_bits`` or fewer bits.
 
+    Fingerprints meet in the lists of the index (see ``postings``); in each list shared positional bytes are tallied.
     Two fingerprints of one list are joined by a chain of edges if a chain of links within that list joins them, so no
-    link is lost for connectivity and no list emits more edges than members. Lists are streamed in key order; a list
-    holds at most ``256 ** max_bits`` distinct fingerprints whatever the input.
+    link is lost for connectivity and no list emits more edges than members. Lists of more than ``BLOCK`` members are
+    counted beforehand and split by further positions, so they are dealt to many tasks.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 3
-
-        def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-            places, key, fp = cols
-            cut = np.flatnonzero((places[1:] != places[:-1]) | (key[1:] != key[:-1])) + 1
-            start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
-            several = np.flatnonzero(stop - start > 1)
-            found = [_forest(np.sort(fp[start[g] : stop[g]].view(np.uint64)), max_bits) for g in several]
-            a, b = np.concatenate(found, axis=1).view(np.int64) if found else np.empty((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def edges(places: np.ndarray, more: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero((places[1:] != places[:-1]) | (more[1:] != more[:-1]) | (key[1:] != key[:-1])) + 1
+        start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
+        two = start[stop - start == 2]
+        x, y = np.sort(np.stack([fp[two], fp[two + 1]]).view(np.uint64), axis=0)
+        tally = (x.view(np.uint8).reshape(-1, BYTES) == y.view(np.uint8).reshape(-1, BYTES)).sum(axis=1)
+        good = (tally >= BYTES - max_bits) & (np.bitwise_count(x ^ y) <= max_bits)
+        found = [np.stack([x[good], y[good]])] + [_forest(np.sort(fp[a:b].view(np.uint64)), max_bits) for a, b in zip(start.tolist(), stop.tolist(), strict=True) if b - a > 2]
+        a, b = np.concatenate(found, axis=1).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # what has come of the list that isn't over yet
         for batch in batches:
-            cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, batch.columns, strict=True)]
-            if not len(cols[0]):
-                continue
-            changed = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            cut = changed[-1] + 1 if len(changed) else 0
-            if cut:
-                yield edges([c[:cut] for c in cols])
-            rest = [c[cut:] for c in cols]
-        if len(rest[0]):
-            yield edges(rest)
-
-    lists = postings(fps, max_bits).repartition("places", "bytes").sortWithinPartitions("places", "bytes")
-    return lists.mapInArrow(run, "a long, b long").distinct()
-
-
-def _similar(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether each row of ``others`` shares enough byte positions with ``one`` (or with the row beside it)."""
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            while len(cols[0]):
+                last = held[-1] if held else cols
+                other = np.flatnonzero(functools.reduce(np.logical_or, (c != x[-1] for c, x in zip(cols[:3], last[:3], strict=True))))
+                cut = 0 if not len(other) else int(other[-1]) + 1
+                if not cut or not held and cut == len(cols[0]):
+                    held.append(cols)
+                    break
+                if held:
+                    # The list goes on up to the first row of another.
+                    held.append([c[: other[0]] for c in cols])
+                    yield edges(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, cols = [], [c[other[0] :] for c in cols]
+                else:
+                    yield edges(*(c[:cut] for c in cols))
+                    cols = [c[cut:] for c in cols]
+        if held:
+            yield edges(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    lists = postings(fps, max_bits)
+    hot = materialize(lists.groupBy("places", "bytes").count().where(F.col("count") > BLOCK).select("places", "bytes"), "hot")
+    whole = lists.select("places", F.lit(0).cast("byte").alias("more"), "bytes", "fp")
+    if not hot.isEmpty():
+        key = checked_broadcast(hot, MOST_KEYS)
+        whole = whole.join(key, ["places", "bytes"], "left_anti").select("places", "more", "bytes", "fp").union(_split(lists.join(key, ["places", "bytes"], "left_semi"), max_bits))
+    dealt = whole.repartition("places", "more", "bytes").sortWithinPartitions("places", "more", "bytes")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def count_shared(one: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For signatures broadcast against one another: equal bytes, and positions that either fills."""
     shared = np.count_nonzero((one == others) & (others != 0), axis=-1)
-    return shared >= similarity * np.count_nonzero((one | others) != 0, axis=-1)
-
-
-def _agree(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
-    """Whether two sets, as sorted arrays, have this Jaccard similarity."""
-    if min(len(one), len(other)) < similarity * max(len(one), len(other)) * 0.999:
-        return False
-    common = len(np.intersect1d(one, other, assume_unique=True))
-    return common / (len(one) + len(other) - common) >= similarity
-
+    return shared, np.count_nonzero((one | others) != 0, axis=-1)
 
-def _linked(group: np.ndarray, sigs: np.ndarray, least: float, test: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Edges that join the members of one list like all links among them do; members of one ``group`` are joined already.
 
-    Pairs whose signatures agree in ``least`` pass ``test``, if given. A member is compared only with members it isn't
-    joined to yet, so a group around one text takes a few passes.
-    """
-    group, out = np.unique(group, return_inverse=True)[1], []
-    for k in range(len(group) - 1):
-        rest = np.flatnonzero(group != group[k])
-        rest = rest[rest > k]
-        if not len(rest):
-            if not (group != group[k]).any():
-                break
-            continue
-        for j in rest[_similar(sigs[k], sigs[rest], least)].tolist():
-            if group[j] != group[k] and (test is None or test(k, j)):
-                group[group == group[j]] = group[k]
-                out.append((k, j))
-    return out
-
-
-def _unjoined(group: np.ndarray, sigs: np.ndarray, least: float) -> np.ndarray:
-    """Members of one list whose signature agrees in ``least`` with one of another ``group``."""
-    found = np.zeros(len(group), bool)
-    if (group != group[0]).any():
-        for k in range(len(group) - 1):
-            rest = np.flatnonzero(group[k + 1 :] != group[k]) + k + 1
-            near = rest[_similar(sigs[k], sigs[rest], least)]
-            found[near] = True
-            found[k] |= len(near) > 0
-    return np.flatnonzero(found)
-
-
-def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, list[tuple[int, int]]]]:
-    """Rows sorted by key (column ``key``, ``sig`` among the others) in tables of whole lists, their signatures, and the bounds of each list."""
-
-    def told(rows: pa.Table) -> tuple[pa.Table, np.ndarray, list[tuple[int, int]]]:
-        key = rows["key"].to_numpy()
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        return rows, np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, POSITIONS), [*zip(start.tolist(), np.append(start[1:], len(key)).tolist(), strict=True)]
-
-    rest = None
+def alike(ones: list[np.ndarray], others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether each set of ``ones`` has this Jaccard similarity with each of ``others``; sets are sorted arrays."""
+    sizes, more = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ones, others))
+    if len(ones) * len(others) <= 4:
+        common = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in others] for x in ones], np.float64)
+    else:
+        # Hashes that both sides have become columns; the product of the incidence matrices counts common ones.
+        columns = np.intersect1d(np.concatenate(ones), np.concatenate(others))
+        common = np.zeros((len(ones), len(others)), np.float32)
+        for at in range(0, len(columns), 4096):
+            part = columns[at : at + 4096]
+            one, other = (np.zeros((len(x), len(part)), np.float32) for x in (ones, others))
+            for matrix, sets in ((one, ones), (other, others)):
+                for row, h in zip(matrix, sets, strict=True):
+                    where = np.searchsorted(part, h)
+                    where[where == len(part)] = 0
+                    row[where[part[where] == h]] = 1
+            common += one @ other.T
+        common = common.astype(np.float64)
+    return common / (sizes[:, None] + more[None, :] - common) >= similarity
+
+
+@dataclass
+class Chunk:
+    """The rows of one chunk of a list that are compared with others: numbers, and what they carry."""
+
+    numbers: list[np.ndarray] = field(default_factory=list)  # fp, of, root
+    carried: list[bytes] = field(default_factory=list)
+    told: np.ndarray | None = None
+
+    def add(self, numbers: list[np.ndarray], carried: list[bytes]) -> None:
+        self.numbers = [np.concatenate(x) for x in zip(self.numbers, numbers, strict=True)] if self.numbers else numbers
+        self.carried = self.carried + carried
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Chunk, Chunk]]:
+    """Rows (key, chunk, probe, fp, of, root, carried), sorted by the first three: every chunk with one stretch of its probes after another."""
+    now, chunk = None, Chunk()
     for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            part = pa.Table.from_batches([whole.slice(at, 4096)])
-            rest = pa.concat_tables([rest, part]) if rest is not None else part
-            key = rest["key"].to_numpy()
-            changed = np.flatnonzero(key != key[-1])
-            if len(changed):
-                cut = int(changed[-1]) + 1
-                yield told(rest.slice(0, cut))
-                rest = rest.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield told(rest)
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            key, part, probe, *numbers = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1])
+            carried = batch.column(batch.num_columns - 1).to_pylist()
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (probe[1:] != probe[:-1])) + 1
+            for a, b in itertools.pairwise([0, *cut.tolist(), len(key)]):
+                if (here := (int(key[a]), int(part[a]))) != now:
+                    now, chunk = here, Chunk()
+                if probe[a]:
+                    yield here, chunk, Chunk([x[a:b] for x in numbers], carried[a:b])
+                else:
+                    chunk.add([x[a:b] for x in numbers], carried[a:b])
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int, seed: int) -> DataFrame:
@@ -277,61 +323,98 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int
     return texts.groupBy("fp", "of").agg(F.first("text").alias("text")).mapInArrow(run, "fp long, of long, hashes binary")
 
 
-def similar_links(docs: DataFrame, marks: DataFrame, bits: DataFrame, similarity: float, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """Edges (a, b) between fingerprints that join texts as all pairs with ``similarity`` of their shingle sets do.
+def _pairs_by_lists(lists: DataFrame) -> DataFrame:
+    """(fp, of, h_fp, h_of): every text beside the head of each of its lists, once.
+
+    The head of a list is its member with the longest lists altogether: of copies of one text it is the one with the
+    fewest edits, which most of them are close to.
+    """
+    weight = lists.groupBy("fp", "of").agg(F.sum("n").alias("weight"))
+    heads = lists.join(weight, ["fp", "of"]).groupBy("key").agg(F.max(F.struct("weight", "of", "fp")).alias("head"))
+    met = lists.join(heads, "key").select("fp", "of", F.col("head.fp").alias("h_fp"), F.col("head.of").alias("h_of"))
+    return met.where("fp <> h_fp").distinct()
+
+
+def similar_classes(docs: DataFrame, marks: DataFrame, bits: DataFrame, similarity: float, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """(node, root) of fingerprints joined by links by bits, or by all pairs of texts with ``similarity`` of their shingle sets.
 
     ``marks`` is what ``fingerprints`` gives for ``docs`` with ``signed``, ``bits`` the links by bits. Texts of one
-    shingle set are one row. Pairs come from the lists, filtered by signatures; first the edges that signatures suggest
-    are verified by the shingle sets, then, in the same way, what is close and not joined by these. No list emits more
-    edges than members.
+    shingle set are one row. Lists of least hashes bring texts together. First every text is held against the head of
+    each of its lists: shared bytes of the signatures are counted, and pairs that pass are verified by the shingle
+    sets. Then, in lists whose members aren't all joined by that, the members outside the list's largest class are held
+    against all others, chunk by chunk, in the same two steps. Long lists are dealt to as many tasks as they have
+    chunks, no list emits more edges than members, and what is never compared is joined already.
     """
-    texts = marks.where("sig IS NOT NULL").groupBy("fp", "of").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    texts = materialize(texts, "signatures")
+    texts = materialize(marks.where("sig IS NOT NULL").groupBy("fp", "of").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "signatures")
     posts = texts.select("fp", "of", F.explode("keys").alias("key"))
-    several = posts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    lists = materialize(several.join(texts.select("fp", "of", "sig"), ["fp", "of"]).select("key", "fp", "of", "sig"), "lists")
-    wanted = texts.select("fp", "of", "text_key").join(lists.select("fp", "of").distinct(), ["fp", "of"])
-    sets = materialize(shingle_sets(docs, wanted, text_col, shingle, seed), "sets")
+    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = materialize(posts.join(sizes, "key").select("key", "n", "fp", "of"), "lists")
+    sets = materialize(shingle_sets(docs, texts.select("fp", "of", "text_key").join(lists.select("fp", "of").distinct(), ["fp", "of"]), text_col, shingle, seed), "sets")
     least = similarity - MARGIN
+    sig = texts.select("fp", "of", "sig")
 
-    def suggested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sigs, bounds in _whole_lists(batches):
-            fp = rows["fp"].to_numpy()
-            found = [(a + i, a + j) for a, b in bounds for i, j in _linked(fp[a:b], sigs[a:b], similarity)]
-            i, j = np.array(found, np.int64).reshape(-1, 2).T
-            cols = [rows[c].combine_chunks().take(pa.array(k)) for k in (i, j) for c in ("fp", "of")]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "a_of", "b", "b_of"])
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, POSITIONS) for k in (4, 5))
+                shared, filled = count_shared(one, other)
+                yield batch.select(["fp", "of", "h_fp", "h_of"]).filter(pa.array(shared >= least * filled))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            good = pa.array([_agree(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
-
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sigs, bounds in _whole_lists(batches):
-            root = rows["root"].to_numpy()
-            some = np.concatenate([_unjoined(root[a:b], sigs[a:b], least) + a for a, b in bounds])
-            yield from rows.take(pa.array(some)).combine_chunks().to_batches()
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sigs, bounds in _whole_lists(batches):
-            root, fp = rows["root"].to_numpy(), rows["fp"].to_numpy()
-            each = [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
-            found = [(a + i, a + j) for a, b in bounds for i, j in _linked(root[a:b], sigs[a:b], least, lambda i, j, a=a: _agree(each[a + i], each[a + j], similarity))]
-            i, j = np.array(found, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([pa.array(fp[i], pa.int64()), pa.array(fp[j], pa.int64())], ["a", "b"])
-
-    dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "fp", "of")
-    pairs = dealt(lists).mapInArrow(suggested, "a long, a_of long, b long, b_of long").distinct()
-    side = lambda k: sets.select(F.col("fp").alias(k), F.col("of").alias(f"{k}_of"), F.col("hashes").alias(f"{k}_hashes"))
-    both = pairs.join(side("b"), ["b", "b_of"]).join(side("a"), ["a", "a_of"]).select("a", "b", "a_hashes", "b_hashes")
-    first = materialize(bits.union(both.mapInArrow(verified, "a long, b long")).distinct(), "verified")
-    joined = connected_components(first).select(F.col("node").alias("fp"), "root")
-    rooted = lists.join(joined, "fp", "left").select("key", "fp", "of", F.coalesce("root", "fp").alias("root"), "sig")
-    open_ = materialize(dealt(rooted).mapInArrow(left, rooted.schema), "unjoined")
-    more = dealt(open_.join(sets, ["fp", "of"]).select("key", "fp", "of", "root", "sig", "hashes")).mapInArrow(rest, "a long, b long")
-    return first.union(more).where("a <> b").distinct()
+            good = [bool(alike([np.frombuffer(x, np.uint64)], [np.frombuffer(y, np.uint64)], similarity)[0, 0]) for x, y in pairs]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, part), chunk, probes in _meetings(batches):
+            sigs, own = (np.frombuffer(b"".join(c.carried), np.uint8).reshape(-1, POSITIONS) for c in (chunk, probes))
+            chunk.told = np.zeros(len(sigs), bool) if chunk.told is None else chunk.told
+            near = np.zeros((len(own), len(sigs)), bool)
+            for at in range(0, len(own), 64):
+                shared, filled = count_shared(own[at : at + 64, None], sigs[None])
+                near[at : at + 64] = shared >= least * filled
+            near &= probes.numbers[2][:, None] != chunk.numbers[2][None]
+            some = near.any(axis=0) & ~chunk.told
+            chunk.told |= some
+            for probe, c, which in ((False, chunk, some), (True, probes, near.any(axis=1))):
+                if which.any():
+                    fp, of, root = (x[which] for x in c.numbers)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(fp), pa.int64()), pa.array([part] * len(fp), pa.int32()), pa.array([probe] * len(fp)), pa.array(fp), pa.array(of), pa.array(root)], names)
+
+    def joined_now(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk, probes in _meetings(batches):
+            ones, others = ([np.frombuffer(x, np.uint64) for x in c.carried] for c in (probes, chunk))
+            roots, at = np.unique(np.concatenate([probes.numbers[2], chunk.numbers[2]]), return_inverse=True)
+            label, mine, theirs = np.arange(len(roots)), at[: len(ones)], at[len(ones) :]
+            for k in range(0, len(ones), 256):
+                i, j = np.nonzero((mine[k : k + 256, None] != theirs[None]) & alike(ones[k : k + 256], others, similarity))
+                _hook(label, mine[k + i], theirs[j])
+            moved = np.flatnonzero(label != np.arange(len(roots)))
+            yield pa.RecordBatch.from_arrays([pa.array(roots[label[moved]]), pa.array(roots[moved])], ["a", "b"])
+
+    names = ["key", "part", "probe", "fp", "of", "root"]
+    of_head = lambda df, c: df.select(F.col("fp").alias("h_fp"), F.col("of").alias("h_of"), F.col(c).alias(f"h_{c}"))
+    met = _pairs_by_lists(lists).join(sig, ["fp", "of"]).join(of_head(sig, "sig"), ["h_fp", "h_of"]).select("fp", "of", "h_fp", "h_of", "sig", "h_sig")
+    pairs = met.mapInArrow(close, "fp long, of long, h_fp long, h_of long")
+    both = pairs.join(sets, ["fp", "of"]).join(of_head(sets, "hashes"), ["h_fp", "h_of"]).select(F.col("fp").alias("a"), F.col("h_fp").alias("b"), "hashes", "h_hashes")
+    first = connected_components(bits.union(both.mapInArrow(verified, "a long, b long")))
+
+    rooted = lists.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("several"))
+    rows = rooted.join(classes.where("several > 1"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.select("key", "parts", (F.col("root") != F.col("largest.root")).alias("outside"), "fp", "of", "root")
+    rows = materialize(rows.join(sig, ["fp", "of"]), "open")
+    chunks = rows.select("key", F.pmod(F.xxhash64("of", "fp"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("probe"), "fp", "of", "root", "sig")
+    probes = rows.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe"), "fp", "of", "root", "sig")
+    dealt = lambda df: df.repartition("key", "part").sortWithinPartitions("key", "part", "probe")
+    near = materialize(dealt(chunks.union(probes)).mapInArrow(unjoined, "key long, part int, probe boolean, fp long, of long, root long"), "unjoined")
+    more = connected_components(dealt(near.join(sets, ["fp", "of"]).select(*names, "hashes")).mapInArrow(joined_now, "a long, b long"))
+    moved = more.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = first.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    # Fingerprints that only the second step joined.
+    return old.union(more.join(first, "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
@@ -351,12 +434,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, with all columns, whose id is the smallest of their component (see ``near_duplicates``).
 
     With ``similarity``, texts whose shingle sets are that similar are linked too, however many bits their fingerprints
-    differ in (see ``similar_links``).
+    differ in (see ``similar_classes``).
     Rows equal in id and text stay or go together; rows without an id stay only where nothing in reach has one.
     """
     classes = _classes(docs, id_col, text_col, shingle, max_bits, seed, similarity)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vf_id"), F.col("text_key").alias("__vf_key"))
-    return docs.join(first, docs[id_col].eqNullSafe(F.col("__vf_id")) & (text_key(docs[text_col]) == F.col("__vf_key")), "left_semi")
+    gone = materialize(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vf_id"), F.col("text_key").alias("__vf_key")), "gone")
+    gone = checked_broadcast(gone, MOST_KEYS)
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__vf_id")) & (text_key(docs[text_col]) == F.col("__vf_key")), "left_anti")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int, similarity: float | None = None) -> DataFrame:
@@ -366,9 +450,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     marks = materialize(fingerprints(docs, id_col, text_col, shingle, seed, similarity is not None), "fingerprints")
     distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     edges = links(distinct.select("fp"), max_bits)
-    if similarity is not None:
-        edges = similar_links(docs, marks, edges, similarity, text_col, shingle, seed)
-    found = connected_components(edges)
+    found = connected_components(edges) if similarity is None else similar_classes(docs, marks, edges, similarity, text_col, shingle, seed)
     linked = found.join(distinct, found.node == distinct.fp).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = materialize(linked.join(least, "root").select("fp", "least"), "moved")
