@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .edit_matching import find_leaks
-from .line_quality import quality_report
+from .line_quality import quality_report, report_sql
 from .lm_scoring import score
 from .mixing import EPOCHS, SEED, WEIGHTS, mix, mix_sql, standard_levels
 from .pii import find_pii
@@ -79,4 +79,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_hierarchical_mix": mix_sql(MIX_SHARE),
+    "op4_cross_document_line_frequency": report_sql(),
 }
