@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from voxelframe.llm.edit_matching import LeakFinder, Pattern, drop_leaks, find_leaks, normal
-from voxelframe.llm.lm_scoring import score, tokens
+from voxelframe.llm import lm_scoring
+from voxelframe.llm.lm_scoring import score, score_sql, tokens, word_hashes
 from voxelframe.llm.mixing import EPOCHS, SEED, WEIGHTS, budgets, mix, mix_sql, standard_levels
 from voxelframe.llm.secret_forest import find_secrets, fit, features, labelled_findings
 from voxelframe.llm.sharding import rendezvous, shard_documents, write_shards
@@ -135,44 +136,49 @@ def test_weights_steer_and_few_records_move(spark, tmp_path):
 # -- language models
 
 
-def plain_scores(rows, targets, word_share, pair_share, trust=0.7):
-    words = collections.Counter(w for _, t in rows for w in tokens(t or ""))
-    total = sum(words.values())
-    known = {w for w, n in words.items() if n >= max(1, total * word_share)}
-    seqs = [(d, [w if w in known else None for w in tokens(t or "")]) for d, t in rows]
-    single, first, pair = ([collections.Counter(), collections.Counter()] for _ in range(3))
-    for d, seq in seqs:
-        k = d in targets
-        for a, b in zip(["<s>", *seq], seq):
-            single[k][b] += 1
-            pair[k][a, b] += 1
-        first[k].update(seq)
-        if seq:
-            first[k]["<s>"] += 1
-    kept = {p for p in pair[0] | pair[1] if pair[0][p] + pair[1][p] >= max(1, total * pair_share)}
-    size = len(known) + 2
-
-    def loss(k, a, b):
-        p = (single[k][b] + 1) / (sum(single[k].values()) + size)
-        back = 1 - sum(trust * pair[k][q] / max(1, first[k][a]) for q in kept if q[0] == a)
-        own = trust * pair[k][a, b] / max(1, first[k][a]) if (a, b) in kept else 0
-        return -math.log(back * p + own)
-
-    out = []
-    for d, seq in seqs:
-        steps = list(zip(["<s>", *seq], seq))
-        out.append((d, len(seq), *(sum(loss(k, a, b) for a, b in steps) / len(seq) if seq else None for k in (True, False))))
-    return out
-
-
-def test_scores_against_plain_models(spark, nothing):
+def plain_scores(rows, targets, corpus=None, trust=0.5):
+    seqs = [(d, [*tokens(t or ""), None]) for d, t in rows]
+    trained = seqs if corpus is None else [(d, [*tokens(t or ""), None]) for d, t in corpus]
+    single, pair = ([collections.Counter(), collections.Counter()] for _ in range(2))
+    for d, seq in trained:
+        single[d in targets].update(seq[:-1])
+        pair[d in targets].update(zip(seq, seq[1:]))
+    v, sums = len(single[0] | single[1]), [sum(c.values()) for c in single]
+    scale = [sums[1] / sums[0] if sums[0] and sums[1] else 1, 1]
+
+    def loss(k, d, seq):
+        own = (collections.Counter(seq[:-1]), collections.Counter(zip(seq, seq[1:]))) if corpus is None and (d in targets) == k else (collections.Counter(), collections.Counter())
+        total = 0
+        for a, b in zip(seq, seq[1:]):
+            word, two = scale[k] * (single[k][a] - own[0][a]), scale[k] * (pair[k][a, b] - own[1][a, b])
+            total -= (1 - trust) * math.log((word + 1) / (scale[k] * (sums[k] - sum(own[0].values())) + v)) + trust * math.log((two + 1) / (word + v + 1))
+        return total / (len(seq) - 1) if len(seq) > 1 else None
+
+    return [(d, len(seq) - 1, loss(1, d, seq), loss(0, d, seq)) for d, seq in seqs]
+
+
+def test_hashes_of_words():
+    r = random.Random(1)
+    texts = ["", "a", " ", "A b\n\x0bC", "x" * 300, *("".join(r.choice("aAbBé \n\t\x1c\xa0文") for _ in range(r.randint(0, 60))) for _ in range(300))]
+    h, sizes = word_hashes([t.encode() for t in texts])
+    words = [tokens(t) for t in texts]
+    assert sizes.tolist() == list(map(len, words))
+    flat = [w for ws in words for w in ws]
+    assert len({*zip(flat, h.tolist())}) == len(set(flat)) == len(set(h.tolist())) and 0 not in h.tolist()
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 40])
+def test_scores_against_plain_models(spark, nothing, monkeypatch, shard):
+    monkeypatch.setattr(lm_scoring, "SHARD", shard)
+    monkeypatch.setattr(lm_scoring, "HOT", 1 / 12)  # some words go by pair, some by themselves
     rnd = random.Random(5)
-    rows = [(k, " ".join(rnd.choice("aa bb cc dd ee ff gg hh ii jj".split()[: 4 + k % 7]) for _ in range(rnd.randint(0, 25)))) for k in range(30)] + [(None, "aa zz"), (40, None), (41, " \n")]
+    rows = [(k, " ".join(rnd.choice("aa bb CC dd ee ff gg hh ii jj".split()[: 4 + k % 7]) for _ in range(rnd.randint(0, 25)))) for k in range(30)] + [(None, "aa zz"), (40, None), (41, " \n"), (42, "only here"), (43, "only here")]
     docs = spark.createDataFrame([(d, t, "en", "s", 0, *range(9)) for d, t in rows], SCHEMA).repartition(3)
     targets = spark.createDataFrame([(k,) for k in range(0, 30, 3)] * 2 + [(999,)], "doc_id long")
-    for shares in ((0.0, 0.0), (0.06, 0.02)):
-        want = {str(r[0]): r for r in plain_scores(rows, set(range(0, 30, 3)), *shares)}
-        got = score(docs, targets, word_share=shares[0], pair_share=shares[1]).collect()
+    other = rows[:20] + rows[:3]
+    for corpus in (None, other):
+        want = {str(r[0]): r for r in plain_scores(rows, set(range(0, 30, 3)), corpus)}
+        got = score(docs, targets, spark.createDataFrame(corpus, "doc_id long, text string") if corpus else None).collect()
         assert len(got) == len(rows)
         for r in got:
             d, n, t, b = want[str(r["doc_id"])]
@@ -183,6 +189,35 @@ def test_scores_against_plain_models(spark, nothing):
     assert score(docs, targets.where("false")).count() == len(rows)
 
 
+def test_scores_at_the_edges(spark, edge):
+    targets = spark.createDataFrame([(1,), (12,)], "doc_id long")
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in score(edge, targets).collect())
+    want = sorted((str(d), n, t - b if n else None) for d, n, t, b in plain_scores([r[:2] for r in edge_rows()], {1, 12}))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == [w[2] if w[2] is None else pytest.approx(w[2]) for w in want]
+
+
+def test_scores_stay_when_the_table_is_repeated(spark):
+    # Words below any share of a larger table still have counts: rare words of the first rows stay apart.
+    rows = [(k, f"rare{k // 2} word{k // 2} " + prose(k, 20)) for k in range(40)]
+    many = rows + [(1000 + k, prose(k % 50, 60)) for k in range(4000)]
+    targets = spark.createDataFrame([(k,) for k in range(10)], "doc_id long")
+    want = {r[0]: r for r in plain_scores(many, set(range(10)))}
+    got = {r["doc_id"]: r for r in score(spark.createDataFrame(many, "doc_id long, text string"), targets).collect()}
+    assert all(got[k]["score"] == pytest.approx(want[k][2] - want[k][3]) for k in range(40))
+
+
+def test_scores_against_sql(spark, documents):
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    want = sorted(map(tuple, con.execute(score_sql()).fetchall()))
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    got = sorted(tuple(r) for r in score(documents, good).collect())
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and all(x == y if x is None else abs(x - y) < 2e-6 for x, y in zip(g[2:], w[2:]))
+
+
 def test_scores_tell_held_out_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = labels.where("doc_id % 2 = 1")

@@ -1,175 +1,365 @@
-"""Cross-entropy difference of documents under a target and a background bigram model of one vocabulary."""
+"""Cross-entropy difference of documents under a target and a background model of words and word pairs.
+
+Both models have one vocabulary, all words of the corpus. Nothing is cut from it, and counts never leave the executors:
+the words of documents are dealt to shards by hash, each word with its successor, so a shard has all counts that the
+losses of its words need, and what goes back is a sum for each document.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
+import io
+import json
+import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, materialize
-
-#: The vocabulary holds the words with at least this share of all words, so it has at most 1 / share of them.
-WORD_SHARE = 1 / (1 << 14)
-#: Bigrams with at least this share of all words have entries of their own; the others are backed off.
-PAIR_SHARE = 1 / (1 << 20)
-#: Weight of bigram estimates against unigram ones.
-TRUST = 0.7
-#: Words that a task counts before it passes the counts on.
-HELD = 400_000
+from .pieces import BASE, powers
+
+#: Weight of word pairs against single words.
+TRUST = 0.5
+#: Words of a shard, about, and documents that are dealt out together.
+SHARD, GROUP = 1 << 20, 4096
+#: Shorter stretches of following words are written as they are, others by a table of their own.
+CODED = 1 << 10
+#: Words with at least this share of all words are dealt out by pair, so no shard has to take all of one. At most 1 / HOT of them.
+HOT = 1 / (1 << 10)
 #: Target ids up to this many go to every task; beyond it they are joined by a shuffle.
 MOST_TARGETS = 1_000_000
-
-UNKNOWN, START = 0, 1  # ids of words outside the vocabulary and of the beginning of a text; others follow
+#: Bytes hashed at once, and word counts that a task holds before it passes them on.
+WINDOW, HELD = 1 << 22, 1 << 20
+#: Stands behind the last word of a text.
+END = np.uint64(0)
+TRAINS, SCORED = 1, 2
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS = powers(BASE, 1), powers(pow(BASE, -1, 1 << 64), 1)
 
 
 def tokens(text: str) -> list[str]:
-    return text.lower().split()
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of all documents, summed in each task before the shuffle."""
+    """Words between ASCII white space, A to Z in lower case."""
+    return [w.decode() for w in text.encode().lower().split()]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in a row, never END, and the number of words of each text."""
+    global _POWERS
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    raw = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
+    space = _SPACE[raw]
+    ahead = np.append(True, space)
+    start, stop = np.flatnonzero(ahead[:-1] & ~space), np.flatnonzero(~ahead & np.append(space, True))
+    out, done = np.zeros(len(start), np.uint64), 0
+    while done < len(start):
+        last = max(done + 1, int(np.searchsorted(stop, start[done] + WINDOW, "right")))
+        a, b = start[done], stop[last - 1]
+        if len(_POWERS[0]) < b - a:
+            _POWERS = powers(BASE, b - a), powers(pow(BASE, -1, 1 << 64), b - a)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * _POWERS[0][: b - a], out=total[1:])
+        out[done:last] = (total[stop[done:last] - a] - total[start[done:last] - a]) * _POWERS[1][start[done:last] - a]
+        done = last
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.maximum(_mixed(out), np.uint64(1)), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Stretches of at most GROUP rows with their texts; a null text is empty."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, GROUP):
+            batch = whole.slice(at, GROUP)
+            yield batch, [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, t, b): counts of the hashes of all words among target and other documents, summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
+        def merged() -> None:
+            word, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            t, b = (np.bincount(at, np.concatenate([h[k] for h in held]), len(word)).astype(np.int64) for k in (1, 2))
+            held[:] = [(word, t, b)]
 
-        for batch in batches:
-            for text in batch.column(0):
-                held.update(tokens(text.as_py() or ""))
-                if len(held) > HELD:
+        def flush() -> pa.RecordBatch:
+            word, t, b = held.pop()
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t), pa.array(b)], ["word", "t", "b"])
+
+        for batch, texts in _texts(batches, 0):
+            h, sizes = word_hashes(texts)
+            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), sizes)
+            held.append((h, target, 1 - target))
+            if sum(len(x[0]) for x in held) > HELD:
+                merged()
+                if len(held[0][0]) > HELD // 2:
                     yield flush()
-        yield flush()
+        if held:
+            merged()
+            yield flush()
+
+    counted = docs.select("text", F.col("target").cast("int")).mapInArrow(run, "word long, t long, b long")
+    return counted.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _pack(**arrays: np.ndarray) -> bytes:
+    """Arrays by name in one compressed string: the length of a JSON line of types and sizes, that line, the arrays."""
+    head = json.dumps({k: [x.dtype.str, len(x)] for k, x in arrays.items()}).encode()
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(head)) + head + b"".join([x.tobytes() for x in arrays.values()]))
+
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _unpack(blob: bytes) -> dict[str, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at = 4 + struct.unpack_from("<I", raw)[0]
+    out = {}
+    for k, (kind, n) in json.loads(raw[4:at]).items():
+        out[k] = np.frombuffer(raw, kind, n, at)
+        at += out[k].nbytes
+    return out
 
 
-def _ids(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, each text led by START, and the number of ids of each text."""
-    out: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
-    find = ids.get
-    for k, text in enumerate(texts):
-        before = len(out)
-        out.append(START)
-        out += [find(w, UNKNOWN) for w in tokens(text)] if text else []
-        sizes[k] = len(out) - before
-    return np.array(out, np.int64), sizes
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In the smallest unsigned type that holds all values."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def _pair_counts(docs: DataFrame, ids: Broadcast[dict[str, int]], size: int) -> DataFrame:
-    """(key, t, b): counts among target and background documents; key is first * V + second, or -1 - word for single words.
+def _dealt(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
+    """(shard, blob): the words of each group of documents that fall to a shard, each with its successor, document and number.
 
-    The entry of START among the single words is the number of texts that have words.
+    ``hot`` words go by pair; with them goes how often the document has the word, as no shard sees all of that.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        singles = np.zeros((2, size), np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                seq, sizes = _ids(batch.column(0).to_pylist(), ids.value)
-                target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-                inner = np.flatnonzero(seq != START)
-                pair = seq[inner - 1] * size + seq[inner]
-                led = seq[inner - 1] == START
-                for k in (0, 1):
-                    singles[k] += np.bincount(seq[inner][target[inner] == k], minlength=size)
-                    singles[k, START] += np.count_nonzero(led & (target[inner] == k))
-                key, n = np.unique(pair * 2 + target[inner], return_counts=True)
-                first = np.flatnonzero(np.append(True, key[1:] >> 1 != key[:-1] >> 1)) if len(key) else np.empty(0, np.int64)
-                t, b = (np.add.reduceat(np.where(key & 1 == k, n, 0), first) if len(key) else n for k in (1, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(key[first] >> 1), pa.array(t), pa.array(b)], ["key", "t", "b"])
-        some = np.flatnonzero(singles.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - some), pa.array(singles[1][some]), pa.array(singles[0][some])], ["key", "t", "b"])
-
-    return docs.select("text", "target").mapInArrow(run, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+        part, group = TaskContext.get().partitionId() << 32, 0
+        for batch, texts in _texts(batches, 1):
+            h, sizes = word_hashes(texts)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            following = np.append(h[1:], END)
+            following[np.cumsum(sizes)[sizes > 0] - 1] = END
+            often = np.isin(h, hot)
+            own = np.zeros(len(h), np.int64)
+            if often.any():
+                _, at, n = np.unique(np.searchsorted(hot, h[often]) * len(sizes) + owner[often], return_inverse=True, return_counts=True)
+                own[often] = n[at]
+            shard = (np.where(often, _mixed(h ^ (following * np.uint64(3))), h) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((h, shard))
+            h, owner, following, own, shard = h[order], owner[order], following[order], own[order], shard[order]
+            bounds = np.searchsorted(shard, np.arange(shards + 1))
+            target, role = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.uint8) for k in (2, 3))
+            ids = io.BytesIO()
+            with pa.ipc.new_stream(ids, pa.schema([batch.schema.field(0)])) as writer:
+                writer.write_batch(batch.select([0]))
+            some = np.flatnonzero(np.diff(bounds)).tolist()
+            # The first shard gets the ids as well, whether it has words of the group or not.
+            for k in some if bounds[1] else [0, *some]:
+                a, b = bounds[k : k + 2]
+                cut = np.flatnonzero(np.append(True, h[a + 1 : b] != h[a : b - 1])) if b > a else np.empty(0, np.int64)
+                docs_here, doc = np.unique(owner[a:b], return_inverse=True)
+                arrays = {"words": h[a:b][cut], "times": _narrow(np.diff(np.append(cut, b - a))), "doc": _narrow(doc), "own": _narrow(own[a:b]), "docs": _narrow(docs_here)}
+                arrays |= {"n_words": _narrow(sizes[docs_here]), "target": target[docs_here], "role": role[docs_here]}
+                if b - a >= CODED:
+                    second, s = np.unique(following[a:b], return_inverse=True)
+                    arrays |= {"second": second, "s": _narrow(s)}
+                else:
+                    arrays["second"] = following[a:b]
+                if k == 0:
+                    arrays |= {"ids": np.frombuffer(ids.getvalue(), np.uint8), "all_words": _narrow(sizes), "all_roles": role}
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part + group], pa.int64()), pa.array([_pack(**arrays)], pa.binary())], ["shard", "group", "blob"])
+            group += 1
+
+    source = docs.select("doc_id", "text", F.col("target").cast("int"), F.col("role").cast("int"))
+    return source.mapInArrow(run, "shard int, group long, blob binary")
 
 
 @dataclass
-class Model:
-    """One of the two models; both have the same words and the same bigrams with entries of their own."""
+class Sums:
+    """What a loss needs besides the counts of a shard."""
 
-    single: np.ndarray  # probability of each word by itself
-    pairs: np.ndarray  # sorted keys of bigrams
-    share: np.ndarray  # TRUST * count / count of the first word, for each of them
-    back: np.ndarray  # what is left to single-word estimates after each first word
+    n_target: int
+    n_background: int
+    n_words: int  # of the vocabulary
+    hot: np.ndarray
+    hot_target: np.ndarray
+    hot_background: np.ndarray
 
-    def losses(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Negative log probability of each word after its predecessor."""
-        p = self.back[first] * self.single[second]
-        if len(self.pairs):
-            want = first * len(self.single) + second
-            at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
-            p += np.where(self.pairs[at] == want, self.share[at], 0.0)
-        return -np.log(p)
+    def scale(self) -> float:
+        """Background counts are weighed by this, so that both models have seen as many words."""
+        return self.n_target / self.n_background if self.n_target and self.n_background else 1.0
 
 
-def build(size: int, singles: np.ndarray, firsts: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> Model:
-    """``singles`` and ``firsts``: counts of each id as a word and as a first word; ``counts`` of the bigrams ``pairs``."""
-    single = (singles + 1.0) / (singles.sum() + size)
-    share = TRUST * counts / np.maximum(firsts[pairs // size], 1)
-    back = 1.0 - np.bincount(pairs // size, share, size)
-    return Model(single, pairs, share, back)
+def _sum_by(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, n, size)
 
 
-def score(docs: DataFrame, targets: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
+def shard_losses(rows: dict[str, np.ndarray], docs: dict[str, np.ndarray], sums: Sums) -> tuple[np.ndarray, np.ndarray]:
+    """Target and background losses of each document's words in one shard.
+
+    ``rows``: first and second word, document, and how often the document has a hot first word, one row for each word
+    of a text. ``docs``: n_words, target and role of the documents. What a document counts in the corpus is taken off
+    before its own words are judged.
+    """
+    order = np.lexsort((rows["doc"], rows["second"], rows["first"]))
+    first, second, doc, own = (rows[k][order] for k in ("first", "second", "doc", "own"))
+    new_first = np.append(True, first[1:] != first[:-1])
+    new_pair = new_first | np.append(True, second[1:] != second[:-1])
+    begin = np.flatnonzero(new_pair | np.append(True, doc[1:] != doc[:-1]))
+    n = np.diff(np.append(begin, len(first)))
+    word, pair = (np.cumsum(x)[begin] - 1 for x in (new_first, new_pair))
+    first, doc, own = first[begin], doc[begin], own[begin]
+    hot = np.isin(first, sums.hot)
+    _, at = np.unique(word * len(docs["role"]) + doc, return_inverse=True)
+    own = np.where(hot, own, _sum_by(at, n, len(begin))[at])
+    role, target = docs["role"][doc], docs["target"][doc].astype(bool)
+    place = np.minimum(np.searchsorted(sums.hot, first), max(len(sums.hot) - 1, 0))
+    losses = []
+    for of_model, all_words, hot_counts, weight in ((target, sums.n_target, sums.hot_target, 1.0), (~target, sums.n_background, sums.hot_background, sums.scale())):
+        counted = n * (of_model & (role & TRAINS > 0))
+        mine = of_model & (role == TRAINS | SCORED)
+        c_pair = weight * (_sum_by(pair, counted, pair[-1] + 1)[pair] - n * mine)
+        c_word = _sum_by(word, counted, word[-1] + 1)[word]
+        c_word = weight * (np.where(hot, hot_counts[place] if len(sums.hot) else 0, c_word) - own * mine)
+        total = weight * (all_words - docs["n_words"][doc] * mine)
+        single = (c_word + 1) / (total + sums.n_words)
+        double = (c_pair + 1) / (c_word + sums.n_words + 1)
+        loss = -n * ((1 - TRUST) * np.log(single) + TRUST * np.log(double))
+        losses.append(_sum_by(doc, np.where(role & SCORED > 0, loss, 0.0), len(docs["role"])))
+    return losses[0], losses[1]
+
+
+def _judged(dealt: DataFrame, sums: Sums) -> DataFrame:
+    """(group, blob): sums of the losses of each group's documents, from one shard each; one of them has the ids."""
+
+    def judge(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        rows, docs, offsets, parts = defaultdict(list), defaultdict(list), [0], []
+        for _, blob in blobs:
+            x = _unpack(blob)
+            rows["first"].append(np.repeat(x["words"], x["times"]))
+            rows["second"].append(x["second"][x["s"]] if "s" in x else x["second"])
+            rows["doc"].append(x["doc"].astype(np.int64) + offsets[-1])
+            rows["own"].append(x["own"].astype(np.int64))
+            for k in ("n_words", "target", "role"):
+                docs[k].append(x[k].astype(np.int64))
+            offsets.append(offsets[-1] + len(x["docs"]))
+            parts.append({k: x[k] for k in ("docs", "ids", "all_words", "all_roles") if k in x})
+        rows, docs = ({k: np.concatenate(v) for k, v in d.items()} for d in (rows, docs))
+        t, b = shard_losses(rows, docs, sums) if len(rows["doc"]) else np.zeros((2, 0))
+        for (group, _), x, a, e in zip(blobs, parts, offsets, offsets[1:], strict=False):
+            blob = _pack(t=t[a:e], b=b[a:e], **x)
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([blob], pa.binary())], ["group", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for batch in batches:
+            for shard, group, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now and blobs:
+                    yield from judge(blobs)
+                    blobs = []
+                now = shard
+                blobs.append((group, blob))
+        if blobs:
+            yield from judge(blobs)
+
+    return dealt.repartition("shard").sortWithinPartitions("shard", "group").mapInArrow(run, "group long, blob binary")
+
+
+def score(docs: DataFrame, targets: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score.
 
-    The models are trained on ``corpus``, by default on ``docs`` themselves. ``targets`` has the ids (first column) of the documents that the target model is trained on; the background model
-    is trained on all others. Words and bigrams of all documents are counted; words with a share of at least
-    ``word_share`` make up the vocabulary and bigrams with at least ``pair_share`` the entries, for both models alike,
-    so models have at most 1 / share of them at any input size. Single words are smoothed by adding one, bigrams are
-    interpolated with them. Losses are means per word in nats, ``score`` is target_loss - background_loss: the lower,
-    the more like the targets. Documents without words (null, blank) have n_tokens 0 and null losses. Null ids are
-    background; repeated rows count as often as they stand there; without targets that model is uniform; other columns
-    are ignored and an empty table gives no rows.
+    ``targets`` has the ids (first column) of the documents that the target model is trained on; the background model is
+    trained on all others, its counts weighed so that both models have seen as many words. They are trained on
+    ``corpus``, by default on ``docs`` themselves; then the counts of a document, which would foretell it, are taken
+    off before it is scored.
+
+    A word's loss is the mean, weighed by ``TRUST``, of its own negative log probability and that of what follows it (a
+    word, or the end of the text); both are smoothed by adding one to the count of every word of the corpus. The orders
+    aren't interpolated within the logarithm, so a shard needs no counts of second words. Losses are means per word in nats, ``score`` is target_loss - background_loss: the
+    lower, the more like the targets. Words are whatever stands between ASCII white space, A to Z in lower case; they
+    are told apart by 64-bit hashes.
+
+    Documents without words (null, blank) have n_tokens 0 and null losses. Null ids are background; repeated rows count
+    as often as they stand there; other columns are ignored; without targets that model is even, and an empty table
+    gives no rows. Very long texts are dealt out word by word like others; one is hashed whole by one task.
     """
-    source, trained = (d.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) for d in (docs, docs if corpus is None else corpus))
-    words = materialize(_word_counts(trained), "words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # Bounded by 1 / word_share rows, and by 1 / pair_share further below.
-    known = sorted(r["word"] for r in words.where(F.col("n") >= max(1.0, total * word_share)).select("word").collect())
-    ids = {w: k + 2 for k, w in enumerate(known)}
-    size = len(ids) + 2
-    spark = docs.sparkSession
-    shared_ids = spark.sparkContext.broadcast(ids)
-    wanted = checked_broadcast(materialize(targets.select(F.col(targets.columns[0]).alias("doc_id"), F.lit(1).alias("hit")).distinct(), "targets"), MOST_TARGETS)
-    marked = trained.join(wanted, "doc_id", "left").select("text", F.coalesce("hit", F.lit(0)).alias("target"))
-    counts = _pair_counts(marked, shared_ids, size)
-    told = materialize(counts.where((F.col("key") < 0) | (F.col("t") + F.col("b") >= max(1.0, total * pair_share))), "pairs").toPandas().sort_values("key")
-    key, n = told["key"].to_numpy(np.int64), told[["b", "t"]].to_numpy(np.float64).T
-    pairs, models = key[key >= 0], []
-    for k in (0, 1):
-        singles = np.zeros(size)
-        singles[-1 - key[key < 0]] = n[k][key < 0]
-        # A word counts as a first word even where it ends a text; that leaves a little more to the back-off.
-        firsts = singles.copy()
-        singles[START] = 0
-        models.append(build(size, singles, firsts, pairs, n[k][key >= 0]))
-    shared = spark.sparkContext.broadcast(models)
+    marked = lambda df, role: df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(role).alias("role"))
+    rows = marked(docs, TRAINS | SCORED) if corpus is None else marked(docs, SCORED).union(marked(corpus, TRAINS))
+    wanted = materialize(targets.select(F.col(targets.columns[0]).alias("doc_id"), F.lit(True).alias("hit")).distinct(), "targets")
+    few = checked_broadcast(wanted, MOST_TARGETS)
+    rows = rows.join(few, "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("target"), "role")
+    if few is wanted:
+        # Joined by a shuffle: what is read twice, and again after a loss, must come in one order.
+        rows = materialize(rows, "marked")
+    words = materialize(word_counts(rows.where(F.col("role").bitwiseAND(TRAINS) > 0)), "words")
+    total = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    hot = sorted((r["word"] % (1 << 64), r["t"], r["b"]) for r in words.where(F.col("t") + F.col("b") >= HOT * (total["t"] + total["b"])).collect())  # 1 / HOT rows at most
+    sums = Sums(total["t"], total["b"], total["v"], *(np.array([h[k] for h in hot], kind) for k, kind in ((0, np.uint64), (1, np.float64), (2, np.float64))))
+    shards = max(1, -(-(total["t"] + total["b"]) // SHARD))
+    judged = _judged(_dealt(rows, shards, sums.hot), sums)
+    names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                seq, sizes = _ids(batch.column(1).to_pylist(), shared_ids.value)
-                inner = np.flatnonzero(seq != START)
-                owner = np.repeat(np.arange(len(sizes)), sizes)[inner]
-                n_words = sizes - 1
-                losses = [np.bincount(owner, m.losses(seq[inner - 1], seq[inner]), len(sizes)) / np.maximum(n_words, 1) for m in shared.value]
-                none = n_words == 0
-                cols = [pa.array(n_words), *(pa.array(x, mask=none) for x in (losses[1], losses[0], losses[1] - losses[0]))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+        now, blobs = None, []
+        for batch in batches:
+            for group, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != now and blobs:
+                    yield told(blobs)
+                    blobs = []
+                now = group
+                blobs.append(_unpack(blob))
+        if blobs:
+            yield told(blobs)
+
+    def told(blobs: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        about = next(x for x in blobs if "ids" in x)
+        n, (t, b) = about["all_words"].astype(np.int64), np.zeros((2, len(about["all_words"])))
+        for x in blobs:
+            t[x["docs"]] += x["t"]
+            b[x["docs"]] += x["b"]
+        with pa.ipc.open_stream(about["ids"].tobytes()) as reader:
+            ids = reader.read_all().column(0).combine_chunks()
+        t, b, none = t / np.maximum(n, 1), b / np.maximum(n, 1), n == 0
+        cols = [ids, pa.array(n), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(t - b, mask=none)]
+        return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(about["all_roles"] & SCORED > 0))
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    # Groups come back in the order of their shards, so sums don't hang on chance.
+    back = judged.repartition("group").sortWithinPartitions("group", F.xxhash64("blob"))
+    return back.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def score_sql(docs: str = "documents", targets: str = "SELECT doc_id FROM labels WHERE quality = 1") -> str:
+    """DuckDB SQL for ``score`` of documents that train their own models, losses rounded to 6 places."""
+    upper = "".join(chr(c) for c in range(65, 91))
+    side = {"t": "target", "b": "NOT target"}
+    per = ", ".join(f"sum(n) FILTER ({w}) AS {k}" for k, w in side.items())
+    own = {k: f"CASE WHEN {w} THEN 1 ELSE 0 END" for k, w in side.items()}
+    scale = {"t": "1.0", "b": "scale"}
+    loss = ", ".join(
+        f"""sum(-n * ({1 - TRUST} * ln(({scale[k]} * (coalesce(w{k}, 0) - mine * {own[k]}) + 1) / ({scale[k]} * (all_{k} - n_tokens * {own[k]}) + v))
+                    + {TRUST} * ln(({scale[k]} * (coalesce(p{k}, 0) - n * {own[k]}) + 1) / ({scale[k]} * (coalesce(w{k}, 0) - mine * {own[k]}) + v + 1)))) / any_value(n_tokens) AS {k}"""
+        for k in side
+    )
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN ({targets}), false) AS target,
+                  regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM {docs}),
+    words AS (SELECT r, target, len(ws) AS n_tokens, unnest(ws) AS w, unnest(list_append(ws[2:], NULL)) AS u FROM docs WHERE len(ws) > 0),
+    counted AS (SELECT r, target, n_tokens, w, u, count(*) AS n FROM words GROUP BY r, target, n_tokens, w, u),
+    pairs AS (SELECT *, sum(n) OVER (PARTITION BY r, w) AS mine FROM counted),
+    single AS (SELECT w, {per.replace(" AS ", " AS w")} FROM pairs GROUP BY w),
+    twos AS (SELECT w, u, {per.replace(" AS ", " AS p")} FROM pairs GROUP BY w, u),
+    sums AS (SELECT *, CASE WHEN all_t > 0 AND all_b > 0 THEN all_t::DOUBLE / all_b ELSE 1 END AS scale
+             FROM (SELECT count(*) AS v, coalesce(sum(wt), 0)::DOUBLE AS all_t, coalesce(sum(wb), 0)::DOUBLE AS all_b FROM single)),
+    losses AS (SELECT r, {loss} FROM pairs JOIN single ON pairs.w = single.w JOIN twos ON pairs.w = twos.w AND pairs.u IS NOT DISTINCT FROM twos.u, sums GROUP BY r)
+    SELECT doc_id, len(ws)::BIGINT AS n_tokens, round(t, 6) AS target_loss, round(b, 6) AS background_loss, round(t - b, 6) AS score FROM docs LEFT JOIN losses USING (r)"""

@@ -10,11 +10,11 @@ from .token_counts import byte_letters
 
 #: Bytes that the table may take before it starts anew; longer pieces aren't kept; bytes of text looked up at once.
 REMEMBERED, LONGEST, WINDOW = 128 << 20, 256, 1 << 20
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 OTHER, LETTER, MARK, SPACE = 0, 1, 2, 3
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
     out = np.ones(n, np.uint64)
     out[1:] = base
@@ -67,7 +67,7 @@ class PieceTable:
         return sum(g.held.nbytes for g in self._all()) + self.slots.nbytes
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
-        return ((h * np.uint64(_BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((h * np.uint64(BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Entries with this hash and size, -1 where there is none."""
@@ -144,7 +144,7 @@ class PieceEncoder:
         self.classes[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in special and chr(c) != "'"]] = MARK
         self.classes[[9, 10, 11, 12, 13, 32]] = SPACE
         self.table = PieceTable(self.kind)
-        self.powers, self.inverse = _powers(_BASE, 1), _powers(pow(_BASE, -1, 1 << 64), 1)
+        self.powers, self.inverse = powers(BASE, 1), powers(pow(BASE, -1, 1 << 64), 1)
 
     def _new_ids(self, piece: bytes) -> list[int]:
         bare = piece[1:] if piece[:1] == b" " else piece
@@ -224,7 +224,7 @@ class PieceEncoder:
     def _hashes(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The sum of (byte + 1) * base ** place, modulo 2 ** 64, as differences of one running sum."""
         if len(self.powers) < len(raw):
-            self.powers, self.inverse = _powers(_BASE, len(raw)), _powers(pow(_BASE, -1, 1 << 64), len(raw))
+            self.powers, self.inverse = powers(BASE, len(raw)), powers(pow(BASE, -1, 1 << 64), len(raw))
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=total[1:])
         h = (total[start + size] - total[start]) * self.inverse[start]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .edit_matching import find_leaks
 from .line_quality import quality_report, report_sql
-from .lm_scoring import score
+from .lm_scoring import score, score_sql
 from .mixing import EPOCHS, SEED, WEIGHTS, mix, mix_sql, standard_levels
 from .pii import find_pii
 from .secret_forest import find_secrets, labelled_findings
@@ -57,7 +57,8 @@ def op8_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataF
 
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score(table(spark, sf_dir, "documents"), good)
+    scored = score(table(spark, sf_dir, "documents"), good)
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 def op10_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_hierarchical_mix": mix_sql(MIX_SHARE),
     "op4_cross_document_line_frequency": report_sql(),
+    "op9_cross_entropy_difference": score_sql(),
 }
