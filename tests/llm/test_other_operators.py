@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -15,7 +16,7 @@ from voxelframe.llm.edit_matching import LeakFinder, Pattern, drop_leaks, find_l
 from voxelframe.llm import lm_scoring
 from voxelframe.llm.lm_scoring import score, score_sql, tokens, word_hashes
 from voxelframe.llm.mixing import EPOCHS, SEED, WEIGHTS, budgets, mix, mix_sql, standard_levels
-from voxelframe.llm.secret_forest import find_secrets, fit, features, labelled_findings
+from voxelframe.llm.secret_forest import AROUND, CANDIDATE, DICTIONARY, NAMED, candidates, common_words, features, find_secrets, fit, labelled_findings, learn_corpus
 from voxelframe.llm.sharding import rendezvous, shard_documents, write_shards
 
 from .conftest import SCHEMA, SF, edge_rows, prose
@@ -47,6 +48,18 @@ def test_mix_edges(edge, nothing):
     assert mix(nothing, standard_levels(), WEIGHTS).count() == 0 and mix(nothing, standard_levels(), WEIGHTS, keep_columns=True).count() == 0
 
 
+def test_the_edge_is_cut_to_the_token(spark):
+    one = {"all": F.lit("x")}
+    for rows in ([(7, "a b c\td")] * 4, [(None, "a b c\td")] * 4, [(k, f" w{k} x  y\nz ") for k in range(4)]):
+        docs = spark.createDataFrame([(d, t, len(t), 1, 2) for d, t in rows], "doc_id long, text string, n_chars long, place long, copies long")
+        for budget in (0, 3, 4, 7, 16, 22, 27):
+            got = mix(docs, one, {}, budget=budget, epochs=2, seed=3).collect()
+            assert sum(r["full_epochs"] * r["n_tokens"] + r["prefix_tokens"] for r in got) == budget
+            texts = mix(docs, one, {}, budget=budget, epochs=2, seed=3, keep_columns=True).collect()
+            assert sum(len(r["text"].split()) for r in texts) == budget and all(r["n_chars"] == len(r["text"]) for r in texts)
+            assert sum(r["text"] not in {t for _, t in rows} for r in texts) == (budget % 4 > 0)
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 1000), ("b", "z", 1000), ("c", "q", 5), ("d", "never", 500)], "top string, sub string, tokens long")
     weights = {("a",): 2, ("b",): 1, ("c",): 1, ("d",): 0, ("a", "x"): 3, ("a", "y"): 1}
@@ -67,6 +80,65 @@ def test_forest_on_held_out_findings(spark):
     assert right > 0.97
 
 
+def test_whole_families_held_out(spark, documents):
+    model = learn_corpus(documents)
+    vocabulary = [*DICTIONARY, *common_words(model)]
+    # Neither these kinds of secrets (base64, short prefixed keys, 64 hex digits) nor of others (checksums, paths, dotted names) are learned from.
+    held = ([2, 3, 7], [2, 5, 12])
+    rest = ([k for k in range(10) if k not in held[0]], [k for k in range(14) if k not in held[1]])
+    forest = fit(labelled_findings(spark, 3000, seed=1, vocabulary=vocabulary, families=rest), model=model)
+    rows, _ = features(labelled_findings(spark, 900, seed=5, vocabulary=vocabulary, families=held), model)
+    right = forest.transform(rows).agg(F.avg((F.col("_prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.9
+
+
+def plain_candidates(text):
+    out, ends = [], [0]
+    found = list(re.finditer(CANDIDATE, text))
+    for k, m in enumerate(found):
+        lead = re.match(NAMED, m[0])
+        skip = len(lead[0]) if lead else 0
+        gap = text[found[k - 1].end() if k else 0 : m.start()]
+        ahead = (found[k - 1][0][-AROUND:] if k else "") + gap[-AROUND:] + m[0][:skip]
+        rest = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)]
+        behind = rest[:AROUND] + (found[k + 1][0][:AROUND] if k + 1 < len(found) else "")
+        out.append((m.start() + skip, m[0][skip:], ahead.split("\n")[-1][-AROUND:], behind.split("\n")[0][:AROUND]))
+    return out
+
+
+def test_candidates_and_features_against_plain_ones(spark, documents, edge):
+    texts = [
+        "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY and on", 'aws_secret_access_key = "0123456789abcdef0123456789abcdef01234567"', "password: hunter2hunter2!", "Password:short", "x_api_key := 'é$%&/()=?abc', next",
+        "abcdefghijklmnop123== tail", "abcdefghijklmnop123=value", "noDigitsInThisVeryLongIdentifier", "a" * 3000 + "1 b", "token=first11111111111111 second2222222222222222\nthird33333333333333333", "tokentokentoken=abcdefgh12 secret => zzzzzzzzzz",
+    ]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for docs in (own, documents.select("doc_id", "text"), edge.where("doc_id <> 16").select("doc_id", "text")):
+        rows = docs.collect()
+        want = sorted((r["doc_id"], *c) for r in rows for c in plain_candidates(r["text"] or ""))
+        got = sorted(tuple(r) for r in candidates(docs).select("doc_id", "start", "found", "before", "after").collect())
+        assert got == want
+    assert {0, 1, 2, 4, 9, 10} <= {r["doc_id"] for r in candidates(own).collect()}
+    model = learn_corpus(documents)
+    words = collections.Counter(w for r in documents.collect() for w in re.split("[^a-z]+", r["text"].lower() if r["text"] else "") if 1 <= len(w) <= 30)
+    words = {w: n for w, n in words.items() if n >= 5}
+    assert {r["word"] for r in model.words.collect()} == set(words)
+    code = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26
+    steps = collections.Counter()
+    for w, n in words.items():
+        for a, b in zip(" " + w, w + " "):
+            steps[code(a), code(b)] += n
+    rows, _ = features(candidates(own.union(documents.select("doc_id", "text"))), model)
+    for r in rows.collect():
+        s = r["found"]
+        low = s.lower()
+        walk = [math.log((steps[code(a), code(b)] + 1) / (sum(steps[code(a), k] for k in range(27)) + 27)) for a, b in zip(low, low[1:])]
+        parts = re.findall("[a-z]{3,}", re.sub("([a-z])([A-Z])", r"\1 \2", s).lower())
+        letters = re.sub("[^a-z]", "", low)
+        assert r["f_transitions"] == pytest.approx(sum(walk) / len(walk))
+        assert r["f_coverage"] == pytest.approx(sum(len(w) for w in parts if w in words) / max(1, len(letters)))
+        assert r["f_length"] == len(s) and r["f_digits"] == pytest.approx(len(re.findall("[0-9]", s)) / len(s))
+
+
 def test_secrets(spark, nothing):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     texts = [

@@ -67,9 +67,17 @@ def test_stages(spark, documents):
     mixed = step("source_mixing", clean)
     taken = {}
     for line in duck_mix(pd.DataFrame([r[:4] for r in want], columns=["doc_id", "text", "lang", "source"]), 1.0):
-        doc, *_, copies = line.strip("()").split(", ")
-        taken[int(doc)] = int(copies)
-    want = sorted(r for r in want for _ in range(taken.get(r[0], 0)))
+        doc, *_, epochs, prefix, copies = line.strip("()").split(", ")
+        taken[int(doc)] = int(epochs), int(prefix), int(copies)
+
+    def copies_of(r):
+        epochs, prefix, copies = taken.get(r[0], (0, 0, 0))
+        text = re.match(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+){%d}" % prefix, r[1])[0]
+        # The last copy of a document on an edge ends with its prefix.
+        last = r if prefix == counts(r[1])[0] else (r[0], text, *r[2:4], len(text))
+        return [r] * epochs + [last] * (copies - epochs)
+
+    want = sorted(x for r in want for x in copies_of(r))
     assert rows(mixed) == want and mixed.columns == documents.columns
 
     final = sorted(tuple(r) for r in stages["token_files"](spark, mixed, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect())

@@ -24,12 +24,18 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place(seed: int, epoch: Column, key: Column) -> Column:
-    """A document's place in the order of one epoch: 60 bits of a hash of seed, epoch and id."""
-    text = F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("")))
+def place(seed: int, epoch: Column, key: Column, digest: Column) -> Column:
+    """A document's place in the order of one epoch: 60 bits of a hash of seed, epoch, id and text (by its MD5)."""
+    text = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit("")), digest)
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word."""
+    # A piece is white space and a word; only the last one may be without a word, and no count reaches it.
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
+
+
 def divide(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
     """Divide each parent's ``given`` among its children by ``weight``, none above its ``capacity``.
 
@@ -86,7 +92,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tuple[str
 def plan(rows: DataFrame, levels: Sequence[str], weights: Mapping[tuple[str, ...], int], budget: int | None, share: float, epochs: int, seed: int) -> DataFrame:
     """One row per leaf: tokens, budget, full_epochs, rest, and where the last epoch's prefix ends (cut, cut_before).
 
-    ``rows`` has the columns of ``levels``, doc_id and n_tokens, and is read three times: materialise it.
+    ``rows`` has the columns of ``levels``, doc_id, digest and n_tokens, and is read three times: materialise it.
     """
     leaves = materialize(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     wanted = F.lit(budget).cast("long") if budget is not None else F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * F.lit(share)).cast("long")
@@ -95,7 +101,7 @@ def plan(rows: DataFrame, levels: Sequence[str], weights: Mapping[tuple[str, ...
     given = given.select(*levels, "tokens", "budget", F.when(some, F.expr("budget div tokens")).otherwise(0).alias("full_epochs"), F.when(some, F.expr("budget % tokens")).otherwise(0).alias("rest"))
     given = materialize(given, "budgets")
     coming = rows.join(checked_broadcast(given.where("rest > 0"), MOST_LEAVES), list(levels))
-    placed = coming.withColumn("place", place(seed, F.col("full_epochs") + 1, F.col("doc_id"))).withColumn("coarse", F.shiftright("place", 60 - COARSE))
+    placed = coming.withColumn("place", place(seed, F.col("full_epochs") + 1, F.col("doc_id"), F.col("digest"))).withColumn("coarse", F.shiftright("place", 60 - COARSE))
     sums = placed.groupBy(*levels, "coarse").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     before = F.sum("n").over(Window.partitionBy(*levels).orderBy("coarse")) - F.col("n")
     edge = sums.withColumn("ahead", before).where("ahead < rest AND rest <= ahead + n").select(*levels, "coarse", "ahead")
@@ -116,6 +122,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_columns: bool = False,
+    chars_col: str = "n_chars",
 ) -> DataFrame:
     """The documents that a mix takes, each leaf a prefix of seeded epochs as long as its budget.
 
@@ -123,25 +130,47 @@ def mix(
     is ``budget`` tokens, or else ``share`` of all tokens; where all branches together can't give it, all they can give
     is taken. A leaf whose budget is ``e`` times its tokens plus a rest takes every document ``e`` times, then, in the
     order of epoch ``e + 1``, documents until the rest is spent; the document on the edge is taken with its first
-    ``prefix_tokens`` tokens. Rows that share an id stand at one place of an epoch and are taken together. Null texts
-    have no tokens; a leaf without tokens gives nothing.
+    ``prefix_tokens`` tokens. Rows equal in id and text stand at one place of an epoch, one behind the other. Null texts
+    have no tokens; a leaf without tokens gives nothing. Ids may be null, an empty table gives no rows, a very long text
+    is one row like any other.
 
     Returns one row per document taken: doc_id, the levels, n_tokens, full_epochs, prefix_tokens (of the last epoch),
-    copies. With ``keep_columns`` it returns the rows of ``docs`` instead, whole texts, once for each copy.
+    copies. With ``keep_columns`` it returns the rows of ``docs`` instead, once for each copy: whole, but for the last
+    copy of the documents on the edges, whose texts end with their prefixes (and ``chars_col``, if there, tells the new
+    length).
     """
     named = {c: F.coalesce(e.cast("string"), F.lit(NONE)) for c, e in levels.items()}
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("n_tokens"), *(e.alias(c) for c, e in named.items())), "rows")
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), words(F.col(text_col)).alias("n_tokens"), *(e.alias(c) for c, e in named.items())), "rows")
     leaves = materialize(plan(rows, list(levels), weights, budget, share, epochs, seed), "plan")
     told = checked_broadcast(leaves.select(F.struct(*levels).alias("__vf_leaf"), F.struct("full_epochs", "rest", "cut", "cut_before").alias("__vf_plan")), MOST_LEAVES)
-    source = docs.withColumn("__vf_at", F.struct(*(e.alias(c) for c, e in named.items()))) if keep_columns else rows.withColumn("__vf_at", F.struct(*levels))
-    key = F.col(id_col) if keep_columns else F.col("doc_id")
-    met = source.join(told, F.col("__vf_at") == F.col("__vf_leaf")).withColumn("__vf_place", place(seed, F.col("__vf_plan.full_epochs") + 1, key))
-    met = met.withColumn("__vf_copies", F.col("__vf_plan.full_epochs") + F.when(F.col("__vf_place") <= F.col("__vf_plan.cut"), 1).otherwise(0)).where("__vf_copies > 0")
-    if keep_columns:
-        return met.withColumn("__vf_copy", F.explode(F.sequence(F.lit(1), F.col("__vf_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
     plan_of = lambda c: F.col(f"__vf_plan.{c}")
-    taken = F.when(F.col("__vf_place") < plan_of("cut"), F.col("n_tokens")).when(F.col("__vf_place") == plan_of("cut"), F.least("n_tokens", plan_of("rest") - plan_of("cut_before"))).otherwise(0)
-    return met.select("doc_id", *levels, "n_tokens", plan_of("full_epochs").alias("full_epochs"), taken.cast("long").alias("prefix_tokens"), F.col("__vf_copies").alias("copies"))
+    if keep_columns:
+        source, key, tokens = docs.withColumn("__vf_at", F.struct(*(e.alias(c) for c, e in named.items()))).withColumn("__vf_digest", digest), F.col(id_col), words(F.col(text_col))
+    else:
+        source, key, tokens = rows.withColumn("__vf_at", F.struct(*levels)).withColumn("__vf_digest", F.col("digest")), F.col("doc_id"), F.col("n_tokens")
+    met = source.join(told, F.col("__vf_at") == F.col("__vf_leaf")).withColumn("__vf_place", place(seed, plan_of("full_epochs") + 1, key, F.col("__vf_digest")))
+    within = F.col("__vf_place") < plan_of("cut")
+    # Rows at a leaf's edge are alike in id and text: one of them mostly, and never sorted with others.
+    turn = F.row_number().over(Window.partitionBy("__vf_leaf", "__vf_place").orderBy(F.lit(0)))
+    edge = met.where(F.col("__vf_place") == plan_of("cut")).withColumn("__vf_tokens", tokens)
+    left = plan_of("rest") - plan_of("cut_before") - (turn - 1) * F.col("__vf_tokens")
+    edge = edge.withColumn("__vf_taken", F.least("__vf_tokens", left)).withColumn("__vf_copies", plan_of("full_epochs") + F.when(left > 0, 1).otherwise(0))
+    others = met.where(F.col("__vf_place") != plan_of("cut")).withColumn("__vf_copies", plan_of("full_epochs") + F.when(within, 1).otherwise(0))
+    if keep_columns:
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        copies = lambda df, upto: df.where(f"{upto} > 0").withColumn("__vf_copy", F.explode(F.sequence(F.lit(1), F.col(upto).cast("int"))))
+        cut = copies(edge, "__vf_copies")
+        part = (F.col("__vf_copy") > plan_of("full_epochs")) & (F.col("__vf_taken") < F.col("__vf_tokens"))
+        cut = cut.withColumn("__vf_text", F.when(part, first_words(F.col(text_col).cast("string"), F.col("__vf_taken"))).otherwise(F.col(text_col)))
+        changed = {text_col: F.col("__vf_text").cast(docs.schema[text_col].dataType)}
+        if chars_col in docs.columns:
+            changed[chars_col] = F.when(part, F.length("__vf_text")).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
+        cut = cut.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        return copies(others, "__vf_copies").select(*columns).union(cut)
+    taken = F.when(within, F.col("n_tokens")).otherwise(0)
+    both = others.withColumn("__vf_taken", taken).unionByName(edge.withColumn("__vf_taken", F.greatest("__vf_taken", F.lit(0))), allowMissingColumns=True)
+    return both.where("__vf_copies > 0").select("doc_id", *levels, "n_tokens", plan_of("full_epochs").alias("full_epochs"), F.col("__vf_taken").cast("long").alias("prefix_tokens"), F.col("__vf_copies").cast("long").alias("copies"))
 
 
 #: The production tree: domains by number of source.
@@ -187,7 +216,7 @@ def mix_sql(share: float, docs: str = "documents") -> str:
     WITH told(p1, p2, p3, depth, w) AS (VALUES {told}),
     docs AS (SELECT doc_id, coalesce(CASE WHEN n < 8 THEN 'web' WHEN n < 14 THEN 'books' WHEN n < 20 THEN 'reference' ELSE 'other' END, '{NONE}') AS domain,
              coalesce(lang, '{NONE}') AS lang, coalesce(source, '{NONE}') AS source,
-             coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens
+             md5(coalesce(text, '')) AS digest, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens
              FROM (SELECT *, try_cast(substr(source, 4) AS INTEGER) AS n FROM {docs})),
     leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
     nodes AS (SELECT * FROM (SELECT v.*, (tokens * {EPOCHS})::HUGEINT AS capacity, coalesce(t1.w, 1) AS w1, coalesce(t2.w, 1) AS w2, coalesce(t3.w, 1) AS w3
@@ -196,10 +225,10 @@ def mix_sql(share: float, docs: str = "documents") -> str:
     {level(1)}, {level(2)}, {level(3)},
     leaf AS (SELECT domain, lang, source, tokens, CASE WHEN tokens > 0 THEN (share::HUGEINT // tokens)::BIGINT ELSE 0 END AS full_epochs,
              CASE WHEN tokens > 0 THEN (share::HUGEINT % tokens)::BIGINT ELSE 0 END AS rest FROM l3 JOIN leaves USING (domain, lang, source)),
-    placed AS (SELECT *, ('0x' || substr(md5('{SEED}:' || (full_epochs + 1) || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+    placed AS (SELECT *, ('0x' || substr(md5('{SEED}:' || (full_epochs + 1) || ':' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 15))::BIGINT AS place
                FROM docs JOIN leaf USING (domain, lang, source)),
-    started AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place)
-                - sum(n_tokens) OVER (PARTITION BY domain, lang, source, place) AS start FROM placed),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY domain, lang, source, place) AS turn FROM placed),
+    started AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, turn ROWS UNBOUNDED PRECEDING) - n_tokens AS start FROM turns),
     taken AS (SELECT *, full_epochs + CASE WHEN start < rest THEN 1 ELSE 0 END AS copies FROM started)
     SELECT doc_id, domain, lang, source, n_tokens, full_epochs, CASE WHEN start < rest THEN least(n_tokens, rest - start) ELSE 0 END::BIGINT AS prefix_tokens, copies::BIGINT AS copies
     FROM taken WHERE copies > 0"""

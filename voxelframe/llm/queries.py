@@ -11,7 +11,7 @@ from .line_quality import quality_report, report_sql
 from .lm_scoring import score, score_sql
 from .mixing import EPOCHS, SEED, WEIGHTS, mix, mix_sql, standard_levels
 from .pii import find_pii
-from .secret_forest import find_secrets, labelled_findings
+from .secret_forest import find_secrets
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -34,7 +34,7 @@ def op2_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_random_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"), labelled_findings(spark), path_col="source")
+    return find_secrets(table(spark, sf_dir, "documents"), path_col="source")
 
 
 def op4_cross_document_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

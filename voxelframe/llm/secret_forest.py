@@ -1,10 +1,14 @@
 """Secret scans: candidates by shape, and a random forest that tells secrets from other long strings.
 
-Only DataFrame, SQL and Spark ML functions are used here.
+Only DataFrame, SQL and Spark ML functions are used here. What is known of words and of letters that follow one another
+is counted in the whole corpus; the forest is fitted on labelled findings.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,13 +18,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A candidate: 16 or more of these characters in a row, a digit among them, and the padding behind.
-RUN = r"[A-Za-z0-9+/_.-]{16,}+={0,2}+"
+from .common import checked_broadcast, materialize
+
+#: A run: 16 or more of these characters from the first one on, a digit among them, and the padding behind.
+RUN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_.=-]))?"
+#: What leads a value of 8 characters or more, of any kind: a name that tells of secrets, and an assignment.
+NAMED = r"(?i:secret|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|credential|access[_-]?key|private[_-]?key|client[_-]?key)[A-Za-z0-9_-]{0,24}[\"']?[ \t]{0,2}(?::=|=>|[:=])[ \t]{0,2}[\"'`]?"
+CANDIDATE = NAMED + r"[^\s\"'`,;<>]{8,}|" + RUN
 #: Characters of context taken on either side, within the line.
 AROUND = 48
 #: Labelled findings that the forest is fitted on at most.
 MOST_FINDINGS = 20_000
 TREES, DEPTH, SEED = 40, 8, 7
+#: A word is known if the corpus has it this often. Known words up to this many go to every task; beyond it they are joined by a shuffle.
+LEAST_SEEN, MOST_BROADCAST = 5, 500_000
 
 # Words that name secrets, words that name other long strings, and words of made-up values.
 SECRET_WORDS = "secret|token|passw|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|auth|credential|bearer|client[_ -]?secret|signing"
@@ -39,25 +50,53 @@ DICTIONARY = (
 ).split()
 
 
+@dataclass
+class CorpusModel:
+    """What the corpus knows: its words (column word), and the log probability of each letter after another.
+
+    Letters are 0 to 25, anything else is 26; the entry of ``b`` behind ``a`` stands at 27 * a + b.
+    """
+
+    words: DataFrame | None = None
+    steps: Sequence[float] = tuple([-math.log(27)] * 729)
+
+
+def learn_corpus(docs: DataFrame, text_col: str = "text") -> CorpusModel:
+    """Count the words (letters a to z) of all documents, and the steps from letter to letter in them."""
+    each = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), "[^a-z]+")).alias("word")).where("length(word) BETWEEN 1 AND 30")
+    words = materialize(each.groupBy("word").count().where(F.col("count") >= LEAST_SEEN), "words")
+    code = lambda c: F.when(c == "", 26).otherwise(F.ascii(c) - 97)
+    letters = F.concat(F.array(F.lit("")), F.split("word", ""), F.array(F.lit("")))
+    pairs = F.zip_with(F.slice(letters, 1, F.size(letters) - 1), F.slice(letters, 2, F.size(letters) - 1), lambda a, b: 27 * code(a) + code(b))
+    found = words.select("count", F.explode(pairs).alias("step")).groupBy("step").agg(F.sum("count").alias("n")).collect()  # 729 rows at most
+    counts = {r["step"]: r["n"] for r in found}
+    rows = [[counts.get(27 * a + b, 0) + 1 for b in range(27)] for a in range(27)]
+    return CorpusModel(words.select("word"), [math.log(n / sum(row)) for row in rows for n in row])
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """(doc_id, path, start, found, before, after): every candidate of every whole text, in the order of the text.
 
     The text between candidates comes from a split by the same pattern, so both lists interlock and positions are
-    running sums of lengths.
+    running sums of lengths. Context goes over the candidates beside it, up to ``AROUND`` characters of the line.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), (F.col(path_col).cast("string") if path_col else F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
-    runs = source.where(F.col("text").rlike(RUN)).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.regexp_extract_all("text", F.lit(f"({RUN})"), F.lit(1)).alias("runs"), F.split("text", RUN, -1).alias("gaps")
+    runs = source.where(F.col("text").rlike(CANDIDATE)).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1)).alias("runs"), F.split("text", CANDIDATE, -1).alias("gaps")
     )
+    side = lambda at: F.coalesce(F.get("runs", at), F.lit(""))
     near = lambda run, at: F.struct(
-        run.alias("found"), F.right(F.get("gaps", at), F.lit(AROUND)).alias("before"), F.left(F.get("gaps", at + 1), F.lit(AROUND)).alias("after"), F.length(F.get("gaps", at)).alias("gap")
+        run.alias("met"),
+        F.concat(F.right(side(at - 1), F.lit(AROUND)), F.right(F.get("gaps", at), F.lit(AROUND))).alias("ahead"),
+        F.concat(F.left(F.get("gaps", at + 1), F.lit(AROUND)), F.left(side(at + 1), F.lit(AROUND))).alias("behind"),
+        F.length(F.get("gaps", at)).alias("gap"),
     )
     each = runs.select("row", "doc_id", "path", F.posexplode(F.transform("runs", near)).alias("at", "p")).select("row", "doc_id", "path", "at", "p.*")
-    size = F.length("found").cast("long")
-    start = F.sum(size + F.col("gap")).over(Window.partitionBy("row").orderBy("at")) - size
-    placed = each.withColumn("start", start).where(F.col("found").rlike("[0-9]"))
-    line_before, line_after = F.regexp_extract("before", r"[^\n]*\z", 0), F.regexp_extract("after", r"\A[^\n]*", 0)
-    return placed.select("doc_id", "path", "start", "found", line_before.alias("before"), line_after.alias("after"))
+    size = F.length("met").cast("long")
+    each = each.withColumn("start", F.sum(size + F.col("gap")).over(Window.partitionBy("row").orderBy("at")) - size).withColumn("lead", F.regexp_extract("met", rf"\A{NAMED}", 0))
+    before = F.right(F.regexp_extract(F.concat("ahead", "lead"), r"[^\n]*\z", 0), F.lit(AROUND))
+    after = F.left(F.regexp_extract("behind", r"\A[^\n]*", 0), F.lit(AROUND))
+    return each.select("doc_id", "path", (F.col("start") + F.length("lead")).alias("start"), F.expr("substring(met, length(lead) + 1)").alias("found"), before.alias("before"), after.alias("after"))
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -68,19 +107,46 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Columns for the forest, and their names; nulls count as empty strings."""
+def _parts(found: Column) -> Column:
+    """The words of a string: letters in a row, cut before capitals that follow small letters, three or more of them."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(found, "([a-z])([A-Z])", "$1 $2")), F.lit("([a-z]{3,})"), F.lit(1))
+
+
+def _covered(found: DataFrame, words: DataFrame | None) -> DataFrame:
+    """``found`` with the letters that known words cover (column covered)."""
+    if words is None:
+        return found.withColumn("covered", F.lit(0))
+    parts = found.select("key", F.explode(_parts(F.col("found"))).alias("word"))
+    known = parts.join(checked_broadcast(words, MOST_BROADCAST), "word", "left_semi")
+    sums = known.groupBy("key").agg(F.sum(F.length("word")).alias("covered"))
+    return found.join(sums, "key", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+
+
+def features(found: DataFrame, model: CorpusModel | None = None) -> tuple[DataFrame, list[str]]:
+    """Columns for the forest, and their names; nulls count as empty strings.
+
+    ``transitions`` is the mean log probability of a letter behind the one before it, by the corpus; ``coverage`` the
+    share of letters in words that the corpus knows. Without ``model`` all steps are alike and no word is known.
+    """
+    model = model or CorpusModel()
+    if model.words is not None:
+        # Keys must be the same on both sides of the join.
+        found = materialize(found.withColumn("key", F.monotonically_increasing_id()), "found")
+    found = _covered(found, model.words)
     s = F.coalesce(F.col("found"), F.lit(""))
     low, before, after, path = F.lower(s), F.lower(F.coalesce("before", F.lit(""))), F.lower(F.coalesce("after", F.lit(""))), F.lower(F.coalesce("path", F.lit("")))
     n = F.length(s)
-    # Kinds of characters, then runs of one kind; one less than the runs are the transitions.
+    # Kinds of characters, then runs of one kind; one less than the runs are the changes of kind.
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "d"), "[^Uld]", "p")
     runs = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1"))
     letters = F.regexp_replace(low, "[^a-z]", "")
-    covered = F.length(letters) - F.length(F.regexp_replace(letters, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), ""))
+    codes = F.transform(F.split(F.regexp_replace(low, "[^a-z]", "{"), ""), lambda c: F.ascii(c) - 97)
+    table = F.array(*map(F.lit, model.steps))
+    likelihood = F.aggregate(F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.get(table, 27 * a + b)), F.lit(0.0), lambda x, y: x + y)
     cols = {
         "length": n.cast("double"),
-        "transitions": _share(runs - 1, n),
+        "transitions": F.when(n > 1, likelihood / (n - 1)).otherwise(F.lit(0.0)),
+        "changes": _share(runs - 1, n),
         "digits": _share(_count(s, "[0-9]"), n),
         "capitals": _share(_count(s, "[A-Z]"), n),
         "marks": _share(_count(s, "[^A-Za-z0-9]"), n),
@@ -89,7 +155,7 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "vowels": _share(_count(letters, "[aeiou]"), F.length(letters)),
         "hexadecimal": s.rlike(r"\A[0-9a-f]+\z|\A[0-9A-F]+\z").cast("double"),
         "uuid": low.rlike(r"\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z").cast("double"),
-        "coverage": _share(covered, F.length(letters)),
+        "coverage": _share(F.col("covered"), F.length(letters)),
         "fake": low.rlike(FAKE_WORDS).cast("double"),
         "repeats": s.rlike(r"(.)\1{3,}").cast("double"),
         "slashes": _count(s, "/"),
@@ -105,34 +171,41 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "quoted": (before.rlike(r"[\"'`]\z") & after.rlike(r"\A[\"'`]")).cast("double"),
         "address": before.rlike(r"https?:|www\.|/\z").cast("double"),
     }
-    return found.select("*", *(c.alias(f"f_{k}") for k, c in cols.items())), [f"f_{k}" for k in cols]
+    return found.select("*", *(c.alias(f"f_{k}") for k, c in cols.items())).drop("key", "covered"), [f"f_{k}" for k in cols]
 
 
-def fit(labelled: DataFrame, most: int = MOST_FINDINGS) -> PipelineModel:
+def fit(labelled: DataFrame, most: int = MOST_FINDINGS, model: CorpusModel | None = None) -> PipelineModel:
     """A forest fitted on labelled findings: columns found, before, after, path, and label (1 secret, 0 not).
 
     At most ``most`` findings are used, those first by hash; the rest of a larger table isn't needed to fit a forest of
     this size. Rows without a label are left out.
     """
     some = labelled.where("label IN (0, 1)").orderBy(F.xxhash64("found", "before", "after", "path")).limit(most)
-    rows, names = features(some.withColumn("label", F.col("label").cast("double")))
+    rows, names = features(some.withColumn("label", F.col("label").cast("double")), model)
     forest = RandomForestClassifier(labelCol="label", featuresCol="_features", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_features"), forest]).fit(rows)
 
 
-def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> DataFrame:
-    """Labelled findings written from rules: ``n`` rows, half of them secrets, alike for alike ``n`` and ``seed``.
+def common_words(model: CorpusModel, most: int = 400) -> list[str]:
+    """Known words of 4 to 10 letters, the first ``most`` by hash: what names are made of in this corpus."""
+    some = model.words.where("length(word) BETWEEN 4 AND 10").orderBy(F.xxhash64("word"), "word").limit(most)
+    return [r["word"] for r in some.collect()]
+
+
+def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1, vocabulary: Sequence[str] = DICTIONARY, families: tuple[Sequence[int], Sequence[int]] | None = None) -> DataFrame:
+    """Labelled findings written from rules: ``n`` rows, half of them secrets, alike for alike arguments.
 
-    Stands in for a table of findings that people have judged. Kinds cycle by row number; random parts come from hashes.
+    Stands in for a table of findings that people have judged. Kinds cycle by row number; random parts come from hashes,
+    names and paths from ``vocabulary``. ``families`` picks kinds of secrets and of others by number.
     """
     row = spark.range(0, n, 1, 1)
     digest = lambda salt, size=256: F.sha2(F.concat(F.lit(f"{seed}/{salt}/"), F.col("id").cast("string")), size)
     pick = lambda salt, *options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(F.lit(f"{seed}{salt}"), "id"), F.lit(len(options))) + 1).cast("int"))
-    words = lambda salt, k, join: F.concat_ws(join, *(pick(f"{salt}{i}", *DICTIONARY[i::7]) for i in range(k)))
+    words = lambda salt, k, join: F.concat_ws(join, *(pick(f"{salt}{i}", *vocabulary[i::7]) for i in range(k)))
     base64 = lambda salt: F.base64(F.unhex(digest(salt)))
     plain64 = lambda salt: F.regexp_replace(base64(salt), "[+/=]", "")
     hexes = lambda salt, size: F.left(digest(salt), F.lit(size))
-    name = pick("name", "token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "client_secret", "privateKey", "Authorization: Bearer", "db_password", "signing secret")
+    name = pick("name", "token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "client_secret", "privateKey", "Authorization: Bearer", "db_password", "signing secret", "webhook", "SESSION_COOKIE", "dsn", "license")
     assign = pick("assign", ' = "', "=", ": ", ": '", '="', " := '", " ")
     close = pick("close", '"', "", "'", '" ', '",', ";")
     lead = pick("lead", "the value of ", "", "export ", "set ", "const ", "where and ", "let my_", "une ", "de los ", "- ")
@@ -155,6 +228,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> Data
         (F.conv(hexes("z", 15), 16, 10), F.concat(lead, pick("o5", "order ", "invoice ", "id ", "", "isbn "))), (F.lit("xxxxxxxxxxxxxxxxxxxx1234"), said),
         (F.concat(words("aa", 2, ""), F.lit("."), words("bb", 2, "."), F.lit(".v2.com")), F.concat(lead, pick("o6", "mail to ", "see ", "www.", "at ", "de "))), (F.concat(words("cc", 1, ""), F.lit("-----------"), F.lit("2020")), lead),
     ]
+    if families is not None:
+        secret, other = ([kinds[k] for k in picked] for kinds, picked in zip((secret, other), families, strict=True))
     order = F.col("id") / 2
     case = lambda kinds, k: reduce(lambda made, at: made.when(F.pmod(order.cast("long"), F.lit(len(kinds))) == at, kinds[at][k]), range(1, len(kinds)), F.when(F.pmod(order.cast("long"), F.lit(len(kinds))) == 0, kinds[0][k]))
     even = F.pmod("id", F.lit(2)) == 0
@@ -162,15 +237,21 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> Data
     return row.select(both(0).alias("found"), both(1).alias("before"), F.concat(close, tail).alias("after"), F.when(even, path).otherwise(F.when(F.pmod(order.cast("long"), F.lit(3)) == 0, path).otherwise(quiet)).alias("path"), F.when(even, 1).otherwise(0).alias("label"))
 
 
-def find_secrets(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, model: CorpusModel | None = None) -> DataFrame:
     """One row per candidate: doc_id, start, stop (code points), found_sha256, score, is_secret (score >= ``threshold``).
 
-    Candidates are runs of 16 or more key characters with a digit in whole texts. The forest is fitted on ``labelled``
-    (see ``fit``); false positives are the rows with is_secret false. The strings themselves aren't passed on. Null and
-    empty texts have no candidates, null paths count as empty, repeated rows repeat their findings, ids may be null,
-    other columns are ignored, and an empty table gives no rows.
+    Candidates are runs of 16 or more key characters with a digit, and values of 8 or more characters of any kind that
+    are assigned to a name that tells of secrets, in whole texts. Words and letter steps are counted in all of ``docs``
+    unless ``model`` gives them. The forest is fitted on ``labelled`` (see ``fit``), by default on findings written
+    with the corpus's own words; false positives are the rows with is_secret false. The strings themselves aren't
+    passed on. Null and empty texts have no candidates, null paths count as empty, repeated rows repeat their findings,
+    ids may be null, other columns are ignored, and an empty table gives no rows. A very long text is matched whole by
+    one task; its candidates are rows of their own from then on.
     """
-    model = fit(labelled)
-    rows, _ = features(candidates(docs, id_col, text_col, path_col))
-    scored = model.transform(rows).withColumn("score", F.round(vector_to_array("_probability")[1], 6))
+    model = model or learn_corpus(docs, text_col)
+    if labelled is None:
+        labelled = labelled_findings(docs.sparkSession, vocabulary=[*DICTIONARY, *common_words(model)])
+    forest = fit(labelled, model=model)
+    rows, _ = features(candidates(docs, id_col, text_col, path_col), model)
+    scored = forest.transform(rows).withColumn("score", F.round(vector_to_array("_probability")[1], 6))
     return scored.select("doc_id", "start", (F.col("start") + F.length("found")).alias("stop"), F.sha2("found", 256).alias("found_sha256"), "score", (F.col("score") >= threshold).alias("is_secret"))
