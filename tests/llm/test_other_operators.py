@@ -242,7 +242,6 @@ def test_hashes_of_words():
 @pytest.mark.parametrize("shard", [1 << 20, 40])
 def test_scores_against_plain_models(spark, nothing, monkeypatch, shard):
     monkeypatch.setattr(lm_scoring, "SHARD", shard)
-    monkeypatch.setattr(lm_scoring, "HOT", 1 / 12)  # some words go by pair, some by themselves
     rnd = random.Random(5)
     rows = [(k, " ".join(rnd.choice("aa bb CC dd ee ff gg hh ii jj".split()[: 4 + k % 7]) for _ in range(rnd.randint(0, 25)))) for k in range(30)] + [(None, "aa zz"), (40, None), (41, " \n"), (42, "only here"), (43, "only here")]
     docs = spark.createDataFrame([(d, t, "en", "s", 0, *range(9)) for d, t in rows], SCHEMA).repartition(3)

@@ -1,8 +1,8 @@
 """Cross-entropy difference of documents under a target and a background model of words and word pairs.
 
 Both models have one vocabulary, all words of the corpus. Nothing is cut from it, and counts never leave the executors:
-the words of documents are dealt to shards by hash, each word with its successor, so a shard has all counts that the
-losses of its words need, and what goes back is a sum for each document.
+documents are taken in groups, the distinct words and pairs of a group are counted and dealt to shards by hash, every
+shard adds up what it gets and answers each group, and a group is judged where its answers and its texts meet again.
 """
 
 from __future__ import annotations
@@ -10,14 +10,12 @@ from __future__ import annotations
 import io
 import json
 import struct
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +24,12 @@ from .pieces import BASE, powers
 
 #: Weight of word pairs against single words.
 TRUST = 0.5
-#: Words of a shard, about, and documents that are dealt out together.
-SHARD, GROUP = 1 << 20, 4096
-#: Shorter stretches of following words are written as they are, others by a table of their own.
-CODED = 1 << 10
-#: Words with at least this share of all words are dealt out by pair, so no shard has to take all of one. At most 1 / HOT of them.
-HOT = 1 / (1 << 10)
+#: Words and pairs that a shard gets, about; documents, and bytes of their texts, that make up a group.
+SHARD, GROUP, GROUP_BYTES = 1 << 21, 4096, 1 << 24
 #: Target ids up to this many go to every task; beyond it they are joined by a shuffle.
 MOST_TARGETS = 1_000_000
-#: Bytes hashed at once, and word counts that a task holds before it passes them on.
-WINDOW, HELD = 1 << 22, 1 << 20
+#: Bytes hashed at once.
+WINDOW = 1 << 22
 #: Stands behind the last word of a text.
 END = np.uint64(0)
 TRAINS, SCORED = 1, 2
@@ -76,43 +70,26 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(_mixed(out), np.uint64(1)), np.diff(np.searchsorted(start, ends), prepend=0)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Stretches of at most GROUP rows with their texts; a null text is empty."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+    """Groups of rows (doc_id, text, target, role, row) with the number of their first row, and their texts; a null text is empty."""
     for whole in batches:
-        for at in range(0, whole.num_rows, GROUP):
-            batch = whole.slice(at, GROUP)
-            yield batch, [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+        texts = [t or b"" for t in whole.column(1).cast(pa.binary()).to_pylist()]
+        start, size = 0, 0
+        for k, text in enumerate(texts, 1):
+            size += len(text)
+            if k - start == GROUP or size > GROUP_BYTES or k == len(texts):
+                yield whole.column(4)[start].as_py(), whole.slice(start, k - start), texts[start:k]
+                start, size = k, 0
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, t, b): counts of the hashes of all words among target and other documents, summed in each task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def merged() -> None:
-            word, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            t, b = (np.bincount(at, np.concatenate([h[k] for h in held]), len(word)).astype(np.int64) for k in (1, 2))
-            held[:] = [(word, t, b)]
-
-        def flush() -> pa.RecordBatch:
-            word, t, b = held.pop()
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t), pa.array(b)], ["word", "t", "b"])
-
-        for batch, texts in _texts(batches, 0):
-            h, sizes = word_hashes(texts)
-            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), sizes)
-            held.append((h, target, 1 - target))
-            if sum(len(x[0]) for x in held) > HELD:
-                merged()
-                if len(held[0][0]) > HELD // 2:
-                    yield flush()
-        if held:
-            merged()
-            yield flush()
-
-    counted = docs.select("text", F.col("target").cast("int")).mapInArrow(run, "word long, t long, b long")
-    return counted.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+def entries(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct words (even) and pairs (odd) of texts, which of them each word is and makes with its successor, and the number of words of each text."""
+    h, sizes = word_hashes(texts)
+    following = np.append(h[1:], END)[: len(h)]
+    following[np.cumsum(sizes)[sizes > 0] - 1] = END
+    pair = _mixed(h * np.uint64(BASE) + _mixed(following ^ np.uint64(0x5851F42D4C957F2D)))
+    keys, at = np.unique(np.concatenate([h & ~np.uint64(1), pair | np.uint64(1)]), return_inverse=True)
+    return keys, at[: len(h)], at[len(h) :], sizes
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -136,143 +113,122 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def _dealt(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
-    """(shard, blob): the words of each group of documents that fall to a shard, each with its successor, document and number.
+def _asked(docs: DataFrame, shards: int) -> DataFrame:
+    """(shard, group, t, b, blob): the keys of each group that fall to a shard, and their counts among target and background.
 
-    ``hot`` words go by pair; with them goes how often the document has the word, as no shard sees all of that.
+    Sorted keys are written as differences, six bytes each where that does, byte by byte. ``t`` and ``b`` are the
+    group's words, told once.
     """
+    names = ["shard", "group", "t", "b", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, group = TaskContext.get().partitionId() << 32, 0
-        for batch, texts in _texts(batches, 1):
-            h, sizes = word_hashes(texts)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            following = np.append(h[1:], END)
-            following[np.cumsum(sizes)[sizes > 0] - 1] = END
-            often = np.isin(h, hot)
-            own = np.zeros(len(h), np.int64)
-            if often.any():
-                _, at, n = np.unique(np.searchsorted(hot, h[often]) * len(sizes) + owner[often], return_inverse=True, return_counts=True)
-                own[often] = n[at]
-            shard = (np.where(often, _mixed(h ^ (following * np.uint64(3))), h) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((h, shard))
-            h, owner, following, own, shard = h[order], owner[order], following[order], own[order], shard[order]
-            bounds = np.searchsorted(shard, np.arange(shards + 1))
-            target, role = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.uint8) for k in (2, 3))
+        starts = np.array([-(-(k << 64) // shards) for k in range(shards)], np.uint64)
+        for group, batch, texts in _groups(batches):
+            keys, word, pair, sizes = entries(texts)
+            target, role = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for k in (2, 3))
+            counts = []
+            for side in (target * (role & TRAINS), (1 - target) * (role & TRAINS)):
+                counts.append(np.bincount(word, side, len(keys)) + np.bincount(pair, side, len(keys)))
+                counts.append(int(side.sum()))
+            t, n_t, b, n_b = counts
+            bounds = np.append(np.searchsorted(keys, starts), len(keys))
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                part = slice(bounds[k], bounds[k + 1])
+                steps = np.diff(keys[part], prepend=starts[k])
+                width = 6 if int(steps.max()) < 1 << 48 else 8
+                raw = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).ravel()
+                blob = _pack(steps=raw, t=_narrow(t[part]), b=_narrow(b[part]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((k, pa.int32()), (group, pa.int64()), (n_t, pa.int64()), (n_b, pa.int64()), (blob, pa.binary()))], names)
+                n_t = n_b = 0
+
+    return docs.mapInArrow(run, "shard int, group long, t long, b long, blob binary")
+
+
+def _answered(asked: DataFrame, shards: int) -> DataFrame:
+    """(group, shard, v, t, b, blob): for each group the counts of its keys in the corpus. ``v``: distinct words of the shard, told once."""
+    names = ["group", "shard", "v", "t", "b", "blob"]
+
+    def answer(shard: int, rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        found, keys = [_unpack(r[3]) for r in rows], []
+        for x in found:
+            n = len(x["t"])
+            steps = np.zeros((n, 8), np.uint8)
+            steps[:, : len(x["steps"]) // n] = x["steps"].reshape(-1, n).T
+            keys.append(np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(-(-(shard << 64) // shards)))
+        known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        t, b = (np.bincount(at, np.concatenate([x[k] for x in found]), len(known)).astype(np.int64) for k in ("t", "b"))
+        seen, v, done = t + b > 0, 0, 0
+        v = int(np.count_nonzero(seen & (known & np.uint64(1) == 0)))
+        for (group, n_t, n_b, _), mine in zip(rows, keys, strict=True):
+            own = at[done : done + len(mine)]
+            done += len(mine)
+            blob = _pack(t=_narrow(t[own]), b=_narrow(b[own]))
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((group, pa.int64()), (shard, pa.int32()), (v, pa.int64()), (n_t, pa.int64()), (n_b, pa.int64()), (blob, pa.binary()))], names)
+            v = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now and rows:
+                    yield from answer(now, rows)
+                    rows = []
+                now = shard
+                rows.append(row)
+        if rows:
+            yield from answer(now, rows)
+
+    dealt = asked.repartition("shard").sortWithinPartitions("shard", "group")
+    return dealt.mapInArrow(run, "group long, shard int, v long, t long, b long, blob binary")
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """(group, blob): ids, texts, targets and roles of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, batch, texts in _groups(batches):
             ids = io.BytesIO()
             with pa.ipc.new_stream(ids, pa.schema([batch.schema.field(0)])) as writer:
                 writer.write_batch(batch.select([0]))
-            some = np.flatnonzero(np.diff(bounds)).tolist()
-            # The first shard gets the ids as well, whether it has words of the group or not.
-            for k in some if bounds[1] else [0, *some]:
-                a, b = bounds[k : k + 2]
-                cut = np.flatnonzero(np.append(True, h[a + 1 : b] != h[a : b - 1])) if b > a else np.empty(0, np.int64)
-                docs_here, doc = np.unique(owner[a:b], return_inverse=True)
-                arrays = {"words": h[a:b][cut], "times": _narrow(np.diff(np.append(cut, b - a))), "doc": _narrow(doc), "own": _narrow(own[a:b]), "docs": _narrow(docs_here)}
-                arrays |= {"n_words": _narrow(sizes[docs_here]), "target": target[docs_here], "role": role[docs_here]}
-                if b - a >= CODED:
-                    second, s = np.unique(following[a:b], return_inverse=True)
-                    arrays |= {"second": second, "s": _narrow(s)}
-                else:
-                    arrays["second"] = following[a:b]
-                if k == 0:
-                    arrays |= {"ids": np.frombuffer(ids.getvalue(), np.uint8), "all_words": _narrow(sizes), "all_roles": role}
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part + group], pa.int64()), pa.array([_pack(**arrays)], pa.binary())], ["shard", "group", "blob"])
-            group += 1
+            target, role = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.uint8) for k in (2, 3))
+            blob = _pack(ids=np.frombuffer(ids.getvalue(), np.uint8), text=np.frombuffer(b"".join(texts), np.uint8), size=_narrow(np.array([len(t) for t in texts])), target=target, role=role)
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([blob], pa.binary())], ["group", "blob"])
 
-    source = docs.select("doc_id", "text", F.col("target").cast("int"), F.col("role").cast("int"))
-    return source.mapInArrow(run, "shard int, group long, blob binary")
+    return docs.mapInArrow(run, "group long, blob binary")
 
 
 @dataclass
 class Sums:
-    """What a loss needs besides the counts of a shard."""
+    """Words of the target's and the background's documents, and of the vocabulary."""
 
-    n_target: int
-    n_background: int
-    n_words: int  # of the vocabulary
-    hot: np.ndarray
-    hot_target: np.ndarray
-    hot_background: np.ndarray
+    target: int
+    background: int
+    vocabulary: int
 
     def scale(self) -> float:
         """Background counts are weighed by this, so that both models have seen as many words."""
-        return self.n_target / self.n_background if self.n_target and self.n_background else 1.0
-
-
-def _sum_by(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(at, n, size)
+        return self.target / self.background if self.target and self.background else 1.0
 
 
-def shard_losses(rows: dict[str, np.ndarray], docs: dict[str, np.ndarray], sums: Sums) -> tuple[np.ndarray, np.ndarray]:
-    """Target and background losses of each document's words in one shard.
+def losses(word: np.ndarray, pair: np.ndarray, sizes: np.ndarray, target: np.ndarray, role: np.ndarray, counts: tuple[np.ndarray, np.ndarray], sums: Sums) -> tuple[np.ndarray, np.ndarray]:
+    """Target and background losses, summed over the words of each text.
 
-    ``rows``: first and second word, document, and how often the document has a hot first word, one row for each word
-    of a text. ``docs``: n_words, target and role of the documents. What a document counts in the corpus is taken off
-    before its own words are judged.
+    ``word`` and ``pair``: which entry each word is, and makes with its successor; ``counts``: of the entries in the
+    corpus, among target and background. What a text counts there itself is taken off before its words are judged.
     """
-    order = np.lexsort((rows["doc"], rows["second"], rows["first"]))
-    first, second, doc, own = (rows[k][order] for k in ("first", "second", "doc", "own"))
-    new_first = np.append(True, first[1:] != first[:-1])
-    new_pair = new_first | np.append(True, second[1:] != second[:-1])
-    begin = np.flatnonzero(new_pair | np.append(True, doc[1:] != doc[:-1]))
-    n = np.diff(np.append(begin, len(first)))
-    word, pair = (np.cumsum(x)[begin] - 1 for x in (new_first, new_pair))
-    first, doc, own = first[begin], doc[begin], own[begin]
-    hot = np.isin(first, sums.hot)
-    _, at = np.unique(word * len(docs["role"]) + doc, return_inverse=True)
-    own = np.where(hot, own, _sum_by(at, n, len(begin))[at])
-    role, target = docs["role"][doc], docs["target"][doc].astype(bool)
-    place = np.minimum(np.searchsorted(sums.hot, first), max(len(sums.hot) - 1, 0))
-    losses = []
-    for of_model, all_words, hot_counts, weight in ((target, sums.n_target, sums.hot_target, 1.0), (~target, sums.n_background, sums.hot_background, sums.scale())):
-        counted = n * (of_model & (role & TRAINS > 0))
-        mine = of_model & (role == TRAINS | SCORED)
-        c_pair = weight * (_sum_by(pair, counted, pair[-1] + 1)[pair] - n * mine)
-        c_word = _sum_by(word, counted, word[-1] + 1)[word]
-        c_word = weight * (np.where(hot, hot_counts[place] if len(sums.hot) else 0, c_word) - own * mine)
-        total = weight * (all_words - docs["n_words"][doc] * mine)
-        single = (c_word + 1) / (total + sums.n_words)
-        double = (c_pair + 1) / (c_word + sums.n_words + 1)
-        loss = -n * ((1 - TRUST) * np.log(single) + TRUST * np.log(double))
-        losses.append(_sum_by(doc, np.where(role & SCORED > 0, loss, 0.0), len(docs["role"])))
-    return losses[0], losses[1]
-
-
-def _judged(dealt: DataFrame, sums: Sums) -> DataFrame:
-    """(group, blob): sums of the losses of each group's documents, from one shard each; one of them has the ids."""
-
-    def judge(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        rows, docs, offsets, parts = defaultdict(list), defaultdict(list), [0], []
-        for _, blob in blobs:
-            x = _unpack(blob)
-            rows["first"].append(np.repeat(x["words"], x["times"]))
-            rows["second"].append(x["second"][x["s"]] if "s" in x else x["second"])
-            rows["doc"].append(x["doc"].astype(np.int64) + offsets[-1])
-            rows["own"].append(x["own"].astype(np.int64))
-            for k in ("n_words", "target", "role"):
-                docs[k].append(x[k].astype(np.int64))
-            offsets.append(offsets[-1] + len(x["docs"]))
-            parts.append({k: x[k] for k in ("docs", "ids", "all_words", "all_roles") if k in x})
-        rows, docs = ({k: np.concatenate(v) for k, v in d.items()} for d in (rows, docs))
-        t, b = shard_losses(rows, docs, sums) if len(rows["doc"]) else np.zeros((2, 0))
-        for (group, _), x, a, e in zip(blobs, parts, offsets, offsets[1:], strict=False):
-            blob = _pack(t=t[a:e], b=b[a:e], **x)
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([blob], pa.binary())], ["group", "blob"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
-        for batch in batches:
-            for shard, group, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now and blobs:
-                    yield from judge(blobs)
-                    blobs = []
-                now = shard
-                blobs.append((group, blob))
-        if blobs:
-            yield from judge(blobs)
-
-    return dealt.repartition("shard").sortWithinPartitions("shard", "group").mapInArrow(run, "group long, blob binary")
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    own = []
+    for at in (word, pair):
+        _, which, n = np.unique(doc * len(counts[0]) + at, return_inverse=True, return_counts=True)
+        own.append(n[which])
+    out = []
+    for of_model, entry, all_words, weight in ((target == 1, counts[0], sums.target, 1.0), (target == 0, counts[1], sums.background, sums.scale())):
+        mine = (of_model & (role == TRAINS | SCORED))[doc]
+        c_word, c_pair = (weight * (entry[at] - n * mine) for at, n in zip((word, pair), own, strict=True))
+        single = (c_word + 1) / (weight * (all_words - sizes[doc] * mine) + sums.vocabulary)
+        double = (c_pair + 1) / (c_word + sums.vocabulary + 1)
+        out.append(np.bincount(doc, -(1 - TRUST) * np.log(single) - TRUST * np.log(double), len(sizes)))
+    return out[0], out[1]
 
 
 def score(docs: DataFrame, targets: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,7 +247,8 @@ def score(docs: DataFrame, targets: DataFrame, corpus: DataFrame | None = None,
 
     Documents without words (null, blank) have n_tokens 0 and null losses. Null ids are background; repeated rows count
     as often as they stand there; other columns are ignored; without targets that model is even, and an empty table
-    gives no rows. Very long texts are dealt out word by word like others; one is hashed whole by one task.
+    gives no rows. A very long text is a group of its own, held whole by one task. The input is read twice and must
+    come in the same order; a table that doesn't raises an error.
     """
     marked = lambda df, role: df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(role).alias("role"))
     rows = marked(docs, TRAINS | SCORED) if corpus is None else marked(docs, SCORED).union(marked(corpus, TRAINS))
@@ -301,41 +258,40 @@ def score(docs: DataFrame, targets: DataFrame, corpus: DataFrame | None = None,
     if few is wanted:
         # Joined by a shuffle: what is read twice, and again after a loss, must come in one order.
         rows = materialize(rows, "marked")
-    words = materialize(word_counts(rows.where(F.col("role").bitwiseAND(TRAINS) > 0)), "words")
-    total = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    hot = sorted((r["word"] % (1 << 64), r["t"], r["b"]) for r in words.where(F.col("t") + F.col("b") >= HOT * (total["t"] + total["b"])).collect())  # 1 / HOT rows at most
-    sums = Sums(total["t"], total["b"], total["v"], *(np.array([h[k] for h in hot], kind) for k, kind in ((0, np.uint64), (1, np.float64), (2, np.float64))))
-    shards = max(1, -(-(total["t"] + total["b"]) // SHARD))
-    judged = _judged(_dealt(rows, shards, sums.hot), sums)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, size // (3 * SHARD))  # a word and a pair for every six bytes or so
+    answers = materialize(_answered(_asked(rows, shards), shards), "answers")
+    sums = Sums(*(answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "b", "v"))).first()))
     names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
-        for batch in batches:
-            for group, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group != now and blobs:
-                    yield told(blobs)
-                    blobs = []
-                now = group
-                blobs.append(_unpack(blob))
-        if blobs:
-            yield told(blobs)
-
-    def told(blobs: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        about = next(x for x in blobs if "ids" in x)
-        n, (t, b) = about["all_words"].astype(np.int64), np.zeros((2, len(about["all_words"])))
-        for x in blobs:
-            t[x["docs"]] += x["t"]
-            b[x["docs"]] += x["b"]
+    def told(counts: list[dict[str, np.ndarray]], about: dict[str, np.ndarray]) -> pa.RecordBatch:
+        raw, ends = about["text"].tobytes(), np.cumsum(about["size"].astype(np.int64)).tolist()
+        keys, word, pair, n = entries([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        of = tuple(np.concatenate([x[k].astype(np.int64) for x in counts]) if counts else np.zeros(0, np.int64) for k in ("t", "b"))
+        if len(of[0]) != len(keys):
+            raise RuntimeError("a group came back with other documents than it asked for: the input doesn't keep its order")
+        t, b = (x / np.maximum(n, 1) for x in losses(word, pair, n, about["target"], about["role"], of, sums))
         with pa.ipc.open_stream(about["ids"].tobytes()) as reader:
             ids = reader.read_all().column(0).combine_chunks()
-        t, b, none = t / np.maximum(n, 1), b / np.maximum(n, 1), n == 0
+        none = n == 0
         cols = [ids, pa.array(n), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(t - b, mask=none)]
-        return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(about["all_roles"] & SCORED > 0))
+        return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(about["role"] & SCORED > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[dict[str, np.ndarray]] = []
+        for batch in batches:
+            for _, shard, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard is not None:
+                    counts.append(_unpack(blob))
+                else:
+                    yield told(counts, _unpack(blob))
+                    counts = []
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    # Groups come back in the order of their shards, so sums don't hang on chance.
-    back = judged.repartition("group").sortWithinPartitions("group", F.xxhash64("blob"))
+    both = answers.select("group", "shard", "blob").union(_carried(rows).select("group", F.lit(None).cast("int"), "blob"))
+    # The answers of a group in the order of their shards, then the group itself.
+    back = both.repartition("group").sortWithinPartitions("group", F.col("shard").asc_nulls_last())
     return back.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
