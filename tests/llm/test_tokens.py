@@ -48,6 +48,13 @@ def test_counts_are_the_librarys():
     assert counter.count(sample) == [len(e) for e in whole.encode_batch(sample, add_special_tokens=False)]
 
 
+def test_counts_keep_no_long_pieces():
+    counter = _counter("word_bpe_49k.json")
+    many = ["QUJD" * 5000, "文字" * 3000 + " and so on", "x" * 129 + " " + "y" * 128]
+    assert counter.count(many) == [len(library("word_bpe_49k.json").encode(t, add_special_tokens=False)) for t in many]
+    assert max(map(len, counter.known)) <= 128
+
+
 def test_a_small_memory_forgets_nothing_it_needs(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 0)
     monkeypatch.setattr(pieces, "WINDOW", 16)

@@ -47,3 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_key(text: Column) -> Column:
     """Tells rows of one id apart where ids are repeated."""
     return F.xxhash64(text.cast("string"))
+
+
+def batched(docs: DataFrame, rows: int = 1024) -> DataFrame:
+    """``docs``, with the session's Arrow batches set to ``rows`` rows: texts are long, and a batch is held by the JVM and by Python."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return docs

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 #: Characters of test items that one pass over the documents looks for; more items take more passes.
 BLOCK_CHARS = 4_000_000
 
@@ -150,7 +152,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, id_col: str
     items that are null or blank match nothing; repeated rows, on either side, give repeated hits; ids may be null;
     other columns are ignored; without items or documents the result is empty.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    source = batched(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     kinds = source.schema["doc_id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int"
     found = None
@@ -169,7 +171,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, id_col: str
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in whose text ``find_leaks`` finds no item, with all their columns; no shuffle."""
-    at = docs.columns.index(text_col)
+    at = batched(docs).columns.index(text_col)
     for block in _blocks(items, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize, text_key
+from .common import batched, checked_broadcast, materialize, text_key
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent lines up to this many go to every task; beyond it they are joined by a shuffle.
@@ -75,7 +75,7 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], names)
 
     names = ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "sizes"]
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), text_key(F.col(text_col)).alias("text_key"))
+    source = batched(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), text_key(F.col(text_col)).alias("text_key"))
     kinds = [source.schema["doc_id"].dataType.simpleString(), "string"] + ["long"] * 6 + ["array<long>"] * 2
     return source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize
+from .common import batched, checked_broadcast, materialize
 from .pieces import BASE, powers
 
 #: Weight of word pairs against single words.
@@ -254,7 +254,7 @@ def score(docs: DataFrame, targets: DataFrame, corpus: DataFrame | None = None,
     rows = marked(docs, TRAINS | SCORED) if corpus is None else marked(docs, SCORED).union(marked(corpus, TRAINS))
     wanted = materialize(targets.select(F.col(targets.columns[0]).alias("doc_id"), F.lit(True).alias("hit")).distinct(), "targets")
     few = checked_broadcast(wanted, MOST_TARGETS)
-    rows = rows.join(few, "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("target"), "role")
+    rows = batched(rows, GROUP).join(few, "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("target"), "role")
     if few is wanted:
         # Joined by a shuffle: what is read twice, and again after a loss, must come in one order.
         rows = materialize(rows, "marked")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Letters of other scripts that look like Latin ones, by code point order.
@@ -249,6 +251,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             kinds_of = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds_of, strict=True))], names)
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = batched(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = ["long"] * 4 + ["string"] * 2 + ["long"]
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in zip(names[1:], kinds, strict=True)))

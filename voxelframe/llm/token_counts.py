@@ -13,8 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces whose counts a Python worker keeps.
-KEPT = 600_000
+from .common import batched
+
+#: Distinct pieces whose counts a Python worker keeps, and characters of one; longer ones are counted anew.
+KEPT, LONGEST = 400_000, 128
 #: Symbols merged in one go.
 CHUNK = 1 << 18
 NONE = np.iinfo(np.int64).max
@@ -170,6 +172,9 @@ class PieceCounter:
             self._learn(list(fresh))
         for ps in pieces:
             out.append(sum(map(self.known.__getitem__, ps)))
+        for p in fresh:
+            if len(p) > LONGEST:
+                del self.known[p]
         return out
 
 
@@ -206,6 +211,6 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
                 size = [len(t.encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(counter.count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = batched(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counted = source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir
+from .common import batched, materialize, scratch_dir
 from .pieces import PieceEncoder
 
 MAGIC = b"VXA1"
@@ -60,7 +60,7 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
                 ids += [packer.compress(x + end) for x in coder.encode_all(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = batched(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
