@@ -53,10 +53,9 @@ def divide(a: Column, b: Column | float) -> Column:
 
 
 def divide_whole(a: Column, b: Column | int) -> Column:
-    """Whole division, truncated toward zero; null for a zero divisor, which has no whole result."""
-    b = b if isinstance(b, Column) else F.lit(b)
-    q = F.abs(a) - F.abs(a) % F.nullif(F.abs(b), F.lit(0))
-    return (F.signum(a) * F.signum(b)).cast("long") * (q / F.nullif(F.abs(b), F.lit(0))).cast("long")
+    """Whole division, truncated toward zero, exact for all 64-bit numbers; null for a zero divisor, which has no whole result."""
+    b = (b if isinstance(b, Column) else F.lit(b)).cast("long")
+    return F.call_function("div", a.cast("long"), F.nullif(b, F.lit(0).cast("long")))
 
 
 def remainder(a: Column, b: Column | float) -> Column:

@@ -10,19 +10,20 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from ..plans.raster import Raster
 
 
-def uniform(seed: int, index: Column, stream: int = 0) -> Column:
+#: The largest Poisson mean that is drawn at once.
+AT_ONCE = 500.0
+
+
+def uniform(seed: int, index: Column, stream: int | Column = 0) -> Column:
     """A number in [0, 1) with 52 random bits."""
-    text = F.concat(F.lit(f"{seed}:{stream}:"), index.cast("string"))
+    number = stream if isinstance(stream, Column) else F.lit(stream)
+    text = F.concat_ws(":", F.lit(str(seed)), number.cast("string"), index.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -70,7 +71,9 @@ class GaussianNoise:
 class PoissonNoise:
     """Draws with a mean; applied as shot noise, where each value is the mean of its own draw.
 
-    Every pixel has a generator of its own, so a pixel's result depends on seed, index and its value only.
+    Draws by inversion: the least k at which the summed probabilities reach a uniform number of the pixel. A mean above
+    ``AT_ONCE`` is the sum of equal smaller ones with a number each, so nothing underflows and all of it stays an
+    expression. A pixel's result depends on seed, index and its value only; below 0 and for NaN it is NaN.
     """
 
     mean: float = 1.0
@@ -80,15 +83,20 @@ class PoissonNoise:
         return self.perturb(F.lit(float(self.mean)), index)
 
     def perturb(self, v: Column, index: Column) -> Column:
-        seed = self.seed & (1 << 63) - 1
-
-        @pandas_udf(DoubleType())
-        def run(mean: pd.Series, idx: pd.Series) -> pd.Series:
-            out = [np.random.Generator(np.random.Philox(key=[seed, i & (1 << 64) - 1])).poisson(m) if m >= 0 else math.nan for m, i in zip(mean.tolist(), idx.tolist(), strict=True)]
-            return pd.Series(out, dtype="float64")
-
-        # NaN comes back from pandas as null.
-        return F.coalesce(run(v.cast("double"), index.cast("long")), F.when(v.isNotNull(), F.lit(math.nan)))
+        mean = v.cast("double")
+        parts = F.greatest(F.ceil(mean / AT_ONCE), F.lit(1)).cast("int")
+        share = mean / parts
+        # Beyond this k the rest of the probability is below any uniform number's grain.
+        most = F.ceil(share + 12 * F.sqrt(share) + 30).cast("int")
+        empty = F.struct(F.exp(-share).alias("p"), F.exp(-share).alias("sum"), F.lit(0).alias("k"))
+
+        def one(stream: Column) -> Column:
+            u = uniform(self.seed, index, stream)
+            step = lambda a, k: F.when(a["sum"] > u, a).otherwise(F.struct((a["p"] * share / k).alias("p"), (a["sum"] + a["p"] * share / k).alias("sum"), k.alias("k")))
+            return F.aggregate(F.sequence(F.lit(1), most), empty, step, lambda a: a["k"])
+
+        drawn = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda a, s: a + one(s)).cast("double")
+        return F.when(mean >= 0, F.when(mean == math.inf, F.lit(math.inf)).otherwise(F.when(~F.isnan(mean), drawn).otherwise(F.lit(math.nan)))).otherwise(F.when(v.isNotNull(), F.lit(math.nan)))
 
 
 @dataclass(frozen=True)

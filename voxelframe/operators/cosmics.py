@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ..functions.maths import is_nan
 from ..plans.raster import Raster, pixel
 from ..plans.regions import Box
+from ..plans.scratch import scratch_path
 from .stencil import Correlation, Dilation, Mean, Nearest, apply_filter, centred, pearson, quotient
 
 #: The 3 by 3 second-difference kernel.
@@ -52,10 +54,10 @@ def detect(image: Raster, psf: Sequence[float], psf_shape: Sequence[int], false_
 
 def min_contrast(image: Raster, mask: Raster) -> Raster:
     """Least (n - p) / n over the neighbours n of pixel p that the mask flags; the largest number where there are none."""
-    cross = ((-1, 0), (1, 0), (0, -1), (0, 1))
+    cross = [tuple(d if j == k else 0 for j in range(image.dimension)) for k in range(image.dimension) for d in (-1, 1)]
     flagged = image.df.join(mask.df.where("v != 0").select(*image.axes), image.axes, "left_semi")
-    offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in cross))
-    around = flagged.withColumn("_o", F.explode(offsets)).select((F.col("x0") + F.col("_o.a")).alias("x0"), (F.col("x1") + F.col("_o.b")).alias("x1"), F.col("v").alias("_n"))
+    offsets = F.array(*(F.struct(*(F.lit(d).alias(a) for d, a in zip(o, image.axes, strict=True))) for o in cross))
+    around = flagged.withColumn("_o", F.explode(offsets)).select(*((F.col(a) + F.col(f"_o.{a}")).alias(a) for a in image.axes), F.col("v").alias("_n"))
     contrast = F.min((F.col("_n") - F.col("v")) / F.nullif(F.col("_n"), F.lit(0.0)))
     found = image.df.join(around, image.axes).groupBy(*image.axes).agg(contrast.alias("_c"))
     return Raster(image.df.join(found, image.axes, "left").select(*image.axes, F.coalesce("_c", F.lit(LARGEST)).alias("v")), image.shape, image.front)
@@ -73,10 +75,12 @@ def segment(image: Raster, mask: Raster, threshold: float) -> Raster:
 
 
 def mask_cosmics(image: Raster, psf: Sequence[float], psf_shape: Sequence[int], false_alarms: float = 0.01, most_quotient: float = 0.5, rounds: int = 2, threshold: float = 0.5) -> Raster:
-    """Detection and ``rounds`` of growth."""
+    """Detection and ``rounds`` of growth. Each round's mask is written, as the next one reads it twice."""
     mask = detect(image, psf, psf_shape, false_alarms, most_quotient)
     for _ in range(rounds):
-        mask = segment(image, mask, threshold)
+        path = scratch_path(image.df.sparkSession, "mask")
+        mask.df.write.parquet(path)
+        mask = segment(image, replace(mask, df=image.df.sparkSession.read.parquet(path)), threshold)
     return mask
 
 

@@ -110,6 +110,16 @@ class Affinity:
         m[to_axis, from_axis], m[from_axis, to_axis] = s, -s
         return self._then(m)
 
+    @classmethod
+    def rotation_radians(cls, angle: float, dimension: int, from_axis: int = 0, to_axis: int = 1, center: Sequence[float] | None = None) -> Affinity:
+        return cls.identity(dimension, center).rotate_radians(angle, from_axis, to_axis)
+
+    def rotate_radians(self, angle: float, from_axis: int = 0, to_axis: int = 1) -> Affinity:
+        m = np.eye(len(self.shift))
+        m[from_axis, from_axis] = m[to_axis, to_axis] = math.cos(angle)
+        m[to_axis, from_axis], m[from_axis, to_axis] = math.sin(angle), -math.sin(angle)
+        return self._then(m)
+
     def inverse(self) -> Affinity:
         m = np.linalg.inv(self.matrix)
         return replace(self, matrix=m, shift=-m @ self.shift)
@@ -156,6 +166,10 @@ def rotate(raster: Raster, degrees: float, from_axis: int = 0, to_axis: int = 1,
     return warp(raster, Affinity.rotation(degrees, raster.dimension, from_axis, to_axis, center_of(raster)), method, how)
 
 
+def rotate_radians(raster: Raster, angle: float, from_axis: int = 0, to_axis: int = 1, method: str = LINEAR, how: Extrapolation = Nearest()) -> Raster:
+    return warp(raster, Affinity.rotation_radians(angle, raster.dimension, from_axis, to_axis, center_of(raster)), method, how)
+
+
 def resample(raster: Raster, factors: Sequence[float], method: str = NEAREST, how: Extrapolation = Nearest()) -> Raster:
     """out[p] = in(p / factor) for a shape of shape * factor, truncated; no smoothing is done."""
     shape = tuple(int(s * f) for s, f in zip(raster.shape, factors, strict=True))

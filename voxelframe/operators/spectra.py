@@ -6,10 +6,11 @@ Spark gathers the lines of an axis, NumPy transforms a batch of lines at once.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.maths import complex_multiply, complex_of
@@ -63,10 +64,11 @@ def inverse_complex_dft(raster: Raster) -> Raster:
     return out
 
 
-def real_dft(raster: Raster) -> Raster:
-    """Forward of a real raster, not scaled; axis 0 keeps n // 2 + 1 terms, the rest being their conjugates."""
-    out = _pass(_complex(raster), 0, "rfft", 0)
-    for axis in range(1, raster.dimension):
+def real_dft(raster: Raster, axes: Sequence[int] | None = None) -> Raster:
+    """Forward of a real raster, not scaled; the first axis keeps n // 2 + 1 terms, the rest being their conjugates. Over all axes, or over some: line by line."""
+    first, *others = axes if axes is not None else range(raster.dimension)
+    out = _pass(_complex(raster), first, "rfft", 0)
+    for axis in others:
         out = _pass(out, axis, "fft", 0)
     return out
 
@@ -118,3 +120,7 @@ class DftPlan:
             return out
         n = float(self.normalization_factor)
         return out.apply(lambda v: v * n if self.kind == "real" else complex_of(v["re"] * n, v["im"] * n))
+
+    def compose(self, f: Callable[[Column], Column], normalize: bool = True) -> Callable[[Raster], Raster]:
+        """There, ``f`` on the terms (their coordinates are at hand as x0, …), and back, as one function of rasters."""
+        return lambda raster: self.inverse(self.transform(raster).apply(f), normalize)

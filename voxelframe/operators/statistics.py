@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import abspow, is_nan
 from ..plans.raster import Raster, pixel
-
+from ..plans.scratch import scratch_path
 
 
 def summary(raster: Raster, value: Column | None = None) -> DataFrame:
@@ -55,9 +56,36 @@ def contains_nan(raster: Raster) -> bool:
     return bool(raster.df.where(is_nan(pixel())).limit(1).count())
 
 
+def ranked(raster: Raster, value: Column | None = None) -> DataFrame:
+    """(value, first, last): the ranks, counted from 0, that each distinct value takes in ascending order; NaN comes last.
+
+    Equal values are counted before any shuffle, values are dealt out by range and numbered within their ranges, so no
+    task holds more than its range; only one number per range is added up in one place.
+    """
+    counted = raster.df.groupBy((pixel() if value is None else value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(raster.df.sparkSession, "ranked")
+    counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    held = raster.df.sparkSession.read.parquet(path)
+    parts = held.groupBy("part").agg(F.sum("n").alias("size"))
+    starts = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))
+    placed = held.join(F.broadcast(starts), "part")  # a row for each range
+    last = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("value")) - 1
+    return placed.select("value", (last - F.col("n") + 1).alias("first"), last.alias("last"))
+
+
+def quantile_row(raster: Raster, qs: dict[str, float], value: Column | None = None) -> DataFrame:
+    """One row with exact quantiles by name, interpolated linearly between neighbours; null for an empty raster."""
+    size = raster.df.count()
+    ranks = ranked(raster, value)
+    at = {name: float(q) * (size - 1) for name, q in qs.items()}
+    hit = lambda k: F.max(F.when(F.lit(k).between(F.col("first"), F.col("last")), F.col("value").cast("double")))
+    found = ranks.agg(*(hit(f(x)).alias(f"{side}_{name}") for name, x in at.items() for side, f in (("lo", math.floor), ("hi", math.ceil))))
+    return found.select(*((F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * F.lit(x - math.floor(x))).alias(n) for n, x in at.items()))
+
+
 def quantiles(raster: Raster, qs: Sequence[float]) -> list[float]:
     """Exact quantiles, interpolated linearly between neighbours."""
-    return raster.df.agg(F.percentile(pixel().cast("double"), [float(q) for q in qs])).first()[0]
+    return list(quantile_row(raster, {f"q{k}": q for k, q in enumerate(qs)}).first())
 
 
 def median(raster: Raster) -> float:
@@ -65,19 +93,18 @@ def median(raster: Raster) -> float:
 
 
 def nth(raster: Raster, n: int) -> object:
-    """The n-th smallest value, counted from 0: groups by value, so ties don't lengthen any sort."""
+    """The n-th smallest value, counted from 0, in its own type: groups by value, so ties don't lengthen any sort."""
     size = raster.df.count()
     if not 0 <= n < size:
         raise IndexError(f"{n} not in [0, {size - 1}]")
-    q = n / (size - 1) if size > 1 else 0.0
-    return raster.df.agg(F.percentile(pixel().cast("double"), F.lit(q))).first()[0]
+    return ranked(raster).where(F.lit(n).between(F.col("first"), F.col("last"))).first()["value"]
 
 
 def mad(raster: Raster) -> DataFrame:
     """One row: the median and the median of the absolute deviations from it."""
-    middle = raster.df.agg(F.median(pixel().cast("double")).alias("median"))
-    away = raster.df.crossJoin(F.broadcast(middle))  # one row
-    return away.agg(F.first("median").alias("median"), F.median(F.abs(pixel() - F.col("median"))).alias("mad"))
+    middle = median(raster)
+    away = quantile_row(raster, {"mad": 0.5}, F.abs(pixel() - F.lit(middle)))
+    return away.select(F.lit(middle).cast("double").alias("median"), "mad")
 
 
 def histogram(raster: Raster, edges: Sequence[float]) -> DataFrame:

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegralType
 
 from ..plans.errors import SizeError
 from ..plans.raster import Raster
@@ -61,6 +64,8 @@ class Filter:
     """A window, and what to make of the values in it. ``a * b`` runs a first, then b; ``a + b`` adds their results."""
 
     window: Box | Mask
+    #: Whether results for whole numbers are whole numbers, kept in 64 bits.
+    whole = False
 
     @property
     def reach(self) -> Box:
@@ -71,8 +76,15 @@ class Filter:
         raise NotImplementedError
 
     def column(self, values: Column) -> Column:
-        """The result for an array column of the window's values, axis 0 fastest."""
-        raise NotImplementedError
+        """The result for an array column of the window's values, axis 0 fastest; by default ``slide`` on one window at a time."""
+        shape, one = self.reach.shape, (1,) * self.reach.dimension
+
+        @pandas_udf(DoubleType())
+        def run(windows: pd.Series) -> pd.Series:
+            got = [float(self.slide(np.asarray(w, float).reshape(shape, order="F"), one).reshape(-1)[0]) for w in windows]
+            return pd.Series(got, dtype="float64")
+
+        return _with_nan(run(values), values)
 
     def taps(self, values: np.ndarray, step: Position) -> list[np.ndarray]:
         """For each position of the window the values seen there, one per output."""
@@ -88,6 +100,11 @@ class Filter:
         return Aggregate(lambda *parts: reduce(np.add, parts), [self, other])
 
 
+def _with_nan(made: Column, values: Column) -> Column:
+    # NaN comes back from pandas as null.
+    return F.when(values.isNotNull(), F.coalesce(made, F.lit(math.nan)))
+
+
 def _stages(f: Filter) -> list[Filter]:
     return f.stages if isinstance(f, Sequential) else [f]
 
@@ -157,7 +174,10 @@ class Median(Filter):
 
 @dataclass
 class Erosion(Filter):
+    """The least value; whole numbers stay whole, so 64-bit ones lose no digits."""
+
     window: Box | Mask
+    whole = True
 
     def slide(self, values: np.ndarray, step: Position) -> np.ndarray:
         return reduce(np.minimum, self.taps(values, step))
@@ -169,6 +189,7 @@ class Erosion(Filter):
 @dataclass
 class Dilation(Filter):
     window: Box | Mask
+    whole = True
 
     def slide(self, values: np.ndarray, step: Position) -> np.ndarray:
         return reduce(np.maximum, self.taps(values, step))
@@ -211,6 +232,13 @@ class Custom(Filter):
     def slide(self, values: np.ndarray, step: Position) -> np.ndarray:
         return self.function(np.stack(self.taps(values, step)))
 
+    def column(self, values: Column) -> Column:
+        @pandas_udf(DoubleType())
+        def run(windows: pd.Series) -> pd.Series:
+            return pd.Series(np.asarray(self.function(np.stack(windows.to_list(), axis=-1).astype(float)), float), dtype="float64")
+
+        return _with_nan(run(values), values)
+
 
 def _template(values: Sequence[float], window: Box | Mask) -> np.ndarray:
     if len(values) != window.size:
@@ -364,7 +392,9 @@ def apply_filter(f: Filter, raster: Raster, how: Extrapolation | None = None, re
     reach = f.reach | Box((0,) * n, (0,) * n)
     tile = tuple(tile) if tile else _tile_shape(out.shape)
     counts = [-(-s // t) for s, t in zip(out.shape, tile, strict=True)]
-    df = raster.df.select(*raster.axes, F.col("v").cast("double").alias("v"))
+    whole = f.whole and isinstance(raster.df.schema["v"].dataType, IntegralType) and (not isinstance(how, Constant) or float(how.value).is_integer())
+    number = "long" if whole else "double"
+    df = raster.df.select(*raster.axes, F.col("v").cast(number).alias("v"))
     if isinstance(how, Periodic):
         for a, size, lo, hi in zip(raster.axes, raster.shape, reach.front, reach.back, strict=True):
             turns = -(-(hi - lo) // size)
@@ -380,7 +410,8 @@ def apply_filter(f: Filter, raster: Raster, how: Extrapolation | None = None, re
         df = df.withColumn("_lo", least).withColumn("_hi", most).where("_lo <= _hi").withColumn(f"t{k}", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
     names, keys = axes(n), [f"t{k}" for k in range(n)]
     rebased = region is not None or how is None
-    fill = float(how.value) if isinstance(how, Constant) else math.nan
+    fill = how.value if isinstance(how, Constant) else 0 if whole else math.nan
+    kind = np.int64 if whole else np.float64
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         at = [k.as_py() for k in key]
@@ -390,7 +421,7 @@ def apply_filter(f: Filter, raster: Raster, how: Extrapolation | None = None, re
         back = [x + s * (m - 1) for x, s, m in zip(front, out.step, sizes, strict=True)]
         halo = Box(tuple(front), tuple(back)).grow(reach)
         held = halo if isinstance(how, Periodic) else halo & domain
-        values = np.full(held.shape, fill)
+        values = np.full(held.shape, fill, kind)
         values[tuple(rows[a].to_numpy() - o for a, o in zip(names, held.front, strict=True))] = rows["v"].to_numpy()
         pads = [(a - b, c - d) for a, b, c, d in zip(held.front, halo.front, halo.back, held.back, strict=True)]
         if any(map(any, pads)):
@@ -400,12 +431,26 @@ def apply_filter(f: Filter, raster: Raster, how: Extrapolation | None = None, re
         grid = np.indices(got.shape).reshape(n, -1)
         base = lows if rebased else front
         scale = [1] * n if rebased else out.step
-        return pa.table([*(pa.array(g * s + b, pa.int64()) for g, s, b in zip(grid, scale, base, strict=True)), pa.array(got.reshape(-1).astype(float))], [*names, "v"])
+        return pa.table([*(pa.array(g * s + b, pa.int64()) for g, s, b in zip(grid, scale, base, strict=True)), pa.array(got.reshape(-1).astype(kind))], [*names, "v"])
 
-    made = df.groupBy(*keys).applyInArrow(run, ", ".join(f"{a} long" for a in names) + ", v double")
+    made = df.groupBy(*keys).applyInArrow(run, ", ".join(f"{a} long" for a in names) + f", v {number}")
     return Raster(made, out.shape, () if rebased else raster.front)
 
 
+def apply_complex(values: Sequence[complex], window: Box | Mask, raster: Raster, how: Extrapolation | None = None, kind: type[Correlation] = Correlation) -> Raster:
+    """A correlation (with the conjugates of ``values``) or convolution (with ``values``) of a complex raster, structs of re and im.
+
+    Four real filters; their results meet by position.
+    """
+    sign = -1 if kind is Correlation else 1
+    parts = {p: replace(raster, df=raster.df.select(*raster.axes, F.col(f"v.{p}").alias("v"))) for p in ("re", "im")}
+    run = lambda p, of: apply_filter(kind([of(complex(k)) for k in values], window), parts[p], how)
+    real, imag = lambda k: k.real, lambda k: sign * k.imag
+    re = run("re", real).apply(lambda a, b: a - b, run("im", imag))
+    im = run("im", real).apply(lambda a, b: a + b, run("re", imag))
+    return re.apply(lambda a, b: F.struct(a.alias("re"), b.alias("im")), im)
+
+
 def gather(f: Filter, raster: Raster, at: DataFrame, how: Extrapolation = Nearest()) -> DataFrame:
     """``at`` (x0, … and any other columns) with the filter's result ``v`` at each row, by joins alone.
 
@@ -429,6 +474,30 @@ def at_positions(f: Filter, raster: Raster, positions: Positions, how: Extrapola
     return gather(f, raster, positions.df, how)
 
 
+@dataclass(frozen=True)
+class Extrapolated:
+    """A raster continued beyond its domain; ``parent`` is the raster itself."""
+
+    parent: Raster
+    how: Extrapolation = Nearest()
+
+    def __getitem__(self, at: Position) -> object:
+        """The value at any position."""
+        p = Box(tuple(at), tuple(at))
+        return pad(self.parent, p, self.how).df.first()["v"]
+
+    def copy(self, box: Box) -> Raster:
+        return pad(self.parent, box, self.how)
+
+    def filtered(self, f: Filter) -> Raster:
+        return apply_filter(f, self.parent, self.how)
+
+
+def dont_extrapolate(values: Extrapolated | Raster) -> Raster:
+    """The raster without its continuation."""
+    return values.parent if isinstance(values, Extrapolated) else values
+
+
 def pad(raster: Raster, box: Box, how: Extrapolation = Nearest()) -> Raster:
     """A copy of any box, beyond the domain too, coordinates starting at 0."""
     spark = raster.df.sparkSession

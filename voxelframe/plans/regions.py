@@ -31,6 +31,35 @@ def _add(a: Sequence[int], b: Sequence[int] | int, sign: int = 1) -> Position:
     return tuple(x + sign * y for x, y in zip(a, b, strict=True))
 
 
+def zeros(n: int) -> Position:
+    return (0,) * n
+
+
+def ones(n: int) -> Position:
+    return (1,) * n
+
+
+def infinite(n: int) -> tuple[float, ...]:
+    return (math.inf,) * n
+
+
+def is_zero(v: Sequence[float]) -> bool:
+    return all(x == 0 for x in v)
+
+
+def is_one(v: Sequence[float]) -> bool:
+    return all(x == 1 for x in v)
+
+
+def is_infinite(v: Sequence[float]) -> bool:
+    return all(x == math.inf for x in v)
+
+
+def extend(v: Sequence[int], n: int, filler: Sequence[int]) -> Position:
+    """``v`` with further coordinates from ``filler``, up to ``n`` of them."""
+    return (*v, *filler[len(v) : n])
+
+
 @dataclass(frozen=True)
 class Grid:
     """Every ``step``-th position of a box along each axis; the back is trimmed onto the lattice."""
@@ -237,10 +266,7 @@ class Mask:
     @classmethod
     def ball(cls, radius: float, center: Sequence[int], power: float = 2) -> Mask:
         """Positions whose distances d to the centre fulfil sum |d|^power <= radius^power; power 0 counts non-zero d (at most one)."""
-        most = 1 if power == 0 else radius**power
-        inside = lambda d: sum((x != 0) if power == 0 else abs(x) ** power for x in d) <= most
-        box = Box.from_center(math.floor(radius), center)
-        return cls(box, None, frozenset(p for p in box if inside(_add(p, center, -1))))
+        return Ball(Box.from_center(math.floor(radius), center), radius=radius, power=power)
 
     @property
     def dimension(self) -> int:
@@ -268,6 +294,7 @@ class Mask:
         cols = list(cols or [F.col(a) for a in axes(self.dimension)])
         if self.flag is not None:
             return self.bounds.predicate(cols) & self.flag(cols)
+        # For a few positions; many are a table of their own (see Positions), joined to the raster.
         key = F.struct(*cols)
         kind = "struct<" + ",".join(f"{a}:bigint" for a in axes(self.dimension)) + ">"
         return self.bounds.predicate(cols) & key.cast(kind).isin(*(F.struct(*(F.lit(x).cast("long") for x in p)).cast(kind) for p in sorted(self.points)))
@@ -295,6 +322,48 @@ class Mask:
         return Mask(self.bounds & box, self.flag, frozenset(p for p in self.points if p in box) if self.points is not None else None)
 
 
+@dataclass(frozen=True)
+class Ball(Mask):
+    """A mask told by arithmetic on the distances to its centre, on the driver and on columns alike, so its size costs nothing."""
+
+    radius: float = 0
+    power: float = 2
+
+    @property
+    def most(self) -> float:
+        return 1 if self.power == 0 else self.radius**self.power
+
+    @property
+    def center(self) -> Position:
+        return tuple((f + b) // 2 for f, b in zip(self.bounds.front, self.bounds.back, strict=True))
+
+    def __contains__(self, p: Sequence[int]) -> bool:
+        away = _add(p, self.center, -1)
+        return p in self.bounds and sum((x != 0) if self.power == 0 else abs(x) ** self.power for x in away) <= self.most
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    size = property(__len__)
+
+    def predicate(self, cols: Sequence[Column] | None = None) -> Column:
+        cols = list(cols or [F.col(a) for a in axes(self.dimension)])
+        away = [c - x for c, x in zip(cols, self.center, strict=True)]
+        part = lambda d: F.when(d != 0, 1).otherwise(0) if self.power == 0 else d * d if self.power == 2 else F.pow(F.abs(d), F.lit(self.power))
+        return self.bounds.predicate(cols) & (reduce(lambda a, b: a + b, map(part, away)) <= self.most)
+
+    def translate(self, by: Sequence[int] | int, sign: int = 1) -> Ball:
+        return replace(self, bounds=self.bounds.translate(by, sign))
+
+    __add__ = translate
+
+    def __neg__(self) -> Ball:
+        return replace(self, bounds=-self.bounds)
+
+    def __and__(self, box: Box) -> Mask:
+        return Mask(self.bounds & box, None, frozenset(p for p in self if p in box))
+
+
 @dataclass(frozen=True)
 class Positions:
     """Positions in a given order, repeats kept: a DataFrame with columns ord, x0, …"""

@@ -253,7 +253,16 @@ def cosmic_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(segment(raster.apply(lambda v: v.cast("double")), mask, -0.1))
 
 
-@query(None)
+_PSF = "([1, 2, 1, 2, 4, 2, 1, 2, 1])[(w.n + 1)::INTEGER]::DOUBLE"
+
+
+@query(f"""WITH {R2}, {_window(*W3)},
+ near AS (SELECT a.x0, a.x1, w.n, b.v FROM px a CROSS JOIN dim CROSS JOIN w JOIN px b ON b.x0 = {NEAREST_SQL[0]} AND b.x1 = {NEAREST_SQL[1]}),
+ l AS (SELECT x0, x1, sum(([-1/6, -2/3, -1/6, -2/3, 10/3, -2/3, -1/6, -2/3, -1/6])[(w.n + 1)::INTEGER]::DOUBLE * v) AS v FROM near w GROUP BY ALL),
+ q AS (SELECT x0, x1, min(v / {_PSF}) * sqrt(9 / sum(pow(v / {_PSF}, 2))) AS v FROM near w GROUP BY ALL),
+ d AS (SELECT a.x0, a.x1, max(b.v) AS v FROM q a CROSS JOIN dim CROSS JOIN w JOIN q b ON b.x0 = {NEAREST_SQL[0]} AND b.x1 = {NEAREST_SQL[1]} GROUP BY ALL),
+ t AS (SELECT -avg(abs(v)) * ln(0.4) AS t FROM l)
+ SELECT l.x0, l.x1, CASE WHEN l.v > t AND d.v < 0.95 THEN 1 ELSE 0 END AS v FROM l JOIN d USING (x0, x1), t""")
 def cosmic_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(detect(r2(spark, sf_dir), [1.0, 2.0, 1.0, 2.0, 4.0, 2.0, 1.0, 2.0, 1.0], (3, 3), 0.2, 0.95))
 
@@ -339,7 +348,7 @@ def math_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("x0", "x1", *((F.round(maths.UNARY[k](F.expr(_ARGS.get(k, "x"))), 7) + 0.0).alias(k) for k in _MATHS))
 
 
-@query(f"WITH {R1}, q AS (SELECT a.x0, a.x1, a.v AS x, b.v AS y FROM px a JOIN px b ON b.x0 = 63 - a.x0 AND b.x1 = a.x1) SELECT x0, x1, greatest(x, y) AS hi, least(x, y) AS lo, greatest(x - y, 0.0) AS diff, round(atan2(x, y), 9) AS angle, round(pow(abs(x), y), 9) AS power, round(sqrt(x * x + y * y), 9) AS long_side FROM q")
+@query(f"WITH {R1}, m AS MATERIALIZED (SELECT x0 + 64 * x1 AS i, 63 - x0 + 64 * x1 AS j, x0, x1, v FROM px), q AS (SELECT a.x0, a.x1, a.v AS x, b.v AS y FROM m a JOIN m b ON b.i = a.j) SELECT x0, x1, greatest(x, y) AS hi, least(x, y) AS lo, greatest(x - y, 0.0) AS diff, round(atan2(x, y), 9) AS angle, round(pow(abs(x), y), 9) AS power, round(sqrt(x * x + y * y), 9) AS long_side FROM q")
 def math_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = r1(spark, sf_dir)
     b = Raster(a.df.select((63 - F.col("x0")).alias("x0"), "x1", "v"), a.shape)
@@ -368,8 +377,8 @@ def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {R2} SELECT round(quantile_cont(v::DOUBLE, 0.1), 6) AS q10, round(quantile_cont(v::DOUBLE, 0.5), 6) AS q50, round(quantile_cont(v::DOUBLE, 0.97), 6) AS q97 FROM px")
 def stats_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = r2(spark, sf_dir).df.agg(F.percentile(F.col("v").cast("double"), [0.1, 0.5, 0.97]).alias("q"))
-    return got.select(*(F.round(F.get("q", F.lit(k)), 6).alias(n) for k, n in enumerate(("q10", "q50", "q97"))))
+    got = stats.quantile_row(r2(spark, sf_dir), {"q10": 0.1, "q50": 0.5, "q97": 0.97})
+    return got.select(*(F.round(n, 6).alias(n) for n in ("q10", "q50", "q97")))
 
 
 @query(f"WITH {R2}, m AS (SELECT median(v)::DOUBLE AS m FROM px) SELECT any_value(m) AS median, median(abs(v - m))::DOUBLE AS mad FROM px, m")
@@ -388,10 +397,8 @@ def stats_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {R2} SELECT sum(CASE WHEN v <> 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS n0, sum(abs(v))::DOUBLE AS n1, sum(v * v)::DOUBLE AS n2, (SELECT sum(pow(a.v - b.v, 2)) FROM px a JOIN px b ON b.x0 = 49 - a.x0 AND b.x1 = 10 - a.x1)::DOUBLE AS d2 FROM px")
 def stats_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = r2(spark, sf_dir)
-    v = F.col("v")
-    norms = a.df.agg(F.sum(maths.abspow(v, 0)).alias("n0"), F.sum(maths.abspow(v, 1)).alias("n1"), F.sum(maths.abspow(v, 2)).alias("n2"))
-    apart = a.apply(lambda x, y: x - y, a.reverse()).df.agg(F.sum(maths.abspow(v, 2)).alias("d2"))
-    return norms.crossJoin(apart)  # one row each
+    found = [*(stats.norm(a, p) for p in (0, 1, 2)), stats.distance(a, a.reverse(), 2)]
+    return spark.createDataFrame([tuple(map(float, found))], "n0 double, n1 double, n2 double, d2 double")
 
 
 # -- resampling
@@ -437,12 +444,9 @@ def downsample2(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- spectra
 
 
-@query(f"WITH {R1}, k AS (SELECT unnest(range(33)) AS k) SELECT k.k AS x0, px.x1, round(sum(v * cos(2 * pi() * k.k * x0 / 64)), 6) + 0.0 AS re, round(-sum(v * sin(2 * pi() * k.k * x0 / 64)), 6) + 0.0 AS im FROM px, k WHERE px.x1 < 100 GROUP BY ALL")
+@query(f"WITH {R1}, k AS (SELECT unnest(range(33)) AS k) SELECT k.k AS x0, px.x1, round(sum(v * cos(2 * pi() * k.k * x0 / 64)), 6) + 0.0 AS re, round(-sum(v * sin(2 * pi() * k.k * x0 / 64)), 6) + 0.0 AS im FROM px, k GROUP BY ALL")
 def dft_axis0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = r1(spark, sf_dir).chunk(0, 99)
-    from .operators.spectra import _complex, _pass
-
-    got = _pass(_complex(lines), 0, "rfft", 0)
+    got = real_dft(r1(spark, sf_dir), axes=[0])
     return got.df.select("x0", "x1", (F.round("v.re", 6) + 0.0).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"))
 
 
@@ -479,9 +483,12 @@ def noise_impulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(noise.apply_noise(r2(spark, sf_dir), noise.ImpulseNoise({0: 0.1, 255: 0.2}, seed=6)), F.col("v").cast("long"))
 
 
-@query(None)
+@query(f"""WITH {R2}, u AS (SELECT x0, x1, (v % 500)::DOUBLE AS m, {_U.format(seed=7, stream=0)} AS u FROM px),
+ k AS (SELECT x0, x1, m, u, unnest(range(0, (m + 12 * sqrt(m) + 31)::BIGINT)) AS k FROM u),
+ c AS (SELECT x0, x1, u, k, sum(exp(k * ln(m) - m - lgamma(k + 1.0))) OVER (PARTITION BY x0, x1 ORDER BY k) AS c FROM k)
+ SELECT x0, x1, min(k)::DOUBLE AS v FROM c WHERE c > u GROUP BY x0, x1""")
 def noise_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(noise.apply_noise(r2(spark, sf_dir), noise.PoissonNoise(seed=7)))
+    return rows(noise.apply_noise(r2(spark, sf_dir).apply(lambda v: v % 500), noise.PoissonNoise(seed=7)))
 
 
 # -- generation
