@@ -348,4 +348,6 @@ def test_leaks_in_documents(spark, documents, edge, nothing):
     assert sorted(tuple(r) for r in find_leaks(edge, own).collect()) == [(15, 1, 0), (15, 1, 0), (15, 3, 0), (15, 3, 0)]
     kept = drop_leaks(edge, own)
     assert kept.columns == edge.columns and kept.count() == len(edge_rows()) - 2
+    by_name = spark.createDataFrame([(("a", 1), prose(15, 70))], "item_id struct<n:string,k:int>, text string")
+    assert [(r["doc_id"], r["item_id"]["n"], r["distance"]) for r in find_leaks(edge, by_name).collect()] == [(15, "a", 0)] * 2
     assert find_leaks(nothing, own).count() == 0 and find_leaks(edge, own.where("false")).count() == 0 and drop_leaks(edge, own.where("false")).count() == len(edge_rows())

@@ -130,6 +130,7 @@ DISGUISED = [
     ("email", "jоhn@exаmple.com"), ("email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"), ("email", "jo​hn@example.com"), ("email", "john{at}example{dot}co{dot}uk"), ("email", "john @ example.com"), ("email", "john&#64;example.com"),
     ("ip", "one nine two dot one six eight dot one dot one"), ("ip", "１９２．１６８．０．１"), ("ip", "192 dot 168 dot 0 dot 1"), ("ip", "192[.]168[.]0[.]1"),
     ("card", "four five three two zero one five one one two eight three zero three six six"), ("card", "４５３２ ０１５１ １２８３ ０３６６"),
+    ("email", "𝐣𝐨𝐡𝐧@𝗲𝘅𝗮𝗺𝗽𝗹𝗲.𝚌𝚘𝚖"), ("email", "jose\u0301.luis@example.com"), ("phone", "plus one triple five one two three four five six seven"), ("phone", "double five five one two three four double six seven"),
     ("phone", "plus one five five five one two three four five six seven"), ("phone", "five five five one two three four five six seven"), ("phone", "+１ 555 123 4567"),
 ]
 

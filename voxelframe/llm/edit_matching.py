@@ -10,6 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import batched
 
@@ -150,11 +151,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, id_col: str
     Case and white space are levelled on both sides first. An item of ``m`` characters has a budget of
     ``int(m * rate)`` insertions, deletions and replacements; every match within the budget is found. Documents and
     items that are null or blank match nothing; repeated rows, on either side, give repeated hits; ids may be null;
-    other columns are ignored; without items or documents the result is empty.
+    other columns are ignored; without items or documents the result is empty. A very long text is searched whole, in
+    time that grows with its length, by one task.
     """
     source = batched(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     kinds = source.schema["doc_id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int"
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     found = None
     for block in _blocks(items, item_col, item_text):
 
@@ -162,7 +165,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, id_col: str
             finder = _finder(block, rate)
             for batch in batches:
                 rows = [(k, *hit) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in finder.find(t)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "distance"), r, strict=True)) for r in rows], pa.schema([("doc_id", batch.schema.field(0).type), ("item_id", pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()), ("distance", pa.int32())]))
+                cols = list(zip(*rows, strict=True)) or [(), (), ()]
+                types = batch.schema.field(0).type, item_type, pa.int32()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "distance"])
 
         hits = source.mapInArrow(run, schema)
         found = hits if found is None else found.union(hits)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,7 +40,11 @@ AT_WORDS = "at|arobase|arroba|ät"
 DOT_WORDS = "dot|punkt|point|punto"
 
 DIGIT_OF = {word: str(d) for d, words in enumerate(SPELLED) for word in words}
+TIMES = {"double": 2, "triple": 3}
+#: Mathematical letters, by their compatibility forms.
+MATHEMATICAL = {chr(c): x for c in range(0x1D400, 0x1D6A4) if (x := unicodedata.normalize("NFKC", chr(c))).isascii() and x.isalpha()}
 LETTERS = {
+    **MATHEMATICAL,
     **{LOOKALIKES[i]: LOOKALIKES[i + 1] for i in range(0, len(LOOKALIKES), 2)},
     **{chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)},
     **{chr(first + d): str(d) for first in DIGIT_RUNS for d in range(10)},
@@ -126,8 +131,8 @@ class Mapped:
         return [(kind, self.start[a], self.end[b - 1]) for kind, a, b in plain_spans(self.text) if 1 in self.made[a:b]]
 
 
-_INVISIBLE = re.compile("[­​-‍⁠﻿]")
-_LETTER = re.compile("[" + "".join(map(re.escape, LETTERS)) + "­​-‍⁠﻿]")
+_INVISIBLE = re.compile("[\u0300-\u036f­​-‍⁠﻿]")
+_LETTER = re.compile("[" + "".join(map(re.escape, LETTERS)) + "\u0300-\u036f­​-‍⁠﻿]")
 _ENTITY = re.compile(r"(?i)&#0*(?:64|x40);|&commat;|%40|&#0*(?:46|x2e);|&period;")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"(?i)(?<=[a-z0-9]) *{_OPEN} *(?:{AT_WORDS}|@) *{_CLOSE} *(?=[a-z0-9])")
@@ -144,15 +149,16 @@ _BEFORE_AT = re.compile(rf"(?i)[a-z0-9._%+-]+(?: +(?:{'|'.join(w[::-1] for w in
 _IP_WORDS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?: +(?:{DOT_WORDS}) +[0-9]{{1,3}}){{3}}(?![0-9])")
 _SPACED = re.compile(rf"(?i)(?<=[a-z0-9]) +@ +(?={_HOST}(?:\.| +(?:{DOT_WORDS}) +){_HOST})")
 _NUMERAL = "|".join(sorted(DIGIT_OF, key=lambda w: (-len(w), w)))
+_TIMES = rf"(?:(?:{'|'.join(TIMES)}) +)?"
 _JOIN = rf"(?:dash|hyphen|minus|tiret|strich|guion|guión|{DOT_WORDS})"
 #: Four or more digits of which the first and one of the next are words.
-_RUN = re.compile(rf"(?i)(?<!\w)(?:\+|plus +)?\(?(?:{_NUMERAL})(?:[ ,().-]+(?:{_JOIN}[ ]+)?(?:(?:{_NUMERAL})(?!\w)|[0-9]+(?!\w))){{3,}}\)?")
-_RUN_PART = re.compile(rf"(?i)(?P<plus>plus +)|(?<!\w)(?P<word>{_NUMERAL})(?!\w)|[ ,-]*(?<!\w)(?P<dot>{DOT_WORDS})(?!\w)[ ,]*|[ ,-]*(?<!\w)(?P<dash>dash|hyphen|minus|tiret|strich|guion|guión)(?!\w)[ ,]*|(?P<gap>[ ,-]+)")
-_FEW = re.compile(rf"(?i)(?<!\w)(?:{_NUMERAL})[ ,().-]+(?:{_JOIN} +)?(?:{_NUMERAL}|[0-9])")
+_RUN = re.compile(rf"(?i)(?<!\w)(?:\+|plus +)?\(?{_TIMES}(?:{_NUMERAL})(?:[ ,().-]+(?:{_JOIN}[ ]+)?(?:{_TIMES}(?:{_NUMERAL})(?!\w)|[0-9]+(?!\w))){{3,}}\)?")
+_RUN_PART = re.compile(rf"(?i)(?P<plus>plus +)|(?<!\w)(?:(?P<times>{'|'.join(TIMES)}) +)?(?P<word>{_NUMERAL})(?!\w)|[ ,-]*(?<!\w)(?P<dot>{DOT_WORDS})(?!\w)[ ,]*|[ ,-]*(?<!\w)(?P<dash>dash|hyphen|minus|tiret|strich|guion|guión)(?!\w)[ ,]*|(?P<gap>[ ,-]+)")
+_FEW = re.compile(rf"(?i)(?<!\w)(?:{_NUMERAL})[ ,().-]+(?:{_JOIN} +)?{_TIMES}(?:{_NUMERAL}|[0-9])")
 
 
 def _spelled(m: re.Match) -> str:
-    return "+" if m["plus"] else DIGIT_OF[m["word"].lower()] if m["word"] else "." if m["dot"] else "-" if m["dash"] else ""
+    return "+" if m["plus"] else DIGIT_OF[m["word"].lower()] * TIMES.get((m["times"] or "").lower(), 1) if m["word"] else "." if m["dot"] else "-" if m["dash"] else ""
 
 
 def _digits(mapped: Mapped) -> list[tuple[str, int, int]]:
@@ -166,10 +172,11 @@ def _digits(mapped: Mapped) -> list[tuple[str, int, int]]:
         parts = list(_RUN_PART.finditer(text, a, b))
         spans += [(m.span(), _spelled(m)) for m in parts]
         words = [m for m in parts if m["word"]]
-        digits = "".join(DIGIT_OF[x.lower()] if x.lower() in DIGIT_OF else x for x in re.findall(rf"(?i){_NUMERAL}|[0-9]", text[a:b]))
+        told = re.findall(rf"(?i)(?:({'|'.join(TIMES)}) +)?({_NUMERAL}|[0-9])", text[a:b])
+        digits = "".join(DIGIT_OF.get(x.lower(), x) * TIMES.get(times.lower(), 1) for times, x in told)
         plain = text[a] != "+" and text[a - 1 : a] != "+" and not any(m["plus"] or m["dot"] for m in parts)
         # Counting up, and a word said over and over (an article may be a numeral too), are no telephone numbers.
-        if plain and len(words) >= 7 and 10 <= len(digits) <= 15 and len({m["word"].lower() for m in words}) >= 4 and digits not in "0123456789" * 3:
+        if plain and sum(TIMES.get((m["times"] or "").lower(), 1) for m in words) >= 7 and 10 <= len(digits) <= 15 and len({m["word"].lower() for m in words}) >= 4 and digits not in "0123456789" * 3:
             found.append(("phone", mapped.start[words[0].start()], mapped.end[words[-1].end() - 1]))
     within = dict(spans)
     mapped.rewrite(_RUN_PART, lambda m: within.get(m.span(), m[0]))

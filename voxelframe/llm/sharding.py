@@ -36,7 +36,7 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown_weights: Se
 
     ``size`` is the text's UTF-8 bytes (none for null) plus 16, ``slot`` numbers a shard's rows from 0 without gaps,
     ``grown_shard`` is the shard under ``grown_weights`` (null without). Rows that share an id share a shard; null ids
-    are one more key. Other columns are ignored, an empty table gives no rows. A shard is numbered in stretches by
+    are one more key, and a very long text is one row like any other. Other columns are ignored, an empty table gives no rows. A shard is numbered in stretches by
     hash, so no task sorts a whole shard.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -424,7 +424,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the graph. Null, empty and wordless texts all have the fingerprint zero, which links like any other; a text of
     fewer words than a shingle is one shingle. Rows with a null doc_id are returned with the component of their
     fingerprint, whose smallest id is taken over the ids that aren't null. Repeated rows stay repeated, other columns
-    are ignored, an empty table gives an empty result.
+    are ignored, an empty table gives an empty result. A very long text is fingerprinted whole by one task.
     """
     classes = _classes(docs, id_col, text_col, shingle, max_bits, seed)
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -435,7 +435,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With ``similarity``, texts whose shingle sets are that similar are linked too, however many bits their fingerprints
     differ in (see ``similar_classes``).
-    Rows equal in id and text stay or go together; rows without an id stay only where nothing in reach has one.
+    Rows equal in id and text stay or go together; rows without an id stay only where nothing in reach has one. Texts
+    without words are copies of one another; an empty table gives no rows, columns of any names are kept.
     """
     classes = _classes(docs, id_col, text_col, shingle, max_bits, seed, similarity)
     gone = materialize(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vf_id"), F.col("text_key").alias("__vf_key")), "gone")
