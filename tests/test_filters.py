@@ -30,6 +30,7 @@ from voxelframe.operators.stencil import (
     sobel,
 )
 from voxelframe.plans.errors import SizeError
+from voxelframe.streaming.chunks import combine_chunks, filled_chunks, filter_chunks, to_pixels
 from voxelframe.plans.raster import Raster
 from voxelframe.plans.regions import Box, Grid, Mask
 
@@ -154,3 +155,17 @@ def test_pad(image):
     assert (pad(raster, box, Nearest()).to_numpy().T == np.pad(values, [(2, 2), (3, 2)], "edge")).all()
     assert (pad(raster, box, Periodic()).to_numpy().T == np.pad(values, [(2, 2), (3, 2)], "wrap")).all()
     assert (pad(raster, box, Constant(7)).to_numpy().T == np.pad(values, [(2, 2), (3, 2)], constant_values=7)).all()
+
+
+@pytest.mark.parametrize("how", [Nearest(), Constant(2.0)])
+def test_chunks_exchange_their_margins(spark, how):
+    shape, tile = (23, 17, 3), (5, 4, 2)
+    chunks = filled_chunks(spark, shape, tile, lambda x, y, z: np.sin(x * 3.0 + y * y + 7 * z))
+    pixels = Raster(to_pixels(chunks, 3), shape).check()
+    for f in (Convolution(list(range(18)), Box((-1, -4, 0), (1, 1, 0))), sobel(0, [1, 2], 3), Median(Box((2, 0, 0), (4, 1, 0)))):
+        want = apply_filter(f, pixels, how).to_numpy()
+        got = Raster(to_pixels(filter_chunks(chunks, f, shape, tile, how), 3), shape).to_numpy()
+        assert np.allclose(got, want)
+    both = combine_chunks(chunks, filled_chunks(spark, shape, tile, lambda x, y, z: x + 10.0 * y), lambda a, b: a * b)
+    x, y = np.arange(23)[None, None, :], np.arange(17)[None, :, None]
+    assert np.allclose(Raster(to_pixels(both, 3), shape).to_numpy(), pixels.to_numpy() * (x + 10.0 * y))

@@ -1,29 +1,35 @@
 """Streams of chunks: rows that hold a whole block of pixels each.
 
 Pixel functions, box cuts and reductions need nothing but the chunk, so they run unchanged on a stream. Filters need
-neighbouring chunks and are for batches only.
+neighbouring chunks and are for batches only: a chunk sends its neighbours the margins they need and stays whole itself,
+so what is shuffled is the raster once and its margins, eight bytes a pixel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stencil import Constant, Filter, Nearest
+from ..plans.errors import SizeError
 from ..plans.raster import Raster
-from ..plans.regions import Box, axes, linear_index
+from ..plans.regions import Box, axes
 
 
-def chunk_schema(dimension: int) -> str:
+def chunk_schema() -> str:
     """Schema of chunk files: front and shape of a block, its values (axis 0 fastest)."""
-    del dimension
     return "front array<long>, shape array<long>, values array<double>"
 
 
 def to_chunks(raster: Raster, tile: Sequence[int]) -> DataFrame:
     """One row per tile. A tile must fit an executor's row; a few hundred thousand pixels are a good size."""
-    n, keys = raster.dimension, [f"t{k}" for k in range(raster.dimension)]
+    keys = [f"t{k}" for k in range(raster.dimension)]
     front = [F.col(k) * t + f for k, t, f in zip(keys, tile, raster.front, strict=True)]
     shape = [F.least(F.lit(t), F.lit(f + s) - x) for t, f, s, x in zip(tile, raster.front, raster.shape, front, strict=True)]
     local, stride = F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -32,7 +38,6 @@ def to_chunks(raster: Raster, tile: Sequence[int]) -> DataFrame:
         stride = stride * s
     rows = raster.tiled(tile).select(*keys, local.alias("i"), F.col("v").cast("double").alias("v"))
     packed = rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("values"))
-    del n
     return packed.select(F.array(*front).alias("front"), F.array(*(s.cast("long") for s in shape)).alias("shape"), "values")
 
 
@@ -48,8 +53,8 @@ def to_pixels(chunks: DataFrame, dimension: int) -> DataFrame:
 
 
 def read_chunk_stream(spark: SparkSession, path: str, dimension: int, files_a_batch: int = 64) -> DataFrame:
-    """A stream of the Parquet chunk files that arrive in a folder."""
-    return spark.readStream.schema(chunk_schema(dimension)).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    """A stream of the Parquet chunk files of one dimension that arrive in a folder."""
+    return spark.readStream.schema(chunk_schema()).option("maxFilesPerTrigger", files_a_batch).parquet(path).where(F.size("front") == dimension)
 
 
 def map_chunks(chunks: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
@@ -72,4 +77,97 @@ def chunk_totals(chunks: DataFrame) -> DataFrame:
     return chunks.select("front", F.size("values").cast("long").alias("n"), value.alias("sum"), F.array_min("values").alias("min"), F.array_max("values").alias("max"))
 
 
-__all__ = ["chunk_schema", "chunk_totals", "crop_chunks", "linear_index", "map_chunks", "read_chunk_stream", "to_chunks", "to_pixels"]
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Front and values (axes in raster order) of each chunk; the last three columns of a batch."""
+    front, shape, values = batch.columns[-3:]
+    flat, ends = values.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *values.value_lengths().to_pylist()])
+    for f, n, a, b in zip(front.to_pylist(), shape.to_pylist(), ends, ends[1:], strict=False):
+        yield f, flat[a:b].reshape(n, order="F")
+
+
+def _row(front: Sequence[int], block: np.ndarray, **more: int) -> pa.RecordBatch:
+    cols = {k: pa.array([v], pa.int64()) for k, v in more.items()}
+    cols |= {"front": pa.array([[int(x) for x in front]], pa.list_(pa.int64())), "shape": pa.array([list(block.shape)], pa.list_(pa.int64()))}
+    flat = pa.array(np.ascontiguousarray(block.reshape(-1, order="F"), np.float64))
+    return pa.RecordBatch.from_arrays([*cols.values(), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], [*cols, "values"])
+
+
+def filled_chunks(spark: SparkSession, shape: Sequence[int], tile: Sequence[int], f: Callable[..., np.ndarray]) -> DataFrame:
+    """Chunks of ``f`` of the coordinates (arrays that broadcast against one another), made on the executors."""
+    counts = [-(-s // t) for s, t in zip(shape, tile, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                at = np.unravel_index(k, counts, order="F")
+                lanes = [np.arange(a * t, min((a + 1) * t, s)) for a, t, s in zip(at, tile, shape, strict=True)]
+                block = np.broadcast_to(f(*np.ix_(*lanes)), [len(x) for x in lanes])
+                yield _row([x[0] for x in lanes], block)
+
+    n = math.prod(counts)
+    return spark.range(0, n, 1, min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, chunk_schema())
+
+
+def combine_chunks(a: DataFrame, b: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``f`` of the values of two rasters cut into the same chunks; chunks meet by their fronts, pixels aren't rows."""
+    both = a.join(b.select("front", F.col("values").alias("other")), "front").select("front", "shape", "values", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[2:])
+            if len(one) != len(other):
+                raise SizeError(len(one), len(other))
+            values = pa.ListArray.from_arrays(batch.column(2).offsets.cast(pa.int32()), pa.array(np.asarray(f(one, other), np.float64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["front", "shape", "values"])
+
+    return both.mapInArrow(run, chunk_schema())
+
+
+def filter_chunks(chunks: DataFrame, f: Filter, shape: Sequence[int], tile: Sequence[int], how: Nearest | Constant = Nearest()) -> DataFrame:
+    """A filter over a raster of ``shape`` (from 0) that is cut into tiles; the result is cut alike."""
+    n, one = len(shape), (1,) * len(shape)
+    reach = f.reach | Box((0,) * n, (0,) * n)
+    domain = Box.from_shape(shape)
+    counts = [-(-s // t) for s, t in zip(shape, tile, strict=True)]
+    far = [max(-(-back // t), -(front // t)) for front, back, t in zip(reach.front, reach.back, tile, strict=True)]
+
+    def target(at: Sequence[int]) -> Box:
+        return Box(tuple(a * t for a, t in zip(at, tile, strict=True)), tuple(min((a + 1) * t, s) - 1 for a, t, s in zip(at, tile, shape, strict=True)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for front, block in _blocks(batch):
+                own = Box(tuple(front), tuple(x + m - 1 for x, m in zip(front, block.shape, strict=True)))
+                lanes = [range(max(0, x // t - m), min(c, x // t + m + 1)) for x, t, m, c in zip(front, tile, far, counts, strict=True)]
+                for at in itertools.product(*lanes):
+                    part = target(at).grow(reach) & own
+                    if part.size:
+                        cut = tuple(slice(a - o, b - o + 1) for a, b, o in zip(part.front, part.back, front, strict=True))
+                        yield _row(part.front, block[cut], target=int(np.ravel_multi_index(at, counts, order="F")))
+
+    def made(number: int, parts: list[tuple[list[int], np.ndarray]]) -> pa.RecordBatch:
+        box = target([int(x) for x in np.unravel_index(number, counts, order="F")])
+        halo = box.grow(reach)
+        held = halo & domain
+        values = np.full(held.shape, float(how.value) if isinstance(how, Constant) else math.nan)
+        for front, block in parts:
+            values[tuple(slice(x - o, x - o + m) for x, o, m in zip(front, held.front, block.shape, strict=True))] = block
+        pads = [(a - b, c - d) for a, b, c, d in zip(held.front, halo.front, halo.back, held.back, strict=True)]
+        values = np.pad(values, pads, "edge") if isinstance(how, Nearest) else np.pad(values, pads, constant_values=float(how.value))
+        trim = tuple(slice(a - b, m - (d - c)) for a, b, c, d, m in zip(f.reach.front, reach.front, f.reach.back, reach.back, halo.shape, strict=True))
+        return _row(box.front, np.asarray(f.slide(values[trim], one), float))
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for number, part in zip(batch.column(0).to_pylist(), _blocks(batch), strict=True):
+                if number != now and parts:
+                    yield made(now, parts)
+                    parts = []
+                now = number
+                parts.append(part)
+        if parts:
+            yield made(now, parts)
+
+    sent = chunks.select("front", "shape", "values").mapInArrow(send, "target long, " + chunk_schema())
+    return sent.repartition("target").sortWithinPartitions("target").mapInArrow(receive, chunk_schema())
