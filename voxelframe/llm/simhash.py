@@ -262,19 +262,34 @@ def alike(ones: list[np.ndarray], others: list[np.ndarray], similarity: float) -
     if len(ones) * len(others) <= 4:
         common = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in others] for x in ones], np.float64)
     else:
-        # Hashes that both sides have become columns; the product of the incidence matrices counts common ones.
-        columns = np.intersect1d(np.concatenate(ones), np.concatenate(others))
-        common = np.zeros((len(ones), len(others)), np.float32)
-        for at in range(0, len(columns), 4096):
-            part = columns[at : at + 4096]
-            one, other = (np.zeros((len(x), len(part)), np.float32) for x in (ones, others))
-            for matrix, sets in ((one, ones), (other, others)):
-                for row, h in zip(matrix, sets, strict=True):
-                    where = np.searchsorted(part, h)
-                    where[where == len(part)] = 0
-                    row[where[part[where] == h]] = 1
-            common += one @ other.T
-        common = common.astype(np.float64)
+        # Each hash is a column. One that a single set of a side has adds 1 wherever the other side has it; only those
+        # that several sets of both sides have need the product of the incidence matrices.
+        _, column = np.unique(np.concatenate([*ones, *others]), return_inverse=True)
+        row, size = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(more)), more)]), int(sizes.sum())
+        sides = [(column[:size], row[:size]), (column[size:], row[size:])]
+        n_columns = int(column.max()) + 1
+        counts = [np.bincount(c, minlength=n_columns) for c, _ in sides]
+        common = np.zeros((len(ones), len(others)))
+        for k, other in ((0, counts[1] > 0), (1, counts[0] > 1)):
+            alone = (counts[k] == 1) & other
+            (c, r), (c2, r2) = sides[k], sides[1 - k]
+            owner = np.zeros(n_columns, np.int64)
+            owner[c[alone[c]]] = r[alone[c]]
+            met = alone[c2]
+            at = (owner[c2[met]], r2[met]) if k == 0 else (r2[met], owner[c2[met]])
+            np.add.at(common, at, 1.0)
+        several = np.flatnonzero((counts[0] > 1) & (counts[1] > 1))
+        place = np.full(n_columns, -1)
+        place[several] = np.arange(len(several))
+        for at in range(0, len(several), 4096):
+            width, parts = min(4096, len(several) - at), []
+            for n, (c, r) in zip((len(ones), len(others)), sides, strict=True):
+                here = place[c] - at
+                inside = (here >= 0) & (here < width) & (place[c] >= 0)
+                matrix = np.zeros((n, width), np.float32)
+                matrix[r[inside], here[inside]] = 1
+                parts.append(matrix)
+            common += parts[0] @ parts[1].T
     return common / (sizes[:, None] + more[None, :] - common) >= similarity
 
 
