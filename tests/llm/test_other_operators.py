@@ -52,7 +52,7 @@ def test_the_edge_is_cut_to_the_token(spark):
     one = {"all": F.lit("x")}
     for rows in ([(7, "a b c\td")] * 4, [(None, "a b c\td")] * 4, [(k, f" w{k} x  y\nz ") for k in range(4)]):
         docs = spark.createDataFrame([(d, t, len(t), 1, 2) for d, t in rows], "doc_id long, text string, n_chars long, place long, copies long")
-        for budget in (0, 3, 4, 7, 16, 22, 27):
+        for budget in (0, 3, 16, 27):
             got = mix(docs, one, {}, budget=budget, epochs=2, seed=3).collect()
             assert sum(r["full_epochs"] * r["n_tokens"] + r["prefix_tokens"] for r in got) == budget
             texts = mix(docs, one, {}, budget=budget, epochs=2, seed=3, keep_columns=True).collect()
