@@ -132,7 +132,8 @@ class Mapped:
 
 
 _INVISIBLE = re.compile("[\u0300-\u036f­​-‍⁠﻿]")
-_LETTER = re.compile("[" + "".join(map(re.escape, LETTERS)) + "\u0300-\u036f­​-‍⁠﻿]")
+#: Beyond the first plane ranges alone, which a search passes at once.
+_LETTER = re.compile("[" + "".join(re.escape(c) for c in LETTERS if c < "\U00010000") + "\U0001d400-\U0001d6a3\U0001d7ce-\U0001d7ff\u0300-\u036f­​-‍⁠﻿]")
 _ENTITY = re.compile(r"(?i)&#0*(?:64|x40);|&commat;|%40|&#0*(?:46|x2e);|&period;")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"(?i)(?<=[a-z0-9]) *{_OPEN} *(?:{AT_WORDS}|@) *{_CLOSE} *(?=[a-z0-9])")
@@ -210,7 +211,7 @@ def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     mapped = Mapped(text)
     if letters:
         mapped.rewrite(_INVISIBLE, lambda m: "")
-        mapped.rewrite(_LETTER, lambda m: LETTERS[m[0]])
+        mapped.rewrite(_LETTER, lambda m: LETTERS.get(m[0], m[0]))
     if entity:
         mapped.rewrite(_ENTITY, lambda m: "@" if re.search("(?i)64|x40|mat|%40", m[0]) else ".")
     more = _digits(mapped)
