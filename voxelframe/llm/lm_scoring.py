@@ -25,7 +25,7 @@ from .pieces import BASE, powers
 #: Weight of word pairs against single words.
 TRUST = 0.5
 #: Words and pairs that a shard gets, about; documents, and bytes of their texts, that make up a group.
-SHARD, GROUP, GROUP_BYTES = 1 << 21, 4096, 1 << 24
+SHARD, GROUP, GROUP_BYTES = 1 << 21, 2048, 1 << 23
 #: Target ids up to this many go to every task; beyond it they are joined by a shuffle.
 MOST_TARGETS = 1_000_000
 #: Bytes hashed at once.
