@@ -49,7 +49,7 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def batched(docs: DataFrame, rows: int = 1024) -> DataFrame:
+def batched(docs: DataFrame, rows: int = 512) -> DataFrame:
     """``docs``, with the session's Arrow batches set to ``rows`` rows: texts are long, and a batch is held by the JVM and by Python."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return docs

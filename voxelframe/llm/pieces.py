@@ -9,7 +9,7 @@ import numpy as np
 from .token_counts import byte_letters
 
 #: Bytes that the table may take before it starts anew; longer pieces aren't kept; bytes of text looked up at once.
-REMEMBERED, LONGEST, WINDOW = 64 << 20, 256, 1 << 20
+REMEMBERED, LONGEST, WINDOW = 64 << 20, 256, 1 << 19
 BASE = 0x9E3779B97F4A7C15
 OTHER, LETTER, MARK, SPACE = 0, 1, 2, 3
 
