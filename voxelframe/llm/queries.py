@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .edit_matching import find_leaks
+from .hard_negatives import mine, mine_sql
+from .language_id import cross_checked
 from .line_quality import quality_report, report_sql
 from .lm_scoring import score, score_sql
 from .mixing import EPOCHS, SEED, WEIGHTS, mix, mix_sql, standard_levels
@@ -14,6 +16,7 @@ from .pii import find_pii
 from .secret_forest import find_secrets
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .source_audit import audit, audit_sql
 from .token_counts import count_tokens
 from .token_files import token_digest
 
@@ -65,6 +68,19 @@ def op10_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
 
 
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op12_slotted_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", changed), F.col("vec_id") % 100 == 0)
+
+
+def op13_output_code_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_checked(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_random_forest_secret_scan": op3_random_forest_secret_scan,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
@@ -76,10 +92,15 @@ QUERIES = {
     "op8_rank_synchronous_token_counts": op8_rank_synchronous_token_counts,
     "op6_range_ans_token_files": op6_range_ans_token_files,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op11_source_divergence_audit": op11_source_divergence_audit,
+    "op12_slotted_hard_negatives": op12_slotted_hard_negatives,
+    "op13_output_code_language_id": op13_output_code_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_hierarchical_mix": mix_sql(MIX_SHARE),
     "op4_cross_document_line_frequency": report_sql(),
     "op9_cross_entropy_difference": score_sql(),
+    "op11_source_divergence_audit": audit_sql(),
+    "op12_slotted_hard_negatives": mine_sql(),
 }
