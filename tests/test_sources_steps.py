@@ -8,7 +8,8 @@ from voxelframe.plans.errors import FileFormatError, PathMissingError, PathTaken
 from voxelframe.plans.raster import Raster
 from voxelframe.plans.regions import Box
 from voxelframe.plans.steps import Options, Step, StepPipeline, Timer
-from voxelframe.sources.fits import BLOCK, read_fits, read_info, write_fits
+from voxelframe.sources import fits
+from voxelframe.sources.fits import BLOCK, read_fits, read_fits_chunks, read_info, read_pixels, sections, write_fits
 from voxelframe.streaming.chunks import chunk_totals, crop_chunks, map_chunks, read_chunk_stream, to_chunks, to_pixels
 
 
@@ -44,6 +45,67 @@ def test_fits_errors(spark, tmp_path):
         read_info(spark, str(tmp_path / "bad.fits")).collect()
 
 
+def test_fits_sections(spark, tmp_path):
+    """Sections are stretches of the file that cover every pixel once, each of at most the asked size."""
+    for shape, most in (((7, 5, 3), 10), ((7, 5, 3), 3), ((7, 5, 3), 1000), ((9,), 4), ((4, 1, 6), 8), ((3, 3), 6)):
+        at = 0
+        for first, box in sections(shape, most):
+            assert first == at and box.size <= most
+            where = np.array([np.ravel_multi_index(p, shape, order="F") for p in box])
+            assert sorted(where.tolist()) == list(range(at, at + box.size))
+            at += box.size
+        assert at == np.prod(shape)
+
+
+def test_fits_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a.fits")
+    values = np.arange(40 * 30 * 2.0).reshape(2, 30, 40)
+    write_fits(Raster.from_numpy(spark, values), path)
+    raster = read_fits(spark, path, section=400)
+    assert raster.df.rdd.getNumPartitions() == 6
+    assert (raster.to_numpy() == values).all()
+    cut = read_fits(spark, path, region=Box((3, 12, 1), (9, 18, 7)), section=40)
+    assert cut.shape == (7, 7, 1) and cut.front == (3, 12, 1)
+    assert cut.df.rdd.getNumPartitions() == 7
+    assert (cut.to_numpy() == values[1:, 12:19, 3:10]).all()
+    chunks = read_fits_chunks(spark, path, section=400)
+    assert chunks.count() == 6 and max(len(r["values"]) for r in chunks.collect()) == 400
+    assert (Raster(to_pixels(chunks, 3), (40, 30, 2)).to_numpy() == values).all()
+    write_fits(Raster.from_numpy(spark, values + 1), str(tmp_path / "b.fits"))
+    both = read_pixels(spark, str(tmp_path / "*.fits"), 3).groupBy("path").agg(F.sum("v").alias("s")).collect()
+    assert sorted(r["s"] for r in both) == [values.sum(), values.sum() + values.size]
+    assert {r["path"].rsplit("/", 1)[1] for r in both} == {"a.fits", "b.fits"}
+
+
+@pytest.mark.parametrize("placed", [True, False])
+def test_fits_writing(spark, tmp_path, monkeypatch, placed):
+    """Sections of many tasks, whichever way they are put together; the old file stays if a pixel is missing or twice."""
+    monkeypatch.setattr(fits, "SECTION", 64)
+    path = str(tmp_path / "a.fits")
+    values = np.arange(33 * 11.0).reshape(11, 33)
+    raster = Raster.from_numpy(spark, values)
+    write_fits(raster, path, placed=placed)
+    write_fits(raster.apply(lambda v: -v), path, "a", "int32", placed)
+    before = (tmp_path / "a.fits").read_bytes()
+    assert len(before) % BLOCK == 0
+    assert (read_fits(spark, path).to_numpy() == values).all() and (read_fits(spark, path, 1).to_numpy() == -values).all()
+    short = Raster(raster.df.where("x0 <> 7"), raster.shape)
+    twice = Raster(raster.df.union(raster.df.where("x0 = 7 AND x1 = 3")), raster.shape)
+    for bad in (short, twice):
+        with pytest.raises(Exception, match="size|pixel twice"):
+            write_fits(bad, path, "w", placed=placed)
+        assert (tmp_path / "a.fits").read_bytes() == before
+        assert [p.name for p in tmp_path.iterdir()] == ["a.fits"]
+
+
+def test_fits_shifted_front(spark, tmp_path):
+    values = np.arange(12.0).reshape(3, 4)
+    moved = Raster.from_numpy(spark, values)
+    moved = Raster(moved.df.select((F.col("x0") + 5).alias("x0"), (F.col("x1") - 2).alias("x1"), "v"), moved.shape, (5, -2))
+    write_fits(moved, f"file:{tmp_path}/a.fits")
+    assert (read_fits(spark, f"file://{tmp_path}/a.fits").to_numpy() == values).all()
+
+
 def test_chunks_on_a_stream(spark, tmp_path):
     raster = Raster.range(spark, (10, 7))
     chunks = to_chunks(raster, (4, 3))

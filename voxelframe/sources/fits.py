@@ -1,35 +1,93 @@
-"""FITS images: parallel reading of many files through Spark's own file source, writing by streaming.
+"""FITS images as a Spark data source, ``spark.read.format("fits")``.
 
-A file's bytes come from ``binaryFile``, so any store that Spark reads will do; tasks parse headers and hand out pixels.
+An image unit is cut into sections, boxes that are one stretch of the file each; a section is a partition, so a large
+file is read by many tasks, and only the bytes of the sections that are asked for. Writing puts each section at its own
+place of a file of known size. The driver sees headers alone, never a pixel.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import math
-from collections.abc import Iterator
+import os
+import re
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ..plans.errors import FileFormatError, PathMissingError, PathTakenError
+from ..plans.errors import FileFormatError, PathMissingError, PathTakenError, SizeError
 from ..plans.raster import Raster
-from ..plans.regions import axes
+from ..plans.regions import Box, axes
 
 BLOCK, CARD = 2880, 80
 # Fixed values of the format: BITPIX by NumPy type; unsigned types are stored shifted by BZERO.
 BITPIX = {"uint8": 8, "int16": 16, "int32": 32, "int64": 64, "float32": -32, "float64": -64}
 SHIFTED = {"int8": ("uint8", -128), "uint16": ("int16", 1 << 15), "uint32": ("int32", 1 << 31), "uint64": ("int64", 1 << 63)}
 SPARK_TYPES = {"uint8": "smallint", "int8": "tinyint", "int16": "smallint", "uint16": "int", "int32": "int", "uint32": "bigint", "int64": "bigint", "uint64": "decimal(20,0)", "float32": "float", "float64": "double"}
-PIXELS = 1 << 20
+#: Pixels of a section, at most; of a batch of rows; bytes copied at once.
+SECTION, BATCH, COPY = 1 << 20, 1 << 18, 1 << 26
+_NUMPY = {"double": "float64", "float": "float32", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64"}
+_ARROW = {"double": pa.float64(), "float": pa.float32(), "tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0)}
+
+
+# -- stores and headers
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path or URI, and the path within it."""
+    if re.match(r"file:/+", path) or not re.match(r"[a-z][a-z0-9+.-]+:", path):
+        return pafs.LocalFileSystem(), "/" + re.sub(r"^file:/+", "", path) if path.startswith("file:") else os.path.abspath(path)
+    return pafs.FileSystem.from_uri(path)
+
+
+def _found(path: str) -> list[str]:
+    """The files at a path: itself, those of a folder, or those that a pattern in its last part fits; in order."""
+    store, at = _store(path)
+    info = store.get_file_info(at)
+    if info.type == pafs.FileType.File:
+        return [path]
+    folder, pattern = (at, "*") if info.type == pafs.FileType.Directory else os.path.split(at)
+    root = path[: len(path) - len(at)] if path.endswith(at) else ""
+    inside = store.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return sorted(root + f.path for f in inside if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, pattern) and not f.base_name.startswith(("_", ".")))
+
+
+@dataclass
+class Unit:
+    """An image unit: shape, stored type, offset of its values, where its data lie in the file."""
+
+    shape: tuple[int, ...]
+    stored: str
+    zero: int
+    at: int
+
+    @property
+    def kind(self) -> str:
+        return next((k for k, v in SHIFTED.items() if self.zero and v == (self.stored, self.zero)), self.stored)
+
+    def values(self, raw: bytes) -> np.ndarray:
+        stored = np.frombuffer(raw, np.dtype(self.stored).newbyteorder(">"))
+        if not self.zero:
+            return stored.astype(self.stored)
+        if self.kind == self.stored:
+            raise FileFormatError(f"offset {self.zero} of {self.stored}")
+        if self.kind == "uint64":
+            return stored.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        return (stored.astype(np.int64) + self.zero).astype(self.kind)
 
 
-def _header(raw: bytes, at: int) -> tuple[dict[str, str], int]:
+def _header(read: Callable[[int, int], bytes], at: int) -> tuple[dict[str, str], int]:
     """Keywords of the header at ``at``, and where its data begin."""
     told: dict[str, str] = {}
     while True:
-        block = raw[at : at + BLOCK]
+        block = read(at, BLOCK)
         if len(block) < BLOCK:
             raise FileFormatError("the header has no end")
         at += BLOCK
@@ -42,46 +100,188 @@ def _header(raw: bytes, at: int) -> tuple[dict[str, str], int]:
                 told.setdefault(key, card[10:].split("/")[0].strip())
 
 
-def parse_hdus(raw: bytes) -> list[tuple[tuple[int, ...], str, int, int]]:
-    """(shape, stored type, zero, offset of the data) of each image unit."""
-    if raw[:9] != b"SIMPLE  =":
-        raise FileFormatError("not a FITS file")
-    out, at = [], 0
-    while at < len(raw):
-        told, at = _header(raw, at)
-        bits, n = int(told["BITPIX"]), int(told["NAXIS"])
-        shape = tuple(int(told[f"NAXIS{k + 1}"]) for k in range(n))
-        kind = next(k for k, b in BITPIX.items() if b == bits)
-        if float(told.get("BSCALE", "1")) != 1:
-            raise FileFormatError("scaled values are not supported")
-        out.append((shape, kind, int(float(told.get("BZERO", "0"))), at))
-        size = math.prod(shape) * abs(bits) // 8 if shape else 0
-        at += -(-size // BLOCK) * BLOCK
+def units(path: str) -> list[Unit]:
+    """The image units of a file; only its headers are read."""
+    store, inside = _store(path)
+    with store.open_input_file(inside) as file:
+        read, size = (lambda at, n: file.read_at(n, at)), file.size()
+        if read(0, 9) != b"SIMPLE  =":
+            raise FileFormatError(f"not a FITS file: {path}")
+        out, at = [], 0
+        while at < size:
+            told, at = _header(read, at)
+            bits = int(told["BITPIX"])
+            shape = tuple(int(told[f"NAXIS{k + 1}"]) for k in range(int(told["NAXIS"])))
+            if float(told.get("BSCALE", "1")) != 1:
+                raise FileFormatError("scaled values are not supported")
+            out.append(Unit(shape, next(k for k, b in BITPIX.items() if b == bits), int(float(told.get("BZERO", "0"))), at))
+            at += -(-(math.prod(shape) * abs(bits) // 8 if shape else 0) // BLOCK) * BLOCK
     return out
 
 
-def _values(raw: bytes, shape: tuple[int, ...], kind: str, zero: int, at: int) -> np.ndarray:
-    n = math.prod(shape) if shape else 0
-    stored = np.frombuffer(raw, np.dtype(kind).newbyteorder(">"), n, at)
-    if not zero:
-        return stored.astype(kind)
-    name = next((k for k, (s, z) in SHIFTED.items() if (s, z) == (kind, zero)), None)
-    if name is None:
-        raise FileFormatError(f"offset {zero} of {kind}")
-    return (stored.astype(object) + zero).astype(name) if name == "uint64" else (stored.astype(np.int64) + zero).astype(name)
+def sections(shape: Sequence[int], most: int = SECTION) -> Iterator[tuple[int, Box]]:
+    """(first linear index, box) of the sections of a shape: whole lower axes, a stretch of one axis, one coordinate of the higher ones."""
+    cut, below = 0, 1
+    while cut < len(shape) - 1 and below * shape[cut] <= most:
+        below *= shape[cut]
+        cut += 1
+    thick = max(1, most // below)
+    for above in range(math.prod(shape[cut + 1 :])):
+        high = [int(x) for x in np.unravel_index(above, shape[cut + 1 :], order="F")] if cut + 1 < len(shape) else []
+        for start in range(0, shape[cut], thick):
+            stop = min(start + thick, shape[cut])
+            yield (above * shape[cut] + start) * below, Box((*(0,) * cut, start, *high), (*(s - 1 for s in shape[:cut]), stop - 1, *high))
+
+
+# -- reading
+
+
+class _Section(InputPartition):
+    def __init__(self, path: str, unit: Unit, first: int, box: Box) -> None:
+        self.path, self.unit, self.first, self.box = path, unit, first, box
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str, options: dict[str, str], kind: str) -> None:
+        self.path, self.kind = path, kind
+        self.hdu, self.most = int(options.get("hdu", "0")), int(options.get("section", SECTION))
+        self.chunks, self.named = options.get("form", "pixels") == "chunks", options.get("named", "true") == "true"
+        self.dimension = int(options["dimension"]) if "dimension" in options else None
+        self.box = [tuple(map(int, side.split(","))) for side in options["box"].split(":")] if "box" in options else None
+
+    def unit(self, path: str) -> Unit:
+        found = units(path)
+        if self.hdu >= len(found) or (self.dimension is not None and len(found[self.hdu].shape) != self.dimension):
+            raise FileFormatError(f"{path} has no image of dimension {self.dimension} at {self.hdu}")
+        return found[self.hdu]
+
+    def partitions(self) -> Sequence[InputPartition]:
+        files = _found(self.path)
+        with ThreadPoolExecutor(16) as pool:
+            told = list(pool.map(self.unit, files))
+        wanted = None if self.box is None else Box(*self.box)
+        return [_Section(f, u, first, box) for f, u in zip(files, told, strict=True) if math.prod(u.shape) and u.shape for first, box in sections(u.shape, self.most) if wanted is None or (box & wanted).size]
+
+    def read(self, partition: _Section) -> Iterator[pa.RecordBatch]:
+        unit, box, width = partition.unit, partition.box, np.dtype(partition.unit.stored).itemsize
+        store, inside = _store(partition.path)
+        with store.open_input_file(inside) as file:
+            if self.chunks:
+                values = unit.values(file.read_at(box.size * width, unit.at + partition.first * width)).astype(np.float64)
+                flat = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+                cols = [pa.array([list(x)], pa.list_(pa.int64())) for x in (box.front, box.shape)]
+                yield pa.RecordBatch.from_arrays([*cols, flat], ["front", "shape", "values"])
+                return
+            names = axes(len(unit.shape))
+            for start in range(0, box.size, BATCH):
+                n = min(BATCH, box.size - start)
+                part = unit.values(file.read_at(n * width, unit.at + (partition.first + start) * width))
+                coords = np.unravel_index(np.arange(partition.first + start, partition.first + start + n), unit.shape, order="F")
+                v = pa.array(part.tolist(), _ARROW[self.kind]) if self.kind == "decimal(20,0)" else pa.array(part.astype(_NUMPY[self.kind]))
+                path = [pa.array([partition.path]).take(pa.array(np.zeros(n, np.int32)))] if self.named else []
+                yield pa.RecordBatch.from_arrays([*path, *(pa.array(c, pa.int64()) for c in coords), v], [*(["path"] if self.named else []), *names, "v"])
+
+
+# -- writing
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    pixels: int
+
+
+class _Writer(DataSourceArrowWriter):
+    """Puts rows (idx, v), in ascending order within a section, at their places.
+
+    Where the store has files that can be written at any place, all tasks write to one file; elsewhere every stretch
+    is a file of its own, named by its first index, and ``write_fits`` joins them. What a task writes depends on its rows alone, so it may be
+    done again.
+    """
 
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.kind, self.at, self.size = options["path"], options["kind"], int(options["at"]), int(options["size"])
+        self.placed = options["placed"] == "true"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        stored, zero = SHIFTED.get(self.kind, (self.kind, 0))
+        big = np.dtype(stored).newbyteorder(">")
+        store, inside = _store(self.path)
+        file = os.open(inside, os.O_WRONLY) if self.placed else None
+        held: list[bytes] = []
+        first, after, done = -1, -1, 0
+
+        def flush() -> None:
+            if held and file is not None:
+                raw, at = memoryview(b"".join(held)), self.at + first * big.itemsize
+                while len(raw):
+                    wrote = os.pwrite(file, raw, at)
+                    raw, at = raw[wrote:], at + wrote
+            elif held:
+                with store.open_output_stream(f"{inside}/{first:020d}") as out:
+                    out.write(b"".join(held))
+            held.clear()
+
+        try:
+            for batch in iterator:
+                idx, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+                v = (v.astype(object) - zero).astype(stored) if zero and self.kind == "uint64" else (v.astype(np.int64) - zero).astype(stored) if zero else v.astype(stored)
+                cuts = np.flatnonzero(np.diff(idx) != 1) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(idx)], strict=True):
+                    if a == b:
+                        continue
+                    if idx[a] == after - 1 or not 0 <= idx[a] <= idx[b - 1] < self.size:
+                        raise SizeError(f"a pixel twice or outside at {idx[a]}", "one row for every position")
+                    if idx[a] != after or (after - first) * big.itemsize >= COPY // 8:
+                        flush()
+                        first = int(idx[a])
+                    held.append(v[a:b].astype(big).tobytes())
+                    after = int(idx[b - 1]) + 1
+                    done += int(b - a)
+            flush()
+        finally:
+            if file is not None:
+                os.close(file)
+        return _Written(done)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        done = sum(m.pixels for m in messages if m is not None)
+        if done != self.size:
+            raise SizeError(done, self.size)
+
+
+class FitsSource(DataSource):
+    """``format("fits")``. Reading: ``path`` (a file, a folder or a pattern), ``hdu``, ``form`` (pixels or chunks), ``kind`` (a
+    Spark type, by default that of the file), ``section`` (pixels), ``box`` ("0,0:9,9": only sections that meet it),
+    ``named`` (whether pixel rows have their path). Writing is for ``write_fits``.
+    """
 
-def read_info(spark: SparkSession, path: str) -> DataFrame:
-    """(path, hdu, shape, kind) of every image unit under ``path``."""
+    @classmethod
+    def name(cls) -> str:
+        return "fits"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                units = parse_hdus(raw.as_py())
-                rows = [{"path": name, "hdu": k, "shape": list(shape), "kind": next((s for s, v in SHIFTED.items() if zero and v == (kind, zero)), kind)} for k, (shape, kind, zero, _) in enumerate(units)]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("hdu", pa.int32()), ("shape", pa.list_(pa.int64())), ("kind", pa.string())]))
+    def schema(self) -> str:
+        if self.options.get("form", "pixels") == "chunks":
+            return "front array<long>, shape array<long>, values array<double>"
+        kind, n = self.options.get("kind"), self.options.get("dimension")
+        if not kind or not n:
+            files = _found(self.options["path"])
+            if not files:
+                raise PathMissingError(self.options["path"])
+            unit = units(files[0])[int(self.options.get("hdu", "0"))]
+            kind, n = kind or SPARK_TYPES[unit.kind], n or len(unit.shape)
+        named = "path string, " if self.options.get("named", "true") == "true" else ""
+        return named + "".join(f"{a} long, " for a in axes(int(n))) + f"v {kind}"
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return _Reader(self.options["path"], dict(self.options), schema["v"].dataType.simpleString() if "v" in schema.names else "double")
+
+    def writer(self, schema: object, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(dict(self.options))
 
-    return _files(spark, path).mapInArrow(run, "path string, hdu int, shape array<long>, kind string")
+
+def _source(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    spark.dataSource.register(FitsSource)
+    return spark.read.format("fits").options(path=path, **options).load()
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -89,42 +289,58 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.globStatus(where):
         raise PathMissingError(path)
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    return spark.read.format("binaryFile").load(path).select("path")
 
 
-def read_pixels(spark: SparkSession, path: str, dimension: int, hdu: int = 0, kind: str = "double") -> DataFrame:
-    """(path, x0, …, v) of one image unit of every file under ``path`` (globs and folders too); one task reads a file."""
-    names = axes(dimension)
+def read_info(spark: SparkSession, path: str) -> DataFrame:
+    """(path, hdu, shape, kind) of every image unit under ``path``; tasks read headers only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                raw = content.as_py()
-                units = parse_hdus(raw)
-                if hdu >= len(units) or len(units[hdu][0]) != dimension:
-                    raise FileFormatError(f"{name} has no image of dimension {dimension} at {hdu}")
-                shape = units[hdu][0]
-                values = _values(raw, *units[hdu])
-                for at in range(0, len(values), PIXELS):
-                    part = values[at : at + PIXELS]
-                    coords = np.unravel_index(np.arange(at, at + len(part)), shape, order="F")
-                    cols = [pa.array([name] * len(part)), *(pa.array(c, pa.int64()) for c in coords)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(part.astype(_NUMPY.get(kind, "float64")) if kind != "decimal(20,0)" else part.tolist(), _ARROW[kind])], ["path", *names, "v"])
-
-    return _files(spark, path).mapInArrow(run, "path string, " + ", ".join(f"{a} long" for a in names) + f", v {kind}")
+            for name in batch["path"].to_pylist():
+                rows = [{"path": name, "hdu": k, "shape": list(u.shape), "kind": u.kind} for k, u in enumerate(units(name))]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("hdu", pa.int32()), ("shape", pa.list_(pa.int64())), ("kind", pa.string())]))
 
+    return _files(spark, path).mapInArrow(run, "path string, hdu int, shape array<long>, kind string")
 
-_NUMPY = {"double": "float64", "float": "float32", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64"}
-_ARROW = {"double": pa.float64(), "float": pa.float32(), "tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0)}
+
+def read_pixels(spark: SparkSession, path: str, dimension: int, hdu: int = 0, kind: str = "double") -> DataFrame:
+    """(path, x0, …, v) of one image unit of every file under ``path`` (patterns and folders too); a task reads a section."""
+    if not _found(path):
+        raise PathMissingError(path)
+    return _source(spark, path, hdu=hdu, kind=kind, dimension=dimension)
 
 
-def read_fits(spark: SparkSession, path: str, hdu: int = 0, kind: str | None = None) -> Raster:
-    """The raster of one file; ``kind`` casts the pixels, by default they keep the type of the file."""
-    info = read_info(spark, path).where(F.col("hdu") == hdu).collect()
-    if len(info) != 1:
+def _one(path: str, hdu: int) -> Unit:
+    files = _found(path)
+    if not files:
+        raise PathMissingError(path)
+    found = units(files[0]) if len(files) == 1 else []
+    if hdu >= len(found):
         raise FileFormatError(f"{path} has no image unit {hdu}")
-    shape = tuple(info[0]["shape"])
-    return Raster(read_pixels(spark, path, len(shape), hdu, kind or SPARK_TYPES[info[0]["kind"]]).drop("path"), shape)
+    return found[hdu]
+
+
+def read_fits(spark: SparkSession, path: str, hdu: int = 0, kind: str | None = None, region: Box | None = None, section: int = SECTION) -> Raster:
+    """The raster of one file; ``kind`` casts the pixels, by default they keep the type of the file.
+
+    With a ``region`` only the sections that meet it are read, and the raster is that box, at its place.
+    """
+    unit = _one(path, hdu)
+    options = {"hdu": hdu, "kind": kind or SPARK_TYPES[unit.kind], "dimension": len(unit.shape), "named": "false", "section": section}
+    if region is None:
+        return Raster(_source(spark, path, **options), unit.shape)
+    inside = region & Box.from_shape(unit.shape)
+    if not inside.size:
+        raise SizeError(region, unit.shape)
+    met = _source(spark, path, **options, box=":".join(",".join(map(str, side)) for side in (inside.front, inside.back)))
+    return Raster(met.where(inside.predicate()), inside.shape, inside.front)
+
+
+def read_fits_chunks(spark: SparkSession, path: str, hdu: int = 0, section: int = SECTION) -> DataFrame:
+    """The raster of one file, a row (front, shape, values) per section."""
+    _one(path, hdu)
+    return _source(spark, path, hdu=hdu, form="chunks", section=section)
 
 
 def _card(key: str, value: str) -> bytes:
@@ -141,47 +357,99 @@ def _head(shape: tuple[int, ...], kind: str, first: bool) -> bytes:
     return raw.ljust(-(-len(raw) // BLOCK) * BLOCK)
 
 
-def write_fits(raster: Raster, path: str, mode: str = "x", kind: str = "float64") -> None:
+def _copied(spark: SparkSession, source: str, target: str, size: int) -> None:
+    """The first ``size`` bytes of a file into another, by many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = _store(source)
+        file = os.open(_store(target)[1], os.O_WRONLY)
+        try:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    with store.open_input_file(inside) as old:
+                        raw, at = memoryview(old.read_at(min(COPY, size - k * COPY), k * COPY)), k * COPY
+                    while len(raw):
+                        wrote = os.pwrite(file, raw, at)
+                        raw, at = raw[wrote:], at + wrote
+                yield batch
+        finally:
+            os.close(file)
+
+    n = -(-size // COPY)
+    spark.range(0, n, 1, n).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+
+
+def _joined(spark: SparkSession, old: str | None, head: bytes, parts: str, target: str, size: int) -> None:
+    """One file of the old one, a header, the parts in order, and the padding; one task streams them, as such stores write files from front to back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (store, inside), done = _store(target), 0
+            with store.open_output_stream(inside) as out:
+                for k, name in enumerate([*([old] if old else []), None, *_found(parts)]):
+                    if name is None:
+                        out.write(head)
+                        done = 0
+                        continue
+                    from_, at = _store(name)
+                    with from_.open_input_stream(at) as part:
+                        while piece := part.read(COPY // 8):
+                            out.write(piece)
+                            done += len(piece)
+                out.write(b"\0" * (-done % BLOCK))
+            yield batch
+
+    spark.range(0, 1, 1, 1).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+
+
+def write_fits(raster: Raster, path: str, mode: str = "x", kind: str = "float64", placed: bool | None = None) -> None:
     """Write a raster: ``x`` a new file, ``w`` over an old one, ``a`` as a further image unit of an existing file.
 
-    One file is one stream of bytes, so its sections pass the driver in order, a partition at a time; the pixels are
-    sorted and packed on the executors.
+    Pixels are shuffled to their sections and written by the executors; a raster that misses a position or has one
+    twice raises an error and leaves what was there. The new file stands beside the old one until it is whole, then
+    takes its name. ``placed``: whether tasks write at their places of one file, by default wherever the store is a
+    file system; otherwise each writes files of its own, which one task joins.
     """
     if mode not in ("x", "w", "a"):
         raise ValueError(f"mode {mode}: x, w or a")
     if kind not in SPARK_TYPES:
         raise FileFormatError(f"FITS has no {kind} images")
     spark = raster.df.sparkSession
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if mode == "x" and fs.exists(where):
+    store, inside = _store(path)
+    there = store.get_file_info(inside).type != pafs.FileType.NotFound
+    if mode == "x" and there:
         raise PathTakenError(path)
-    if mode == "a" and not fs.exists(where):
+    if mode == "a" and not there:
         raise PathMissingError(path)
-    stored, zero = SHIFTED.get(kind, (kind, 0))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch["v"].to_numpy(zero_copy_only=False)
-            v = (v.astype(object) - zero).astype(stored) if zero and kind == "uint64" else (v.astype(np.int64) - zero).astype(stored) if zero else v.astype(stored)
-            yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.dtype(stored).newbyteorder(">")).tobytes()])], ["raw"])
-
-    ordered = raster.df.select(raster.index().alias("idx"), "v").repartitionByRange("idx").sortWithinPartitions("idx")
-    target = jvm.org.apache.hadoop.fs.Path(path + ".part")
-    out = fs.create(target, True)
+    placed = isinstance(store, pafs.LocalFileSystem) if placed is None else placed
+    head, old = _head(raster.shape, kind, mode != "a"), store.get_file_info(inside).size if mode == "a" else 0
+    width, part = np.dtype(SHIFTED.get(kind, (kind, 0))[0]).itemsize, path + ".part"
+    new, data = _store(part)[1], old + len(head)
+    rows = raster.df.select(raster.index().cast("long").alias("idx"), "v")
+    ordered = rows.withColumn("section", F.expr(f"idx div {SECTION}")).repartition("section").sortWithinPartitions("section", "idx").select("idx", "v")
+    spark.dataSource.register(FitsSource)
     try:
-        size = 0
-        if mode == "a":
-            for row in spark.read.format("binaryFile").load(path).select("content").toLocalIterator():
-                out.write(bytearray(row["content"]))
-        out.write(bytearray(_head(raster.shape, kind, mode != "a")))
-        for row in ordered.select("v").mapInArrow(pack, "raw binary").toLocalIterator():
-            out.write(bytearray(row["raw"]))
-            size += len(row["raw"])
-        out.write(bytearray(-size % BLOCK))
-    finally:
-        out.close()
-    if fs.exists(where):
-        fs.delete(where, False)
-    fs.rename(target, where)
+        if placed:
+            with open(new, "wb") as file:
+                file.truncate(data + -(-raster.size * width // BLOCK) * BLOCK)
+                file.seek(old)
+                file.write(head)
+            if old:
+                _copied(spark, path, part, old)
+        else:
+            store.create_dir(new)
+        ordered.write.format("fits").mode("append").options(path=part, kind=kind, at=data, size=raster.size, placed=str(placed).lower()).save()
+        if not placed:
+            _joined(spark, path if mode == "a" else None, head, part, path + ".joined", raster.size * width)
+            store.delete_dir(new)
+            new = _store(path + ".joined")[1]
+    except BaseException:
+        info = store.get_file_info(new)
+        if info.type == pafs.FileType.Directory:
+            store.delete_dir(new)
+        elif info.type == pafs.FileType.File:
+            store.delete_file(new)
+        raise
+    if there and not isinstance(store, pafs.LocalFileSystem):
+        store.delete_file(inside)
+    store.move(new, inside)
