@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from voxelframe import operator_queries, queries  # noqa: F401
+from voxelframe import chunk_queries, operator_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -178,7 +178,7 @@ _add("warp_region", lambda r: rows(warp(r, Affinity.translation([1.25, -0.5]), L
 _add("translate_linear", lambda r: rows(translate(r, [-2.75, 1.5]), F.round("v", 6)), _warp_sql(LINEAR, "x0 + 2.75", "x1 - 1.5"))
 _add("scale_linear", lambda r: rows(scale(r, [1.25, 0.8]), F.round("v", 6)), _warp_sql(LINEAR, "24.5 + (x0 - 24.5) / 1.25", "5.0 + (x1 - 5.0) / 0.8"))
 _C, _S = math.cos(0.3), math.sin(0.3)
-_add("rotate_by_radians", lambda r: rows(rotate_radians(r, 0.3), F.round("v", 5)), _warp_sql(LINEAR, f"24.5 + {_C!r} * (x0 - 24.5) + {_S!r} * (x1 - 5.0)", f"5.0 - {_S!r} * (x0 - 24.5) + {_C!r} * (x1 - 5.0)").replace(", 6) AS v", ", 5) AS v"))
+_add("rotate_by_radians", lambda r: rows(rotate_radians(r, 0.3), F.round("v", 5)), _warp_sql(LINEAR, f"24.5 + {_C!r}::DOUBLE * (x0 - 24.5) + {_S!r}::DOUBLE * (x1 - 5.0)", f"5.0 - {_S!r}::DOUBLE * (x0 - 24.5) + {_C!r}::DOUBLE * (x1 - 5.0)").replace(", 6) AS v", ", 5) AS v"))
 _add("matrix_inverse", lambda r: _one(r, [(i, j, round(Matrix([[2.0, 1.0], [1.0, 3.0]] @ Matrix.identity(2).rows).inverse()[i, j], 12), round(Matrix.diagonal([2, 5]).determinant(), 12)) for i in range(2) for j in range(2)], "i int, j int, v double, d double"), "SELECT i, j, v::DOUBLE AS v, 10.0::DOUBLE AS d FROM (VALUES (0, 0, 0.6), (0, 1, -0.2), (1, 0, -0.2), (1, 1, 0.4)) t(i, j, v)")
 _PHASE = "(2 * pi() * (a.x0 * b.x0 / 50.0 + a.x1 * b.x1 / 11.0))"
 _add("dft_complex", lambda r: complex_dft(_complex(r)).df.select("x0", "x1", (F.round("v.re", 4) + 0.0).alias("re"), (F.round("v.im", 4) + 0.0).alias("im")), f"WITH {R2}, z AS (SELECT x0, x1, v::DOUBLE AS re, (x0 - x1)::DOUBLE AS im FROM px) SELECT a.x0, a.x1, round(sum(b.re * cos({_PHASE}) + b.im * sin({_PHASE})), 4) + 0.0 AS re, round(sum(b.im * cos({_PHASE}) - b.re * sin({_PHASE})), 4) + 0.0 AS im FROM z a, z b GROUP BY a.x0, a.x1")

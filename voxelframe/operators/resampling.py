@@ -56,10 +56,13 @@ def interpolate(raster: Raster, at: DataFrame, coords: Sequence[str], method: st
 
 
 def _lookup(asked: DataFrame, raster: Raster, how: Extrapolation) -> DataFrame:
-    """``asked`` with ``_v`` at its coordinates; a miss is told by a flag, so null values stay null."""
+    """``asked`` with ``_v`` at its coordinates. What the domain should have but lacks is NaN, so null values stay null."""
     values = raster.df.select(*raster.axes, F.col("v").cast("double").alias("_value"), F.lit(True).alias("_hit"))
-    found = asked.join(values, raster.axes, "left" if isinstance(how, Constant) else "inner")
-    return found.withColumn("_v", F.when(F.col("_hit"), F.col("_value")).otherwise(F.lit(how.value if isinstance(how, Constant) else None).cast("double")))
+    found = asked.join(values, raster.axes, "left")
+    missing = F.lit(float("nan"))
+    if isinstance(how, Constant):
+        missing = F.when(raster.domain.predicate(), missing).otherwise(F.lit(float(how.value)))
+    return found.withColumn("_v", F.when(F.col("_hit"), F.col("_value")).otherwise(missing))
 
 
 @dataclass(frozen=True)
@@ -127,6 +130,17 @@ class Affinity:
     def __call__(self, x: Sequence[float]) -> np.ndarray:
         return self.shift + self.center + self.matrix @ (np.asarray(x, float) - self.center)
 
+    def arrays(self, coords: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """The map of arrays of coordinates that broadcast against one another, computed in the order of ``columns``."""
+        out = []
+        for row, t, c in zip(self.matrix, self.shift, self.center, strict=True):
+            value = np.array(float(t + c))
+            for a, x, o in zip(row, coords, self.center, strict=True):
+                if a:
+                    value = value + (x - float(o)) * float(a)
+            out.append(value)
+        return out
+
     def columns(self, cols: Sequence[Column]) -> list[Column]:
         """The map as expressions; the matrix becomes literals, zero terms vanish."""
         out = []

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import struct
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from ..functions.maths import abspow, is_nan
 from ..plans.raster import Raster, pixel
 from ..plans.scratch import scratch_path
 
+#: Bits by which a pass of selection tells values apart.
+DIGITS = 14
 
 def summary(raster: Raster, value: Column | None = None) -> DataFrame:
     """One row: n, min, max, sum, mean, variance and stdev (of a sample and of a population)."""
@@ -73,14 +77,92 @@ def ranked(raster: Raster, value: Column | None = None) -> DataFrame:
     return placed.select("value", (last - F.col("n") + 1).alias("first"), last.alias("last"))
 
 
+# -- selection by digits
+
+
+def order_key(value: Column, kind: DataType) -> Column:
+    """A 64-bit whole number that orders as ``value`` does: itself if it is whole, else the bits of the double, NaN last.
+
+    The bits are put together from exponent and fraction, all of it exact: scaling by powers of two loses nothing, and
+    an exponent that the logarithm rounds wrongly is set right by looking at the fraction.
+    """
+    if isinstance(kind, IntegralType):
+        return value.cast("long")
+    x = value.cast("double")
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    part = size * F.pow(F.lit(2.0), -guess)
+    exponent = guess + F.when(part < 1, -1).when(part >= 2, 1).otherwise(0)
+    fraction = F.when(part < 1, part * 2).when(part >= 2, part / 2).otherwise(part)
+    normal = (exponent + 1023).cast("long") * (1 << 52) + ((fraction - 1) * float(1 << 52)).cast("long")
+    # Numbers below the least normal one are whole multiples of 2 ** -1074.
+    bits = F.when(size < 2.0**-1022, (size * 2.0**537 * 2.0**537).cast("long")).when(size == math.inf, F.lit(2047 << 52)).otherwise(normal)
+    return F.when(F.isnan(x), F.lit((2047 << 52) + 1)).when(x < 0, -bits).otherwise(bits)
+
+
+def key_value(key: int, kind: DataType) -> int | float:
+    """The value of an ``order_key``."""
+    if isinstance(kind, IntegralType):
+        return key
+    if abs(key) > 2047 << 52:
+        return math.nan
+    found = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+    return -found if key < 0 else found
+
+
+def select(df: DataFrame, value: Column, ranks: Callable[[int], Sequence[int]]) -> tuple[int, dict[int, int | float]]:
+    """The number of values, and those of the asked ranks (counted from 0 in ascending order), which ``ranks`` tells for a number.
+
+    Values are counted by the leading digits of their ``order_key``; then only the stretches that hold an asked rank are
+    counted by their next digits. Counts are combined before the shuffle and a pass brings at most 2 ** DIGITS of them
+    for each rank. Nothing is sorted or written; two passes do for a billion values, five for any.
+    """
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    key = order_key(value, kind)
+    keys = df.select(key.alias("k")).where(F.col("k").isNotNull())
+    # (least key, greatest key, shift) of stretches that hold asked ranks, and by stretch the ranks within it.
+    stretches: list[tuple[int, int, int]] = [(-(1 << 63), (1 << 63) - 1, 64 - DIGITS)]
+    wanted: list[list[tuple[int, int]]] | None = None
+    size, found = 0, {}
+    while stretches:
+        which, digit = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for number, (low, high, shift) in enumerate(stretches):
+            inside = F.col("k").between(low, high)
+            which, digit = F.when(inside, number).otherwise(which), F.when(inside, F.shiftright("k", shift)).otherwise(digit)
+        counted = keys.select("k", which.alias("s"), digit.alias("d")).where("s IS NOT NULL").groupBy("s", "d").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+        got = sorted(zip(*(c.to_pylist() for c in counted.select("s", "low", "high", "n").toArrow().columns), strict=True))
+        if wanted is None:
+            size = sum(x[3] for x in got)
+            wanted = [[(r, r) for r in sorted(set(ranks(size)))]]
+        deeper, left = {}, [list(w) for w in wanted]
+        before = [0] * len(stretches)
+        for s, low, high, n in got:
+            for rank, within in left[s]:
+                if before[s] <= within < before[s] + n:
+                    if low == high:
+                        found[rank] = key_value(low, kind)
+                    else:
+                        deeper.setdefault((low, high, n), []).append((rank, within - before[s]))
+            before[s] += n
+        # Few values are told apart by their whole keys, many by the digits after those that are the same in all.
+        stretches = [(low, high, 0 if n <= 1 << DIGITS else max(0, (low ^ high).bit_length() - DIGITS) if (low < 0) == (high < 0) else 64 - DIGITS) for low, high, n in deeper]
+        wanted = list(deeper.values())
+    return size, found
+
+
 def quantile_row(raster: Raster, qs: dict[str, float], value: Column | None = None) -> DataFrame:
-    """One row with exact quantiles by name, interpolated linearly between neighbours; null for an empty raster."""
-    size = raster.df.count()
-    ranks = ranked(raster, value)
-    at = {name: float(q) * (size - 1) for name, q in qs.items()}
-    hit = lambda k: F.max(F.when(F.lit(k).between(F.col("first"), F.col("last")), F.col("value").cast("double")))
-    found = ranks.agg(*(hit(f(x)).alias(f"{side}_{name}") for name, x in at.items() for side, f in (("lo", math.floor), ("hi", math.ceil))))
-    return found.select(*((F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * F.lit(x - math.floor(x))).alias(n) for n, x in at.items()))
+    """One row with exact quantiles by name, interpolated linearly between neighbours; null for an empty raster. NaN comes last."""
+    sides = lambda n, q: (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))
+    size, found = select(raster.df, pixel() if value is None else value, lambda n: [r for q in qs.values() for r in sides(n, float(q))] if n else [])
+    row = []
+    for q in map(float, qs.values()):
+        if not size:
+            row.append(None)
+            continue
+        low, high = (float(found[r]) for r in sides(size, q))
+        at = q * (size - 1)
+        row.append(low if low == high else low + (high - low) * (at - math.floor(at)))
+    return raster.df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"`{n}` double" for n in qs))
 
 
 def quantiles(raster: Raster, qs: Sequence[float]) -> list[float]:
@@ -93,11 +175,11 @@ def median(raster: Raster) -> float:
 
 
 def nth(raster: Raster, n: int) -> object:
-    """The n-th smallest value, counted from 0, in its own type: groups by value, so ties don't lengthen any sort."""
-    size = raster.df.count()
-    if not 0 <= n < size:
+    """The n-th smallest value, counted from 0, in its own type."""
+    size, found = select(raster.df, pixel(), lambda size: [n] if 0 <= n < size else [])
+    if not found:
         raise IndexError(f"{n} not in [0, {size - 1}]")
-    return ranked(raster).where(F.lit(n).between(F.col("first"), F.col("last"))).first()["value"]
+    return found[n]
 
 
 def mad(raster: Raster) -> DataFrame:

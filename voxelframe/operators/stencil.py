@@ -382,7 +382,8 @@ def apply_filter(f: Filter, raster: Raster, how: Extrapolation | None = None, re
 
     Without ``how`` only pixels whose whole window lies in the domain are computed, and coordinates of the (smaller)
     result start at 0. With it the result has the raster's domain. ``region``, a box or grid of pixels to compute, gives
-    a result of its shape, starting at 0; a grid's pixels alone are evaluated.
+    a result of its shape, starting at 0; a grid's pixels alone are evaluated. A missing pixel is NaN; a filter that
+    keeps whole numbers whole, which have none, raises an error for it.
     """
     domain, n = raster.domain, raster.dimension
     out = region if region is not None else domain if how is not None else domain.shrink(f.reach)
@@ -421,7 +422,10 @@ def apply_filter(f: Filter, raster: Raster, how: Extrapolation | None = None, re
         back = [x + s * (m - 1) for x, s, m in zip(front, out.step, sizes, strict=True)]
         halo = Box(tuple(front), tuple(back)).grow(reach)
         held = halo if isinstance(how, Periodic) else halo & domain
-        values = np.full(held.shape, fill, kind)
+        if whole and rows.num_rows != held.size:
+            raise SizeError(rows.num_rows, held.size)
+        # What the domain should have but lacks is NaN, never taken for border.
+        values = np.zeros(held.shape, kind) if whole else np.full(held.shape, math.nan)
         values[tuple(rows[a].to_numpy() - o for a, o in zip(names, held.front, strict=True))] = rows["v"].to_numpy()
         pads = [(a - b, c - d) for a, b, c, d in zip(held.front, halo.front, halo.back, held.back, strict=True)]
         if any(map(any, pads)):
@@ -464,7 +468,10 @@ def gather(f: Filter, raster: Raster, at: DataFrame, how: Extrapolation = Neares
     moved = rewrite([F.col(a) + F.col(f"_t.d{j}") for j, a in enumerate(names)], raster.domain, how)
     asked = seen.select("_id", F.col("_t.k").alias("_k"), *(c.alias(a) for c, a in zip(moved, names, strict=True)))
     found = asked.join(raster.df.select(*names, F.col("v").cast("double").alias("_v"), F.lit(True).alias("_hit")), names, "left")
-    value = F.when(F.col("_hit"), F.col("_v")).otherwise(F.lit(float(how.value) if isinstance(how, Constant) else math.nan))
+    missing = F.lit(math.nan)
+    if isinstance(how, Constant):
+        missing = F.when(raster.domain.predicate(), missing).otherwise(F.lit(float(how.value)))
+    value = F.when(F.col("_hit"), F.col("_v")).otherwise(missing)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_k", value.alias("_v")))), lambda s: s["_v"])
     return marked.join(found.groupBy("_id").agg(ordered.alias("_n")), "_id").withColumn("v", f.column(F.col("_n"))).drop("_id", "_n")
 

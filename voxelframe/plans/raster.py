@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from .errors import SizeError
 from .regions import Box, Grid, Position, Positions, Region, axes, linear_index
 
 
-
 def pixel() -> Column:
     """The value column."""
     return F.col("v")
@@ -108,17 +108,29 @@ class Raster:
     # -- values
 
     def apply(self, f: Callable[..., Column], *others: Raster) -> Raster:
-        """``f(v, v of the others…)`` at every position; others must have the same domain."""
-        df, cols = self.df, [pixel()]
+        """``f(v, v of the others…)`` at every position; others must have the same domain.
+
+        A position that one of the rasters lacks is NaN in the result; where that has no NaN (whole numbers, structs),
+        it raises an error when the job runs.
+        """
+        df, cols, met = self.df, [pixel()], None
         for k, other in enumerate(others):
             if (other.shape, other.front) != (self.shape, self.front):
                 raise SizeError((other.shape, other.front), (self.shape, self.front))
             if other.df is self.df:
                 cols.append(pixel())
                 continue
-            df = df.join(other.df.select(*self.axes, F.col("v").alias(f"_v{k}")), self.axes)
+            if met is None:
+                df, met = df.withColumn("_hit", F.lit(True)), F.col("_hit").isNotNull()
+            df = df.join(other.df.select(*self.axes, F.col("v").alias(f"_v{k}"), F.lit(True).alias(f"_hit{k}")), self.axes, "full")
             cols.append(F.col(f"_v{k}"))
-        return replace(self, df=df.select(*self.axes, f(*cols).alias("v")))
+            met = met & F.col(f"_hit{k}").isNotNull()
+        value = f(*cols)
+        if met is not None:
+            real = isinstance(df.select(value.alias("v")).schema["v"].dataType, FractionalType)
+            missing = F.lit(float("nan")) if real else F.raise_error(F.lit("size: a raster lacks a position, and the result has no NaN"))
+            value = F.when(met, value).otherwise(missing)
+        return replace(self, df=df.select(*self.axes, value.alias("v")))
 
     def generate(self, f: Callable[..., Column], *inputs: Raster) -> Raster:
         """Like ``apply`` without the raster's own values; without inputs ``f`` gets the coordinate columns."""
@@ -254,5 +266,3 @@ def same(a: Raster, b: Raster) -> bool:
     both = a.df.join(b.df.withColumnRenamed("v", "_w"), a.axes, "full")
     alike = F.coalesce((pixel() == F.col("_w")) & ~F.coalesce(F.isnan(pixel().cast("double")), F.lit(False)), F.lit(False))
     return not both.where(~alike).limit(1).count()
-
-

@@ -348,7 +348,7 @@ def math_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("x0", "x1", *((F.round(maths.UNARY[k](F.expr(_ARGS.get(k, "x"))), 7) + 0.0).alias(k) for k in _MATHS))
 
 
-@query(f"WITH {R1}, m AS MATERIALIZED (SELECT x0 + 64 * x1 AS i, 63 - x0 + 64 * x1 AS j, x0, x1, v FROM px), q AS (SELECT a.x0, a.x1, a.v AS x, b.v AS y FROM m a JOIN m b ON b.i = a.j) SELECT x0, x1, greatest(x, y) AS hi, least(x, y) AS lo, greatest(x - y, 0.0) AS diff, round(atan2(x, y), 9) AS angle, round(pow(abs(x), y), 9) AS power, round(sqrt(x * x + y * y), 9) AS long_side FROM q")
+@query(f"WITH {R1}, q AS (SELECT x0, x1, v AS x, embedding[64 - x0]::DOUBLE AS y FROM px JOIN embeddings ON vec_id = x1) SELECT x0, x1, greatest(x, y) AS hi, least(x, y) AS lo, greatest(x - y, 0.0) AS diff, round(atan2(x, y), 9) AS angle, round(pow(abs(x), y), 9) AS power, round(sqrt(x * x + y * y), 9) AS long_side FROM q")
 def math_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = r1(spark, sf_dir)
     b = Raster(a.df.select((63 - F.col("x0")).alias("x0"), "x1", "v"), a.shape)
