@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .operator_queries import _C, _S, _add
 from .operators import statistics as stats
 from .operators.chunk_warp import resample_chunks, warp_chunks
+from .operators.growing import grow
 from .operators.resampling import CUBIC, LINEAR, NEAREST, Affinity, center_of, warp
-from .operators.stencil import Constant, Convolution, Dilation, Extrapolation, Filter, Median, Nearest, Periodic, apply_filter
+from .operators.stencil import Constant, Convolution, Dilation, Erosion, Extrapolation, Filter, Mean, Median, Nearest, Periodic, apply_filter
 from .plans.raster import Raster
-from .plans.regions import Box
+from .plans.regions import Box, Grid, Mask
 from .plans.scratch import scratch_path
 from .queries import B3, CONV, K9, NEAREST_SQL, PERIODIC_SQL, PLAIN_SQL, R1, R2, R3, W3, _stencil, _warp_sql, r1, r3, rows
 from .sources.fits import read_fits, read_fits_chunks, write_fits
@@ -83,7 +84,7 @@ def _holed_warp_sql() -> str:
     return sql.replace(value, f"coalesce(CASE WHEN count(px.v) = count(*) THEN {value} END, -1.0)")
 
 
-_HOLED_SUM = f"CASE WHEN count(b.v) < count(*) THEN -1.0 ELSE {CONV} END"
+_HOLED_SUM = f"CASE WHEN count(*) FILTER (w.n <> 8 AND b.v IS NULL) > 0 THEN -1.0 ELSE {CONV} END"  # the last weight is 0
 _add("holes_warp", lambda r: _told(warp(_holed(r), Affinity.translation([1.25, -0.5]), LINEAR)), _holed_warp_sql())
 _add("holes_added", lambda r: _told(_holed(r).apply(lambda a, b: (a + b).cast("double"), Raster(r.df.where("x0 <> 3"), r.shape))), f"WITH {R2} SELECT x0, x1, CASE WHEN {_HOLE} = 0 OR x0 = 3 THEN -1.0 ELSE (2 * v)::DOUBLE END AS v FROM px WHERE {_HOLE} <> 0 OR x0 <> 3")
 _add("holes_filtered", lambda r: _told(apply_filter(Convolution(K9, B3), _holed(r), Nearest())), _stencil(_R2H, *W3, _HOLED_SUM, NEAREST_SQL, "LEFT JOIN").replace("LEFT JOIN px b", "LEFT JOIN h b"))
@@ -108,6 +109,26 @@ _add(
     f"WITH {R2}, e AS (SELECT {_EXTREME} AS v FROM px), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM e) SELECT k::INTEGER AS k, isnan(v) AS missing, CASE WHEN isnan(v) THEN 0.0 ELSE v END AS v FROM o WHERE k IN (0, 5, 11, 12, 270, 300, 538, 539, 549)",
 )
 
+# -- large windows: their cost doesn't grow with the side
+
+_WIDE = Box((-6, -3), (5, 4))
+_add("dilation_12_by_8", lambda r: rows(apply_filter(Dilation(_WIDE), r, Nearest())), _stencil(R2, _WIDE.front, _WIDE.back, "max(b.v)::DOUBLE"))
+_add("erosion_of_a_wide_ball", lambda r: rows(apply_filter(Erosion(Mask.ball(4, (0, 0))), r, Periodic())), _stencil(R3, (-4, -4), (4, 4), "min(b.v)::DOUBLE", PERIODIC_SQL, where="w.d0 * w.d0 + w.d1 * w.d1 <= 16"), r3)
+_add("mean_12_by_8", lambda r: rows(apply_filter(Mean(_WIDE), r, Nearest()), F.round("v", 6)), _stencil(R2, _WIDE.front, _WIDE.back, "round(avg(b.v), 6)"))
+_add("median_12_by_8", lambda r: rows(apply_filter(Median(_WIDE), r, Constant(0))), _stencil(R2, _WIDE.front, _WIDE.back, "median(coalesce(b.v, 0))::DOUBLE", PLAIN_SQL, "LEFT JOIN"))
+_add("dilation_decimated", lambda r: rows(apply_filter(Dilation(_WIDE), r, Nearest(), Grid((1, 1), (22, 28), (3, 4)))), _stencil(R3, _WIDE.front, _WIDE.back, "max(b.v)::DOUBLE", where="(a.x0 - 1) % 3 = 0 AND (a.x1 - 1) % 4 = 0 AND a.x0 <= 22 AND a.x1 <= 28", out="(a.x0 - 1) // 3 AS x0, (a.x1 - 1) // 4 AS x1"), r3)
+
+# -- growing
+
+_add(
+    "cosmic_grown",
+    lambda r: rows(grow(r.apply(lambda v: v.cast("double")), r.apply(lambda v: (v % 16 == 0).cast("int")), -0.01, (16, 4))),
+    f"""WITH RECURSIVE {R2}, o(d0, d1) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)),
+    g AS (SELECT x0, x1, v FROM px WHERE v % 16 = 0 UNION
+          SELECT p.x0, p.x1, p.v FROM g CROSS JOIN o JOIN px p ON p.x0 = g.x0 + d0 AND p.x1 = g.x1 + d1 WHERE p.x0 BETWEEN 1 AND 48 AND p.x1 BETWEEN 1 AND 9 AND g.v <> 0 AND (g.v - p.v)::DOUBLE / g.v < -0.01)
+    SELECT px.x0, px.x1, CASE WHEN g.x0 IS NULL THEN 0 ELSE 1 END AS v FROM px LEFT JOIN g ON g.x0 = px.x0 AND g.x1 = px.x1""",
+)
+
 # -- files
 
 

@@ -25,6 +25,8 @@ from ..plans.regions import Box, Grid, Mask, Position, Positions, axes
 
 #: Pixels of a tile, about.
 TILE = 1 << 16
+#: Values whose medians are taken at once.
+MEDIAN_HELD = 1 << 21
 
 
 # -- values outside the domain
@@ -109,6 +111,65 @@ def _stages(f: Filter) -> list[Filter]:
     return f.stages if isinstance(f, Sequential) else [f]
 
 
+def running_extreme(values: np.ndarray, width: int, axis: int, op: np.ufunc) -> np.ndarray:
+    """Least or greatest of each ``width`` neighbours along an axis, at a cost that doesn't grow with ``width``.
+
+    The axis is cut into blocks of ``width``; a window is the end of one block and the start of the next, so it is the
+    extreme of a running one from the right and one from the left (van Herk, Gil and Werman).
+    """
+    if width == 1:
+        return values
+    lines = np.moveaxis(values, axis, -1)
+    n = lines.shape[-1]
+    padded = np.concatenate([lines, np.repeat(lines[..., -1:], -n % width, axis=-1)], axis=-1)
+    blocks = padded.reshape(*padded.shape[:-1], -1, width)
+    left = op.accumulate(blocks, axis=-1).reshape(padded.shape)
+    right = op.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(padded.shape)
+    return np.moveaxis(op(right[..., : n - width + 1], left[..., width - 1 : n]), -1, axis)
+
+
+def running_sum(values: np.ndarray, width: int, axis: int) -> np.ndarray:
+    """Sum of each ``width`` neighbours along an axis, by sums of doubled widths: nothing is taken off again, so no digits are lost and NaN stays where it is."""
+    lines = np.moveaxis(values, axis, -1)
+    n, out, done, power, sums = lines.shape[-1] - width + 1, None, 0, 1, lines
+    while True:
+        if width & power:
+            part = sums[..., done : done + n]
+            out, done = part if out is None else out + part, done + power
+        if done == width:
+            return np.moveaxis(out, -1, axis)
+        sums = sums[..., :-power] + sums[..., power:]
+        power *= 2
+
+
+def _stepped(values: np.ndarray, step: Position) -> np.ndarray:
+    return values[tuple(slice(None, None, s) for s in step)]
+
+
+def extreme(values: np.ndarray, window: Box | Mask, step: Position, op: np.ufunc) -> np.ndarray:
+    """The extreme over a window: axis by axis for a box; for a mask over its lines along axis 0, one running extreme for each length of line."""
+    if isinstance(window, Box):
+        for axis, width in enumerate(window.shape):
+            values = running_extreme(values, width, axis, op)
+        return _stepped(values, step)
+    front, sizes = window.box().front, tuple(n - w + 1 for n, w in zip(values.shape, window.box().shape, strict=True))
+    by_width: dict[int, list[Position]] = {}
+    line: list[Position] = []
+    for p in [*window, None]:
+        if line and (p is None or p[1:] != line[-1][1:] or p[0] != line[-1][0] + 1):
+            by_width.setdefault(len(line), []).append(line[0])
+            line = []
+        if p is not None:
+            line.append(p)
+    out = None
+    for width, starts in by_width.items():
+        runs = running_extreme(values, width, 0, op)
+        for p in starts:
+            part = runs[tuple(slice(x - f, x - f + n) for x, f, n in zip(p, front, sizes, strict=True))]
+            out = part if out is None else op(out, part)
+    return _stepped(out, step)
+
+
 @dataclass
 class Correlation(Filter):
     """Sum of kernel values times window values."""
@@ -151,6 +212,11 @@ class Mean(Filter):
     window: Box | Mask
 
     def slide(self, values: np.ndarray, step: Position) -> np.ndarray:
+        if isinstance(self.window, Box):
+            sums = values.astype(float)
+            for axis, width in enumerate(self.window.shape):
+                sums = running_sum(sums, width, axis)
+            return _stepped(sums, step) / self.window.size
         taps = self.taps(values, step)
         return reduce(np.add, taps) / len(taps)
 
@@ -165,7 +231,10 @@ class Median(Filter):
     window: Box | Mask
 
     def slide(self, values: np.ndarray, step: Position) -> np.ndarray:
-        return np.median(np.stack(self.taps(values, step)), axis=0)
+        # The windows of some lines at a time, so that no more than a few tiles are held.
+        taps = self.taps(values, step)
+        lines = max(1, MEDIAN_HELD // max(1, len(taps) * math.prod(taps[0].shape[1:])))
+        return np.concatenate([np.median(np.stack([t[k : k + lines] for t in taps], axis=-1), axis=-1, overwrite_input=True) for k in range(0, len(taps[0]), lines)])
 
     def column(self, values: Column) -> Column:
         n, s = self.window.size, F.array_sort(values)
@@ -180,7 +249,7 @@ class Erosion(Filter):
     whole = True
 
     def slide(self, values: np.ndarray, step: Position) -> np.ndarray:
-        return reduce(np.minimum, self.taps(values, step))
+        return extreme(values, self.window, step, np.minimum)
 
     def column(self, values: Column) -> Column:
         return F.array_min(values)
@@ -192,7 +261,7 @@ class Dilation(Filter):
     whole = True
 
     def slide(self, values: np.ndarray, step: Position) -> np.ndarray:
-        return reduce(np.maximum, self.taps(values, step))
+        return extreme(values, self.window, step, np.maximum)
 
     def column(self, values: Column) -> Column:
         return F.array_max(values)
@@ -205,7 +274,7 @@ class BinaryErosion(Filter):
     window: Box | Mask
 
     def slide(self, values: np.ndarray, step: Position) -> np.ndarray:
-        return reduce(np.logical_and, (t != 0 for t in self.taps(values, step))).astype(float)
+        return extreme(values != 0, self.window, step, np.logical_and).astype(float)
 
     def column(self, values: Column) -> Column:
         return F.forall(values, lambda v: v != 0).cast("double")
@@ -216,7 +285,7 @@ class BinaryDilation(Filter):
     window: Box | Mask
 
     def slide(self, values: np.ndarray, step: Position) -> np.ndarray:
-        return reduce(np.logical_or, (t != 0 for t in self.taps(values, step))).astype(float)
+        return extreme(values != 0, self.window, step, np.logical_or).astype(float)
 
     def column(self, values: Column) -> Column:
         return F.exists(values, lambda v: v != 0).cast("double")
