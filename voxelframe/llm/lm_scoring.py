@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, checked_broadcast, materialize
+from .common import checked_broadcast, materialize
 from .pieces import BASE, powers
 
 #: Weight of word pairs against single words.
@@ -70,16 +70,44 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(_mixed(out), np.uint64(1)), np.diff(np.searchsorted(start, ends), prepend=0)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
-    """Groups of rows (doc_id, text, target, role, row) with the number of their first row, and their texts; a null text is empty."""
-    for whole in batches:
-        texts = [t or b"" for t in whole.column(1).cast(pa.binary()).to_pylist()]
-        start, size = 0, 0
-        for k, text in enumerate(texts, 1):
-            size += len(text)
-            if k - start == GROUP or size > GROUP_BYTES or k == len(texts):
-                yield whole.column(4)[start].as_py(), whole.slice(start, k - start), texts[start:k]
-                start, size = k, 0
+def _packed(docs: DataFrame) -> DataFrame:
+    """(blob, bytes): ids, texts, targets and roles of a group of rows (doc_id, text, target, role), and the bytes of its texts; a null text is empty.
+
+    Groups are cut by rows and bytes as these come, wherever the batches end.
+    """
+    def packed(parts: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        ids = io.BytesIO()
+        with pa.ipc.new_stream(ids, rows.select(["doc_id"]).schema) as writer:
+            writer.write_table(rows.select(["doc_id"]).combine_chunks())
+        target, role = (rows[c].to_numpy().astype(np.uint8) for c in ("target", "role"))
+        blob = _pack(ids=np.frombuffer(ids.getvalue(), np.uint8), text=np.frombuffer(b"".join(texts), np.uint8), size=_narrow(np.array([len(t) for t in texts])), target=target, role=role)
+        return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([sum(map(len, texts))], pa.int64())], ["blob", "bytes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, size = [], [], 0
+        for whole in batches:
+            texts, start = [t or b"" for t in whole.column(1).cast(pa.binary()).to_pylist()], 0
+            for k, text in enumerate(texts, 1):
+                held.append(text)
+                size += len(text)
+                if len(held) == GROUP or size > GROUP_BYTES:
+                    parts.append(whole.slice(start, k - start).drop_columns(["text"]))
+                    yield packed(parts, held)
+                    parts, held, size, start = [], [], 0, k
+            if start < len(texts):
+                parts.append(whole.slice(start).drop_columns(["text"]))
+        if held:
+            yield packed(parts, held)
+
+    return docs.mapInArrow(run, "blob binary, bytes long")
+
+
+def _unpacked(blob: bytes) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    """A group, and its texts."""
+    about = _unpack(blob)
+    raw, ends = about["text"].tobytes(), np.cumsum(about["size"].astype(np.int64)).tolist()
+    return about, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def entries(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +141,7 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def _asked(docs: DataFrame, shards: int) -> DataFrame:
+def _asked(groups: DataFrame, shards: int) -> DataFrame:
     """(shard, group, t, b, blob): the keys of each group that fall to a shard, and their counts among target and background.
 
     Sorted keys are written as differences, six bytes each where that does, byte by byte. ``t`` and ``b`` are the
@@ -123,9 +151,10 @@ def _asked(docs: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.array([-(-(k << 64) // shards) for k in range(shards)], np.uint64)
-        for group, batch, texts in _groups(batches):
+        for group, packed in ((g, b) for batch in batches for g, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            about, texts = _unpacked(packed)
             keys, word, pair, sizes = entries(texts)
-            target, role = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for k in (2, 3))
+            target, role = (np.repeat(about[k].astype(np.int64), sizes) for k in ("target", "role"))
             counts = []
             for side in (target * (role & TRAINS), (1 - target) * (role & TRAINS)):
                 counts.append(np.bincount(word, side, len(keys)) + np.bincount(pair, side, len(keys)))
@@ -141,7 +170,7 @@ def _asked(docs: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((k, pa.int32()), (group, pa.int64()), (n_t, pa.int64()), (n_b, pa.int64()), (blob, pa.binary()))], names)
                 n_t = n_b = 0
 
-    return docs.mapInArrow(run, "shard int, group long, t long, b long, blob binary")
+    return groups.select("group", "blob").mapInArrow(run, "shard int, group long, t long, b long, blob binary")
 
 
 def _answered(asked: DataFrame, shards: int) -> DataFrame:
@@ -182,21 +211,6 @@ def _answered(asked: DataFrame, shards: int) -> DataFrame:
     return dealt.mapInArrow(run, "group long, shard int, v long, t long, b long, blob binary")
 
 
-def _carried(docs: DataFrame) -> DataFrame:
-    """(group, blob): ids, texts, targets and roles of each group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, batch, texts in _groups(batches):
-            ids = io.BytesIO()
-            with pa.ipc.new_stream(ids, pa.schema([batch.schema.field(0)])) as writer:
-                writer.write_batch(batch.select([0]))
-            target, role = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.uint8) for k in (2, 3))
-            blob = _pack(ids=np.frombuffer(ids.getvalue(), np.uint8), text=np.frombuffer(b"".join(texts), np.uint8), size=_narrow(np.array([len(t) for t in texts])), target=target, role=role)
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([blob], pa.binary())], ["group", "blob"])
-
-    return docs.mapInArrow(run, "group long, blob binary")
-
-
 @dataclass
 class Sums:
     """Words of the target's and the background's documents, and of the vocabulary."""
@@ -247,30 +261,26 @@ def score(docs: DataFrame, targets: DataFrame, corpus: DataFrame | None = None,
 
     Documents without words (null, blank) have n_tokens 0 and null losses. Null ids are background; repeated rows count
     as often as they stand there; other columns are ignored; without targets that model is even, and an empty table
-    gives no rows. A very long text is a group of its own, held whole by one task. The input is read twice and must
-    come in the same order; a table that doesn't raises an error.
+    gives no rows. A very long text is a group of its own, held whole by one task. Groups are cut and stored once, and
+    what is counted and what is scored are read from there, so the order of the input doesn't matter.
     """
     marked = lambda df, role: df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(role).alias("role"))
     rows = marked(docs, TRAINS | SCORED) if corpus is None else marked(docs, SCORED).union(marked(corpus, TRAINS))
     wanted = materialize(targets.select(F.col(targets.columns[0]).alias("doc_id"), F.lit(True).alias("hit")).distinct(), "targets")
     few = checked_broadcast(wanted, MOST_TARGETS)
-    rows = batched(rows, GROUP).join(few, "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("target"), "role")
-    if few is wanted:
-        # Joined by a shuffle: what is read twice, and again after a loss, must come in one order.
-        rows = materialize(rows, "marked")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.join(few, "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("target"), "role")
+    groups = materialize(_packed(rows).withColumn("group", F.monotonically_increasing_id()), "groups")
+    size = groups.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, size // (3 * SHARD))  # a word and a pair for every six bytes or so
-    answers = materialize(_answered(_asked(rows, shards), shards), "answers")
+    answers = materialize(_answered(_asked(groups, shards), shards), "answers")
     sums = Sums(*(answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "b", "v"))).first()))
     names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
 
-    def told(counts: list[dict[str, np.ndarray]], about: dict[str, np.ndarray]) -> pa.RecordBatch:
-        raw, ends = about["text"].tobytes(), np.cumsum(about["size"].astype(np.int64)).tolist()
-        keys, word, pair, n = entries([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+    def told(counts: list[dict[str, np.ndarray]], about: dict[str, np.ndarray], texts: list[bytes]) -> pa.RecordBatch:
+        keys, word, pair, n = entries(texts)
         of = tuple(np.concatenate([x[k].astype(np.int64) for x in counts]) if counts else np.zeros(0, np.int64) for k in ("t", "b"))
         if len(of[0]) != len(keys):
-            raise RuntimeError("a group came back with other documents than it asked for: the input doesn't keep its order")
+            raise RuntimeError("a group got answers to other keys than it asked for")
         t, b = (x / np.maximum(n, 1) for x in losses(word, pair, n, about["target"], about["role"], of, sums))
         with pa.ipc.open_stream(about["ids"].tobytes()) as reader:
             ids = reader.read_all().column(0).combine_chunks()
@@ -285,11 +295,11 @@ def score(docs: DataFrame, targets: DataFrame, corpus: DataFrame | None = None,
                 if shard is not None:
                     counts.append(_unpack(blob))
                 else:
-                    yield told(counts, _unpack(blob))
+                    yield told(counts, *_unpacked(blob))
                     counts = []
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    both = answers.select("group", "shard", "blob").union(_carried(rows).select("group", F.lit(None).cast("int"), "blob"))
+    both = answers.select("group", "shard", "blob").union(groups.select("group", F.lit(None).cast("int"), "blob"))
     # The answers of a group in the order of their shards, then the group itself.
     back = both.repartition("group").sortWithinPartitions("group", F.col("shard").asc_nulls_last())
     return back.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
