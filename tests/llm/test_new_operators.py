@@ -203,3 +203,22 @@ def test_codewords_and_windows(monkeypatch):
     cut = Counter((o, g) for gs, os in found(texts) for o, g in zip(os.tolist(), gs.tolist(), strict=True))
     assert cut == whole[0]
     assert normal(b"123 !") == b"" and normal("  —".encode()) == b"" and normal("文".encode()) != b""
+
+
+# -- scores beside other operators
+
+
+def test_scores_beside_other_operators(spark, documents):
+    """Built before another operator is, collected after it, and of a table in no order: the scores are the same."""
+    from voxelframe.llm.lm_scoring import score
+    from voxelframe.llm.pii import find_pii
+
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    want = {r["doc_id"]: r["score"] for r in score(documents, good).collect()}
+    before = score(documents, good)
+    other = find_pii(documents)
+    got = {r["doc_id"]: r["score"] for r in before.collect()}
+    assert other.count() == len(got)
+    shuffled = {r["doc_id"]: r["score"] for r in score(documents.orderBy(F.rand()), good).collect()}
+    for seen in (got, shuffled):
+        assert seen.keys() == want.keys() and all(x == want[k] or abs(x - want[k]) < 1e-9 for k, x in seen.items())

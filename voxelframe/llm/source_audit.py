@@ -1,15 +1,17 @@
 """How far the sources of a language diverge from one another, and by which terms.
 
-Terms are counted under 64-bit digests: tasks add up their own terms, and what is shuffled, grouped and joined holds
-digests and counts alone. Strings stay where they were found, in a column of the stored counts that holds each term
-once for every task. They are read twice: the least and the greatest string of each kept digest tell collisions, whose
-counts are split by a second digest, and the terms of the result get their text back.
+Terms are counted under 64-bit digests of language and term, and what is shuffled, grouped and joined holds digests and
+counts alone. A first pass counts documents, which tells the digests that a language keeps; a second one counts what
+passes a sieve of these, source by source. Strings stay where they were found, in a column of the stored counts that
+holds each term once for every task. They are read twice: the least and the greatest string of each kept digest tell
+collisions, which are counted anew and split by a second digest, and the terms of the result get their text back.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,13 @@ from .common import checked_broadcast, materialize
 #: Terms of a language that fewer documents hold aren't kept.
 LEAST_DOCS = 10
 #: Distinct terms that a task holds before it hands on its counts.
-HELD = 300_000
+HELD = 600_000
 #: Keys up to this many go to every task; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Bits of the sieve, as a power of two, at most.
+SIEVE = 27
+#: Collided digests that tasks are told; 64 bits have none before there are billions of terms.
+MOST_COLLIDED = 100_000
 #: Terms times sources that are held as one dense table.
 CELLS = 1 << 20
 #: ASCII letters in lower case, every other ASCII character a blank; bytes of other characters stay.
@@ -37,54 +43,152 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-def _counted(docs: DataFrame, bits: int) -> DataFrame:
-    """(lang, source, digest, alt, occ, docs, term): counts of the terms of each group, added up within a task.
+def _digest(lang: str, term: bytes, keep: int) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\0" + term) & keep)
 
-    ``alt`` is a second digest, never 0. ``term`` is given with the first row of a term in each stretch of a task.
-    """
-    names = ["lang", "source", "digest", "alt", "occ", "docs", "term"]
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _seen(docs: DataFrame, bits: int) -> DataFrame:
+    """(digest, docs): of how many documents of its language a task has met each term in."""
     keep = (1 << bits) - 1
 
-    def flushed(occ: dict[tuple[str, str], Counter], held: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[int, int]] = {}
-        for (lang, source), counts in occ.items():
-            digests, alts, told = [], [], []
-            for term in counts:
-                found = known.get(term)
-                told.append(term if found is None else None)
-                if found is None:
-                    h = xxhash.xxh3_128_intdigest(term)
-                    found = known[term] = (h & keep, h >> 64 | 1)
-                digests.append(found[0])
-                alts.append(found[1])
-            n = len(counts)
-            docs_ = held[lang, source]
-            cols = [pa.array([x]).take(pa.array(np.zeros(n, np.int32))) for x in (lang, source)]
-            cols += [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (digests, alts)]
-            cols += [pa.array(list(counts.values()), pa.int64()), pa.array([docs_[t] for t in counts], pa.int64()), pa.array(told, pa.binary())]
-            batch = pa.RecordBatch.from_arrays(cols, names)
-            for at in range(0, n, 8192):
-                yield batch.slice(at, 8192)
+    def flushed(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            digests = np.fromiter((_digest(lang, t, keep) for t in counts), np.int64, len(counts))
+            batch = pa.RecordBatch.from_arrays([pa.array(digests), pa.array(np.fromiter(counts.values(), np.int32, len(counts)))], ["digest", "docs"])
+            for at in range(0, len(counts), 1 << 15):
+                yield batch.slice(at, 1 << 15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occ: dict[tuple[str, str], Counter] = {}
-        held: dict[tuple[str, str], Counter] = {}
-        size = 0
+        held: dict[str, Counter] = {}
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                group = lang, source
-                if group not in occ:
-                    occ[group], held[group] = Counter(), Counter()
-                found, before = terms(text), len(occ[group])
-                occ[group].update(found)
-                held[group].update(set(found))
-                size += len(occ[group]) - before
-                if size >= HELD:
-                    yield from flushed(occ, held)
-                    occ, held, size = {}, {}, 0
-        yield from flushed(occ, held)
-
-    return docs.mapInArrow(run, "lang string, source string, digest long, alt long, occ long, docs long, term binary")
+            for lang, text in zip(*(c.to_pylist() for c in batch.select([0, 2]).columns), strict=True):
+                held.setdefault(lang, Counter()).update(set(terms(text)))
+                if sum(map(len, held.values())) >= HELD:
+                    yield from flushed(held)
+                    held = {}
+        yield from flushed(held)
+
+    return docs.mapInArrow(run, "digest long, docs int")
+
+
+def _sieve(seen: DataFrame, least_docs: int) -> np.ndarray:
+    """A bit for every remainder that the digest of a kept term leaves; others may leave the same.
+
+    At most 2 ** SIEVE bits, so it may go through the driver to every task. Terms that pass it in vain are dropped later.
+    """
+    kept = materialize(seen.groupBy("digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("digest"), "kept")
+    size = 1 << min(SIEVE, max(10, (16 * kept.count()).bit_length()))
+    place = F.col("digest").bitwiseAND(size - 1)
+    words = kept.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+class _Language:
+    """What a task knows of a language: its terms that pass the sieve, numbered, and their counts by source."""
+
+    def __init__(self) -> None:
+        #: Number of each term that was met, -1 for those that don't pass.
+        self.numbers: dict[bytes, int] = {}
+        self.terms: list[bytes] = []
+        self.digests: list[int] = []
+        self.sources: dict[str, int] = {}
+        #: Sorted keys (source and term), occurrences and documents of each.
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def learn(self, lang: str, new: list[bytes], keep: int, sieve: np.ndarray) -> None:
+        digests = np.fromiter((_digest(lang, t, keep) for t in new), np.int64, len(new))
+        place = digests & (len(sieve) * 64 - 1)
+        passes = sieve[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)
+        for term, digest, hit in zip(new, digests.tolist(), passes.tolist(), strict=True):
+            if hit:
+                self.numbers[term] = len(self.terms)
+                self.terms.append(term)
+                self.digests.append(digest)
+            else:
+                self.numbers[term] = -1
+
+    def count(self, source: list[str], texts: list[list[bytes]]) -> None:
+        at = np.array([self.sources.setdefault(s, len(self.sources)) for s in source], np.int64)
+        sizes = [len(t) for t in texts]
+        number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        passes = number >= 0
+        pair, occ = np.unique(np.repeat(np.arange(len(texts)), sizes)[passes] << 32 | number[passes], return_counts=True)
+        self.parts.append(_added([(at[pair >> 32] << 32 | pair & 0xFFFFFFFF, occ, np.ones(len(pair), np.int64))]))
+        if len(self.parts) > 32:
+            self.parts = [_added(self.parts)]
+
+    def forget(self) -> None:
+        """Terms that don't pass may be asked for again."""
+        self.numbers = {t: k for k, t in enumerate(self.terms)}
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal keys added up."""
+    key, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
+
+
+def _counted(docs: DataFrame, bits: int, sieve: np.ndarray, collided: frozenset[int] = frozenset()) -> DataFrame:
+    """(lang, source, digest, split, occ, docs, term): counts of the terms of each group that pass the sieve, added up within a task.
+
+    ``split`` is a second digest, never 0, of terms whose digests are ``collided``, and 0 for all others. ``term`` is
+    given with the first row of a term that a task hands on.
+    """
+    names = ["lang", "source", "digest", "split", "occ", "docs", "term"]
+    keep = (1 << bits) - 1
+    held = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def handed(lang: str, about: _Language) -> Iterator[pa.RecordBatch]:
+        if not about.parts:
+            return
+        key, occ, docs_ = _added(about.parts)
+        digests, number = np.array(about.digests, np.int64), key & 0xFFFFFFFF
+        splits = np.zeros(len(digests), np.int64)
+        for k in np.flatnonzero(np.isin(digests, list(collided))).tolist() if collided else []:
+            splits[k] = _signed(xxhash.xxh64_intdigest(about.terms[k], 1) | 1)
+        first = np.zeros(len(key), bool)
+        first[np.unique(number, return_index=True)[1]] = True
+        known, sources = pa.array(about.terms, pa.binary()), pa.array(list(about.sources), pa.string())
+        for start in range(0, len(key), 1 << 14):
+            part = slice(start, start + (1 << 14))
+            said = known.take(pa.array(number[part], mask=~first[part]))
+            cols = [pa.array([lang]).take(pa.array(np.zeros(len(said), np.int32))), sources.take(pa.array(key[part] >> 32)), *(pa.array(x) for x in (digests[number[part]], splits[number[part]], occ[part], docs_[part])), said]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, _Language] = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                by_lang: dict[str, tuple[list[str], list[list[bytes]]]] = {}
+                for lang, source, text in zip(*(c.to_pylist() for c in whole.slice(start, 256).columns), strict=True):
+                    sources, texts = by_lang.setdefault(lang, ([], []))
+                    sources.append(source)
+                    texts.append(terms(text))
+                for lang, (sources, texts) in by_lang.items():
+                    about = seen.setdefault(lang, _Language())
+                    about.learn(lang, list(set(chain.from_iterable(texts)) - about.numbers.keys()), keep, held.value)
+                    about.count(sources, texts)
+                if sum(len(x.numbers) for x in seen.values()) > HELD:
+                    for about in seen.values():
+                        about.forget()
+                    if 2 * sum(len(x.numbers) for x in seen.values()) > HELD:
+                        for lang, about in seen.items():
+                            yield from handed(lang, about)
+                        seen = {}
+        for lang, about in seen.items():
+            yield from handed(lang, about)
+
+    return docs.mapInArrow(run, "lang string, source string, digest long, split long, occ long, docs long, term binary")
 
 
 def _proportion(count: Column, total: Column, kept: Column) -> Column:
@@ -105,57 +209,43 @@ def proportions(counts: np.ndarray, totals: np.ndarray, kept: int) -> np.ndarray
     return 1 + first * 10_000 + rest * 10_000 // below
 
 
-def _pairs(cells: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(lang, a, b, value): the divergence of each two sources, a < b, in parts to be added up.
+def _pairs(cells: DataFrame, langs: DataFrame) -> DataFrame:
+    """(lang, a, b, value): the divergence of each two sources, a < b; a row of ``cells`` is a whole term, so tasks add up what they read."""
+    # A row for each language.
+    rows = cells.join(checked_broadcast(langs.where("kept > 0 AND size(totals) > 1"), MOST_BROADCAST), "lang").select("lang", "totals", "kept", "ats", "ns")
 
-    A language's terms are dealt to buckets by digest, so many that a bucket's dense table of terms by sources stays
-    small. The first row of a bucket tells the totals of all sources.
-    """
-    langs = sizes.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("totals"), F.max("kept").alias("kept"))
-    langs = langs.where("kept > 0 AND size(totals) > 1").withColumn("buckets", (F.col("kept") * F.size("totals") / CELLS + 1).cast("long"))
-    heads = langs.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"), "totals", "kept")
-    place = cells.join(checked_broadcast(materialize(sizes.join(langs.select("lang", "buckets"), "lang").select("lang", "source", "at", "buckets"), "places"), MOST_BROADCAST), ["lang", "source"])
-    rows = place.select("lang", F.pmod("digest", "buckets").alias("bucket"), F.lit(None).cast("array<long>").alias("totals"), F.lit(None).cast("long").alias("kept"), *WORD, "at", "n")
-    heads = heads.select("lang", "bucket", "totals", "kept", *(F.lit(None).cast("long").alias(c) for c in WORD), F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("n"))
-    names = ["lang", "a", "b", "value"]
-
-    def told(lang: str, totals: np.ndarray, kept: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        digest, split, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        new = np.append(True, (digest[1:] != digest[:-1]) | (split[1:] != split[:-1]))
-        term = np.cumsum(new) - 1
+    def added(sums: np.ndarray, totals: np.ndarray, kept: int, part: pa.RecordBatch) -> None:
+        ats, ns = part.column("ats"), part.column("ns")
+        term = np.repeat(np.arange(part.num_rows), ats.value_lengths().to_numpy(zero_copy_only=False))
+        at, n = (c.flatten().to_numpy(zero_copy_only=False) for c in (ats, ns))
         step = max(1, CELLS // len(totals))
-        sums = np.zeros((len(totals), len(totals)), np.int64)
-        for start in range(0, int(term[-1]) + 1, step):
+        for start in range(0, part.num_rows, step):
             a, b = np.searchsorted(term, [start, start + step])
-            table = np.zeros((int(term[b - 1]) - start + 1, len(totals)), np.int64)
+            table = np.zeros((min(step, part.num_rows - start), len(totals)), np.int64)
             table[term[a:b] - start, at[a:b]] = n[a:b]
             p = np.ascontiguousarray(proportions(table, totals, kept).T)
             for k in range(len(totals) - 1):
                 away = p[k + 1 :] - p[k]
                 sums[k, k + 1 :] += (away * away // (p[k + 1 :] + p[k])).sum(axis=1)
-        for k in range(len(totals) - 1):
-            m = len(totals) - 1 - k
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(np.full(m, k, np.int32)), pa.array(np.arange(k + 1, k + 1 + m, dtype=np.int32)), pa.array(sums[k, k + 1 :])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, parts = None, []
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            heads_at = np.flatnonzero(~batch.column("kept").is_null().to_numpy(zero_copy_only=False)).tolist()
-            cols = [batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in (*WORD, "at", "n")]
-            start = 0
-            for stop in [*heads_at, batch.num_rows]:
-                if stop > start:
-                    parts.append(tuple(c[start:stop] for c in cols))
-                if stop < batch.num_rows:
-                    if head and parts:
-                        yield from told(*head, parts)
-                    head, parts = (batch.column("lang")[stop].as_py(), np.array(batch.column("totals")[stop].as_py(), np.int64), batch.column("kept")[stop].as_py()), []
-                start = stop + 1
-        if head and parts:
-            yield from told(*head, parts)
-
-    dealt = heads.union(rows).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", F.col("digest").asc_nulls_first(), "split", "at")
-    return dealt.mapInArrow(run, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+            langs_ = batch.column("lang").to_numpy(zero_copy_only=False)
+            for start, stop in zip(edges := [0, *(np.flatnonzero(langs_[1:] != langs_[:-1]) + 1).tolist()], [*edges[1:], len(langs_)], strict=True):
+                if start == stop:
+                    continue
+                part = batch.slice(start, stop - start)
+                totals = np.array(part.column("totals")[0].as_py(), np.int64)
+                own = sums.setdefault(langs_[start], np.zeros((len(totals), len(totals)), np.int64))
+                added(own, totals, part.column("kept")[0].as_py(), part)
+        for lang, own in sums.items():
+            for k in range(len(own) - 1):
+                m = len(own) - 1 - k
+                cols = [pa.array([lang] * m), pa.array(np.full(m, k, np.int32)), pa.array(np.arange(k + 1, k + 1 + m, dtype=np.int32)), pa.array(own[k, k + 1 :])]
+                yield pa.RecordBatch.from_arrays(cols, ["lang", "a", "b", "value"])
+
+    return rows.mapInArrow(run, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top: int = 10, bits: int = 64) -> DataFrame:
@@ -176,51 +266,58 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     an empty table gives no rows. A very long text is counted whole by one task.
     """
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source")))
-    counted = materialize(_counted(docs.select(lang, source, F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text")), bits), "terms")
-    said = counted.where(F.col("term").isNotNull()).select("digest", "alt", F.col("term").cast("string").alias("term"))
-
-    def added(rows: DataFrame) -> DataFrame:
-        """Counts of the kept terms of each group, with the language's count; one row of each term is marked."""
-        whole = rows.groupBy("lang", *WORD, "source").agg(F.sum("occ").alias("n"), F.sum("docs").alias("docs"))
-        of_term = Window.partitionBy("lang", *WORD)
-        all_ = whole.withColumns({"n_lang": F.sum("n").over(of_term), "docs": F.sum("docs").over(of_term), "mark": F.row_number().over(of_term.orderBy("source")) == 1})
-        return materialize(all_.where(F.col("docs") >= least_docs).drop("docs"), "cells")
+    rows = docs.select(lang, source, F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
+    groups = docs.select(lang, source).distinct()
+    # A row for each group; sources of a language are numbered.
+    groups = materialize(groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1), "groups")
+    numbers = checked_broadcast(groups, MOST_BROADCAST)
+    sieve = _sieve(_seen(rows, bits), least_docs)
+
+    def counted(collided: frozenset[int]) -> tuple[DataFrame, DataFrame]:
+        """(digest, split, term) as tasks told them, and (lang, digest, split, ats, ns, n_lang) of the kept terms, a row a term."""
+        found = materialize(_counted(rows, bits, sieve, collided), "terms")
+        numbered = found.join(numbers, ["lang", "source"]).select("lang", *WORD, "at", "occ", "docs")
+        of_source = numbered.repartition("lang", *WORD).groupBy("lang", *WORD, "at").agg(F.sum("occ").alias("n"), F.sum("docs").alias("docs"))
+        whole = of_source.groupBy("lang", *WORD).agg(F.collect_list(F.struct("at", "n")).alias("cells"), F.sum("n").alias("n_lang"), F.sum("docs").alias("docs"))
+        kept = whole.where(F.col("docs") >= least_docs).select("lang", *WORD, F.col("cells.at").alias("ats"), F.col("cells.n").alias("ns"), "n_lang")
+        return found.where(F.col("term").isNotNull()).select(*WORD, F.col("term").cast("string").alias("term")), materialize(kept, "cells")
+
+    said, cells = counted(frozenset())
 
     def named(keys: DataFrame) -> DataFrame:
-        """(digest, split, term) of the asked digests, each term once for every task that met it."""
-        few = checked_broadcast(keys, MOST_BROADCAST).select(F.col("digest").alias("_digest"), "split")
-        return said.join(few, (F.col("digest") == F.col("_digest")) & ((F.col("split") == 0) | (F.col("split") == F.col("alt")))).select(*WORD, "term")
-
-    def collided(cells: DataFrame) -> DataFrame:
-        kept = materialize(cells.where("mark").select(*WORD).distinct(), "kept")
-        return materialize(named(kept).groupBy(*WORD).agg(F.min("term").alias("least"), F.max("term").alias("most")).where("least <> most").select("digest", F.lit(True).alias("hit")), "collided")
-
-    cells = added(counted.withColumn("split", F.lit(0).cast("long")))
-    shared = collided(cells)
-    if not shared.isEmpty():
-        apart = counted.join(checked_broadcast(shared, MOST_BROADCAST), "digest", "left")
-        cells = added(apart.withColumn("split", F.when(F.col("hit"), F.col("alt")).otherwise(0)))
-        if not collided(cells).isEmpty():
+        """(digest, split, term) of the asked terms, once for every task that met them."""
+        return said.join(checked_broadcast(keys, MOST_BROADCAST), WORD)
+
+    def shared() -> list[int]:
+        """Digests under which two terms or more were counted as one."""
+        both = named(cells.select(*WORD).distinct()).groupBy(*WORD).agg(F.min("term").alias("least"), F.max("term").alias("most"))
+        return [r["digest"] for r in both.where("least <> most").select("digest").distinct().limit(MOST_COLLIDED + 1).collect()]
+
+    if collided := shared():
+        if len(collided) > MOST_COLLIDED:
+            raise ValueError(f"more than {MOST_COLLIDED} digests of {bits} bits are shared by terms")
+        said, cells = counted(frozenset(collided))
+        if shared():
             raise RuntimeError("two terms share both digests")
 
-    groups = docs.select(lang, source).distinct()
-    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    of_lang = cells.groupBy("lang").agg(F.sum("n").alias("all_n"), F.count(F.when(F.col("mark"), 1)).alias("kept"))
-    sizes = groups.join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    # A row for each group.
+    each = cells.select("lang", *WORD, "n_lang", F.explode(F.arrays_zip("ats", "ns")).alias("cell")).select("lang", *WORD, "n_lang", F.col("cell.ats").alias("at"), F.col("cell.ns").alias("n"))
+    totals = each.groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    of_lang = cells.groupBy("lang").agg(F.sum("n_lang").alias("all_n"), F.count(F.lit(1)).alias("kept"))
+    sizes = groups.join(totals, ["lang", "at"], "left").join(of_lang, "lang", "left")
     sizes = materialize(sizes.select("lang", "source", "at", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "all_n", "kept"))), "sizes")
+    langs = materialize(sizes.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("totals"), F.max("kept").alias("kept")), "langs")
 
     b = sizes.select("lang", F.col("source").alias("item"), F.col("at").alias("to"))
     # Every pair is a row of the result.
     every = sizes.select("lang", "source", "at").join(b, "lang").where(F.col("at") != F.col("to")).withColumns({"a": F.least("at", "to"), "b": F.greatest("at", "to")})
-    pairs = every.join(_pairs(cells, sizes), ["lang", "a", "b"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    pairs = every.join(_pairs(cells, langs), ["lang", "a", "b"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
     in_group = Window.partitionBy("lang", "source")
     pairs = pairs.withColumn("rank", F.row_number().over(in_group.orderBy(F.col("value").desc(), "item")))
 
-    few = checked_broadcast(sizes.select("lang", "source", F.col("n").alias("total"), "all_n", "kept"), MOST_BROADCAST)
-    both = cells.join(few, ["lang", "source"]).select("lang", "source", *WORD, _proportion(F.col("n"), F.col("total"), F.col("kept")).alias("p"), _proportion(F.col("n_lang"), F.col("all_n"), F.col("kept")).alias("q"))
+    few = checked_broadcast(sizes.select("lang", "at", "source", F.col("n").alias("total"), "all_n", "kept"), MOST_BROADCAST)
+    both = each.join(few, ["lang", "at"]).select("lang", "source", *WORD, _proportion(F.col("n"), F.col("total"), F.col("kept")).alias("p"), _proportion(F.col("n_lang"), F.col("all_n"), F.col("kept")).alias("q"))
     away = F.col("p") - F.col("q")
-    over = materialize(both.where("p > q").select("lang", "source", *WORD, _div(away * away, F.col("p") + F.col("q")).alias("value")), "over")
+    over = both.where("p > q").select("lang", "source", *WORD, _div(away * away, F.col("p") + F.col("q")).alias("value"))
     # The value of the last rank; Spark keeps ``top`` rows a group before it shuffles. All ties of it get their text.
     by_value = over.select("lang", "source", "value").withColumn("rank", F.row_number().over(in_group.orderBy(F.col("value").desc()))).where(F.col("rank") <= top)
     bars = checked_broadcast(materialize(by_value.groupBy("lang", "source").agg(F.min("value").alias("bar")), "bars"), MOST_BROADCAST)
