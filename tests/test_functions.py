@@ -104,3 +104,47 @@ def test_noise_depends_on_seed_and_place_only(spark):
     assert abs(drawn.mean() - 9) < 0.4 and abs(drawn.var() - 9) < 1.5
     salted = noise.apply_noise(base, noise.ImpulseNoise.salt_and_pepper(0.2, 0.1, 255, seed=2)).to_numpy()
     assert abs((salted == 255).mean() - 0.2) < 0.05 and abs((salted == 0).mean() - 0.1) < 0.04
+
+
+@pytest.mark.parametrize("mean", [3.0, 10.0, 47.5, 5000.0, 1e9])
+def test_poisson_by_rejection(spark, mean):
+    """Mean, variance, skew and tails of 40,000 draws; large means take no longer."""
+    base = Raster.filled(spark, (200, 200), 0.0)
+    drawn = noise.draw_noise(base, noise.RejectionPoissonNoise(mean, seed=11)).to_numpy().ravel()
+    z = (drawn - mean) / math.sqrt(mean)
+    assert (drawn >= 0).all() and (drawn == np.floor(drawn)).all()
+    assert abs(z.mean()) < 0.02 and abs(z.var() - 1) < 0.03 and abs((z**3).mean() - mean**-0.5) < 0.08
+    for x, far in ((1.0, 0.16), (2.0, 0.025), (3.0, 0.002)) if mean >= 40 else ():
+        assert abs((np.abs(z) > x).mean() / 2 - far) < 0.03
+    if mean == 47.5:
+        k = np.arange(20, 80)
+        want = np.exp(k * math.log(mean) - mean - np.array([math.lgamma(x + 1) for x in k]))
+        got = np.array([(drawn == x).mean() for x in k])
+        assert np.abs(got - want).max() < 0.004
+    odd = base.df.limit(1).select(*(noise.RejectionPoissonNoise(seed=1).perturb(F.lit(x), F.lit(3)).alias(n) for n, x in (("nan", math.nan), ("low", -1.0), ("inf", math.inf), ("zero", 0.0)))).first()
+    assert math.isnan(odd["nan"]) and math.isnan(odd["low"]) and odd["inf"] == math.inf and odd["zero"] == 0
+
+
+def test_special_functions_stay_in_the_jvm(spark):
+    """Within 1e-13 of the C library's, as expressions without a Python worker."""
+    rng = np.random.default_rng(12)
+    xs = np.concatenate([rng.uniform(-6, 6, 4000), rng.uniform(-170, 171.5, 2000), rng.uniform(-27, 27, 1000), 10.0 ** rng.uniform(-300, 2, 500), -(10.0 ** rng.uniform(-300, 2, 500)), np.arange(-5.0, 30.0), np.arange(1, 25) + 0.5])
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    made = df.select("x", *(maths.UNARY[k](F.col("x")).alias(k) for k in ("erf", "erfc", "tgamma", "lgamma")))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.toPandas()
+
+    def close(name, f, keep=None, least=0.0):
+        for x, g in zip(got["x"], got[name], strict=True):
+            if keep is None or keep(x):
+                w = f(x)
+                # Powers above a hundred lose a digit.
+                most = 3e-13 if name == "tgamma" and abs(x) > 100 else 1e-13
+                assert g == w or abs(g - w) <= most * max(abs(w), least), (name, x, g, w)
+
+    smooth = lambda x: x > 0 or abs(x - round(x)) > 1e-9
+    close("erf", math.erf)
+    close("erfc", math.erfc, lambda x: x < 26)
+    close("tgamma", math.gamma, lambda x: smooth(x) and -170 < x < 171 and 1e-300 < abs(x), 1e-290)
+    # Near its zeros the logarithm is held to absolute differences.
+    close("lgamma", math.lgamma, lambda x: smooth(x) and x != 0, 10.0)

@@ -8,16 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operator_queries import _C, _S, _add
+from .functions import noise
+from .operator_queries import _C, _HEX, _S, _add, _complex
 from .operators import statistics as stats
 from .operators.chunk_warp import resample_chunks, warp_chunks
 from .operators.growing import grow
 from .operators.resampling import CUBIC, LINEAR, NEAREST, Affinity, center_of, warp
+from .operators.spectra import complex_dft, inverse_complex_dft, inverse_real_dft, real_dft
 from .operators.stencil import Constant, Convolution, Dilation, Erosion, Extrapolation, Filter, Mean, Median, Nearest, Periodic, apply_filter
 from .plans.raster import Raster
 from .plans.regions import Box, Grid, Mask
 from .plans.scratch import scratch_path
+from .plans.spans import Spans
 from .queries import B3, CONV, K9, NEAREST_SQL, PERIODIC_SQL, PLAIN_SQL, R1, R2, R3, W3, _stencil, _warp_sql, r1, r3, rows
+from .sources.chunk_store import cut_chunks, morton, read_chunks, write_chunks
 from .sources.fits import read_fits, read_fits_chunks, write_fits
 from .streaming.chunks import combine_chunks, filter_chunks, to_chunks, to_pixels
 
@@ -129,6 +133,103 @@ _add(
     SELECT px.x0, px.x1, CASE WHEN g.x0 IS NULL THEN 0 ELSE 1 END AS v FROM px LEFT JOIN g ON g.x0 = px.x0 AND g.x1 = px.x1""",
 )
 
+# -- long lines: cut in two axes, or turned into convolutions
+
+_LINE1 = f"WITH {R1}, n AS (SELECT s1 AS n FROM dim), k AS (SELECT unnest(range(0, (SELECT n // 2 + 1 FROM n))) AS k)"
+_ANGLE = "(2 * pi() * ((k.k * px.x1) % n.n) / n.n)"
+_add(
+    "dft_long_lines",
+    lambda r: real_dft(r, axes=[1], line=16).df.select("x0", "x1", (F.round("v.re", 6) + 0.0).alias("re"), (F.round("v.im", 6) + 0.0).alias("im")),
+    f"{_LINE1} SELECT px.x0, k.k AS x1, round(sum(v * cos({_ANGLE})), 6) + 0.0 AS re, round(-sum(v * sin({_ANGLE})), 6) + 0.0 AS im FROM px, k, n GROUP BY ALL",
+    r1,
+)
+_add("dft_prime_lines", lambda r: rows(inverse_real_dft(real_dft(r, line=8), r.shape, line=8), F.round("v", 6)), f"WITH {R2} SELECT x0, x1, v::DOUBLE AS v FROM px")
+_add("dft_complex_back", lambda r: inverse_complex_dft(complex_dft(_complex(r), line=9), line=9).df.select("x0", "x1", (F.round("v.re", 6) + 0.0).alias("re"), (F.round("v.im", 6) + 0.0).alias("im")), f"WITH {R2} SELECT x0, x1, v::DOUBLE AS re, (x0 - x1)::DOUBLE AS im FROM px")
+
+# -- stores
+
+
+def _kept_in_order(r: Raster) -> str:
+    path = scratch_path(r.df.sparkSession, "chunks")
+    write_chunks(to_chunks(r, (16, 25)), path, (16, 25), row_group=1 << 14)
+    return path
+
+
+_add("store_box", lambda r: to_pixels(cut_chunks(read_chunks(r.df.sparkSession, _kept_in_order(r)), Box((20, 30), (40, 60))), 2), f"WITH {R1} SELECT x0 - 20 AS x0, x1 - 30 AS x1, v FROM px WHERE x0 BETWEEN 20 AND 40 AND x1 BETWEEN 30 AND 60", r1)
+_add("store_grid", lambda r: to_pixels(cut_chunks(read_chunks(r.df.sparkSession, _kept_in_order(r)), Grid((1, 2), (60, 90), (3, 5))), 2), f"WITH {R1} SELECT (x0 - 1) // 3 AS x0, (x1 - 2) // 5 AS x1, v FROM px WHERE x0 BETWEEN 1 AND 60 AND x1 BETWEEN 2 AND 90 AND (x0 - 1) % 3 = 0 AND (x1 - 2) % 5 = 0", r1)
+_add("morton_keys", lambda r: r.df.select("x0", "x1", morton([F.col("x0"), F.col("x1")]).alias("key")), f"WITH {R2} SELECT x0, x1, list_sum([((x0 >> b) & 1) * (1::BIGINT << (2 * b)) + ((x1 >> b) & 1) * (1::BIGINT << (2 * b + 1)) FOR b IN range(0, 8)])::BIGINT AS key FROM px")
+
+# -- masks as run lengths
+
+
+def _runs(r: Raster, flag: str) -> Spans:
+    return Spans.of_flags(r.apply(lambda v: F.expr(flag).cast("int")))
+
+
+_THIRD, _BALL = "v % 3 = 0", "((x0 - 20) * (x0 - 20) + (x1 - 5) * (x1 - 5) <= 16)"
+
+
+def _ball(r: Raster) -> Spans:
+    return Spans.of_region(r.df.sparkSession, Mask.ball(4, (20, 5)))
+
+
+_add("spans_selected", lambda r: _runs(r, _THIRD).select(r).select("x0", "x1", "v"), f"WITH {R2} SELECT x0, x1, v FROM px WHERE {_THIRD}")
+_add("spans_union", lambda r: (_runs(r, _THIRD) | _ball(r)).select(r).select("x0", "x1", "v"), f"WITH {R2} SELECT x0, x1, v FROM px WHERE {_THIRD} OR {_BALL}")
+_add("spans_difference", lambda r: (_runs(r, _THIRD) - _ball(r)).select(r).select("x0", "x1", "v"), f"WITH {R2} SELECT x0, x1, v FROM px WHERE {_THIRD} AND NOT {_BALL}")
+_add("spans_moved_in_box", lambda r: (_ball(r).translate((3, -2)) & Box((20, 1), (26, 6))).positions(), f"WITH {R2} SELECT x0, x1 FROM px WHERE (x0 - 23) * (x0 - 23) + (x1 - 3) * (x1 - 3) <= 16 AND x0 BETWEEN 20 AND 26 AND x1 BETWEEN 1 AND 6")
+_add("spans_written", lambda r: rows(_runs(r, _THIRD).apply(r, lambda v: v * 10)), f"WITH {R2} SELECT x0, x1, CASE WHEN {_THIRD} THEN v * 10 ELSE v END AS v FROM px")
+_add("spans_lengths", lambda r: _runs(r, _THIRD).df.select("x1", "low", "high"), f"WITH {R2}, f AS (SELECT x0, x1, x0 - row_number() OVER (PARTITION BY x1 ORDER BY x0) AS g FROM px WHERE {_THIRD}) SELECT x1, min(x0) AS low, max(x0) AS high FROM f GROUP BY x1, g")
+
+# -- regions that are told of rasters
+
+_add(
+    "bounding_box_of_mask",
+    lambda r: r.df.sparkSession.createDataFrame([(*_runs(r, "v % 7 = 3").box().front, *_runs(r, "v % 7 = 3").box().back)], "f0 long, f1 long, b0 long, b1 long"),
+    f"WITH {R2} SELECT min(x0) AS f0, min(x1) AS f1, max(x0) AS b0, max(x1) AS b1 FROM px WHERE v % 7 = 3",
+)
+_add("positions_clamped", lambda r: r.df.select("x0", "x1", *(c.alias(n) for c, n in zip(Box((10, 2), (30, 8)).clamp_columns([F.col("x0"), F.col("x1")]), ("y0", "y1"), strict=True))), f"WITH {R2} SELECT x0, x1, least(greatest(x0, 10), 30)::BIGINT AS y0, least(greatest(x1, 2), 8)::BIGINT AS y1 FROM px")
+_add("affine_algebra", lambda r: _seen(warp_chunks(to_chunks(r, TILE), (((Affinity.identity(2, center_of(r)) * 2.0) / [1.6, 1.6]) + [1.0, 0.0]) - [1.0, 0.0], r.shape, TILE, CUBIC)), _warp_sql(CUBIC, "24.5 + (x0 - 24.5) / 1.25", "5.0 + (x1 - 5.0) / 1.25"))
+
+# -- draws
+
+_N = noise.TRIES
+_LOG = "(CASE WHEN k > 15 THEN m * ((k - m) / m) - k * ln(1 + (k - m) / m) - 0.5 * ln(2 * pi() * k) - (1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * k * k * k * k * k)) ELSE k * ln(m) - m - lgamma(k + 1) END)"
+_DRAW = "(('0x' || substr(md5('7:' || ({stream}) || ':' || i), 1, 13))::BIGINT / 4503599627370496.0)"
+_add(
+    "noise_poisson_rejection",
+    lambda r: rows(noise.apply_noise(r, noise.RejectionPoissonNoise(seed=7))),
+    f"""WITH {R2}, p AS (SELECT x0, x1, x0 + 50 * x1 AS i, v::DOUBLE AS m FROM px),
+    t AS (SELECT *, unnest(range(0, {_N})) AS t, 0.931::DOUBLE + 2.53::DOUBLE * sqrt(m) AS b, -0.059::DOUBLE + 0.02483::DOUBLE * (0.931::DOUBLE + 2.53::DOUBLE * sqrt(m)) AS a FROM p WHERE m >= 10),
+    d AS (SELECT *, {_DRAW.format(stream="2 * t")} - 0.5 AS u, {_DRAW.format(stream="2 * t + 1")} AS w FROM t),
+    e AS (SELECT *, 0.5 - abs(u) AS room, floor((2 * a / (0.5 - abs(u)) + b) * u + m + 0.43::DOUBLE) AS k FROM d),
+    f AS (SELECT *, (room >= 0.07 AND w <= 0.9277::DOUBLE - 3.6224::DOUBLE / (b - 2)) OR (k >= 0 AND NOT (room < 0.013 AND w > room) AND ln(w) + ln(1.1239::DOUBLE + 1.1328::DOUBLE / (b - 3.4::DOUBLE)) - ln(a / (room * room) + b) <= CASE WHEN k >= 0 THEN {_LOG} END) AS taken FROM e),
+    s AS (SELECT x0, x1, m, {_DRAW.format(stream="0")} AS u, unnest(range(0, (m + 12 * sqrt(m) + 31)::BIGINT)) AS k FROM p WHERE m < 10),
+    c AS (SELECT x0, x1, u, k, sum(exp(k * ln(m) - m - lgamma(k + 1.0))) OVER (PARTITION BY x0, x1 ORDER BY k) AS c FROM s)
+    SELECT x0, x1, arg_min(k, t)::DOUBLE AS v FROM f WHERE taken GROUP BY x0, x1 UNION ALL SELECT x0, x1, min(k)::DOUBLE FROM c WHERE c > u GROUP BY x0, x1""",
+)
+
+# -- generated rasters beside those of tables
+
+_add("range_added", lambda r: rows(r.apply(lambda v, w: v + w, Raster.range(r.df.sparkSession, r.shape, 3, 2))), f"WITH {R2} SELECT x0, x1, v + 3 + 2 * (x0 + 50 * x1) AS v FROM px")
+_add("line_subtracted", lambda r: rows(r.apply(lambda v, w: v - w, Raster.linspace(r.df.sparkSession, r.shape, 1, 9)), F.round("v", 9)), f"WITH {R2} SELECT x0, x1, round(v - (1.0 + 8.0 * (x0 + 50 * x1) / 549), 9) AS v FROM px")
+_add("fill_scaled", lambda r: rows(r.apply(lambda v, w: v * w, Raster.filled(r.df.sparkSession, r.shape, F.lit(7)))), f"WITH {R2} SELECT x0, x1, v * 7 AS v FROM px")
+_add("random_added", lambda r: rows(r.apply(lambda v, w: v + w, noise.random_raster(r.df.sparkSession, r.shape, -1.0, 3.0, 8)), F.round("v", 9)), f"WITH {R2} SELECT x0, x1, round(v + (-1.0 + 4.0 * {_HEX.format(seed=8, i='(x0 + 50 * x1)')}), 9) AS v FROM px")
+
+
+def _related(r: Raster) -> DataFrame:
+    a, b = (_runs(r, f).box() for f in ("v % 7 = 3", "v % 7 = 3 AND x0 BETWEEN 5 AND 30 AND x1 < 9"))
+    held = [b <= a, a <= b, b < a, a >= b, a > b, a == b, a != b, b.front in a, a.back in b, a[(1, 1)] in a]
+    return r.df.sparkSession.createDataFrame([(k, bool(x)) for k, x in enumerate(held)], "k int, holds boolean")
+
+
+_add(
+    "box_relations_of_masks",
+    _related,
+    f"""WITH {R2}, m AS (SELECT * FROM px WHERE v % 7 = 3), a AS (SELECT min(x0) AS f0, min(x1) AS f1, max(x0) AS b0, max(x1) AS b1 FROM m), b AS (SELECT min(x0) AS g0, min(x1) AS g1, max(x0) AS c0, max(x1) AS c1 FROM m WHERE x0 BETWEEN 5 AND 30 AND x1 < 9),
+    t AS (SELECT g0 >= f0 AND g1 >= f1 AND c0 <= b0 AND c1 <= b1 AS inside, f0 >= g0 AND f1 >= g1 AND b0 <= c0 AND b1 <= c1 AS around, g0 > f0 AND g1 > f1 AND c0 < b0 AND c1 < b1 AS within, (f0, f1, b0, b1) = (g0, g1, c0, c1) AS same, b0 BETWEEN g0 AND c0 AND b1 BETWEEN g1 AND c1 AS corner, f0 + 1 <= b0 AND f1 + 1 <= b1 AS next FROM a, b)
+    SELECT unnest(range(0, 10))::INTEGER AS k, unnest([inside, around, within, inside, within, same, NOT same, inside, corner, next]) AS holds FROM t""",
+)
+
 # -- files
 
 

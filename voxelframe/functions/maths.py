@@ -2,13 +2,13 @@
 
 Spark raises on zero division, gives null for logarithms of non-positive numbers, returns integers from floor and ceil
 (NaN becomes 0 there), and orders NaN above all. The functions here follow the floating-point standard instead. They
-are expressions, so they fuse into one projection; only erf, erfc, tgamma, lgamma and logb of odd values leave the JVM.
+are expressions, so they fuse into one projection; only logb leaves the JVM.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -181,32 +181,93 @@ def abspow(x: Column, p: int) -> Column:
 # -- special functions
 
 
-def _special(f: Callable[[float], float]) -> Callable[[Column], Column]:
-    @pandas_udf(DoubleType())
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([f(v) for v in x.to_numpy(np.float64).tolist()], dtype="float64")
+def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
+    """Highest power first."""
+    return reduce(lambda sum_, c: sum_ * x + c, coefficients[1:], F.lit(coefficients[0]))
 
-    return lambda x: _kept_nan(run(_d(x)), x)
 
+# Cody's rational approximations (1969), highest power first, for |x| up to 0.46875, up to 4, and beyond.
+NEAR = [1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3], [1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3]
+MIDDLE = (
+    [2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3],
+    [1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3],
+)
+FAR = [1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4], [1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3]
 
-def _tgamma(v: float) -> float:
-    if v == 0:
-        return math.copysign(math.inf, v)
-    try:
-        return math.nan if v == -math.inf or (v < 0 and v == math.floor(v)) else math.gamma(v)
-    except OverflowError:
-        return math.inf
 
+def _ratio(x: Column, parts: tuple[Sequence[float], Sequence[float]]) -> Column:
+    return _polynomial(x, parts[0]) / _polynomial(x, parts[1])
 
-def _lgamma(v: float) -> float:
-    try:
-        return math.inf if v <= 0 and v == math.floor(v) else math.lgamma(v)
-    except OverflowError:
-        return math.inf
 
+def _erf_near(x: Column) -> Column:
+    return x * _ratio(x * x, NEAR)
+
+
+def _erfc_beyond(size: Column) -> Column:
+    """erfc for ``size`` > 0.46875; the rounding of its square is taken care of by splitting off a part of four bits behind the point."""
+    coarse = F.floor(size * 16) / 16
+    bell = F.exp(-coarse * coarse) * F.exp(-(size - coarse) * (size + coarse))
+    inverse = F.lit(1.0) / (size * size)
+    far = (F.lit(1 / math.sqrt(math.pi)) - inverse * _ratio(inverse, FAR)) / size
+    return F.when(size > 28, 0.0).when(size <= 4, bell * _ratio(size, MIDDLE)).otherwise(bell * far)
+
+
+def erf(x: Column) -> Column:
+    x = _d(x)
+    far = F.signum(x) * (1 - _erfc_beyond(F.abs(x)))
+    return F.when(F.isnan(x), x).when(F.abs(x) <= 0.46875, _erf_near(x)).otherwise(far)
+
+
+def erfc(x: Column) -> Column:
+    x = _d(x)
+    far = _erfc_beyond(F.abs(x))
+    return F.when(F.isnan(x), x).when(F.abs(x) <= 0.46875, 1 - _erf_near(x)).when(x > 0, far).otherwise(2 - far)
+
+
+# Lanczos coefficients for g = 7 and nine terms.
+LANCZOS_G = 7.0
+LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
+
+
+def _lanczos(z: Column) -> Column:
+    """The sum for gamma(z + 1), z > -1/2."""
+    return reduce(lambda sum_, k: sum_ + F.lit(LANCZOS[k]) / (z + k), range(1, len(LANCZOS)), F.lit(LANCZOS[0]))
+
+
+def _sine_of_turns(x: Column) -> Column:
+    """sin(pi x), exact in its zeros."""
+    return F.sin((x - F.rint(x)) * math.pi) * F.when(F.rint(x) % 2 == 0, 1.0).otherwise(-1.0)
+
+
+def tgamma(x: Column) -> Column:
+    """The gamma function; NaN for negative whole numbers and -inf, infinite with the sign of a zero."""
+    x = _d(x)
+    low = x < 0.5
+    # Both sides stay within what doubles hold: beyond 172 the result is infinite, below -185 it is 0.
+    z = F.greatest(F.least(F.when(low, -x).otherwise(x - 1), F.lit(190.0)), F.lit(-0.5))
+    t = z + LANCZOS_G + 0.5
+    # Squared at the end, as the power alone would pass what doubles hold.
+    found = F.pow(F.pow(t, (z + 0.5) / 2) * F.exp(-t / 2), F.lit(2.0)) * _lanczos(z) * math.sqrt(2 * math.pi)
+    found = F.when(z > 170.7, _inf()).otherwise(found)
+    whole = F.when((x == F.floor(x)) & (x >= 1) & (x <= 21), F.factorial((F.least(F.greatest(x, F.lit(1.0)), F.lit(21.0)) - 1).cast("int")).cast("double"))
+    mirrored = F.lit(math.pi) / (F.nullif(_sine_of_turns(x), F.lit(0.0)) * found)
+    pole = F.when(negative(x), -_inf()).otherwise(_inf())
+    result = F.when(F.isnan(x), x).when(x == _inf(), x).when(x == 0, pole).when((x < 0) & (x == F.floor(x)), _nan())
+    return result.otherwise(F.coalesce(whole, F.when(low, F.when(x < -185, 0.0).otherwise(mirrored)).otherwise(found)))
+
+
+def lgamma(x: Column) -> Column:
+    """The logarithm of the gamma function's absolute value; infinite at its poles."""
+    x = _d(x)
+    low = x < 0.5
+    z = F.when(low, -x).otherwise(x - 1)
+    held = F.greatest(z, F.lit(-0.5))
+    t = held + LANCZOS_G + 0.5
+    found = (held + 0.5) * F.ln(t) - t + F.ln(_lanczos(held) * math.sqrt(2 * math.pi))
+    mirrored = F.ln(F.lit(math.pi) / F.nullif(F.abs(_sine_of_turns(x)), F.lit(0.0))) - found
+    result = F.when(F.isnan(x), x).when(F.abs(x) == _inf(), _inf()).when((x <= 0) & (x == F.floor(x)), _inf()).when((x == 1) | (x == 2), 0.0)
+    return result.otherwise(F.when(low, mirrored).otherwise(found))
 
-erf, erfc = _special(math.erf), _special(math.erfc)
-tgamma, lgamma = _special(_tgamma), _special(_lgamma)
 
 #: Functions of one value by name.
 UNARY: dict[str, Callable[[Column], Column]] = {

@@ -99,6 +99,48 @@ class PoissonNoise:
         return F.when(mean >= 0, F.when(mean == math.inf, F.lit(math.inf)).otherwise(F.when(~F.isnan(mean), drawn).otherwise(F.lit(math.nan)))).otherwise(F.when(v.isNotNull(), F.lit(math.nan)))
 
 
+#: Means from which rejection is used, and the tries that are made: each fails with a chance below 0.3, all with less than 1e-20.
+REJECTED_FROM, TRIES = 10.0, 40
+# Hörmann's constants of transformed rejection with squeeze (1993), for means of 10 and more.
+SLOPE, SHAPE, TURN, SQUEEZE = (0.931, 2.53), (-0.059, 0.02483), (1.1239, 1.1328, 3.4), (0.9277, 3.6224, 2.0)
+
+
+def log_poisson(k: Column, mean: Column) -> Column:
+    """The logarithm of the chance of ``k`` for k >= 0, without the difference of large numbers that its plain form has."""
+    x = (k - mean) / mean
+    # Stirling's series beyond the factorials that are exact.
+    rest = 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * k * k * k * k * k)
+    far = mean * x - k * F.log1p(x) - 0.5 * F.ln(2 * math.pi * k) - rest
+    return F.when(k > 15, far).otherwise(k * F.ln(mean) - mean - F.ln(F.factorial(F.least(F.greatest(k, F.lit(0)), F.lit(20)).cast("int")).cast("double")))
+
+
+@dataclass(frozen=True)
+class RejectionPoissonNoise(PoissonNoise):
+    """Poisson draws whose time doesn't grow with the mean: by rejection from 10 on, by inversion below.
+
+    A try takes two uniform numbers of its own, keyed by seed, index and the number of the try, so a pixel's result
+    depends on nothing else. The first try that is accepted counts.
+    """
+
+    def perturb(self, v: Column, index: Column) -> Column:
+        mean = F.least(v.cast("double"), F.lit(1e300))
+        b = F.sqrt(mean) * SLOPE[1] + SLOPE[0]
+        a = b * SHAPE[1] + SHAPE[0]
+        turn, squeeze = F.lit(TURN[1]) / (b - TURN[2]) + TURN[0], F.lit(SQUEEZE[0]) - F.lit(SQUEEZE[1]) / (b - SQUEEZE[2])
+
+        def tried(try_: Column) -> Column:
+            """The try's number, or null if it is refused."""
+            u, w = uniform(self.seed, index, 2 * try_) - 0.5, uniform(self.seed, index, 2 * try_ + 1)
+            room = F.lit(0.5) - F.abs(u)
+            k = F.floor((2 * a / room + b) * u + mean + 0.43).cast("double")
+            held = F.ln(w) + F.ln(turn) - F.ln(a / (room * room) + b) <= log_poisson(k, mean)
+            return F.when((room >= 0.07) & (w <= squeeze), k).when((k < 0) | ((room < 0.013) & (w > room)), None).when(held, k)
+
+        drawn = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("double"), lambda found, try_: F.when(found.isNotNull(), found).otherwise(tried(try_)))
+        large = (mean >= REJECTED_FROM) & ~F.isnan(mean) & (v.cast("double") < math.inf)
+        return F.when(large, drawn).otherwise(super().perturb(F.when(large, F.lit(1.0)).otherwise(v.cast("double")), index))
+
+
 @dataclass(frozen=True)
 class ImpulseNoise:
     """Replaces values with given probabilities, in ascending order of value; the rest stays. Sums above 1 are scaled to 1."""

@@ -1,6 +1,8 @@
 """Discrete Fourier transforms, one axis after the other; values are structs of re and im.
 
-Spark gathers the lines of an axis, NumPy transforms a batch of lines at once.
+Spark gathers the lines of an axis, NumPy transforms a batch of lines at once. A line longer than ``LINE`` is cut in two
+axes and transformed along one, then the other (the four-step transform), so no task holds more than a line of about the
+square root of its length; lengths without factors become convolutions of a length that has them.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.maths import complex_multiply, complex_of
 from ..plans.errors import SizeError
 from ..plans.raster import Raster
+from ..plans.regions import Box
+
+#: Values of a line that one task transforms whole.
+LINE = 1 << 20
 
 
 def _pass(raster: Raster, axis: int, kind: str, length: int) -> Raster:
@@ -43,44 +49,106 @@ def _pass(raster: Raster, axis: int, kind: str, length: int) -> Raster:
     return Raster(made.select(*names, F.struct("re", "im").alias("v")), shape)
 
 
+def _factor(n: int) -> int:
+    """The greatest divisor of ``n`` that isn't above its square root."""
+    return next(k for k in range(math.isqrt(n), 0, -1) if n % k == 0)
+
+
+def _turn(parts: Column, n: int, sign: int) -> Column:
+    """exp(sign * 2 pi i * parts / n) for whole ``parts``, which are reduced first, so nothing is lost in long lines."""
+    angle = F.pmod(parts, F.lit(n)) * (sign * 2 * math.pi / n)
+    return complex_of(F.cos(angle), F.sin(angle))
+
+
+def _along(raster: Raster, axis: int, kind: str, length: int, line: int) -> Raster:
+    """``_pass`` for lines of any length."""
+    n, name = length if kind == "irfft" else raster.shape[axis], f"x{axis}"
+    if n <= line:
+        return _pass(raster, axis, kind, length)
+    if kind == "rfft":
+        whole, size = _along(raster, axis, "fft", 0, line), n // 2 + 1
+        return Raster(whole.df.where(F.col(name) < size), tuple(size if k == axis else s for k, s in enumerate(raster.shape)))
+    if kind == "irfft":
+        # The other half are the conjugates; the terms that are their own have no imaginary part.
+        own = (F.col(name) == 0) | (2 * F.col(name) == n)
+        half = raster.df.select(*raster.axes, F.when(own, complex_of(F.col("v.re"))).otherwise(F.col("v")).alias("v"))
+        rest = half.where(~own).withColumn(name, n - F.col(name)).withColumn("v", complex_of(F.col("v.re"), -F.col("v.im")))
+        whole = Raster(half.unionByName(rest), tuple(n if k == axis else s for k, s in enumerate(raster.shape)))
+        return _along(whole, axis, "ifft", 0, line).apply(lambda v: complex_of(v["re"]))
+    short = _factor(n)
+    return _four_step(raster, axis, kind, short, line) if short > 1 and n // short <= max(line, n // 4) else _chirped(raster, axis, kind, line)
+
+
+def _four_step(raster: Raster, axis: int, kind: str, short: int, line: int) -> Raster:
+    """Lines of n = ``short`` * long: transformed over every long-th value, turned, transformed over the rest."""
+    n, d, name = raster.shape[axis], raster.dimension, f"x{axis}"
+    long, last, sign = n // short, f"x{raster.dimension}", 1 if kind == "ifft" else -1
+    others = [a for a in raster.axes if a != name]
+    cut = raster.df.select(*others, F.expr(f"{name} div {long}").alias(name), (F.col(name) % long).alias(last), "v")
+    folded = Raster(cut, (*(short if k == axis else s for k, s in enumerate(raster.shape)), long))
+    turned = _along(folded, axis, kind, 0, line).apply(lambda v: complex_multiply(v, _turn(F.col(name) * F.col(last), n, sign)))
+    done = _along(turned, d, kind, 0, line)
+    return Raster(done.df.select(*others, (F.col(name) + short * F.col(last)).alias(name), "v").select(*raster.axes, "v"), raster.shape)
+
+
+def _chirped(raster: Raster, axis: int, kind: str, line: int) -> Raster:
+    """Lines whose length has no good factors, as a convolution with a chirp, of a length that is a power of two (Bluestein)."""
+    n, name, sign = raster.shape[axis], f"x{axis}", 1 if kind == "ifft" else -1
+    m = 1 << (2 * n - 2).bit_length()
+    # j * j / 2 turns of n parts: j * j parts of 2 n.
+    chirp = lambda j, s: _turn(j * j, 2 * n, s)
+    shape = tuple(m if k == axis else s for k, s in enumerate(raster.shape))
+    rest = Box(tuple(n if k == axis else 0 for k in range(raster.dimension)), tuple(s - 1 for s in shape)).positions(raster.df.sparkSession)
+    filled = raster.df.select(*raster.axes, complex_multiply(F.col("v"), chirp(F.col(name), sign)).alias("v")).unionByName(rest.withColumn("v", complex_of(F.lit(0.0))))
+    away = F.least("x0", m - F.col("x0"))
+    wave = Raster.filled(raster.df.sparkSession, (m,), 0.0).df.select("x0", F.when(away < n, chirp(away, -sign)).otherwise(complex_of(F.lit(0.0))).alias("v"))
+    spectrum = _along(Raster(filled, shape), axis, "fft", 0, line).df
+    other = _along(Raster(wave, (m,)), 0, "fft", 0, line).df.select(F.col("x0").alias("_x"), F.col("v").alias("_w"))
+    product = spectrum.join(other, F.col(name) == F.col("_x")).select(*raster.axes, complex_multiply(F.col("v"), F.col("_w")).alias("v"))
+    back = _along(Raster(product, shape), axis, "ifft", 0, line).df.where(F.col(name) < n)
+    scale = 1.0 / n if kind == "ifft" else 1.0
+    value = complex_multiply(F.col("v"), chirp(F.col(name), sign))
+    return Raster(back.select(*raster.axes, complex_of(value["re"] * scale, value["im"] * scale).alias("v")), raster.shape)
+
+
 def _complex(raster: Raster) -> Raster:
     based = raster.crop(raster.domain)
     return based if raster.df.schema["v"].dataType.typeName() == "struct" else based.apply(lambda v: complex_of(v))
 
 
-def complex_dft(raster: Raster) -> Raster:
+def complex_dft(raster: Raster, line: int | None = None) -> Raster:
     """Forward, sign -, not scaled."""
     out = _complex(raster)
     for axis in range(raster.dimension):
-        out = _pass(out, axis, "fft", 0)
+        out = _along(out, axis, "fft", 0, line or LINE)
     return out
 
 
-def inverse_complex_dft(raster: Raster) -> Raster:
+def inverse_complex_dft(raster: Raster, line: int | None = None) -> Raster:
     """Normalised by the number of pixels."""
     out = _complex(raster)
     for axis in range(raster.dimension):
-        out = _pass(out, axis, "ifft", 0)
+        out = _along(out, axis, "ifft", 0, line or LINE)
     return out
 
 
-def real_dft(raster: Raster, axes: Sequence[int] | None = None) -> Raster:
+def real_dft(raster: Raster, axes: Sequence[int] | None = None, line: int | None = None) -> Raster:
     """Forward of a real raster, not scaled; the first axis keeps n // 2 + 1 terms, the rest being their conjugates. Over all axes, or over some: line by line."""
     first, *others = axes if axes is not None else range(raster.dimension)
-    out = _pass(_complex(raster), first, "rfft", 0)
+    out = _along(_complex(raster), first, "rfft", 0, line or LINE)
     for axis in others:
-        out = _pass(out, axis, "fft", 0)
+        out = _along(out, axis, "fft", 0, line or LINE)
     return out
 
 
-def inverse_real_dft(spectrum: Raster, shape: tuple[int, ...]) -> Raster:
+def inverse_real_dft(spectrum: Raster, shape: tuple[int, ...], line: int | None = None) -> Raster:
     """The real raster of ``shape``; normalised."""
     if spectrum.shape != (shape[0] // 2 + 1, *shape[1:]):
         raise SizeError(spectrum.shape, (shape[0] // 2 + 1, *shape[1:]))
     out = _complex(spectrum)
     for axis in range(len(shape) - 1, 0, -1):
-        out = _pass(out, axis, "ifft", 0)
-    return _pass(out, 0, "irfft", shape[0]).apply(lambda v: v["re"])
+        out = _along(out, axis, "ifft", 0, line or LINE)
+    return _along(out, 0, "irfft", shape[0], line or LINE).apply(lambda v: v["re"])
 
 
 def fourier_convolve(a: Raster, b: Raster) -> Raster:

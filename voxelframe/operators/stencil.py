@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, IntegralType
+from pyspark.sql.types import DoubleType, FractionalType, IntegralType
 
 from ..plans.errors import SizeError
 from ..plans.raster import Raster
@@ -575,12 +575,15 @@ def dont_extrapolate(values: Extrapolated | Raster) -> Raster:
 
 
 def pad(raster: Raster, box: Box, how: Extrapolation = Nearest()) -> Raster:
-    """A copy of any box, beyond the domain too, coordinates starting at 0."""
+    """A copy of any box, beyond the domain too, coordinates starting at 0. A missing pixel is NaN, or an error where values have none."""
     spark = raster.df.sparkSession
     wanted = box.positions(spark)
     moved = rewrite([F.col(a) for a in raster.axes], raster.domain, how)
     asked = wanted.select(*(F.col(a).alias(f"_{a}") for a in raster.axes), *(c.alias(a) for c, a in zip(moved, raster.axes, strict=True)))
     found = asked.join(raster.df.withColumn("_hit", F.lit(True)), raster.axes, "left")
-    value = F.when(F.col("_hit"), F.col("v")).otherwise(F.lit(how.value) if isinstance(how, Constant) else F.lit(None))
+    real = isinstance(raster.df.schema["v"].dataType, FractionalType)
+    missing = F.lit(math.nan) if real else F.raise_error(F.lit("size: the raster lacks a position, and its values have no NaN"))
+    outside = F.lit(how.value) if isinstance(how, Constant) else missing
+    value = F.when(F.col("_hit"), F.col("v")).when(raster.domain.predicate(), missing).otherwise(outside)
     return Raster(found.select(*((F.col(f"_{a}") - f).alias(a) for a, f in zip(raster.axes, box.front, strict=True)), value.alias("v")), box.shape)
 

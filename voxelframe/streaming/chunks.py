@@ -118,7 +118,7 @@ def filled_chunks(spark: SparkSession, shape: Sequence[int], tile: Sequence[int]
                 at = np.unravel_index(k, counts, order="F")
                 lanes = [np.arange(a * t, min((a + 1) * t, s)) for a, t, s in zip(at, tile, shape, strict=True)]
                 block = np.broadcast_to(f(*np.ix_(*lanes)), [len(x) for x in lanes])
-                yield _row([x[0] for x in lanes], block)
+                yield _row([x[0] for x in lanes], block.astype(np.float64))
 
     n = math.prod(counts)
     return spark.range(0, n, 1, min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, chunk_schema())
