@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelframe.operators.spectra import complex_dft, inverse_complex_dft, inverse_real_dft, real_dft
+from voxelframe.operators.summed_area import box_sums, summed_area
 from voxelframe.plans import spans
 from voxelframe.plans.errors import SizeError
 from voxelframe.plans.raster import Raster
 from voxelframe.plans.regions import Box, Grid, Mask
 from voxelframe.plans.spans import Spans
 from voxelframe.sources.chunk_store import cut_chunks, keyed, read_chunks, store_table, write_chunks
-from voxelframe.streaming.chunks import combine_chunks, filled_chunks, to_pixels
+from voxelframe.streaming.chunks import combine_chunks, filled_chunks, to_chunks, to_pixels
 
 # -- stores
 
@@ -146,3 +147,30 @@ def test_a_line_over_many_tasks(spark):
     want = np.fft.rfft(np.arange(n) * 7919 % 1009)
     rows = got.df.where("x0 % 4099 = 5").select("x0", "v.re", "v.im").collect()
     assert len(rows) > 20 and all(abs(complex(r["re"], r["im"]) - want[r["x0"]]) < 1e-5 for r in rows)
+
+
+# -- summed areas
+
+
+@pytest.mark.parametrize(("shape", "tile"), [((23, 17), (5, 4)), ((9, 8, 7), (4, 3, 5)), ((30,), (7,)), ((6, 5), (6, 5))])
+def test_summed_areas(spark, shape, tile):
+    rng = np.random.default_rng(3)
+    values = rng.integers(-9, 2**40, shape)
+    raster = Raster.from_numpy(spark, np.ascontiguousarray(values.T))
+    want = values
+    for k in range(len(shape)):
+        want = want.cumsum(axis=k)
+    table = summed_area(to_chunks(raster, tile, "bigint"), shape, tile)
+    assert (Raster(to_pixels(table, len(shape)), shape).to_numpy().T == want).all()
+    ends = [np.sort(rng.integers(-4, max(shape) + 4, (2, len(shape))), axis=0) for _ in range(40)]
+    ends += [ends[0][::-1] + [[3], [0]]]
+    rows = [(k, *map(int, e[0]), *map(int, e[1])) for k, e in enumerate(ends)]
+    boxes = spark.createDataFrame(rows, "id long, " + ", ".join(f"{s}{k} long" for s in "fb" for k in range(len(shape))))
+    got = {r["id"]: r["sum"] for r in box_sums(table, boxes, shape, tile).collect()}
+    for k, (f, b) in enumerate(ends):
+        cut = values[tuple(slice(max(0, x), max(0, y + 1)) for x, y in zip(f, b, strict=True))]
+        assert got[k] == (cut.sum() if (f <= b).all() else 0), (f, b)
+    real = summed_area(to_chunks(raster, tile), shape, tile)
+    assert np.allclose(Raster(to_pixels(real, len(shape)), shape).to_numpy().T, want)
+    with pytest.raises(ValueError, match="tiles"):
+        summed_area(to_chunks(raster, tile).where("front[0] > 0 OR element_at(front, -1) > 0"), shape, tile)

@@ -16,6 +16,7 @@ from .operators.growing import grow
 from .operators.resampling import CUBIC, LINEAR, NEAREST, Affinity, center_of, warp
 from .operators.spectra import complex_dft, inverse_complex_dft, inverse_real_dft, real_dft
 from .operators.stencil import Constant, Convolution, Dilation, Erosion, Extrapolation, Filter, Mean, Median, Nearest, Periodic, apply_filter
+from .operators.summed_area import box_sums, summed_area
 from .plans.raster import Raster
 from .plans.regions import Box, Grid, Mask
 from .plans.scratch import scratch_path
@@ -122,6 +123,20 @@ _add("mean_12_by_8", lambda r: rows(apply_filter(Mean(_WIDE), r, Nearest()), F.r
 _add("median_12_by_8", lambda r: rows(apply_filter(Median(_WIDE), r, Constant(0))), _stencil(R2, _WIDE.front, _WIDE.back, "median(coalesce(b.v, 0))::DOUBLE", PLAIN_SQL, "LEFT JOIN"))
 _add("dilation_decimated", lambda r: rows(apply_filter(Dilation(_WIDE), r, Nearest(), Grid((1, 1), (22, 28), (3, 4)))), _stencil(R3, _WIDE.front, _WIDE.back, "max(b.v)::DOUBLE", where="(a.x0 - 1) % 3 = 0 AND (a.x1 - 1) % 4 = 0 AND a.x0 <= 22 AND a.x1 <= 28", out="(a.x0 - 1) // 3 AS x0, (a.x1 - 1) // 4 AS x1"), r3)
 
+# -- sums of boxes, from a summed-area table
+
+
+def _sums(r: Raster, kind: str = "bigint") -> DataFrame:
+    return summed_area(to_chunks(r, TILE, kind), r.shape, TILE)
+
+
+_add("summed_area_table", lambda r: to_pixels(_sums(r), 2), f"WITH {R2} SELECT a.x0, a.x1, sum(b.v)::BIGINT AS v FROM px a JOIN px b ON b.x0 <= a.x0 AND b.x1 <= a.x1 GROUP BY ALL")
+_add(
+    "sums_of_boxes",
+    lambda r: box_sums(_sums(r), r.df.where("v % 3 = 0").selectExpr("x0", "x1", "x0 - 17 AS f0", "x0 + 4 AS b0", "x1 - 1 AS f1", "x1 + 5 AS b1"), r.shape, TILE, ["x0", "x1"]),
+    f"WITH {R2} SELECT a.x0, a.x1, sum(b.v)::BIGINT AS sum FROM px a JOIN px b ON b.x0 BETWEEN a.x0 - 17 AND a.x0 + 4 AND b.x1 BETWEEN a.x1 - 1 AND a.x1 + 5 WHERE a.v % 3 = 0 GROUP BY ALL",
+)
+
 # -- growing
 
 _add(
