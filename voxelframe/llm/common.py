@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,17 @@ def batched(docs: DataFrame, rows: int = 512) -> DataFrame:
     """``docs``, with the session's Arrow batches set to ``rows`` rows: texts are long, and a batch is held by the JVM and by Python."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return docs
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving freed memory back to the system at its end: a Python worker lives on, and what it keeps is missing to its executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        # Only the GNU C library has it.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batched
+from .common import batched, released
 
 #: Characters of test items that one pass over the documents looks for; more items take more passes.
 BLOCK_CHARS = 4_000_000
@@ -169,7 +169,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, id_col: str
                 types = batch.schema.field(0).type, item_type, pa.int32()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "distance"])
 
-        hits = source.mapInArrow(run, schema)
+        hits = source.mapInArrow(released(run), schema)
         found = hits if found is None else found.union(hits)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -184,5 +184,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, text_col: s
             for batch in batches:
                 yield batch.filter(pa.array([not (t and finder.find(t, first=True)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs

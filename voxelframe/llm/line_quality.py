@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, checked_broadcast, materialize, text_key
+from .common import batched, checked_broadcast, materialize, released, text_key
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent lines up to this many go to every task; beyond it they are joined by a shuffle.
@@ -77,7 +77,7 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     names = ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "sizes"]
     source = batched(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), text_key(F.col(text_col)).alias("text_key"))
     kinds = [source.schema["doc_id"].dataType.simpleString(), "string"] + ["long"] * 6 + ["array<long>"] * 2
-    return source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return source.mapInArrow(released(run), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def quality_report(
@@ -158,7 +158,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             yield pa.RecordBatch.from_arrays(cols, docs_names)
 
     docs_names = docs.columns
-    return matched.select(*[F.col(f"`{c}`") for c in docs_names], "__vf_removed").mapInArrow(run, docs.schema)
+    return matched.select(*[F.col(f"`{c}`") for c in docs_names], "__vf_removed").mapInArrow(released(run), docs.schema)
 
 
 def report_sql(docs: str = "documents", least_docs: int = 20, share: float = 0.002, least_left: int = 20, least_share: float = 0.3) -> str:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, checked_broadcast, materialize, text_key
+from .common import batched, checked_broadcast, materialize, released, text_key
 from .components import connected_components
 
 BYTES = 8
@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["doc_id", "text_key", "fp", *(("of", "sig", "keys") if signed else ())]
     source = batched(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("text_key"))
     more = ", of long, sig binary, keys array<long>" if signed else ""
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long{more}")
+    return source.mapInArrow(released(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long{more}")
 
 
 def position_sets(max_bits: int) -> list[tuple[int, ...]]:
@@ -247,7 +247,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
         key = checked_broadcast(hot, MOST_KEYS)
         whole = whole.join(key, ["places", "bytes"], "left_anti").select("places", "more", "bytes", "fp").union(_split(lists.join(key, ["places", "bytes"], "left_semi"), max_bits))
     dealt = whole.repartition("places", "more", "bytes").sortWithinPartitions("places", "more", "bytes")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def count_shared(one: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,7 +335,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.unique(h).tobytes() for h in hashes], pa.binary())], ["fp", "of", "hashes"])
 
     texts = docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text")).join(wanted, "text_key")
-    return texts.groupBy("fp", "of").agg(F.first("text").alias("text")).mapInArrow(run, "fp long, of long, hashes binary")
+    return texts.groupBy("fp", "of").agg(F.first("text").alias("text")).mapInArrow(released(run), "fp long, of long, hashes binary")
 
 
 def _pairs_by_lists(lists: DataFrame) -> DataFrame:
@@ -412,9 +412,9 @@ def similar_classes(docs: DataFrame, marks: DataFrame, bits: DataFrame, similari
     names = ["key", "part", "probe", "fp", "of", "root"]
     of_head = lambda df, c: df.select(F.col("fp").alias("h_fp"), F.col("of").alias("h_of"), F.col(c).alias(f"h_{c}"))
     met = _pairs_by_lists(lists).join(sig, ["fp", "of"]).join(of_head(sig, "sig"), ["h_fp", "h_of"]).select("fp", "of", "h_fp", "h_of", "sig", "h_sig")
-    pairs = met.mapInArrow(close, "fp long, of long, h_fp long, h_of long")
+    pairs = met.mapInArrow(released(close), "fp long, of long, h_fp long, h_of long")
     both = pairs.join(sets, ["fp", "of"]).join(of_head(sets, "hashes"), ["h_fp", "h_of"]).select(F.col("fp").alias("a"), F.col("h_fp").alias("b"), "hashes", "h_hashes")
-    first = connected_components(bits.union(both.mapInArrow(verified, "a long, b long")))
+    first = connected_components(bits.union(both.mapInArrow(released(verified), "a long, b long")))
 
     rooted = lists.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("several"))
@@ -424,8 +424,8 @@ def similar_classes(docs: DataFrame, marks: DataFrame, bits: DataFrame, similari
     chunks = rows.select("key", F.pmod(F.xxhash64("of", "fp"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("probe"), "fp", "of", "root", "sig")
     probes = rows.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe"), "fp", "of", "root", "sig")
     dealt = lambda df: df.repartition("key", "part").sortWithinPartitions("key", "part", "probe")
-    near = materialize(dealt(chunks.union(probes)).mapInArrow(unjoined, "key long, part int, probe boolean, fp long, of long, root long"), "unjoined")
-    more = connected_components(dealt(near.join(sets, ["fp", "of"]).select(*names, "hashes")).mapInArrow(joined_now, "a long, b long"))
+    near = materialize(dealt(chunks.union(probes)).mapInArrow(released(unjoined), "key long, part int, probe boolean, fp long, of long, root long"), "unjoined")
+    more = connected_components(dealt(near.join(sets, ["fp", "of"]).select(*names, "hashes")).mapInArrow(released(joined_now), "a long, b long"))
     moved = more.select(F.col("node").alias("root"), F.col("root").alias("to"))
     old = first.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     # Fingerprints that only the second step joined.

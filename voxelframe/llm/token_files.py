@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, scratch_dir
+from .common import batched, materialize, released, scratch_dir
 from .pieces import PieceEncoder
 
 MAGIC = b"VXA1"
@@ -61,7 +61,7 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     source = batched(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return source.mapInArrow(released(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def _unpack(packed: list[bytes], kind: np.dtype) -> list[np.ndarray]:
@@ -83,7 +83,7 @@ def id_counts(ids: DataFrame, kind: np.dtype) -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def frequency_table(counts: dict[int, int]) -> np.ndarray:
@@ -209,7 +209,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     name = ids.schema["doc_id"].dataType.simpleString()
     # Many rows of one id are dealt out by the beginnings of their ids, which the order within an id goes by.
     ordered = ids.withColumn("head", F.expr("substring(ids, 1, 24)")).repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "ids").drop("head")
-    ordered.mapInArrow(run, f"part int, block int, before long, doc_ids array<{name}>, lengths array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(released(run), f"part int, block int, before long, doc_ids array<{name}>, lengths array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -233,7 +233,7 @@ def _read(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
 
     names = ["part", "doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"]
     id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    rows = blocks.select("part", "before", "doc_ids", "lengths", "payload").mapInArrow(run, f"part int, doc_id {id_type}, start long, n_tokens long, {names[-1]} {'binary' if with_ids else 'long'}")
+    rows = blocks.select("part", "before", "doc_ids", "lengths", "payload").mapInArrow(released(run), f"part int, doc_id {id_type}, start long, n_tokens long, {names[-1]} {'binary' if with_ids else 'long'}")
     # One row per part, and there are as many parts as tasks wrote: small enough for one window and a broadcast.
     parts = blocks.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     offsets = parts.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
