@@ -119,7 +119,8 @@ def select(df: DataFrame, value: Column, ranks: Callable[[int], Sequence[int]])
     """
     kind = df.select(value.alias("v")).schema["v"].dataType
     key = order_key(value, kind)
-    keys = df.select(key.alias("k")).where(F.col("k").isNotNull())
+    # Made once a row: a plain projection would be written out again wherever the key is compared.
+    keys = df.select(F.explode(F.array(key)).alias("k")).where(F.col("k").isNotNull())
     # (least key, greatest key, shift) of stretches that hold asked ranks, and by stretch the ranks within it.
     stretches: list[tuple[int, int, int]] = [(-(1 << 63), (1 << 63) - 1, 64 - DIGITS)]
     wanted: list[list[tuple[int, int]]] | None = None
