@@ -4,12 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelframe import operator_queries, queries  # noqa: F401
 from voxelframe.plans.errors import FileFormatError, PathMissingError, PathTakenError
 from voxelframe.plans.raster import Raster
 from voxelframe.plans.regions import Box
 from voxelframe.plans.steps import Options, Step, StepPipeline, Timer
 from voxelframe.sources import fits
-from voxelframe.sources.fits import BLOCK, read_fits, read_fits_chunks, read_info, read_pixels, sections, write_fits
+from voxelframe.sources.fits import BLOCK, from_planes, read_fits, read_fits_chunks, read_info, read_pixels, sections, to_planes, write_fits
 from voxelframe.streaming.chunks import chunk_totals, crop_chunks, map_chunks, read_chunk_stream, to_chunks, to_pixels
 
 
@@ -30,6 +31,31 @@ def test_fits_round_trip(spark, tmp_path, kind):
     assert read_info(spark, path).count() == 1
 
 
+def test_fits_values_beyond_the_type(spark, tmp_path):
+    """They aren't wrapped around: an error, or digits in planes."""
+    path = str(tmp_path / "a.fits")
+    values = np.array([[0, 255, 256, 833], [70_000, 1 << 40, 7, (1 << 62) + 3]])
+    raster = Raster.from_numpy(spark, values)
+    for bad, kind in ((raster, "uint8"), (raster.apply(lambda v: -v), "int16"), (raster.apply(lambda v: F.lit(float("nan"))), "int32")):
+        with pytest.raises(Exception, match="doesn't hold"):
+            write_fits(bad, path, "x", kind)
+    for kind, n in (("uint8", 8), ("int16", 5), ("int64", 1), ("float32", 3)):
+        for r in [raster] if kind == "uint8" else [raster, raster.apply(lambda v: 7 - v)]:
+            planes = to_planes(r, kind)
+            assert planes.shape == (4, 2, n)
+            write_fits(planes, path, "w", kind)
+            assert (from_planes(read_fits(spark, path), kind).to_numpy() == r.to_numpy()).all()
+    assert to_planes(raster.apply(lambda v: v % 256), "uint8").shape == (4, 2, 1)
+
+
+def test_fits_of_large_counts(spark, tmp_path):
+    """A table of more than 255 events an hour."""
+    times = spark.range(720).selectExpr("timestamp_seconds(1704067200 + id * 3600) AS ts")
+    times.crossJoin(spark.range(300)).select("ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES["fits_uint8"](spark, str(tmp_path)).collect()
+    assert len(got) == 720 and {r["v"] for r in got} == {300.0}
+
+
 def test_fits_errors(spark, tmp_path):
     raster = Raster.range(spark, (2, 2))
     with pytest.raises(PathMissingError):

@@ -33,6 +33,8 @@ SHIFTED = {"int8": ("uint8", -128), "uint16": ("int16", 1 << 15), "uint32": ("in
 SPARK_TYPES = {"uint8": "smallint", "int8": "tinyint", "int16": "smallint", "uint16": "int", "int32": "int", "uint32": "bigint", "int64": "bigint", "uint64": "decimal(20,0)", "float32": "float", "float64": "double"}
 #: Pixels of a section, at most; of a batch of rows; bytes copied at once.
 SECTION, BATCH, COPY = 1 << 20, 1 << 18, 1 << 26
+#: Bits of whole numbers, not below zero, that a type holds.
+BITS = {"uint8": 8, "int8": 7, "uint16": 16, "int16": 15, "uint32": 32, "int32": 31, "uint64": 64, "int64": 63, "float32": 24, "float64": 53}
 _NUMPY = {"double": "float64", "float": "float32", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64"}
 _ARROW = {"double": pa.float64(), "float": pa.float32(), "tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0)}
 
@@ -202,6 +204,13 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.kind, self.at, self.size = options["path"], options["kind"], int(options["at"]), int(options["size"])
         self.placed = options["placed"] == "true"
 
+    def check(self, v: np.ndarray) -> None:
+        """Raises an error where the type doesn't hold a value, which a cast would wrap around."""
+        least, most = v.min(), v.max()
+        held = np.iinfo(self.kind)
+        if least != least or not held.min <= int(least) <= int(most) <= held.max:
+            raise FileFormatError(f"{self.kind} doesn't hold {least} to {most}")
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         stored, zero = SHIFTED.get(self.kind, (self.kind, 0))
         big = np.dtype(stored).newbyteorder(">")
@@ -224,6 +233,8 @@ class _Writer(DataSourceArrowWriter):
         try:
             for batch in iterator:
                 idx, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+                if len(v) and "int" in self.kind:
+                    self.check(v)
                 v = (v.astype(object) - zero).astype(stored) if zero and self.kind == "uint64" else (v.astype(np.int64) - zero).astype(stored) if zero else v.astype(stored)
                 cuts = np.flatnonzero(np.diff(idx) != 1) + 1
                 for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(idx)], strict=True):
@@ -343,6 +354,35 @@ def read_fits_chunks(spark: SparkSession, path: str, hdu: int = 0, section: int
     return _source(spark, path, hdu=hdu, form="chunks", section=section)
 
 
+def to_planes(raster: Raster, kind: str) -> Raster:
+    """Whole numbers as digits that ``kind`` holds, along a further axis, the lowest first; the highest has the sign.
+
+    As many digits as the least and the greatest value need, so numbers that fit have one.
+    """
+    bits, signed = BITS[kind], not kind.startswith("u")
+    value = F.col("v").cast("long")
+    told = raster.df.agg(F.min(value), F.max(value)).first()
+    least, most = (x or 0 for x in told)
+    if least < 0 and not signed:
+        raise FileFormatError(f"{kind} doesn't hold {least}")
+    n = 1
+    while not -(1 << bits) <= least >> bits * (n - 1) <= most >> bits * (n - 1) < 1 << bits:
+        n += 1
+    digits = [F.shiftright(value, bits * k) if k == n - 1 else F.shiftright(value, bits * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(n)]
+    rows = raster.df.select(*raster.axes, F.posexplode(F.array(*digits)).alias("_plane", "v"))
+    return Raster(rows.select(*raster.axes, F.col("_plane").cast("long").alias(f"x{raster.dimension}"), "v"), (*raster.shape, n), (*raster.front, 0))
+
+
+def from_planes(raster: Raster, kind: str) -> Raster:
+    """The whole numbers whose digits ``to_planes`` gave."""
+    *axes_, plane = raster.axes
+    shape, front = raster.shape[:-1], raster.front[:-1]
+    if raster.shape[-1] == 1:
+        return Raster(raster.df.select(*axes_, F.col("v").cast("long").alias("v")), shape, front)
+    part = F.call_function("shiftleft", F.col("v").cast("long"), (F.col(plane) * BITS[kind]).cast("int"))
+    return Raster(raster.df.groupBy(*axes_).agg(F.sum(part).alias("v")), shape, front)
+
+
 def _card(key: str, value: str) -> bytes:
     return f"{key:<8}= {value:>20}".ljust(CARD).encode("ascii")
 
