@@ -103,6 +103,21 @@ def test_fits_read_by_many_tasks(spark, tmp_path, monkeypatch):
     assert {r["path"].rsplit("/", 1)[1] for r in both} == {"a.fits", "b.fits"}
 
 
+def test_fits_small_sections_share_tasks(spark, tmp_path):
+    """Tasks grow with the pixels, not with the number of sections; chunks and boxes stay as they are cut."""
+    path = str(tmp_path / "a.fits")
+    values = np.arange(8 * 1500 * 2.0).reshape(2, 1500, 8)
+    write_fits(Raster.from_numpy(spark, values), path)
+    chunks = read_fits_chunks(spark, path, section=24)
+    assert chunks.count() == 1000 and chunks.rdd.getNumPartitions() <= fits.TASKS
+    assert (Raster(to_pixels(chunks, 3), (8, 1500, 2)).to_numpy() == values).all()
+    for region in (Box((1, 4, 0), (6, 1490, 1)), Box((0, 1499, 1), (0, 1499, 1)), Box((0, 5, 0), (7, 400, 1))):
+        cut = read_fits(spark, path, region=region, section=24)
+        assert cut.df.rdd.getNumPartitions() <= fits.TASKS
+        want = values[region.front[2] : region.back[2] + 1, region.front[1] : region.back[1] + 1, region.front[0] : region.back[0] + 1]
+        assert (cut.to_numpy() == want).all()
+
+
 @pytest.mark.parametrize("placed", [True, False])
 def test_fits_writing(spark, tmp_path, monkeypatch, placed):
     """Sections of many tasks, whichever way they are put together; the old file stays if a pixel is missing or twice."""

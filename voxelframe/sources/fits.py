@@ -1,7 +1,7 @@
 """FITS images as a Spark data source, ``spark.read.format("fits")``.
 
-An image unit is cut into sections, boxes that are one stretch of the file each; a section is a partition, so a large
-file is read by many tasks, and only the bytes of the sections that are asked for. Writing puts each section at its own
+An image unit is cut into sections, boxes that are one stretch of the file each; a partition is a section or a run of
+small ones, so a large file is read by many tasks, and only the bytes of the sections that are asked for. Writing puts each section at its own
 place of a file of known size. The driver sees headers alone, never a pixel.
 """
 
@@ -11,7 +11,7 @@ import fnmatch
 import math
 import os
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -33,6 +33,8 @@ SHIFTED = {"int8": ("uint8", -128), "uint16": ("int16", 1 << 15), "uint32": ("in
 SPARK_TYPES = {"uint8": "smallint", "int8": "tinyint", "int16": "smallint", "uint16": "int", "int32": "int", "uint32": "bigint", "int64": "bigint", "uint64": "decimal(20,0)", "float32": "float", "float64": "double"}
 #: Pixels of a section, at most; of a batch of rows; bytes copied at once.
 SECTION, BATCH, COPY = 1 << 20, 1 << 18, 1 << 26
+#: Tasks that an image is read by, at least, if it has as many sections; each reads SECTION pixels or one section, at most.
+TASKS = 64
 #: Bits of whole numbers, not below zero, that a type holds.
 BITS = {"uint8": 8, "int8": 7, "uint16": 16, "int16": 15, "uint32": 32, "int32": 31, "uint64": 64, "int64": 63, "float32": 24, "float64": 53}
 _NUMPY = {"double": "float64", "float": "float32", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64"}
@@ -121,26 +123,54 @@ def units(path: str) -> list[Unit]:
     return out
 
 
+@dataclass(frozen=True)
+class _Cut:
+    """How a shape is cut into sections: ``lanes`` are their ranges along the axis that is cut and the ones above it."""
+
+    shape: tuple[int, ...]
+    axis: int
+    below: int
+    thick: int
+    lanes: tuple[range, ...]
+
+    @classmethod
+    def of(cls, shape: Sequence[int], most: int, wanted: Box | None = None) -> _Cut:
+        """All sections of at most ``most`` pixels, or those that meet a box."""
+        cut, below = 0, 1
+        while cut < len(shape) - 1 and below * shape[cut] <= most:
+            below *= shape[cut]
+            cut += 1
+        thick = max(1, most // below)
+        inside = Box.from_shape(shape) if wanted is None else Box.from_shape(shape) & wanted
+        steps = [thick, *(1 for _ in shape[cut + 1 :])]
+        lanes = [range(f // t, b // t + 1) if inside.size else range(0) for f, b, t in zip(inside.front[cut:], inside.back[cut:], steps, strict=True)]
+        return cls(tuple(shape), cut, below, thick, tuple(lanes))
+
+    def __len__(self) -> int:
+        return math.prod(map(len, self.lanes))
+
+    def section(self, k: int) -> tuple[int, Box]:
+        """First linear index and box of the k-th section."""
+        at, *high = (int(lane[x]) for lane, x in zip(self.lanes, np.unravel_index(k, [len(x) for x in self.lanes], order="F"), strict=True))
+        low, start, above = self.shape[: self.axis], at * self.thick, int(np.ravel_multi_index(high, self.shape[self.axis + 1 :], order="F")) if high else 0
+        stop = min(start + self.thick, self.shape[self.axis])
+        return (above * self.shape[self.axis] + start) * self.below, Box((*(0 for _ in low), start, *high), (*(s - 1 for s in low), stop - 1, *high))
+
+
 def sections(shape: Sequence[int], most: int = SECTION) -> Iterator[tuple[int, Box]]:
     """(first linear index, box) of the sections of a shape: whole lower axes, a stretch of one axis, one coordinate of the higher ones."""
-    cut, below = 0, 1
-    while cut < len(shape) - 1 and below * shape[cut] <= most:
-        below *= shape[cut]
-        cut += 1
-    thick = max(1, most // below)
-    for above in range(math.prod(shape[cut + 1 :])):
-        high = [int(x) for x in np.unravel_index(above, shape[cut + 1 :], order="F")] if cut + 1 < len(shape) else []
-        for start in range(0, shape[cut], thick):
-            stop = min(start + thick, shape[cut])
-            yield (above * shape[cut] + start) * below, Box((*(0,) * cut, start, *high), (*(s - 1 for s in shape[:cut]), stop - 1, *high))
+    cut = _Cut.of(shape, most)
+    yield from map(cut.section, range(len(cut)))
 
 
 # -- reading
 
 
-class _Section(InputPartition):
-    def __init__(self, path: str, unit: Unit, first: int, box: Box) -> None:
-        self.path, self.unit, self.first, self.box = path, unit, first, box
+class _Run(InputPartition):
+    """Sections ``start`` to ``stop`` of an image unit."""
+
+    def __init__(self, path: str, unit: Unit, cut: _Cut, start: int, stop: int) -> None:
+        self.path, self.unit, self.cut, self.start, self.stop = path, unit, cut, start, stop
 
 
 class _Reader(DataSourceReader):
@@ -162,26 +192,61 @@ class _Reader(DataSourceReader):
         with ThreadPoolExecutor(16) as pool:
             told = list(pool.map(self.unit, files))
         wanted = None if self.box is None else Box(*self.box)
-        return [_Section(f, u, first, box) for f, u in zip(files, told, strict=True) if math.prod(u.shape) and u.shape for first, box in sections(u.shape, self.most) if wanted is None or (box & wanted).size]
-
-    def read(self, partition: _Section) -> Iterator[pa.RecordBatch]:
-        unit, box, width = partition.unit, partition.box, np.dtype(partition.unit.stored).itemsize
+        out: list[InputPartition] = []
+        for path, unit in zip(files, told, strict=True):
+            if not unit.shape or not math.prod(unit.shape):
+                continue
+            cut = _Cut.of(unit.shape, self.most, wanted)
+            # Small sections share a task, so tasks grow with the pixels and not with their cut.
+            many = max(1, min(-(-len(cut) // TASKS), SECTION // (cut.below * min(cut.thick, unit.shape[cut.axis]))))
+            out += [_Run(path, unit, cut, k, min(k + many, len(cut))) for k in range(0, len(cut), many)]
+        return out
+
+    def read(self, partition: _Run) -> Iterator[pa.RecordBatch]:
+        unit, width = partition.unit, np.dtype(partition.unit.stored).itemsize
         store, inside = _store(partition.path)
+        found = map(partition.cut.section, range(partition.start, partition.stop))
         with store.open_input_file(inside) as file:
             if self.chunks:
-                values = unit.values(file.read_at(box.size * width, unit.at + partition.first * width)).astype(np.float64)
-                flat = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
-                cols = [pa.array([list(x)], pa.list_(pa.int64())) for x in (box.front, box.shape)]
-                yield pa.RecordBatch.from_arrays([*cols, flat], ["front", "shape", "values"])
+                held: list[tuple[Box, np.ndarray]] = []
+                pixels = 0
+                for first, box in found:
+                    if pixels + box.size > BATCH and held:
+                        yield _chunk_rows(held)
+                        held, pixels = [], 0
+                    held.append((box, unit.values(file.read_at(box.size * width, unit.at + first * width)).astype(np.float64)))
+                    pixels += box.size
+                if held:
+                    yield _chunk_rows(held)
                 return
             names = axes(len(unit.shape))
-            for start in range(0, box.size, BATCH):
-                n = min(BATCH, box.size - start)
-                part = unit.values(file.read_at(n * width, unit.at + (partition.first + start) * width))
-                coords = np.unravel_index(np.arange(partition.first + start, partition.first + start + n), unit.shape, order="F")
-                v = pa.array(part.tolist(), _ARROW[self.kind]) if self.kind == "decimal(20,0)" else pa.array(part.astype(_NUMPY[self.kind]))
-                path = [pa.array([partition.path]).take(pa.array(np.zeros(n, np.int32)))] if self.named else []
-                yield pa.RecordBatch.from_arrays([*path, *(pa.array(c, pa.int64()) for c in coords), v], [*(["path"] if self.named else []), *names, "v"])
+            for first, size in _stretches(found):
+                for start in range(first, first + size, BATCH):
+                    n = min(BATCH, first + size - start)
+                    part = unit.values(file.read_at(n * width, unit.at + start * width))
+                    coords = np.unravel_index(np.arange(start, start + n), unit.shape, order="F")
+                    v = pa.array(part.tolist(), _ARROW[self.kind]) if self.kind == "decimal(20,0)" else pa.array(part.astype(_NUMPY[self.kind]))
+                    path = [pa.array([partition.path]).take(pa.array(np.zeros(n, np.int32)))] if self.named else []
+                    yield pa.RecordBatch.from_arrays([*path, *(pa.array(c, pa.int64()) for c in coords), v], [*(["path"] if self.named else []), *names, "v"])
+
+
+def _stretches(found: Iterable[tuple[int, Box]]) -> Iterator[tuple[int, int]]:
+    """(first linear index, pixels) of sections, those joined that follow one another in the file."""
+    first, size = 0, 0
+    for start, box in found:
+        if size and start != first + size:
+            yield first, size
+            size = 0
+        first, size = (first, size + box.size) if size else (start, box.size)
+    if size:
+        yield first, size
+
+
+def _chunk_rows(held: Sequence[tuple[Box, np.ndarray]]) -> pa.RecordBatch:
+    boxes, values = zip(*held, strict=True)
+    cols = [pa.array([list(x) for x in side], pa.list_(pa.int64())) for side in ([b.front for b in boxes], [b.shape for b in boxes])]
+    flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values)))
+    return pa.RecordBatch.from_arrays([*cols, flat], ["front", "shape", "values"])
 
 
 # -- writing
