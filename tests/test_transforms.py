@@ -88,3 +88,16 @@ def test_cosmics(spark):
     assert mask_cosmics(image, psf, (5, 5), 1e-4, 0.9, rounds=1, threshold=0.3).to_numpy()[10, 12] == 1
     with pytest.raises(SizeError):
         detect(image, psf[:3], (5, 5))
+
+
+def test_long_lines_take_few_shuffles(spark):
+    """One for each factor, and two convolution steps of five and fifteen values for a prime one."""
+    for n, line, most in ((500, 16, 3), (16 * 37, 16, 5), (97, 8, 6)):
+        values = np.random.default_rng(n).normal(size=(n, 3))
+        spectrum = real_dft(Raster.from_numpy(spark, values), axes=[1], line=line)
+        plan = spectrum.df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most
+        got = np.full((3, n // 2 + 1), np.nan, complex)
+        for r in spectrum.df.collect():
+            got[r["x0"], r["x1"]] = complex(r["v"]["re"], r["v"]["im"])
+        assert np.abs(got - np.fft.rfft(values.T)).max() < 1e-9
