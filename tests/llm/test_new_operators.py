@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelframe.llm import hard_negatives, queries
+from voxelframe.llm import hard_negatives, queries, source_audit
 from voxelframe.llm.hard_negatives import Tops, mine, scores
 from voxelframe.llm.language_id import codewords, cross_checked, fit, found, identify, normal
 from voxelframe.llm.source_audit import audit
@@ -65,6 +65,20 @@ def plain_audit(rows, least_docs, top):
     return sorted(out)
 
 
+def test_audit_candidates(monkeypatch):
+    """A task keeps the first ranks of each source and all ties of the last, however its cells come."""
+    monkeypatch.setattr(source_audit, "CANDIDATES", 20)
+    rng = np.random.default_rng(5)
+    at, value, word = rng.integers(0, 4, 3000), rng.integers(0, 200, 3000), np.arange(3000)
+    at[:2] = 4
+    best = source_audit._Best(6, 3)
+    for start in range(0, 3000, 70):
+        best.add(at[start : start + 70], value[start : start + 70], word[start : start + 70])
+    want = [k for s in range(5) for k in np.flatnonzero(at == s) if value[k] >= (sorted(value[at == s])[-3] if (at == s).sum() >= 3 else 0)]
+    assert sorted(best.cells()[2].tolist()) == sorted(want)
+    assert best.held < 200
+
+
 @pytest.mark.parametrize("bits", [64, 4])
 def test_audit_edges(edge, bits):
     rows = [(r["text"], r["lang"], r["source"]) for r in edge.collect()]

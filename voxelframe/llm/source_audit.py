@@ -10,13 +10,13 @@ collisions, which are counted anew and split by a second digest, and the terms o
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, materialize
@@ -33,6 +33,8 @@ SIEVE = 27
 MOST_COLLIDED = 100_000
 #: Terms times sources that are held as one dense table.
 CELLS = 1 << 20
+#: Cells of a language that a task holds before it drops those below the first ranks.
+CANDIDATES = 1 << 18
 #: ASCII letters in lower case, every other ASCII character a blank; bytes of other characters stay.
 LETTERS = bytes(c if c > 127 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 WORD = ["digest", "split"]
@@ -43,8 +45,10 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-def _digest(lang: str, term: bytes, keep: int) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\0" + term) & keep)
+def _digests(lang: str, found: Iterable[bytes], n: int, keep: int) -> np.ndarray:
+    """The digests of ``n`` terms of a language, with the bits of ``keep``."""
+    start, digest = lang.encode("utf-8", "surrogatepass") + b"\0", xxhash.xxh3_64_intdigest
+    return (np.fromiter((digest(start + t) for t in found), np.uint64, n) & np.uint64(keep)).view(np.int64)
 
 
 def _signed(h: int) -> int:
@@ -57,7 +61,7 @@ def _seen(docs: DataFrame, bits: int) -> DataFrame:
 
     def flushed(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
-            digests = np.fromiter((_digest(lang, t, keep) for t in counts), np.int64, len(counts))
+            digests = _digests(lang, counts, len(counts), keep)
             batch = pa.RecordBatch.from_arrays([pa.array(digests), pa.array(np.fromiter(counts.values(), np.int32, len(counts)))], ["digest", "docs"])
             for at in range(0, len(counts), 1 << 15):
                 yield batch.slice(at, 1 << 15)
@@ -103,7 +107,7 @@ class _Language:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def learn(self, lang: str, new: list[bytes], keep: int, sieve: np.ndarray) -> None:
-        digests = np.fromiter((_digest(lang, t, keep) for t in new), np.int64, len(new))
+        digests = _digests(lang, new, len(new), keep)
         place = digests & (len(sieve) * 64 - 1)
         passes = sieve[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)
         for term, digest, hit in zip(new, digests.tolist(), passes.tolist(), strict=True):
@@ -191,19 +195,8 @@ def _counted(docs: DataFrame, bits: int, sieve: np.ndarray, collided: frozenset[
     return docs.mapInArrow(run, "lang string, source string, digest long, split long, occ long, docs long, term binary")
 
 
-def _proportion(count: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(10^9 * (count + 2) / (total + 2 * kept)), by long division in two steps, as the product may pass 64 bits."""
-    above, below = (count + 2) * 100_000, total + 2 * kept
-    return 1 + _div(above, below) * 10_000 + _div(above % below * 10_000, below)
-
-
-def _div(x: Column, y: Column) -> Column:
-    """Whole quotient of numbers that aren't negative."""
-    return F.call_function("div", x, y)
-
-
 def proportions(counts: np.ndarray, totals: np.ndarray, kept: int) -> np.ndarray:
-    """``_proportion`` of a table of counts with a column for each total."""
+    """1 + floor(10^9 * (count + 2) / (total + 2 * kept)), by long division in two steps, as the product may pass 64 bits; of a table of counts with a column for each total, or of counts with their totals."""
     below = totals + 2 * kept
     first, rest = np.divmod((counts + 2) * 100_000, below)
     return 1 + first * 10_000 + rest * 10_000 // below
@@ -248,6 +241,64 @@ def _pairs(cells: DataFrame, langs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
+class _Best:
+    """The cells of a language with the first ``top`` values of each source, and all that equal the last of them."""
+
+    def __init__(self, sources: int, top: int) -> None:
+        self.top, self.bars, self.parts, self.held, self.most = top, np.full(sources, -1, np.int64), [], 0, CANDIDATES
+
+    def add(self, at: np.ndarray, value: np.ndarray, *words: np.ndarray) -> None:
+        passes = value >= self.bars[at]
+        self.parts.append([c[passes] for c in (at, value, *words)])
+        self.held += len(self.parts[-1][0])
+        if self.held > self.most:
+            self.cells()
+            self.most = max(CANDIDATES, 2 * self.held)
+
+    def cells(self) -> list[np.ndarray]:
+        at, value, *words = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((-value, at))
+        of, ordered = at[order], value[order]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        full = first[np.diff(np.append(first, len(of))) >= self.top]
+        self.bars[of[full]] = ordered[full + self.top - 1]
+        passes = value >= self.bars[at]
+        self.parts = [[c[passes] for c in (at, value, *words)]]
+        self.held = len(self.parts[0][0])
+        return self.parts[0]
+
+
+def _overused(cells: DataFrame, langs: DataFrame, top: int) -> DataFrame:
+    """(lang, at, digest, split, value): terms that a source uses more than its language, of what each task read those with its ``top`` values and their ties."""
+    # A row for each language.
+    rows = cells.join(checked_broadcast(langs, MOST_BROADCAST), "lang").select("lang", *WORD, "n_lang", "ats", "ns", "totals", "all_n", "kept")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, _Best] = {}
+        for batch in batches:
+            langs_ = batch.column("lang").to_numpy(zero_copy_only=False)
+            for start, stop in zip(edges := [0, *(np.flatnonzero(langs_[1:] != langs_[:-1]) + 1).tolist()], [*edges[1:], len(langs_)], strict=True):
+                if start == stop:
+                    continue
+                part = batch.slice(start, stop - start)
+                totals, all_n, kept = (part.column(c)[0].as_py() for c in ("totals", "all_n", "kept"))
+                totals = np.array(totals, np.int64)
+                term = np.repeat(np.arange(part.num_rows), part.column("ats").value_lengths().to_numpy(zero_copy_only=False))
+                at, n = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ats", "ns"))
+                digest, split, n_lang = (part.column(c).to_numpy(zero_copy_only=False) for c in (*WORD, "n_lang"))
+                p, q = proportions(n, totals[at], kept), proportions(n_lang, all_n, kept)[term]
+                over = np.flatnonzero(p > q)
+                away, both = (p - q)[over], (p + q)[over]
+                seen.setdefault(langs_[start], _Best(len(totals), top)).add(at[over], away * away // both, digest[term[over]], split[term[over]])
+        for lang, best in seen.items():
+            at, value, digest, split = best.cells()
+            for start in range(0, len(at), 1 << 15):
+                cut = slice(start, start + (1 << 15))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at[cut]), pa.string()), pa.array(at[cut], pa.int32()), *(pa.array(c[cut], pa.int64()) for c in (digest, split, value))], ["lang", "at", *WORD, "value"])
+
+    return rows.mapInArrow(run, "lang string, at int, digest long, split long, value long")
+
+
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top: int = 10, bits: int = 64) -> DataFrame:
     """(lang, source, part, item, value, rank): the divergence of each source of a language from its others, and its most overused terms.
 
@@ -305,7 +356,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     of_lang = cells.groupBy("lang").agg(F.sum("n_lang").alias("all_n"), F.count(F.lit(1)).alias("kept"))
     sizes = groups.join(totals, ["lang", "at"], "left").join(of_lang, "lang", "left")
     sizes = materialize(sizes.select("lang", "source", "at", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "all_n", "kept"))), "sizes")
-    langs = materialize(sizes.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("totals"), F.max("kept").alias("kept")), "langs")
+    langs = materialize(sizes.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("totals"), F.max("kept").alias("kept"), F.max("all_n").alias("all_n")), "langs")
 
     b = sizes.select("lang", F.col("source").alias("item"), F.col("at").alias("to"))
     # Every pair is a row of the result.
@@ -314,11 +365,9 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     in_group = Window.partitionBy("lang", "source")
     pairs = pairs.withColumn("rank", F.row_number().over(in_group.orderBy(F.col("value").desc(), "item")))
 
-    few = checked_broadcast(sizes.select("lang", "at", "source", F.col("n").alias("total"), "all_n", "kept"), MOST_BROADCAST)
-    both = each.join(few, ["lang", "at"]).select("lang", "source", *WORD, _proportion(F.col("n"), F.col("total"), F.col("kept")).alias("p"), _proportion(F.col("n_lang"), F.col("all_n"), F.col("kept")).alias("q"))
-    away = F.col("p") - F.col("q")
-    over = both.where("p > q").select("lang", "source", *WORD, _div(away * away, F.col("p") + F.col("q")).alias("value"))
-    # The value of the last rank; Spark keeps ``top`` rows a group before it shuffles. All ties of it get their text.
+    names_of = checked_broadcast(sizes.select("lang", "at", "source"), MOST_BROADCAST)
+    over = materialize(_overused(cells, langs, top), "over").join(names_of, ["lang", "at"]).select("lang", "source", *WORD, "value")
+    # The value of the last rank; tasks have kept the first ranks of what they read. All ties of it get their text.
     by_value = over.select("lang", "source", "value").withColumn("rank", F.row_number().over(in_group.orderBy(F.col("value").desc()))).where(F.col("rank") <= top)
     bars = checked_broadcast(materialize(by_value.groupBy("lang", "source").agg(F.min("value").alias("bar")), "bars"), MOST_BROADCAST)
     best = materialize(over.join(bars, ["lang", "source"]).where(F.col("value") >= F.col("bar")).drop("bar"), "best")
